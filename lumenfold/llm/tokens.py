@@ -42,7 +42,7 @@ END_ID = 2
 SHARD_DOCS = 4096
 MAX_SHARDS = 4096
 #: Chunks whose ids a Python worker remembers.
-CACHE = 400_000
+CACHE = 800_000
 
 _INDEX_MAGIC = 0x184D2A50
 _TABLE_MAGIC = 0x184D2A5E
@@ -82,10 +82,9 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
+    def _learn(self, new: list[str]) -> None:
+        if len(self.known) + len(new) > CACHE:
             self.known.clear()
-        new = list(chunks)
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
 
@@ -100,7 +99,7 @@ class Encoder:
         try:
             return b"".join(map(self.known.__getitem__, chunks)) + end
         except KeyError:
-            self._learn(set(chunks) - self.known.keys())
+            self._learn([c for c in set(chunks) if c not in self.known])
             out = b"".join([self.known[c] if c in self.known else self._one(c) for c in chunks])
             return out + end
 
