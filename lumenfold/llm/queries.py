@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, tokens, toxicity
+from . import decontaminate, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, base counts, base_failed and the adaptive verdict of every document."""
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_token_output": op3_token_output,
+        "op6_decontamination": op6_decontamination,
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
     }
