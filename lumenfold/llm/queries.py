@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, simhash, tokens, toxicity
+from . import decontaminate, quality, sentencepiece_fst, simhash, tokens, toxicity
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 and round_trip of every document."""
+    import public_tokenizers
+
+    return sentencepiece_fst.encode_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,6 +49,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_token_output": op3_token_output,
         "op6_decontamination": op6_decontamination,
