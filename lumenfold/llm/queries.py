@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sentencepiece_fst, simhash, tokens, toxicity
+from . import decontaminate, html_text, quality, sentencepiece_fst, simhash, tokens, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_token_output": op3_token_output,
+        "op5_html_text": op5_html_text,
         "op6_decontamination": op6_decontamination,
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
