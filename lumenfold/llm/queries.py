@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, quality, sentencepiece_fst, simhash, tokens, toxicity
+from . import decontaminate, html_text, lines, quality, sentencepiece_fst, simhash, tokens, toxicity
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_exact, n_near and kept_sha256 of every document."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, base counts, base_failed and the adaptive verdict of every document."""
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_output": op3_token_output,
         "op5_html_text": op5_html_text,
         "op6_decontamination": op6_decontamination,
+        "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
     }
