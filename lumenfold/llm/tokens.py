@@ -23,6 +23,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,17 +42,19 @@ END_ID = 2
 #: Documents per shard, and the most shards of one output; beyond, shards grow.
 SHARD_DOCS = 4096
 MAX_SHARDS = 4096
-#: Chunks whose ids a Python worker remembers.
-CACHE = 800_000
+#: Parts whose ids a Python worker remembers.
+CACHE = 2_000_000
+#: Characters of text whose unknown chunks are encoded in one call.
+GROUP_CHARS = 1 << 20
 
 _INDEX_MAGIC = 0x184D2A50
 _TABLE_MAGIC = 0x184D2A5E
 _SEEKABLE_MAGIC = 0x8F92EAB1
 _CHECKSUMS = 0x80
 
-_CHUNK = re.compile(r"\s*\S+|\s+")
-#: White space of Python that other engines may not count as such: no cutting near it.
-_ODD_SPACE = re.compile(r"[^\S \n\t\r\x0b\x0c]")
+#: White space other than spaces and line breaks, and pairs of those.
+_ODD_SPACE = re.compile(r"[^\S \n]")
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 FRAME_SCHEMA = "doc_id long, shard int, n_tokens long, ids_crc32 long, checksum long, n_bytes long, frame binary"
 MANIFEST_SCHEMA = "shard int, path string, n_docs long, n_tokens long"
@@ -60,9 +63,10 @@ MANIFEST_SCHEMA = "shard int, path string, n_docs long, n_tokens long"
 class Encoder:
     """A byte-level BPE tokenizer with a memory of the chunks it has met.
 
-    A text is cut where white space follows a visible character; no pre-token
-    of a byte-level BPE crosses such a place, so the ids of the chunks put
-    together are the ids of the text.
+    A text is cut where a space or line break follows a visible character; no
+    pre-token of a byte-level BPE crosses such a place, so the ids of the parts
+    put together are the ids of the text. Texts with any other white space are
+    encoded whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -82,29 +86,48 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """All ids of a text and the end id, little-endian unsigned 32-bit."""
+    def _learn(self, new: list[str]) -> None:
+        """``new``: parts as ``_split`` makes them, but for the first of a text."""
+        chunks = [c if c[:1] == "\n" else " " + c for c in new]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            self.known[c] = array("I", e.ids).tobytes()
+
+    @staticmethod
+    def _split(text: str) -> list[str] | None:
+        """Parts that begin at a space (left out) or line break after a visible character; None if such places are in doubt."""
+        doubt = text[:1].isspace() or any(p in text for p in _PAIRS) or _ODD_SPACE.search(text)
+        return None if doubt else text.replace("\n", " \n").split(" ")
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        parts = [self._split(t) for t in texts]
+        known = self.known
+        new = [c for c in set().union(*(p[1:] for p in parts if p)) if c not in known]
+        if new:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = list(set().union(*(p[1:] for p in parts if p)))
+            self._learn(new)
         end = struct.pack("<I", END_ID)
-        if not text:
-            return end
-        if _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
-        chunks = _CHUNK.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks)) + end
-        except KeyError:
-            self._learn([c for c in set(chunks) if c not in self.known])
-            out = b"".join([self.known[c] if c in self.known else self._one(c) for c in chunks])
-            return out + end
-
-    def _one(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for text, p in zip(texts, parts, strict=True):
+            if p is None:
+                yield self._ids(text) + end
+            else:
+                yield self._ids(p[0]) + b"".join(map(known.__getitem__, p[1:])) + end
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """For each text all its ids and the end id, little-endian unsigned 32-bit."""
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
 
 
 def encode_frames(docs: DataFrame, tokenizer_path: str, bounds: list[int]) -> DataFrame:
@@ -116,8 +139,7 @@ def encode_frames(docs: DataFrame, tokenizer_path: str, bounds: list[int]) -> Da
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
-            for doc, text in zip(ids, texts, strict=True):
-                data = encoder.encode(text.as_py())
+            for doc, data in zip(ids, encoder.encode(t.as_py() for t in texts), strict=True):
                 shard = 0 if doc is None else int(np.searchsorted(edges, doc, side="right"))
                 rows.append((doc, shard, len(data) // 4, zlib.crc32(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF, len(data), press.compress(data)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
