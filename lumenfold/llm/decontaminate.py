@@ -9,8 +9,8 @@ What is left is compared word by word with the text, so hits are exact.
 ``proximity_matches`` relaxes the agreement of the lists by a slop.
 
 Postings are never gathered per term, so a word or passage that a third of all
-documents share stays spread out. The starts found are sent to every executor
-only if they are small; otherwise they are joined by document.
+documents share stays spread out. The starts found are joined by document, as
+their number grows with the corpus.
 
 Defined results: a null or empty text has no words and no hits; an item without
 words has no window; repeated items and repeated documents are each reported;
@@ -29,9 +29,8 @@ from .common import ascii_lower, cut
 #: Everything that is no word character after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
-#: Largest tables that are sent to every executor: rows of the windows' side, bytes of the starts.
+#: Largest table of benchmark windows or terms that is sent to every executor.
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 16 << 20
 
 
 def words(text: str) -> Column:
@@ -126,8 +125,7 @@ def report(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     k = keyed(docs, text)
     starts = phrase_starts(build_index(k, terms, text), terms)
     per_doc = cut(starts.groupBy("_row").agg(F.collect_set(F.struct("start", "n", "phrase")).alias("starts")))
-    size = per_doc.agg(F.sum(F.aggregate("starts", F.lit(64), lambda a, x: a + F.octet_length(x["phrase"]) + 32)).alias("b")).first()["b"] or 0
-    joined = k.select("_row", "doc_id", text).join(F.broadcast(per_doc) if size <= BROADCAST_BYTES else per_doc, "_row", "left")
+    joined = k.select("_row", "doc_id", text).join(per_doc, "_row", "left")
     checked = joined.select("_row", "doc_id", "starts", words(text).alias("w"))
     same = lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["n"]), " ") == x["phrase"]
     checked = checked.withColumn("hits", F.when(F.col("starts").isNotNull(), F.sort_array(F.filter("starts", same))))
