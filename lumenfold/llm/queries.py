@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_model, lines, quality, sentencepiece_fst, simhash, tokens, toxicity
+from . import decontaminate, html_text, language_model, lines, quality, sentencepiece_fst, simhash, suffix_dedup, tokens, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_token_output": op3_token_output,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_html_text": op5_html_text,
         "op6_decontamination": op6_decontamination,
         "op7_line_dedup": op7_line_dedup,
