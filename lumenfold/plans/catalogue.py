@@ -1,15 +1,460 @@
-"""Registered period-analysis queries and their SQL."""
+"""Registered period-analysis queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import physics
+from ..operators import boxes, peaks, period_change, spectra, windows
+from ..sources import observations as obs_source
+
+#: table -> object, time, value, band, row number
+SERIES = {
+    "events": ("user_id", "ts", "value", "event_type", "event_id"),
+    "lineitem": ("l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag", "l_orderkey * 10 + l_linenumber"),
+    "orders": ("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderkey"),
+}
+NF = 100
+
+
+def series(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+    """A driver table as observations; days since 2024-01-01 and a derived error."""
+    key, t, y, band, rid = SERIES[name]
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    days = F.unix_micros(F.col(t).cast("timestamp")).cast("double") / F.lit(86400000000.0) - F.lit(obs_source.EPOCH_2024)
+    value = F.col(y).cast("double")
+    return df.select(F.col(key).cast("string").alias("object_id"), F.col(band).alias("band"), days.alias("t"), value.alias("y"), (F.lit(0.1) + F.lit(0.01) * value).alias("dy"), F.expr(rid).cast("long").alias("rid"))
+
+
+def emit(df: DataFrame, keys: str, numbers: str, digits: int = 6) -> DataFrame:
+    """Whole-number and text keys as they are (long, string), numbers rounded; -0 becomes 0."""
+    kinds = dict(df.dtypes)
+    cols = [F.col(c) if kinds[c] == "string" else F.col(c).cast("long").alias(c) for c in keys.split()]
+    return df.select(*cols, *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in numbers.split()])
+
+
+def _obs_sql(name: str = "events") -> str:
+    key, t, y, band, rid = SERIES[name]
+    return f"obs AS (SELECT CAST({key} AS VARCHAR) AS object_id, {band} AS band, epoch_us({t})::DOUBLE / 86400000000::DOUBLE - 19723::DOUBLE AS t, {y}::DOUBLE AS y, 0.1::DOUBLE + 0.01::DOUBLE * {y}::DOUBLE AS dy, {rid} AS rid FROM {name})"
+
+
+def _r(c: str, digits: int = 6) -> str:
+    return f"round({c}, {digits}) + 0::DOUBLE"
+
+
+def _centred(weighted: bool, by: str = "object_id", src: str = "obs", over: str = "object_id") -> str:
+    raw = "1::DOUBLE / (dy * dy)" if weighted else "1::DOUBLE"
+    return (
+        f"c0 AS (SELECT *, min(t) OVER (PARTITION BY {over}) AS tmin, max(t) OVER (PARTITION BY {over}) - min(t) OVER (PARTITION BY {over}) AS baseline, count(*) OVER (PARTITION BY {by}) AS n, {raw} AS w0 FROM {src}), "
+        f"c1 AS (SELECT *, sum(w0) OVER (PARTITION BY {by}) AS wsum, w0 / sum(w0) OVER (PARTITION BY {by}) AS w, t - tmin AS tau FROM c0), "
+        f"c2 AS (SELECT *, y - sum(w * y) OVER (PARTITION BY {by}) AS yc FROM c1), "
+        f"cent AS (SELECT * FROM (SELECT *, sum(w * yc * yc) OVER (PARTITION BY {by}) AS yy FROM c2) WHERE baseline > 0)"
+    )
+
+
+def _grid(nf: int = NF, src: str = "cent") -> str:
+    return f"grid AS (SELECT {src}.*, r.k, 1::DOUBLE / baseline + r.k * (1::DOUBLE / (5::DOUBLE * baseline)) AS f FROM {src}, range({nf}) r(k))"
+
+
+def _trig(by: str = "object_id, k", src: str = "grid", tau: str = "tau") -> str:
+    th = f"(6.283185307179586::DOUBLE * f * {tau})"
+    return (
+        f"trig AS (SELECT {by}, min(f) AS f, min(yy) AS yy, min(n) AS n, min(baseline) AS baseline, min(wsum) AS wsum, sum(w * cos{th}) AS c, sum(w * sin{th}) AS s, "
+        f"sum(w * yc * cos{th}) AS yc_, sum(w * yc * sin{th}) AS ys_, sum(w * cos(2 * {th})) AS c2, sum(w * sin(2 * {th})) AS s2 FROM {src} GROUP BY {by})"
+    )
+
+
+def _power(fit_mean: bool = True) -> str:
+    c, s = ("c", "s") if fit_mean else ("0::DOUBLE", "0::DOUBLE")
+    cc, ss, cs = f"((1 + c2) / 2 - {c} * {c})", f"((1 - c2) / 2 - {s} * {s})", f"(s2 / 2 - {c} * {s})"
+    d = f"(yy * ({cc} * {ss} - {cs} * {cs}))"
+    p = f"(({ss} * yc_ * yc_ + {cc} * ys_ * ys_ - 2 * {cs} * yc_ * ys_) / {d})"
+    return f"CASE WHEN yy > 0 AND abs({d}) > 1e-12 * yy AND {p} > 0 THEN least({p}, 1) ELSE 0 END"
+
+
+def _gls_sql(weighted: bool = True, fit_mean: bool = True, name: str = "events", nf: int = NF) -> str:
+    return f"WITH {_obs_sql(name)}, {_centred(weighted)}, {_grid(nf)}, {_trig()}, spec AS (SELECT object_id, k, f, {_power(fit_mean)} AS power, n, baseline FROM trig)"
+
+
+_PHASE = "tau / (1::DOUBLE / f) - floor(tau / (1::DOUBLE / f))"
+
+
+def _pdm_sql(by: str = "object_id", nf: int = NF) -> str:
+    return (
+        f"{_centred(False, by)}, {_grid(nf)}, fine AS (SELECT *, least(greatest(floor(({_PHASE}) * 30), 0), 29)::BIGINT AS b FROM grid), "
+        f"hist AS (SELECT {by}, k, b, min(f) AS f, min(yy) AS yy, min(n) AS n, count(*) AS m, sum(yc) AS sy, sum(yc * yc) AS syy FROM fine GROUP BY {by}, k, b), "
+        f"coarse AS (SELECT {by}, k, c, ((b + c) % 30) // 3 AS j, min(f) AS f, min(yy) AS yy, min(n) AS n, sum(m) AS m, sum(sy) AS sy, sum(syy) AS syy FROM hist, range(3) q(c) GROUP BY {by}, k, c, ((b + c) % 30) // 3), "
+        f"th AS (SELECT {by}, k, min(f) AS f, min(yy) AS yy, min(n) AS n, sum(syy - sy * sy / m) AS ssd, count(*) AS filled FROM coarse GROUP BY {by}, k), "
+        f"spec AS (SELECT {by}, k, f, n, CASE WHEN yy * n / (n - 1) <= 0 THEN 1 WHEN n * 3 - filled <= 0 THEN 'inf'::DOUBLE ELSE ssd / (n * 3 - filled) / (yy * n / (n - 1)) END AS power FROM th WHERE n > 1)"
+    )
+
+
+def _ce_sql(by: str = "object_id", nf: int = NF) -> str:
+    return (
+        f"{_centred(False, by)}, lev AS (SELECT *, CASE WHEN hi > lo THEN least(greatest(floor((y - lo) / (hi - lo) * 10), 0), 9) ELSE 0 END::BIGINT AS i FROM (SELECT *, min(y) OVER (PARTITION BY {by}) AS lo, max(y) OVER (PARTITION BY {by}) AS hi FROM cent)), "
+        f"{_grid(nf, 'lev')}, cells AS (SELECT {by}, k, i, least(greatest(floor(({_PHASE}) * 10), 0), 9)::BIGINT AS j, min(f) AS f, min(n) AS n, count(*) AS m FROM grid GROUP BY ALL), "
+        f"tot AS (SELECT *, sum(m) OVER (PARTITION BY {by}, k, j) AS mj FROM cells), spec AS (SELECT {by}, k, min(f) AS f, min(n) AS n, sum(m * ln(mj::DOUBLE / m)) / min(n) AS power FROM tot GROUP BY {by}, k)"
+    )
+
+
+def _sl_sql(by: str = "object_id", nf: int = NF) -> str:
+    return (
+        f"{_centred(False, by)}, lev AS (SELECT *, CASE WHEN hi > lo THEN (y - lo) / (hi - lo) * 0.5::DOUBLE - 0.25::DOUBLE ELSE 0 END AS m FROM (SELECT *, min(y) OVER (PARTITION BY {by}) AS lo, max(y) OVER (PARTITION BY {by}) AS hi FROM cent)), "
+        f"{_grid(nf, 'lev')}, ph AS (SELECT *, {_PHASE} AS phi FROM grid), "
+        f"seg AS (SELECT {by}, k, f, n, phi - coalesce(lag(phi) OVER w, last_value(phi) OVER v - 1) AS dphi, m - coalesce(lag(m) OVER w, last_value(m) OVER v) AS dm FROM ph WINDOW w AS (PARTITION BY {by}, k ORDER BY phi, rid), v AS (PARTITION BY {by}, k ORDER BY phi, rid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), "
+        f"spec AS (SELECT {by}, k, min(f) AS f, min(n) AS n, sum(sqrt(dphi * dphi + dm * dm)) AS power FROM seg GROUP BY {by}, k)"
+    )
+
+
+_MAXIMA = "maxima AS (SELECT * FROM (SELECT *, lag(power) OVER (PARTITION BY object_id ORDER BY k) AS pv, lead(power) OVER (PARTITION BY object_id ORDER BY k) AS nx FROM spec) WHERE (pv IS NULL OR power > pv) AND (nx IS NULL OR power >= nx) AND (pv IS NOT NULL OR nx IS NOT NULL))"
+_TOP = (
+    "cand AS (SELECT object_id, k, f, power, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS i FROM maxima), "
+    "walk AS (SELECT object_id, i, [k] AS ks, true AS took FROM cand WHERE i = 1 UNION ALL SELECT c.object_id, c.i, "
+    "CASE WHEN len(w.ks) < 3 AND list_min(list_transform(w.ks, lambda x: abs(x - c.k))) >= 15 THEN list_append(w.ks, c.k) ELSE w.ks END, len(w.ks) < 3 AND list_min(list_transform(w.ks, lambda x: abs(x - c.k))) >= 15 "
+    "FROM walk w JOIN cand c ON c.object_id = w.object_id AND c.i = w.i + 1), "
+    "top AS (SELECT c.object_id, row_number() OVER (PARTITION BY c.object_id ORDER BY c.i) AS rank, c.k, c.f, c.power FROM walk w JOIN cand c USING (object_id, i) WHERE w.took)"
+)
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _bins_sql(n_bins: int, nf: int) -> str:
+    return (
+        f"b0 AS (SELECT *, 1::DOUBLE / (dy * dy) AS iv, min(t) OVER g AS tmin, max(t) OVER g - min(t) OVER g AS baseline FROM obs WINDOW g AS (PARTITION BY object_id)), "
+        f"b1 AS (SELECT *, t - tmin AS tau, y - sum(iv * y) OVER g / sum(iv) OVER g AS yc FROM b0 WINDOW g AS (PARTITION BY object_id)), cent AS (SELECT * FROM b1 WHERE baseline > 0), {_grid(nf)}, "
+        f"hist AS (SELECT object_id, k, least(floor(({_PHASE}) * {n_bins}), {n_bins - 1})::BIGINT AS b, min(1::DOUBLE / f) AS p, sum(iv * yc) AS a, sum(iv) AS iv FROM grid GROUP BY ALL), "
+        f"frame AS (SELECT object_id, k, min(p) AS p, sum(a) AS a_all, sum(iv) AS iv_all FROM hist GROUP BY object_id, k), "
+        f"bins AS (SELECT fr.object_id, fr.k, q.b, fr.p, a_all, iv_all, coalesce(h.a, 0) AS a, coalesce(h.iv, 0) AS iv FROM frame fr CROSS JOIN range({n_bins}) q(b) LEFT JOIN hist h ON h.object_id = fr.object_id AND h.k = fr.k AND h.b = q.b)"
+    )
+
+
+_BLS = (
+    "wrapped AS (SELECT * FROM bins UNION ALL SELECT * REPLACE (b + 50 AS b) FROM bins WHERE b < 5), "
+    + ", ".join(f"x{w} AS (SELECT * FROM (SELECT *, sum(a) OVER f{w} AS sa, sum(iv) OVER f{w} AS si, {w} AS width FROM wrapped WINDOW f{w} AS (PARTITION BY object_id, k ORDER BY b ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)) WHERE b < 50)" for w in (1, 2, 5))
+    + ", box0 AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x5), box AS (SELECT *, (a_all - sa) / (iv_all - si) - sa / si AS depth FROM box0 WHERE si > 1e-9 * iv_all AND iv_all - si > 1e-9 * iv_all), "
+    "sn AS (SELECT *, depth / sqrt(1 / si + 1 / (iv_all - si)) AS snr FROM box WHERE depth >= 0), best AS (SELECT *, row_number() OVER (PARTITION BY object_id, k ORDER BY -round(snr, 6), width, b) AS rn FROM sn) "
+)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows)
+
+
+def _tls_sql() -> str:
+    t = [(w, j, f"{round(g, 9)}::DOUBLE") for w in (2, 4, 6) for j, g in enumerate(boxes.limb_darkened(w))]
+    return (
+        f"tpl(width, j, g) AS (VALUES {_values(t)}), s0 AS (SELECT object_id, k, width, (b - j + 64) % 64 AS start, min(p) AS p, min(iv_all) AS iv_all, sum(g * a) AS num, sum(g * iv) AS cw, sum(g * g * iv) AS den FROM bins, tpl GROUP BY ALL), "
+        "s1 AS (SELECT *, den - cw * cw / iv_all AS d FROM s0), s2 AS (SELECT *, num * num / d AS sr, -num / d AS depth FROM s1 WHERE num < 0 AND den > 1e-300 AND d > 1e-9 * den), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY object_id, k ORDER BY -round(sr, 6), width, start) AS rn FROM s2) "
+    )
+
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query and its SQL under a name."""
+
+    def add(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _spectrum_query(name: str, build: Callable[[DataFrame], DataFrame], sql: str, numbers: str = "f power", source: str = "events") -> None:
+    out = ", ".join(f"{_r(c)} AS {c}" for c in numbers.split())
+    query(name, f"{sql} SELECT object_id, k, {out} FROM spec")(lambda s, d: emit(build(series(s, d, source)), "object_id k", numbers))
+
+
+_spectrum_query("gls_weighted", lambda o: spectra.gls(o, NF), _gls_sql())
+_spectrum_query("gls_unweighted", lambda o: spectra.gls(o, NF, True, False), _gls_sql(False))
+_spectrum_query("gls_fixed_mean", lambda o: spectra.gls(o, NF, False, True), _gls_sql(True, False))
+_spectrum_query("gls_lattice_times", lambda o: spectra.gls(o, 40), _gls_sql(name="lineitem", nf=40), source="lineitem")
+_spectrum_query("spectral_window", lambda o: spectra.spectral_window(o, NF), f"WITH {_obs_sql()}, {_centred(False)}, {_grid()}, {_trig()}, spec AS (SELECT object_id, k, f, sqrt(c * c + s * s) AS power FROM trig)")
+_LS = "(((1 + c2) / 2) * ((1 - c2) / 2) - (s2 / 2) * (s2 / 2))"
+_spectrum_query(
+    "amplitude_spectrum",
+    lambda o: spectra.amplitude_spectrum(o, NF),
+    f"WITH {_obs_sql()}, {_centred(False)}, {_grid()}, {_trig()}, ab AS (SELECT *, CASE WHEN abs({_LS}) > 1e-9 THEN (yc_ * (1 - c2) / 2 - ys_ * s2 / 2) / {_LS} ELSE 0 END AS a, CASE WHEN abs({_LS}) > 1e-9 THEN (ys_ * (1 + c2) / 2 - yc_ * s2 / 2) / {_LS} ELSE 0 END AS b FROM trig), spec AS (SELECT object_id, k, f, sqrt(a * a + b * b) AS amplitude FROM ab)",
+    "f amplitude",
+)
+_spectrum_query("dft_amplitude", lambda o: spectra.amplitude_spectrum(o, NF, False), f"WITH {_obs_sql()}, {_centred(False)}, {_grid()}, {_trig()}, spec AS (SELECT object_id, k, f, 2 * sqrt(yc_ * yc_ + ys_ * ys_) AS amplitude FROM trig)", "f amplitude")
+_spectrum_query("aov_one_harmonic", lambda o: spectra.aov(o, NF), _gls_sql(False).replace("spec AS", "gl AS") + ", spec AS (SELECT object_id, k, f, (power / 2) / (greatest(1 - power, 1e-12) / (n - 3)) AS power FROM gl WHERE n > 3)")
+_spectrum_query("pdm", lambda o: spectra.pdm(o, NF), f"WITH {_obs_sql()}, {_pdm_sql()}")
+_spectrum_query("conditional_entropy", lambda o: spectra.conditional_entropy(o, NF), f"WITH {_obs_sql()}, {_ce_sql()}")
+_spectrum_query("string_length", lambda o: spectra.string_length(o, NF), f"WITH {_obs_sql()}, {_sl_sql()}")
+_PAIR = ("object_id", "band")
+_POOL = ", pool AS (SELECT object_id, k, min(f) AS f, sum({w} * power) / sum({w}) AS power FROM {src} WHERE {w} > 0 GROUP BY object_id, k)"
+_spectrum_query("multiband_pdm", lambda o: spectra.pooled(spectra.pdm(o, 40, by=_PAIR).where("n >= 12"), F.greatest(F.col("n") - 10, F.lit(1))), f"WITH {_obs_sql()}, {_pdm_sql('object_id, band', 40).replace('spec AS', 'sp AS')}, sq AS (SELECT * FROM sp WHERE n >= 12)" + _POOL.format(w="greatest(n - 10, 1)", src="sq").replace("pool AS", "spec AS"))
+_spectrum_query("multiband_entropy", lambda o: spectra.pooled(spectra.conditional_entropy(o, 40, by=_PAIR).where("n >= 10"), F.col("n")), f"WITH {_obs_sql()}, {_ce_sql('object_id, band', 40).replace('spec AS', 'sp AS')}, sq AS (SELECT * FROM sp WHERE n >= 10)" + _POOL.format(w="n", src="sq").replace("pool AS", "spec AS"))
+_spectrum_query("multiband_string_length", lambda o: spectra.pooled(spectra.string_length(o, 40, by=_PAIR).where("n >= 8"), F.col("n")), f"WITH {_obs_sql()}, {_sl_sql('object_id, band', 40).replace('spec AS', 'sp AS')}, sq AS (SELECT * FROM sp WHERE n >= 8)" + _POOL.format(w="n", src="sq").replace("pool AS", "spec AS"))
+_spectrum_query("gls_per_band", lambda o: spectra.gls_per_band(o, 40), f"WITH {_obs_sql()}, {_centred(True, 'object_id, band')}, {_grid(40)}, {_trig('object_id, band, k')}, sp AS (SELECT object_id, k, f, yy * wsum AS wt, {_power()} AS power FROM trig)" + _POOL.format(w="wt", src="sp").replace("pool AS", "spec AS"))
+_OFF = "(cc * ss - cs * cs)"
+_spectrum_query(
+    "gls_shared_offsets",
+    lambda o: spectra.gls_offsets(o, 40),
+    f"WITH {_obs_sql()}, {_centred(True, 'object_id, band')}, tot AS (SELECT object_id, sum(w0) AS wall FROM cent GROUP BY object_id), ce AS (SELECT cent.* REPLACE (w * wsum / wall AS w, yy * wsum / wall AS yy, wsum / wall AS wsum) FROM cent JOIN tot USING (object_id)), {_grid(40, 'ce')}, {_trig('object_id, band, k')}, "
+    "o AS (SELECT object_id, k, min(f) AS f, sum(yy) AS yy, sum((wsum + c2) / 2 - c * c / wsum) AS cc, sum((wsum - c2) / 2 - s * s / wsum) AS ss, sum(s2 / 2 - c * s / wsum) AS cs, sum(yc_) AS y1, sum(ys_) AS y2 FROM trig GROUP BY object_id, k), "
+    f"spec AS (SELECT object_id, k, f, CASE WHEN yy > 0 AND abs(yy * {_OFF}) > 1e-12 * yy AND (ss * y1 * y1 + cc * y2 * y2 - 2 * cs * y1 * y2) / (yy * {_OFF}) > 0 THEN least((ss * y1 * y1 + cc * y2 * y2 - 2 * cs * y1 * y2) / (yy * {_OFF}), 1) ELSE 0 END AS power FROM o)",
+)
+
+
+@query("gls_best_period", f"{_gls_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS rn FROM spec) SELECT object_id, k, {_r('f')} AS f, {_r('power')} AS power, {_r('1::DOUBLE / f')} AS period FROM b WHERE rn = 1")
+def gls_best_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.best_peak(spectra.gls(series(spark, sf_dir), NF)), "object_id k", "f power period")
+
+
+@query("local_maxima", f"{_gls_sql()}, {_MAXIMA} SELECT object_id, k, {_r('power')} AS power FROM maxima")
+def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.local_maxima(spectra.gls(series(spark, sf_dir), NF)), "object_id k", "power")
+
+
+@query("top_peaks", _recursive(f"{_gls_sql()}, {_MAXIMA}, {_TOP} SELECT object_id, rank, k, {_r('f')} AS f, {_r('power')} AS power FROM top"))
+def top_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.top_peaks(spectra.gls(series(spark, sf_dir), NF)), "object_id rank k", "f power")
+
+
+@query("wide_rows", _recursive(f"{_gls_sql()}, {_MAXIMA}, {_TOP} SELECT object_id, " + ", ".join(f"{_r(f'max(CASE WHEN rank = {r} THEN 1::DOUBLE / f END)')} AS period_{r}, {_r(f'max(CASE WHEN rank = {r} THEN power END)')} AS power_{r}" for r in (1, 2, 3)) + " FROM top GROUP BY object_id"))
+def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.wide_rows(peaks.top_peaks(spectra.gls(series(spark, sf_dir), NF))), "object_id", "period_1 power_1 period_2 power_2 period_3 power_3")
+
+
+@query("diverse_peaks")
+def diverse_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.diverse_peaks(spectra.gls(series(spark, sf_dir), NF)), "object_id rank k", "f power")
+
+
+@query("downsampled_spectrum", f"{_gls_sql()}, b AS (SELECT *, k * 20 // 100 AS bin FROM spec), c AS (SELECT *, row_number() OVER (PARTITION BY object_id, bin ORDER BY -round(power, 9), k) AS rn FROM b) SELECT object_id, bin, k, {_r('f')} AS f, {_r('power')} AS power FROM c WHERE rn = 1")
+def downsampled_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.downsample(spectra.gls(series(spark, sf_dir), NF)), "object_id bin k", "f power")
+
+
+@query("refined_peaks", f"{_gls_sql()}, n AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS c, lead(f) OVER w - f AS df FROM spec WINDOW w AS (PARTITION BY object_id ORDER BY k)) SELECT object_id, k, {_r('f + CASE WHEN a - 2 * power + c <> 0 THEN 0.5::DOUBLE * (a - c) / (a - 2 * power + c) ELSE 0 END * df')} AS f_refined FROM n WHERE power > a AND power >= c AND power > 0.05")
+def refined_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.refined(spectra.gls(series(spark, sf_dir), NF)).where("power > 0.05"), "object_id k", "f_refined")
+
+
+@query("detection_efficiency", f"{_gls_sql()} SELECT object_id, k, {_r('(power - avg(power) OVER w) / nullif(stddev_pop(power) OVER w, 0)')} AS sde FROM spec WINDOW w AS (PARTITION BY object_id)")
+def detection_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.detection_efficiency(spectra.gls(series(spark, sf_dir), NF)), "object_id k", "sde")
+
+
+@query(
+    "noise_level",
+    f"WITH {_obs_sql()}, {_centred(False)}, {_grid()}, {_trig()}, spec AS (SELECT object_id, k, f, 2 * sqrt(yc_ * yc_ + ys_ * ys_) AS amplitude FROM trig) SELECT object_id, k, {_r('avg(amplitude) OVER w')} AS noise, count(amplitude) OVER w AS n_noise FROM spec WINDOW w AS (PARTITION BY object_id ORDER BY f RANGE BETWEEN 0.51::DOUBLE PRECEDING AND 0.51::DOUBLE FOLLOWING)",
+)
+def noise_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(peaks.noise_level(spectra.amplitude_spectrum(series(spark, sf_dir), NF, False), 0.51), "object_id k n_noise", "noise")
+
+
+@query(
+    "alias_matches",
+    f"{_gls_sql()}, {_MAXIMA}, best AS (SELECT object_id, f FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS rn FROM spec) WHERE rn = 1), "
+    f"fw(fw, name) AS (VALUES {', '.join(f'({v}::DOUBLE, {chr(39)}{n}{chr(39)})' for v, n in peaks.CLASSIC_WINDOW)}), "
+    "cand AS (SELECT object_id, name || ' ' || sg || m AS kind, abs(f + (sg || '1')::BIGINT * m * fw) AS predicted FROM best, fw, (VALUES (1), (2)) ms(m), (VALUES ('+'), ('-')) ss(sg) UNION ALL SELECT object_id, 'harmonic ' || h, f * h FROM best, (VALUES (2), (3)) hs(h) UNION ALL SELECT object_id, 'subharmonic ' || h, f / h FROM best, (VALUES (2), (3)) hs(h)), "
+    "j AS (SELECT c.object_id, kind, predicted, m.f AS f_peak, power, row_number() OVER (PARTITION BY c.object_id, kind ORDER BY round(abs(m.f - predicted), 9), m.f) AS rn FROM cand c JOIN maxima m ON m.object_id = c.object_id AND abs(m.f - predicted) <= 3::DOUBLE / baseline) "
+    f"SELECT object_id, kind, {_r('predicted')} AS predicted, {_r('f_peak')} AS f_peak, {_r('power')} AS power FROM j WHERE rn = 1",
+)
+def alias_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spectra.gls(series(spark, sf_dir), NF)
+    return emit(peaks.match_aliases(s, peaks.alias_candidates(peaks.best_peak(s))), "object_id kind", "predicted f_peak power")
+
+
+@query("component_combinations")
+def component_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = peaks.top_peaks(spectra.gls(series(spark, sf_dir), NF), n=5, separation=3)
+    return emit(peaks.combinations(top, 0.02), "object_id rank r1 r2 n1 n2", "f value")
+
+
+@query("bls_box_search", f"WITH {_obs_sql()}, {_bins_sql(50, 20)}, {_BLS} SELECT object_id, k, width, {_r('p', 5)} AS p, {_r('snr', 5)} AS power FROM best WHERE rn = 1")
+def bls_box_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(boxes.bls(series(spark, sf_dir)), "object_id k width", "p power", 5)
+
+
+@query("tls_transit_search", f"WITH {_obs_sql()}, {_bins_sql(64, 10)}, {_tls_sql()} SELECT object_id, k, width, {_r('p', 5)} AS p, {_r('sr', 4)} AS power FROM best WHERE rn = 1")
+def tls_transit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = boxes.tls(series(spark, sf_dir), nf=10)
+    return df.select("object_id", F.col("k").cast("long").alias("k"), F.col("width").cast("long").alias("width"), (F.round("p", 5) + F.lit(0.0)).alias("p"), (F.round("power", 4) + F.lit(0.0)).alias("power"))
+
+
+@query("object_statistics", f"WITH {_obs_sql('orders')} SELECT object_id, count(*) AS n, {_r('min(t)')} AS tmin, {_r('max(t) - min(t)')} AS baseline, {_r('avg(y)', 4)} AS mean, {_r('stddev_samp(y)', 4)} AS std FROM obs GROUP BY object_id")
+def object_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spectra.object_stats(series(spark, sf_dir, "orders"))
+    return s.select("object_id", "n", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("tmin", 6), ("baseline", 6), ("mean", 4), ("std", 4))])
+
+
+@query("cleaned_points", f"WITH {_obs_sql()}, d AS (SELECT *, CASE WHEN rid % 7 = 0 THEN -1::DOUBLE WHEN rid % 11 = 0 THEN 'nan'::DOUBLE ELSE dy END AS e FROM obs) SELECT object_id, count(*) AS n_rows, count(*) AS n_finite, count(*) FILTER (WHERE e > 0 AND NOT isnan(e)) AS n_usable FROM d GROUP BY object_id")
+def cleaned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when(F.col("rid") % 7 == 0, F.lit(-1.0)).when(F.col("rid") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("dy"))
+    return emit(obs_source.usable_counts(series(spark, sf_dir).withColumn("dy", bad)), "object_id n_rows n_finite n_usable", "")
+
+
+@query("magnitudes", f"WITH {_obs_sql()} SELECT object_id, rid, {_r('-2.5::DOUBLE * log10(y) + 25')} AS mag, {_r('1.0857362047581296::DOUBLE * dy / y')} AS mag_err, {_r('pow(10::DOUBLE, -0.4::DOUBLE * (-2.5::DOUBLE * log10(y) + 25 - 25))', 4)} AS flux FROM obs")
+def magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = series(spark, sf_dir).withColumn("mag", physics.magnitude(F.col("y"), 25.0)).withColumn("mag_err", physics.magnitude_error(F.col("y"), F.col("dy")))
+    out = emit(df.withColumn("flux", physics.flux(F.col("mag"), 25.0)), "object_id rid", "mag mag_err flux")
+    return out.withColumn("flux", F.round("flux", 4) + F.lit(0.0))
+
+
+@query("cadence", f"WITH {_obs_sql()}, g AS (SELECT object_id, t - lag(t) OVER (PARTITION BY object_id ORDER BY t, rid) AS gap FROM obs) SELECT object_id, count(*) AS n_gaps, {_r('quantile_cont(gap, 0.5)')} AS median_gap, {_r('0.5::DOUBLE / quantile_cont(gap, 0.5)')} AS pseudo_nyquist FROM g WHERE gap > 0 GROUP BY object_id")
+def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.cadence(series(spark, sf_dir)), "object_id n_gaps", "median_gap pseudo_nyquist")
+
+
+_SPANS = f"SELECT object_id, subset, count(*) AS n, {_r('min(t)')} AS first, {_r('max(t)')} AS last FROM p GROUP BY object_id, subset"
+
+
+@query("gap_partition", f"WITH {_obs_sql()}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY object_id ORDER BY t, rid) > 0.7::DOUBLE THEN 1 ELSE 0 END AS nw FROM obs), p AS (SELECT *, sum(nw) OVER (PARTITION BY object_id ORDER BY t, rid ROWS UNBOUNDED PRECEDING)::BIGINT AS subset FROM g) {_SPANS}")
+def gap_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.subset_spans(windows.gap_partition(series(spark, sf_dir), 0.7)), "object_id subset n", "first last")
+
+
+@query("chunk_partition", f"WITH {_obs_sql()}, p AS (SELECT *, floor((t - min(t) OVER (PARTITION BY object_id)) / 5::DOUBLE)::BIGINT AS subset FROM obs) {_SPANS}")
+def chunk_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.subset_spans(windows.chunk_partition(series(spark, sf_dir), 5.0)), "object_id subset n", "first last")
+
+
+@query("range_partition", f"WITH {_obs_sql()}, p AS (SELECT *, ((t >= 10)::BIGINT + (t >= 20)::BIGINT)::BIGINT AS subset FROM obs) {_SPANS}")
+def range_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.subset_spans(windows.range_partition(series(spark, sf_dir), [10.0, 20.0])), "object_id subset n", "first last")
+
+
+@query(
+    "label_runs",
+    f"WITH {_obs_sql()}, g AS (SELECT *, CASE WHEN band IS NOT DISTINCT FROM lag(band) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY t, rid)), p AS (SELECT *, sum(c) OVER (PARTITION BY object_id ORDER BY t, rid ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM g) SELECT object_id, run, min(band) AS band, count(*) AS n, {_r('min(t)')} AS first, {_r('max(t)')} AS last FROM p GROUP BY object_id, run",
+)
+def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.runs(series(spark, sf_dir)), "object_id run band n", "first last")
+
+
+_RUNMED = f"WITH {_obs_sql()}, m AS (SELECT *, quantile_cont(y, 0.5) OVER (PARTITION BY object_id) AS whole, quantile_cont(y, 0.5) OVER w AS loc, count(y) OVER w AS c FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING))"
+
+
+@query("running_median", f"{_RUNMED} SELECT object_id, rid, {_r('CASE WHEN c >= 5 THEN loc ELSE whole END')} AS trend FROM m")
+def running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.running_median(series(spark, sf_dir), 3.0), "object_id rid", "trend")
+
+
+@query("detrended", f"{_RUNMED} SELECT object_id, rid, {_r('y - CASE WHEN c >= 5 THEN loc ELSE whole END + whole')} AS y FROM m")
+def detrended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.detrend(series(spark, sf_dir), 3.0), "object_id rid", "y")
+
+
+@query("binned_trend", f"WITH {_obs_sql()}, p AS (SELECT *, floor((t - min(t) OVER (PARTITION BY object_id)) / 2::DOUBLE)::BIGINT AS subset FROM obs) SELECT object_id, subset, count(*) AS n, {_r('quantile_cont(t, 0.5)')} AS t, {_r('quantile_cont(y, 0.5)')} AS y FROM p GROUP BY object_id, subset")
+def binned_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.binned_trend(series(spark, sf_dir), 4.0), "object_id subset n", "t y")
+
+
+_SLIDE = (
+    f"WITH {_obs_sql()}, e AS (SELECT *, min(t) OVER (PARTITION BY object_id) AS t0, max(t) OVER (PARTITION BY object_id) AS t1 FROM obs), "
+    "sl AS (SELECT object_id, t, y, dy, rid, q.w_idx, t0 + q.w_idx * 5::DOUBLE AS w_start FROM e, range(40) q(w_idx) WHERE q.w_idx <= greatest(floor((t1 - t0 - 10::DOUBLE) / 5::DOUBLE), 0) AND t >= t0 + q.w_idx * 5::DOUBLE AND t < t0 + q.w_idx * 5::DOUBLE + 10::DOUBLE), "
+    f"{_centred(False, 'object_id, w_idx', 'sl', 'object_id, w_idx')}, gr AS (SELECT cent.*, r.k, 0.2::DOUBLE + r.k * 0.02::DOUBLE AS f FROM cent, range(30) r(k) WHERE n >= 8), {_trig('object_id, w_idx, k', 'gr')}, st AS (SELECT object_id, w_idx, min(w_start) AS w_start FROM gr GROUP BY ALL), spec AS (SELECT trig.object_id, trig.w_idx, k, f, w_start + 5 AS mid, {_power()} AS power FROM trig JOIN st ON st.object_id = trig.object_id AND st.w_idx = trig.w_idx)"
+)
+
+
+@query("sliding_gls", f"{_SLIDE} SELECT object_id, w_idx, k, {_r('f')} AS f, {_r('power')} AS power, {_r('mid')} AS mid FROM spec")
+def sliding_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.sliding_gls(series(spark, sf_dir), 10.0, 5.0, 0.2, 0.02, 30), "object_id w_idx k", "f power mid")
+
+
+@query("period_trend", f"{_SLIDE}, b AS (SELECT *, row_number() OVER (PARTITION BY object_id, w_idx ORDER BY -round(power, 9), k) AS rn FROM spec) SELECT object_id, count(*) AS n, {_r('CASE WHEN count(*) > 1 THEN regr_slope(f, mid) END')} AS slope, {_r('avg(f)')} AS mean_f FROM b WHERE rn = 1 GROUP BY object_id")
+def period_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.period_trend(windows.sliding_gls(series(spark, sf_dir), 10.0, 5.0, 0.2, 0.02, 30)), "object_id n", "slope mean_f")
+
+
+_WWZ_SUMS = "sum(w) AS s0, sum(w * w) AS sq, sum(w * yc) / sum(w) AS sy, sum(w * yc * yc) / sum(w) AS syy, sum(w * cos(z)) / sum(w) AS sc, sum(w * sin(z)) / sum(w) AS ss, sum(w * cos(z) * cos(z)) / sum(w) AS scc, sum(w * sin(z) * sin(z)) / sum(w) AS sss, sum(w * cos(z) * sin(z)) / sum(w) AS scs, sum(w * yc * cos(z)) / sum(w) AS syc, sum(w * yc * sin(z)) / sum(w) AS sys"
+
+
+@query(
+    "wavelet_z",
+    f"WITH {_obs_sql()}, e AS (SELECT *, min(t) OVER g AS t0, max(t) OVER g AS t1, y - avg(y) OVER g AS yc FROM obs WINDOW g AS (PARTITION BY object_id)), fs(k, f) AS (VALUES (0, 0.2::DOUBLE), (1, 0.4::DOUBLE), (2, 0.7::DOUBLE)), "
+    "x AS (SELECT object_id, i, k, f, yc, t0 + i * (t1 - t0) / 4::DOUBLE AS shift, 6.283185307179586::DOUBLE * f * (t - (t0 + i * (t1 - t0) / 4::DOUBLE)) AS z FROM e, range(5) q(i), fs), xw AS (SELECT *, exp(-0.0125::DOUBLE * z * z) AS w FROM x), "
+    f"s AS (SELECT object_id, i, k, min(f) AS f, min(shift) AS shift, {_WWZ_SUMS} FROM xw GROUP BY object_id, i, k), "
+    "m AS (SELECT *, s0 * s0 / sq AS neff, scc - sc * sc AS cc, sss - ss * ss AS s2, scs - sc * ss AS cs, syc - sy * sc AS yc, sys - sy * ss AS ys, syy - sy * sy AS vx FROM s), v AS (SELECT *, (s2 * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (cc * s2 - cs * cs) AS vy FROM m WHERE neff >= 3.5 AND cc * s2 - cs * cs > 1e-9 AND vx > 0) "
+    f"SELECT object_id, i, k, {_r('neff', 5)} AS neff, {_r('(neff - 3) * vy / (2 * greatest(vx - vy, 1e-12 * vx))', 5)} AS power FROM v",
+)
+def wavelet_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.wwz(series(spark, sf_dir), 5, [0.2, 0.4, 0.7]), "object_id i k", "neff power", 5)
+
+
+def _events_oc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_change.residuals(series(spark, sf_dir), 0.75)
+
+
+_OC = (
+    f"WITH {_obs_sql()}, a AS (SELECT *, floor((t - min(t) OVER (PARTITION BY object_id)) / 0.75::DOUBLE + 0.5::DOUBLE) AS e FROM obs), "
+    "fit AS (SELECT object_id, count(*) AS n, regr_slope(t, e) AS period, regr_intercept(t, e) AS epoch, regr_r2(t, e) AS r2 FROM a GROUP BY object_id HAVING count(*) > 2 AND regr_slope(t, e) IS NOT NULL), oc AS (SELECT a.object_id, a.rid, e, t - epoch - e * period AS oc, period FROM a JOIN fit USING (object_id))"
+)
+
+
+@query("linear_ephemeris", f"{_OC} SELECT object_id, n, {_r('period')} AS period, {_r('epoch')} AS epoch, {_r('r2')} AS r2 FROM fit")
+def linear_ephemeris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(period_change.linear_ephemeris(series(spark, sf_dir), 0.75), "object_id n", "period epoch r2")
+
+
+@query("oc_residuals", f"{_OC} SELECT object_id, rid, {_r('e')} AS e, {_r('oc')} AS oc FROM oc")
+def oc_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(_events_oc(spark, sf_dir), "object_id rid", "e oc")
+
+
+@query(
+    "quadratic_drift",
+    f"{_OC}, m AS (SELECT *, avg(e) OVER (PARTITION BY object_id) AS em, stddev_pop(e) OVER (PARTITION BY object_id) AS sd FROM oc), x AS (SELECT *, (e - em) / sd AS x FROM m WHERE sd > 0), "
+    "s AS (SELECT object_id, count(*) AS n, avg(x * x * x) AS x3, avg(x * x * x * x) AS x4, avg(oc) AS y0, avg(x * oc) AS y1, avg(x * x * oc) AS y2, min(period) AS period, min(sd) AS sd FROM x GROUP BY object_id) "
+    f"SELECT object_id, n, {_r('2 * (y2 - y0 - x3 * y1) / (x4 - 1 - x3 * x3) / (sd * sd) / period', 8)} AS pdot FROM s WHERE n > 3 AND x4 - 1 - x3 * x3 > 1e-9",
+)
+def quadratic_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(period_change.quadratic_drift(_events_oc(spark, sf_dir)), "object_id n", "pdot", 8)
+
+
+@query("residual_pairs", f"{_OC} SELECT a.object_id, (b.e - a.e)::BIGINT AS lag, count(*) AS pairs, {_r('avg(abs(b.oc - a.oc))')} AS mean_u FROM oc a JOIN oc b ON a.object_id = b.object_id AND b.e > a.e AND b.e <= a.e + 4 GROUP BY ALL")
+def residual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(period_change.eddington_plakidis(_events_oc(spark, sf_dir), 4), "object_id lag pairs", "mean_u")
+
+
+@query("drift_search", f"WITH {_obs_sql()}, {_centred(False)}, rt(a_idx, a) AS (VALUES (0, -0.001::DOUBLE), (1, 0::DOUBLE), (2, 0.001::DOUBLE)), wp AS (SELECT cent.* REPLACE (CASE WHEN a = 0 THEN tau ELSE ln(1 + a * tau) / a END AS tau), a_idx FROM cent, rt), {_grid(30, 'wp')}, {_trig('object_id, a_idx, k')} SELECT object_id, a_idx, k, {_r('f')} AS f, {_r(_power())} AS power FROM trig")
+def drift_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(period_change.drift_search(series(spark, sf_dir), [-0.001, 0.0, 0.001], 30), "object_id a_idx k", "f power")
+
+
+@query("unit_conversions", f"WITH {_obs_sql()}, p AS (SELECT object_id, rid, y / 1000000 AS v, y AS per FROM obs) SELECT object_id, rid, {_r('v * 86400000::DOUBLE * 365.25::DOUBLE', 4)} AS ms_yr, {_r('v * 365250000::DOUBLE', 4)} AS d_myr, {_r('v * per', 11)} AS d_cycle, {_r('1.5::DOUBLE / 2 * v / per * 365.25::DOUBLE', 9)} AS mass_loss FROM p")
+def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, per = F.col("y") / 1000000, F.col("y")
+    r = lambda c, d: F.round(c, d) + F.lit(0.0)
+    return series(spark, sf_dir).select(
+        "object_id", "rid", r(physics.convert_pdot(v, "d/d", "ms/yr"), 4).alias("ms_yr"), r(physics.convert_pdot(v, "d/d", "d/Myr"), 4).alias("d_myr"),
+        r(physics.convert_pdot(v, "d/d", "d/cycle", per), 11).alias("d_cycle"), r(physics.mass_loss_rate(v, per, F.lit(1.5)), 9).alias("mass_loss"),
+    )
+
+
+@query("echelle_positions", f"WITH {_obs_sql()} SELECT object_id, rid, {_r('(t / 1.7::DOUBLE - floor(t / 1.7::DOUBLE)) * 1.7::DOUBLE')} AS position FROM obs")
+def echelle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(series(spark, sf_dir).withColumn("position", physics.echelle(F.col("t"), 1.7)), "object_id rid", "position")
+
+
+@query("unique_keys", f"WITH {_obs_sql()}, r AS (SELECT band, rid, row_number() OVER (PARTITION BY band ORDER BY rid) AS rn FROM obs) SELECT rid, CASE WHEN rn = 1 THEN band ELSE band || '#' || rn END AS band FROM r")
+def unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return obs_source.unique_keys(series(spark, sf_dir).select("band", "rid"), "band", "rid").select("rid", "band")
+
+
+@query("csv_safe_cells", "SELECT event_id AS rid, CASE WHEN regexp_matches(c, '^[=+@\\t\\r-]') THEN '''' || c ELSE c END AS cell FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '=' || event_type WHEN event_id % 3 = 1 THEN '-' || event_type ELSE event_type END AS c FROM events)")
+def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.when(F.col("rid") % 3 == 0, F.concat(F.lit("="), "band")).when(F.col("rid") % 3 == 1, F.concat(F.lit("-"), "band")).otherwise(F.col("band"))
+    return series(spark, sf_dir).select("rid", obs_source.csv_safe(c).alias("cell"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
