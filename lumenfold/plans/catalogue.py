@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import boxes, peaks, period_change, spectra, windows
+from ..operators import boxes, kernels, peaks, period_change, prewhitening, spectra, windows
 from ..sources import observations as obs_source
+from ..streaming import spectra as streaming
+from . import batch
 
 #: table -> object, time, value, band, row number
 SERIES = {
@@ -452,6 +454,60 @@ def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("rid", obs_source.csv_safe(c).alias("cell"))
 
 
+for _m, _sql in (
+    ("gls", _gls_sql()),
+    ("pdm", SQL["pdm"].split(" SELECT object_id, k, round")[0]),
+    ("ce", SQL["conditional_entropy"].split(" SELECT object_id, k, round")[0]),
+    ("sl", SQL["string_length"].split(" SELECT object_id, k, round")[0]),
+):
+    _spectrum_query(f"kernel_{_m}", lambda o, m=_m: kernels.spectrum(o, m, NF), _sql)
+_spectrum_query("kernel_mhaov_one", lambda o: kernels.spectrum(o, "mhaov", NF, harmonics=1), SQL["aov_one_harmonic"].split(" SELECT object_id, k, round")[0])
+
+
+def _kernel_best(method: str, nf: int):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return emit(kernels.best_periods(series(spark, sf_dir), method, nf), "object_id rank", "period f power")
+
+    return f
+
+
+for _m, _n in (("mhaov", 200), ("bls", 30), ("tls", 200), ("supersmoother", 60)):
+    query(f"kernel_best_{_m}")(_kernel_best(_m, _n))
+
+
+@query("kernel_best_gls_fap")
+def kernel_best_gls_fap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(kernels.best_periods(series(spark, sf_dir), "gls", 300, 3), "object_id rank", "period power fap")
+
+
+@query("prewhitened_components")
+def prewhitened_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prewhitening.prewhiten(series(spark, sf_dir), 2.0, 4, min_snr=2.5, max_fap=0.5, min_gain=0.0)
+    return emit(found, "object_id rank status", "frequency amplitude phase snr fap delta_bic")
+
+
+@query("streamable_sums", f"WITH {_obs_sql()}, fs(k, f) AS (VALUES (0, 0.1::DOUBLE), (1, 0.33::DOUBLE), (2, 0.9::DOUBLE)), c0 AS (SELECT *, t AS tau, 1::DOUBLE / count(*) OVER (PARTITION BY object_id) AS w, count(*) OVER (PARTITION BY object_id) AS n, 0::DOUBLE AS baseline, 0::DOUBLE AS wsum, y - avg(y) OVER (PARTITION BY object_id) AS yc, var_pop(y) OVER (PARTITION BY object_id) AS yy FROM obs), gr AS (SELECT c0.*, k, f FROM c0, fs), {_trig('object_id, k', 'gr')} SELECT object_id, k, n, {_r(_power())} AS power FROM trig WHERE n > 3")
+def streamable_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(streaming.power(streaming.running_sums(series(spark, sf_dir), [0.1, 0.33, 0.9])).where("n > 3"), "object_id k n", "power")
+
+
+@query("unsearchable_objects", f"WITH {_obs_sql('orders')}, n AS (SELECT object_id, count(*) AS c FROM obs GROUP BY object_id) SELECT object_id, 'too few points' AS reason FROM n WHERE c < 4")
+def unsearchable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.failures(series(spark, sf_dir, "orders"))
+
+
+@query("resumed_rows", f"WITH {_obs_sql()} SELECT object_id, rid, CASE WHEN rid % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM obs")
+def resumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = series(spark, sf_dir).select("object_id", "rid")
+    return batch.merge(df.where("rid % 2 = 0").withColumn("origin", F.lit("old")), df.withColumn("origin", F.lit("new")), "object_id", "rid").select("object_id", "rid", "origin")
+
+
+@query("seeded_objects", "WITH o AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS object_id FROM orders), s AS (SELECT CAST(c_custkey AS VARCHAR) AS object_id, c_acctbal::DOUBLE AS period FROM customer WHERE c_acctbal > 0) SELECT o.object_id, coalesce(round(period, 4), 1.5::DOUBLE) AS seed FROM o LEFT JOIN s USING (object_id)")
+def seeded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("object_id"), F.round(F.col("c_acctbal").cast("double"), 4).alias("period"))
+    return batch.with_seeds(series(spark, sf_dir, "orders").select("object_id").distinct(), seeds, 1.5).select("object_id", "seed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
