@@ -66,26 +66,30 @@ def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
     ``r_d`` has bit i set if the first j + i - k characters of ``a`` match the
     first j of ``b`` with d errors or fewer.
     """
-    x, y = F.split(a, ""), F.split(b, "")
     band = (1 << (2 * k + 1)) - 1
     start = [sum(1 << (k + e) for e in range(d + 1)) for d in range(k + 1)]
     zero = F.struct(*[F.lit(v).alias(f"r{d}") for d, v in enumerate(start)])
 
-    def step(acc: Column, j: Column) -> Column:
-        same = None
-        for i in range(2 * k + 1):
-            bit = F.when(F.coalesce(F.get(x, j + i - k) == F.get(y, j), F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0))
-            same = bit if same is None else same.bitwiseOR(bit)
-        rows = [acc["r0"].bitwiseAND(same)]
-        for d in range(1, k + 1):
-            before = acc[f"r{d - 1}"]
-            r = acc[f"r{d}"].bitwiseAND(same).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(rows[-1], 1))
-            rows.append(r.bitwiseAND(F.lit(band)))
-        return F.struct(*[r.alias(f"r{d}") for d, r in enumerate(rows)])
-
+    def run(pair: Column) -> Column:
+        def step(acc: Column, j: Column) -> Column:
+            same = None
+            for i in range(2 * k + 1):
+                bit = F.when(F.coalesce(F.get(pair["x"], j + i - k) == F.get(pair["y"], j), F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0))
+                same = bit if same is None else same.bitwiseOR(bit)
+            rows = [acc["r0"].bitwiseAND(same)]
+            for d in range(1, k + 1):
+                before = acc[f"r{d - 1}"]
+                r = acc[f"r{d}"].bitwiseAND(same).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(rows[-1], 1))
+                rows.append(r.bitwiseAND(F.lit(band)))
+            return F.struct(*[r.alias(f"r{d}") for d, r in enumerate(rows)])
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(pair["y"]) - 1), zero, step, lambda acc: acc[f"r{k}"])
+
+    # as a lambda variable the characters are split once per pair, not once per step
+    pair = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")))
     gap = F.length(a) - F.length(b)
-    done = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), zero, step, lambda acc: acc[f"r{k}"])
-    hit = F.shiftright(done, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(2 * k + 1)]), F.least(F.greatest(gap + k + 1, F.lit(1)), F.lit(2 * k + 1)))) != 0
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(2 * k + 1)]), F.least(F.greatest(gap + k + 1, F.lit(1)), F.lit(2 * k + 1)))
+    hit = F.get(F.transform(pair, run), F.lit(0)).bitwiseAND(bit) != 0
     return F.when(F.abs(gap) > k, F.lit(False)).when(F.length(b) == 0, F.length(a) <= k).otherwise(hit)
 
 
