@@ -125,7 +125,7 @@ def report(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     k = keyed(docs, text)
     starts = phrase_starts(build_index(k, terms, text), terms)
     per_doc = cut(starts.groupBy("_row").agg(F.collect_set(F.struct("start", "n", "phrase")).alias("starts")))
-    joined = k.select("_row", "doc_id", text).join(per_doc, "_row", "left")
+    joined = k.select("_row", "doc_id", text).hint("merge").join(per_doc, "_row", "left")
     checked = joined.select("_row", "doc_id", "starts", words(text).alias("w"))
     same = lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["n"]), " ") == x["phrase"]
     checked = checked.withColumn("hits", F.when(F.col("starts").isNotNull(), F.sort_array(F.filter("starts", same))))
@@ -160,5 +160,5 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns kept."""
-    bad = report(docs, items).where(F.col("n_hit") > 0).select("_row").distinct()
-    return keyed(docs).join(bad, "_row", "left_anti").select(*docs.columns)
+    bad = report(docs.select("doc_id", "text"), items).where(F.col("n_hit") > 0).select("_row").distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["_row"], "left_anti")
