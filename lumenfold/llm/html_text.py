@@ -37,7 +37,7 @@ MIN_SHARE = 0.01
 #: Largest delete list that is sent to every executor, in bytes.
 BROADCAST_BYTES = 16 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/!?a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 _NAME = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -134,7 +134,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, _Element]], list[_Element]]
         tag = m[2] or m[5]
         if tag is None:
             token = m[0]
-            if not token.startswith(("<!", "<?")) and not dropped:
+            if (token[0] != "<" or token == "<") and not dropped:
                 buffer.append(token)
             continue
         tag = tag.lower()

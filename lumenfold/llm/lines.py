@@ -23,6 +23,8 @@ come first; an empty table gives an empty result; further columns pass through
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,34 +159,37 @@ def removals(docs: DataFrame) -> DataFrame:
     return cut(gone.agg(pick(~F.col("near")).alias("exact"), pick(F.col("near")).alias("near")))
 
 
-def _with_removals(docs: DataFrame) -> DataFrame:
-    gone = removals(docs)
+def _with_removals(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a struct column of the numbers of the lines that go, and that column's name (no other has it)."""
+    gone = removals(keyed(docs.select("doc_id", "text")))
     size = gone.agg(F.sum(64 + 4 * (F.size("exact") + F.size("near"))).alias("b")).first()["b"] or 0
-    return docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, "_row", "left")
+    name = f"_gone_{uuid.uuid4().hex}"
+    gone = gone.select(F.col("_row").alias(f"{name}_row"), F.struct("exact", "near").alias(name))
+    on = F.xxhash64(docs["doc_id"], docs["text"]) == gone[f"{name}_row"]
+    return docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, on, "left").drop(f"{name}_row"), name
 
 
-def _kept(text: str) -> Column:
+def _kept(gone: str) -> Column:
     """The text without the lines that go; untouched if none does."""
-    raw = F.split(F.col(text), "\n")
-    stay = F.filter(raw, lambda _, i: ~(F.array_contains("exact", i) | F.array_contains("near", i)))
-    return F.when(F.col("exact").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
+    stay = F.filter(F.split(F.col("text"), "\n"), lambda _, i: ~(F.array_contains(F.col(f"{gone}.exact"), i) | F.array_contains(F.col(f"{gone}.near"), i)))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with a word), n_exact, n_near (lines that go as equal to, or near, an earlier one) and kept_sha256."""
-    joined = _with_removals(keyed(docs.select("doc_id", "text")))
+    joined, gone = _with_removals(docs.select("doc_id", "text"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    count = lambda c: F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(f"{gone}.{c}")).cast("long")
     return joined.select(
         "doc_id",
         F.size(words).cast("long").alias("n_lines"),
-        F.when(F.col("exact").isNull(), F.lit(0).cast("long")).otherwise(count("exact")).alias("n_exact"),
-        F.when(F.col("near").isNull(), F.lit(0).cast("long")).otherwise(count("near")).alias("n_near"),
-        F.sha2(F.coalesce(_kept("text"), F.lit("")), 256).alias("kept_sha256"),
+        count("exact").alias("n_exact"),
+        count("near").alias("n_near"),
+        F.sha2(F.coalesce(_kept(gone), F.lit("")), 256).alias("kept_sha256"),
     )
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, all other columns as they are."""
-    joined = _with_removals(keyed(docs))
-    return joined.select(*[_kept("text").alias("text") if c == "text" else c for c in docs.columns])
+    joined, gone = _with_removals(docs)
+    return joined.withColumn("text", _kept(gone)).select(*docs.columns)

@@ -159,7 +159,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     The counts travel with a row key and the rejected keys are removed by an
     anti join, so repeated doc_ids are judged row by row.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text", "lang", "source"))
-    judged = verdicts(cut(base_counts(keyed, keep=("_row", "lang", "source"))))
+    row = F.xxhash64("doc_id", "text", "lang", "source")
+    judged = verdicts(cut(base_counts(docs.select(row.alias("_row"), "text", "lang", "source"), keep=("_row", "lang", "source"))))
     bad = judged.where(~F.col("kept")).select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"], docs["lang"], docs["source"]) == bad["_row"], "left_anti")

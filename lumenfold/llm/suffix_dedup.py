@@ -324,7 +324,7 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tupl
     open_ = np.ones(max(0, len(at) - 1), dtype=bool)
     for o, k in zip(offsets, keys, strict=True):
         x = k[order][1:] ^ k[order][:-1]
-        lead = np.where(x == 0, 8, (63 - np.floor(np.log2(np.maximum(x >> np.uint64(11), np.uint64(1)).astype(np.float64))).astype(np.int64) - 11) // 8)
+        lead = sum((x < np.uint64(1 << (64 - 8 * b))).astype(np.int64) for b in range(1, 8))  # equal leading bytes
         differs = open_ & (x != 0)
         common[1:][differs] = np.minimum(o + lead[differs], length)
         open_ &= x == 0
