@@ -44,8 +44,9 @@ from .packing import bucket_ranges, press, press_sorted, unpress, unpress_sorted
 
 LENGTH = 50
 GRAM = 20
-BLOCK_BYTES = 3 << 20
-BUCKET_BYTES = 8 << 20
+#: Bytes of text per block and of corpus per hash bucket; a task holds some 100 bytes for each.
+BLOCK_BYTES = 1_500_000
+BUCKET_BYTES = 4 << 20
 NO_ID = -(2**63)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
