@@ -250,6 +250,10 @@ def _points(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | Non
     return t, y, dy if np.isfinite(dy).all() else None
 
 
+def _no_rows(whole: list[str], numbers: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"object_id": pd.Series([], dtype=object), **{c: pd.Series([], dtype="int64") for c in whole}, **{c: pd.Series([], dtype="float64") for c in numbers}})
+
+
 def spectrum(obs: DataFrame, method: str, nf: int | None = None, fmax: float | None = None, **settings) -> DataFrame:
     """object_id, k, f, power of each object: ``nf`` trials from 1/T in steps of 1/(5T), or up to ``fmax``."""
     kernel = METHODS[method]
@@ -258,7 +262,7 @@ def spectrum(obs: DataFrame, method: str, nf: int | None = None, fmax: float | N
         t, y, dy = _points(pdf)
         span = t[-1] - t[0] if len(t) else 0.0
         if span <= 0:
-            return pd.DataFrame({"object_id": [], "k": [], "f": [], "power": []}).astype({"object_id": str})
+            return _no_rows(["k"], ["f", "power"])
         f = 1.0 / span + np.arange(nf) * (1.0 / (5.0 * span)) if nf else frequency_grid(span, fmax)
         p = kernel(t - t[0], y, dy, f, **settings)
         return pd.DataFrame({"object_id": pdf["object_id"].iloc[0], "k": np.arange(len(f)), "f": f, "power": p})
@@ -288,6 +292,6 @@ def best_periods(obs: DataFrame, method: str, nf: int, n: int = 1, separation: i
                 fap = float(special.baluev_fap(p[k], t, _weights(dy, len(t)), f[-1])) if method == "gls" else float("nan")
                 for c, v in zip(cols, (pdf["object_id"].iloc[0], r + 1, 1 / f[k], f[k], p[k], fap), strict=True):
                     cols[c].append(v)
-        return pd.DataFrame(cols)
+        return pd.DataFrame(cols) if cols["rank"] else _no_rows(["rank"], ["period", "f", "power", "fap"])
 
     return obs.groupBy("object_id").applyInPandas(run, "object_id string, rank long, period double, f double, power double, fap double")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 #: Column names that are recognised for a role, in order of preference.
 ROLES = {
     "t": ("time", "t", "jd", "hjd", "bjd", "mjd", "date", "ts"),
-    "flux": ("flux", "f", "sap_flux", "pdcsap_flux", "value"),
+    "flux": ("flux", "f", "sap_flux", "pdcsap_flux", "value", "y"),
     "magnitude": ("mag", "magnitude", "m", "vmag", "gmag"),
     "dy": ("err", "error", "e", "sigma", "mag_err", "magerr", "flux_err", "fluxerr", "dy"),
     "band": ("band", "filter", "fid", "passband", "filt"),
