@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import boxes, kernels, peaks, period_change, prewhitening, spectra, windows
+from ..operators import boxes, kernels, models, peaks, period_change, prewhitening, spectra, tracking, windows
 from ..sources import observations as obs_source
 from ..streaming import spectra as streaming
-from . import batch
+from . import batch, session
 
 #: table -> object, time, value, band, row number
 SERIES = {
@@ -508,6 +508,105 @@ def seeded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.with_seeds(series(spark, sf_dir, "orders").select("object_id").distinct(), seeds, 1.5).select("object_id", "seed")
 
 
+_PEAKS = f"{_gls_sql(False)}, best AS (SELECT object_id, f AS frequency FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS rn FROM spec) WHERE rn = 1)"
+
+
+def _one_component(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = series(spark, sf_dir)
+    best = peaks.best_peak(spectra.gls(o, NF, True, False))
+    return o, best.select("object_id", F.col("f").alias("frequency"), F.lit(10.0).alias("amplitude"), F.lit(0.5).alias("phase"))
+
+
+@query("model_values", f"{_PEAKS} SELECT object_id, rid, {_r('10::DOUBLE * sin(6.283185307179586::DOUBLE * frequency * (t - 15) + 0.5::DOUBLE)')} AS model FROM obs JOIN best USING (object_id)")
+def model_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = _one_component(spark, sf_dir)
+    return emit(models.evaluate(o, c, 15.0), "object_id rid", "model")
+
+
+@query("analytic_uncertainties", f"{_PEAKS}, st AS (SELECT object_id, count(*) AS n, max(t) - min(t) AS b, stddev_samp(y) AS s FROM obs GROUP BY object_id) SELECT object_id, {_r('sqrt(2::DOUBLE / n) * s')} AS amplitude_error, {_r('sqrt(2::DOUBLE / n) * s / 10')} AS phase_error, {_r('sqrt(6::DOUBLE / n) * s / (3.141592653589793::DOUBLE * b * 10)')} AS frequency_error FROM best JOIN st USING (object_id)")
+def analytic_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = _one_component(spark, sf_dir)
+    return emit(models.analytic_uncertainties(c, spectra.object_stats(o).withColumnRenamed("std", "sigma")), "object_id", "amplitude_error phase_error frequency_error")
+
+
+@query("correlation_factor", f"WITH {_obs_sql()}, r AS (SELECT *, CASE WHEN y - avg(y) OVER (PARTITION BY object_id) >= 0 THEN 1 ELSE -1 END AS s FROM obs), g AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY object_id ORDER BY t, rid) THEN 0 ELSE 1 END AS nw FROM r) SELECT object_id, sum(nw)::BIGINT AS n_runs, {_r('greatest(count(*)::DOUBLE / sum(nw) / 2, 1)')} AS factor FROM g GROUP BY object_id")
+def correlation_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    return emit(models.correlation_factor(o.withColumn("residual", F.expr("y - avg(y) OVER (PARTITION BY object_id)"))), "object_id n_runs", "factor")
+
+
+@query("comb_response", f"WITH {_obs_sql()}, sp(k, s) AS (VALUES (0, 0.9::DOUBLE), (1, 1.3::DOUBLE), (2, 2.1::DOUBLE)) SELECT object_id, k, {_r('(sum(y * cos(6.283185307179586::DOUBLE * t / s)) ^ 2 + sum(y * sin(6.283185307179586::DOUBLE * t / s)) ^ 2) / sum(y) ^ 2')} AS power FROM obs, sp GROUP BY object_id, k")
+def comb_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = series(spark, sf_dir).select("object_id", F.col("t").alias("x"), F.col("y").alias("a"))
+    return emit(models.comb_response(v, [0.9, 1.3, 2.1]), "object_id k", "power")
+
+
+@query("subset_weights", f"WITH {_obs_sql()}, r AS (SELECT *, y - avg(y) OVER (PARTITION BY object_id) AS e FROM obs), s AS (SELECT object_id, band, count(*) AS n, sqrt(avg(e * e)) AS rms FROM r GROUP BY object_id, band) SELECT object_id, band, n, {_r('rms')} AS rms, {_r('1 / (rms * rms) / avg(1 / (rms * rms)) OVER (PARTITION BY object_id)')} AS weight FROM s WHERE rms > 0")
+def subset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir).withColumn("residual", F.expr("y - avg(y) OVER (PARTITION BY object_id)"))
+    return emit(models.subset_weights(o), "object_id band n", "rms weight")
+
+
+@query("balanced_intervals", f"WITH {_obs_sql()}, r AS (SELECT *, floor((row_number() OVER (PARTITION BY object_id ORDER BY t, rid) - 1) * 6 / count(*) OVER (PARTITION BY object_id))::BIGINT AS interval_no FROM obs) SELECT object_id, interval_no, count(*) AS n, {_r('min(t)')} AS first FROM r GROUP BY object_id, interval_no")
+def balanced_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = models.balanced_intervals(series(spark, sf_dir), 6).groupBy("object_id", F.col("interval").alias("interval_no")).agg(F.count("*").alias("n"), F.min("t").alias("first"))
+    return emit(df, "object_id interval_no n", "first")
+
+
+@query("folded_points", f"WITH {_obs_sql()} SELECT object_id, rid, {_r('t / 1.3::DOUBLE - floor(t / 1.3::DOUBLE) + c')} AS phase FROM obs, range(2) q(c)")
+def folded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(models.fold(series(spark, sf_dir), 1.3), "object_id rid", "phase")
+
+
+@query("robust_scatter", f"WITH {_obs_sql()}, d AS (SELECT object_id, band, abs(y - quantile_cont(y, 0.5) OVER (PARTITION BY object_id, band)) AS d FROM obs) SELECT object_id, band, {_r('1.4826::DOUBLE * quantile_cont(d, 0.5)')} AS scatter FROM d GROUP BY object_id, band")
+def robust_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(models.robust_scatter(series(spark, sf_dir)), "object_id band", "scatter")
+
+
+@query("standardised_values", f"WITH {_obs_sql()}, d AS (SELECT *, avg(y) OVER w AS m, stddev_pop(y) OVER w AS s FROM obs WINDOW w AS (PARTITION BY object_id, band)) SELECT object_id, rid, {_r('(y - m) / s')} AS y FROM d WHERE s > 0")
+def standardised_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(models.standardised(series(spark, sf_dir)), "object_id rid", "y")
+
+
+@query("drift_rate_profile", SQL["drift_search"].split(" SELECT object_id, a_idx, k")[0] + f", pr AS (SELECT object_id, a_idx, {_power()} AS power FROM trig) SELECT object_id, a_idx, {_r('max(power)')} AS power FROM pr GROUP BY object_id, a_idx")
+def drift_rate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(models.rate_profile(period_change.drift_search(series(spark, sf_dir), [-0.001, 0.0, 0.001], 30), "a_idx"), "object_id a_idx", "power")
+
+
+@query("period_laws", f"WITH {_obs_sql('lineitem')}, s AS (SELECT object_id, count(*) AS n, avg(y) AS mean, regr_slope(y, t) AS slope, var_pop(y) AS v, regr_r2(y, t) AS r2 FROM obs GROUP BY object_id) SELECT object_id, n, CASE WHEN n * ln(v * (1 - r2)) + 2 * ln(n) < n * ln(v) + ln(n) THEN 'linear' ELSE 'constant' END AS law, {_r('mean', 4)} AS mean, {_r('slope', 4)} AS slope FROM s WHERE n > 2 AND v > 0")
+def period_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(models.period_law(series(spark, sf_dir, "lineitem").withColumnRenamed("y", "period")), "object_id n law", "mean slope", 4)
+
+
+@query("phase_track")
+def phase_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(tracking.track(series(spark, sf_dir), 0.75, 4), "object_id segment n", "mid delay delay_error")
+
+
+@query("period_profile")
+def period_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(tracking.profile(series(spark, sf_dir), 0.75, 20), "object_id interval n", "mid period period_error")
+
+
+@query("period_law_ladder")
+def period_law_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(tracking.law_ladder(series(spark, sf_dir)), "object_id rank law", "bic chi2", 3)
+
+
+@query("cyclic_residuals")
+def cyclic_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oc = _events_oc(spark, sf_dir).select("object_id", "t", F.col("oc").alias("y"), F.lit(None).cast("double").alias("dy"), "rid")
+    return emit(tracking.cyclic(oc), "object_id", "outer_period amplitude delta_bic tail", 5)
+
+
+@query("replayed_sessions")
+def replayed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    log = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(op).alias("op"), F.lit(args).alias("args")) for i, (op, args) in enumerate((("step", "{}"), ("add", '{"frequency": 0.71}'), ("tie", '{"id": 2, "text": "2F1"}'), ("delete_points", '{"start": 3, "end": 4}'), ("improve", "{}")))])
+    actions = o.select("object_id").distinct().select("object_id", F.explode(log).alias("a")).select("object_id", "a.*")
+    return emit(session.replay(o, actions, 2.0), "object_id id tie n refused", "frequency amplitude rss", 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

@@ -1,0 +1,152 @@
+"""Logged model-building sessions: an append-only action table, replayed per object.
+
+A session is the pair of an object's points and its actions in order of ``seq``.
+Replaying is a pure function of both, so undo is a shorter log and a resumed
+session gives the same state. Actions: add (frequency), add_peak, remove (id),
+set_active (id, value), tie (child id, text), delete_points and restore_points
+(from, to), improve, step, prune (min_snr).
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import kernels, prewhitening
+
+STATE = "object_id string, id long, frequency double, amplitude double, phase double, active boolean, tie string, rss double, n long, refused long"
+_TERM = re.compile(r"([+-]?)\s*(\d*)\s*\*?\s*F(\d+)", re.I)
+
+
+def parse_tie(text: str) -> dict[int, int]:
+    """``2F1 - F3`` -> {1: 2, 3: -1}; repeated labels add up."""
+    if _TERM.sub("", text).strip() or len(text) > 200:
+        raise ValueError(f"not a sum of frequencies: {text!r}")
+    out: dict[int, int] = {}
+    for sign, number, label in _TERM.findall(text):
+        out[int(label)] = out.get(int(label), 0) + (-1 if sign == "-" else 1) * int(number or 1)
+    return {k: v for k, v in out.items() if v}
+
+
+def format_tie(tie: dict[int, int]) -> str:
+    """The text of a tie, parents in order."""
+    parts = [("-" if v < 0 else "+") + (str(abs(v)) if abs(v) != 1 else "") + f"F{k}" for k, v in sorted(tie.items())]
+    return " ".join(f"{p[0]} {p[1:]}" for p in parts).removeprefix("+ ").replace("- ", "-", 1) if parts and parts[0][0] == "-" else " ".join(f"{p[0]} {p[1:]}" for p in parts).removeprefix("+ ")
+
+
+class Session:
+    """State of one object's model under a log of actions."""
+
+    def __init__(self, t: np.ndarray, y: np.ndarray, fmax: float) -> None:
+        self.t, self.y, self.fmax = t - (t.mean() if len(t) else 0.0), y, fmax
+        self.origin = t
+        self.used = np.ones(len(t), dtype=bool)
+        self.components: dict[int, dict] = {}
+        self.next_id, self.refused = 1, 0
+
+    def _frequencies(self) -> list[int]:
+        for i, c in self.components.items():
+            if c["tie"]:
+                c["f"] = sum(n * self.components[p]["f"] for p, n in parse_tie(c["tie"]).items() if p in self.components)
+        return [i for i, c in self.components.items() if c["active"]]
+
+    def fit(self) -> float:
+        """Linear fit of the active components; the sum of squares left."""
+        ids = self._frequencies()
+        t, y = self.t[self.used], self.y[self.used]
+        if len(y) < 2 * len(ids) + 1:
+            return math.nan
+        beta, rss = prewhitening.linear_fit(t, y, np.ones(len(t)), np.array([self.components[i]["f"] for i in ids]))
+        for k, i in enumerate(ids):
+            a, b = beta[1 + k], beta[1 + len(ids) + k]
+            self.components[i] |= {"amp": math.hypot(a, b), "phase": math.atan2(a, b)}
+        return rss
+
+    def residual(self) -> np.ndarray:
+        m = sum((c["amp"] * np.sin(2 * np.pi * c["f"] * self.t + c["phase"]) for c in self.components.values() if c["active"]), np.zeros(len(self.t)))
+        r = self.y - m
+        return r - r[self.used].mean()
+
+    def peak(self) -> float:
+        span = np.ptp(self.t)
+        grid = kernels.frequency_grid(span, self.fmax, 10.0)
+        return float(grid[np.argmax(kernels.gls(self.t[self.used], self.residual()[self.used], None, grid))])
+
+    def apply(self, op: str, a: dict) -> None:
+        """One action; impossible ones are counted and change nothing."""
+        try:
+            getattr(self, f"op_{op}")(**a)
+            self.fit()
+        except (AttributeError, KeyError, TypeError, ValueError):
+            self.refused += 1
+
+    def op_add(self, frequency: float) -> None:
+        span = np.ptp(self.t)
+        if span <= 0 or any(abs(c["f"] - frequency) < 0.25 / span for c in self.components.values()):
+            raise ValueError("too close to a component")
+        self.components[self.next_id] = {"f": float(frequency), "amp": 0.0, "phase": 0.0, "active": True, "tie": ""}
+        self.next_id += 1
+
+    def op_add_peak(self) -> None:
+        self.op_add(self.peak())
+
+    def op_remove(self, id: int) -> None:
+        if any(id in parse_tie(c["tie"]) for c in self.components.values() if c["tie"]):
+            raise ValueError("a tie needs it")
+        del self.components[id]
+
+    def op_set_active(self, id: int, value: bool) -> None:
+        self.components[id]["active"] = bool(value)
+
+    def op_tie(self, id: int, text: str) -> None:
+        tie = parse_tie(text) if text else {}
+        if id in tie or not tie.keys() <= self.components.keys() or any(self.components[p]["tie"] for p in tie):
+            raise ValueError("parents must be free components")
+        self.components[id]["tie"] = format_tie(tie)
+
+    def op_delete_points(self, start: float, end: float, keep: bool = False) -> None:
+        self.used[(self.origin >= start) & (self.origin <= end)] = keep
+
+    def op_restore_points(self, start: float, end: float) -> None:
+        self.op_delete_points(start, end, True)
+
+    def op_improve(self) -> None:
+        ids = [i for i in self._frequencies() if not self.components[i]["tie"]]
+        if ids:
+            t, y = self.t[self.used], self.y[self.used]
+            f, *_ = prewhitening.multi_sine(t, y, np.ones(len(t)), np.array([self.components[i]["f"] for i in ids]))
+            for i, v in zip(ids, f, strict=True):
+                self.components[i]["f"] = float(v)
+
+    def op_step(self) -> None:
+        self.op_add_peak()
+        self.op_improve()
+
+    def op_prune(self, min_snr: float = 4.0) -> None:
+        noise = math.sqrt(np.mean(self.residual()[self.used] ** 2) * math.pi / self.used.sum())
+        for i in [i for i, c in self.components.items() if c["active"] and not c["tie"] and c["amp"] < min_snr * noise]:
+            self.op_remove(i)
+
+
+def replay(obs: DataFrame, actions: DataFrame, fmax: float) -> DataFrame:
+    """The state of each object after its actions (object_id, seq, op, args as JSON), in order of seq; a log may be cut for undo."""
+    log = actions.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "args"))).alias("log"))
+    points = obs.join(log, "object_id")
+    columns = [c.split()[0] for c in STATE.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, y, _ = kernels._points(pdf)
+        s = Session(t, y, fmax)
+        for action in pdf["log"].iloc[0]:
+            s.apply(action["op"], json.loads(action["args"] or "{}"))
+        rss = s.fit()
+        rows = [(pdf["object_id"].iloc[0], i, c["f"], c["amp"], c["phase"], c["active"], c["tie"], rss, int(s.used.sum()), s.refused) for i, c in s.components.items()]
+        return pd.DataFrame(rows or [(pdf["object_id"].iloc[0], 0, math.nan, math.nan, math.nan, False, "", rss, int(s.used.sum()), s.refused)], columns=columns)
+
+    return points.groupBy("object_id").applyInPandas(run, STATE)
