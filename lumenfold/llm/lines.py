@@ -8,11 +8,13 @@ that short lines only ever match exactly.
 Distinct lines are split into threshold-plus-one segments. A pair within the
 threshold agrees in a whole segment, so each line enters an index under (length,
 segment, content) and probes it under its own and the next shorter length, with
-the last segment aligned from the end. Candidates from such small buckets are
+the last segment aligned from the end. Candidates from such buckets are
 verified by a banded bit-parallel automaton. A bucket with more than
-``MAX_BUCKET`` lines is not paired up: its lines are keyed by their one-deletion
-variants instead, where every group is a set of true neighbours and one link to
-the earliest member says all.
+``MAX_BUCKET`` lines is not paired up at once: its lines are keyed again by all
+but one of ``PARTS`` parts, one of which must hold the edit. In a bucket with
+more than ``MAX_CROWD`` lines they are keyed by their one-deletion variants,
+where every group is a set of true neighbours and one link to the earliest
+member says all.
 
 Only lines in shared buckets have their text looked at again. Defined results:
 a null or empty text has no lines; repeated rows are told apart by text alone,
@@ -32,8 +34,10 @@ from .common import cut
 
 EDITS = 1
 MIN_CHARS = 24
-#: Largest bucket whose lines are compared in pairs.
+#: Largest bucket whose lines are compared in pairs; the largest that is split by parts; the number of parts.
 MAX_BUCKET = 16
+MAX_CROWD = 4096
+PARTS = 6
 #: Largest tables that are sent to every executor: rows of keys, bytes of line lists.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
@@ -62,6 +66,23 @@ def segment_keys(line: Column, n: Column) -> tuple[list[Column], list[Column]]:
     return own, short
 
 
+def part_keys(line: Column, n: Column) -> tuple[list[Column], list[Column]]:
+    """Keys of all but one of the parts of a line, and of what it would share with a line one character shorter."""
+    cut_at = lambda m, j: F.floor(m * j / PARTS).cast("int")
+    m = n - 1
+    own = [F.xxhash64(n, F.lit(j), F.substr(line, F.lit(1), cut_at(n, j)), F.substr(line, cut_at(n, j + 1) + 1)) for j in range(PARTS)]
+    short = [F.xxhash64(m, F.lit(j), F.substr(line, F.lit(1), cut_at(m, j)), F.substr(line, n - (m - cut_at(m, j + 1)) + 1)) for j in range(PARTS)]
+    return own, short
+
+
+def _pairs(keys: DataFrame) -> DataFrame:
+    """Different lines (h1, h2, g1, g2) that share a key of (h1, h2, key, own): index lines with each other, and with longer ones."""
+    left = keys.where("own = 1").select("key", *_ID)
+    right = keys.select("key", F.col("own").alias("_own"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    differ = F.when(F.col("_own") == 1, F.struct(*_ID) < F.struct("g1", "g2")).otherwise((F.col("h1") != F.col("g1")) | (F.col("h2") != F.col("g2")))
+    return left.join(right, "key").where(differ).select(*_ID, "g1", "g2")
+
+
 def within_edits(a: Column, b: Column, k: int = EDITS) -> Column:
     """Whether two strings are within ``k`` edits: a bit per diagonal of the band, a word per number of errors.
 
@@ -109,15 +130,16 @@ def near_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     keys = own.unionByName(short)
     sizes = keys.groupBy("key").agg(F.sum("own").alias("n_own"), F.count("*").alias("n_all")).where("n_own > 0 and n_all > 1")
     shared = cut(sizes)
-    met = cut(keys.join(_maybe_broadcast(shared, shared.count()), "key").select(*_ID, "key", "own", (F.col("n_all") > MAX_BUCKET).alias("hot")))
-    wanted = cut(met.groupBy(*_ID).agg(F.max("hot").alias("hot")))
+    met = cut(keys.join(_maybe_broadcast(shared, shared.count()), "key").select(*_ID, "key", "own", F.when(F.col("n_all") <= MAX_BUCKET, 0).when(F.col("n_all") <= MAX_CROWD, 1).otherwise(2).alias("tier")))
+    wanted = cut(met.groupBy(*_ID).agg(F.max(F.col("tier") == 1).alias("split"), F.max(F.col("tier") == 2).alias("hot")))
     text = occurrences(docs).where(F.col("n") >= MIN_CHARS).select(*_ID, "line").join(_maybe_broadcast(wanted, wanted.count()), _ID)
-    lines = cut(text.groupBy(*_ID).agg(F.first("line").alias("line"), F.first("hot").alias("hot")).join(distinct.select(*_ID, "first"), _ID))
+    lines = cut(text.groupBy(*_ID).agg(F.first("line").alias("line"), F.first("split").alias("split"), F.first("hot").alias("hot")).join(distinct.select(*_ID, "first"), _ID))
 
-    left = met.where("not hot and own = 1").select("key", *_ID)
-    right = met.where("not hot").select("key", F.col("own").alias("_own"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    differ = F.when(F.col("_own") == 1, F.struct(*_ID) < F.struct("g1", "g2")).otherwise((F.col("h1") != F.col("g1")) | (F.col("h2") != F.col("g2")))
-    pairs = left.join(right, "key").where(differ).select(*_ID, "g1", "g2").distinct()
+    parts_own, parts_short = part_keys(F.col("line"), F.length("line"))
+    again = lines.where("split").select(*_ID, F.array(*parts_own).alias("own"), F.array(*parts_short).alias("short"))
+    again = again.select(*_ID, F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("own").alias("keys")), F.struct(F.lit(0).alias("own"), F.col("short").alias("keys")))).alias("k"))
+    again = again.select(*_ID, F.col("k.own").alias("own"), F.explode("k.keys").alias("key"))
+    pairs = _pairs(met.where("tier = 0")).unionByName(_pairs(again)).distinct()
     other = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
     checked = pairs.join(lines.select(*_ID, "line"), _ID).join(other, ["g1", "g2"]).where(within_edits(F.col("line"), F.col("other")))
     links = checked.select(*_ID, "g1", "g2")

@@ -297,9 +297,10 @@ def within_one(a, b):
     return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
 
 
-@pytest.mark.parametrize("most", [2, 16])
-def test_line_dedup(spark, monkeypatch, most):
+@pytest.mark.parametrize("most,crowd", [(2, 3), (2, 4096), (16, 4096)])
+def test_line_dedup(spark, monkeypatch, most, crowd):
     monkeypatch.setattr(lines, "MAX_BUCKET", most)
+    monkeypatch.setattr(lines, "MAX_CROWD", crowd)
     rng = random.Random(2)
     base = ["the quick brown fox jumps over the lazy dog", "pack my box with five dozen jugs é today", "short", "  padded line that is long enough \r"]
     docs = []
