@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_model, lines, quality, sentencepiece_fst, simhash, suffix_dedup, tokens, toxicity
+from . import decontaminate, html_text, language_model, lines, oracles, quality, sentencepiece_fst, simhash, suffix_dedup, tokens, toxicity
 from .common import table
 
 
@@ -83,4 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; tests hold the others against brute force."""
+    return {
+        "op6_decontamination": oracles.DECONTAMINATION,
+        "op7_line_dedup": oracles.LINE_DEDUP,
+        "op8_quality_rules": oracles.QUALITY,
+    }
