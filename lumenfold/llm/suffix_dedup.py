@@ -83,14 +83,17 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def window_minimisers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """For each window of ``length`` bytes the smallest hash among its grams."""
+    """For each window of ``length`` bytes the smallest hash among its grams, spread over all values again."""
     if len(data) < length:
         return np.zeros(0, dtype=np.uint64)
     m, width, wanted = gram_hashes(data, gram), 1, length - gram + 1
     while 2 * width <= wanted:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
-    return np.minimum(m[: len(m) - (wanted - width)], m[wanted - width :])
+    m = np.minimum(m[: len(m) - (wanted - width)], m[wanted - width :])
+    m *= np.uint64(0x9FB21C651E98DF25)  # minima are small, and hash buckets go by the leading bits
+    m ^= m >> np.uint64(32)
+    return m * np.uint64(0x9FB21C651E98DF25)
 
 
 class Block:
