@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import boxes, kernels, models, peaks, period_change, prewhitening, spectra, tracking, windows
+from ..operators import boxes, kernels, models, multiband, peaks, period_change, prewhitening, spectra, tracking, windows
 from ..sources import observations as obs_source
 from ..streaming import spectra as streaming
 from . import batch, session
@@ -578,6 +578,25 @@ def period_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(models.period_law(series(spark, sf_dir, "lineitem").withColumnRenamed("y", "period")), "object_id n law", "mean slope", 4)
 
 
+_spectrum_query("kernel_shared_offsets", lambda o: multiband.spectrum(o, "offsets", 40), SQL["gls_shared_offsets"].split(" SELECT object_id, k, round")[0].replace("tot AS", "enough AS (SELECT object_id, band FROM obs GROUP BY ALL HAVING count(*) >= 3), tot AS").replace("FROM obs)", "FROM obs)", 1))
+
+
+def _multiband(method: str, nf: int):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return emit(multiband.spectrum(series(spark, sf_dir), method, nf), "object_id k", "f power")
+
+    return f
+
+
+for _m, _n in (("flexible", 20), ("mhaov", 40), ("supersmoother", 15), ("bls", 15)):
+    query(f"multiband_{_m}")(_multiband(_m, _n))
+
+
+@query("bootstrap_significance")
+def bootstrap_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(multiband.bootstrap_fap(series(spark, sf_dir), 40, 19), "object_id", "power fap level_10")
+
+
 @query("phase_track")
 def phase_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(tracking.track(series(spark, sf_dir), 0.75, 4), "object_id segment n", "mid delay delay_error")

@@ -209,3 +209,74 @@ def test_cleaning_and_roles(spark):
     assert observations.infer_domain("sap_flux") == "flux" and observations.infer_domain("foo") == "magnitude"
     with pytest.raises(ValueError):
         observations.resolve_roles(["a", "b"])
+
+
+def test_multiband_kernels(spark):
+    from lumenfold.operators import multiband
+
+    rng = np.random.default_rng(6)
+    t = np.sort(rng.uniform(0, 30, 150))
+    band = rng.integers(0, 3, 150)
+    y = np.array([15.0, 14.2, 13.9])[band] + np.array([0.3, 0.22, 0.15])[band] * np.sin(2 * np.pi * t / 1.7365) + rng.normal(0, 0.03, 150)
+    o = spark.createDataFrame([("m", "gri"[b], float(a), float(v), 0.03, i) for i, (a, b, v) in enumerate(zip(t, band, y))], SCHEMA)
+    shared = {r.k: r.power for r in spectra.gls_offsets(o, 120).collect()}
+    kernel = {r.k: r.power for r in multiband.spectrum(o, "offsets", 120).collect()}
+    assert max(abs(shared[k] - kernel[k]) for k in shared) < 1e-8
+    for m in ("offsets", "flexible", "mhaov", "supersmoother"):
+        f = multiband.spectrum(o, m, 120).orderBy(F.desc("power")).first().f
+        assert min(abs(1 / f / 1.7365 - k) for k in (0.5, 1, 2, 3)) < 0.03, m
+    sure = multiband.bootstrap_fap(o, 120, 39).first()
+    assert sure.fap == pytest.approx(1 / 40) and sure.power > sure.level_10
+    assert multiband.bootstrap_fap(o, 120, 39).first() == sure
+
+
+def test_fits_tables(spark, tmp_path):
+    from lumenfold.sources import fits
+
+    def cards(*lines):
+        text = "".join(x.ljust(80) for x in (*lines, "END"))
+        return text.ljust(-(-len(text) // 2880) * 2880).encode()
+
+    rows = np.array([(1.0, 10.5, 3), (2.0, 11.5, 4)], dtype=[("t", ">f8"), ("f", ">f4"), ("e", ">i2")])
+    primary = cards("SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0")
+    table = cards("XTENSION= 'BINTABLE'", "BITPIX  =                    8", "NAXIS   =                    2", "NAXIS1  =                   14", "NAXIS2  =                    2", "PCOUNT  =                    0", "GCOUNT  =                    1", "TFIELDS =                    3",
+                  "TTYPE1  = 'TIME    '", "TFORM1  = 'D       '", "TTYPE2  = 'FLUX    '", "TFORM2  = '1E      '", "TTYPE3  = 'FLUX_ERR'", "TFORM3  = 'I       '", "TSCAL3  =                  0.1")
+    (tmp_path / "star.fits").write_bytes(primary + table + rows.tobytes().ljust(2880, b"\0"))
+    got = fits.read_fits(spark, str(tmp_path)).orderBy("t").collect()
+    assert [(r.object_id, r.t, r.y, round(r.dy, 6)) for r in got] == [("star", 1.0, 10.5, 0.3), ("star", 2.0, 11.5, 0.4)]
+
+
+def test_tracking_kernels(spark):
+    from lumenfold.operators import tracking
+
+    rng = np.random.default_rng(1)
+    t = np.sort(rng.uniform(0, 300, 1200))
+    y = np.sin(2 * np.pi * t / 0.9) + 0.3 * np.sin(4 * np.pi * t / 0.9) + rng.normal(0, 0.05, 1200)
+    rows = tracking.phase_track(t, y, 0.9, 6)
+    assert len(rows) == 6 and max(r[3] for r in rows) - min(r[3] for r in rows) < 0.01
+    for r in tracking.period_profile(t, y, 0.9, 200):
+        assert abs(r[3] - 0.9) < 0.01
+    x = np.linspace(0, 10, 40)
+    assert tracking.compare_laws(x, 5 + 0.2 * x + rng.normal(0, 0.01, 40))[0][0] in ("linear", "exponential")
+    assert tracking.compare_laws(x, 5 + rng.normal(0, 0.01, 40))[0][0] == "constant"
+    oc = 0.01 * np.sin(2 * np.pi * np.arange(0, 300, 3) / 77) + rng.normal(0, 0.001, 100)
+    found = tracking.cyclic_search(np.arange(0, 300, 3.0), oc)
+    assert abs(found[0] / 77 - 1) < 0.05 and found[2] > 10 and found[3] < 1e-6
+    assert tracking.longest_chain(np.array([1.0, 2.02, 2.5, 3.0, 4.97, 9.0]), 0.0, 1.0, 0.05) == [0, 1, 3, 4]
+    assert tracking.wald(np.array([1.0, 1.0, 1.0]), np.eye(3))[1] == pytest.approx(1.0)
+    assert tracking.wald(np.array([0.0, 5.0]), np.eye(2))[1] < 1e-3
+
+
+def test_sessions_replay(spark, obs):
+    from lumenfold.plans import session
+
+    assert session.parse_tie("2F1 - F3") == {1: 2, 3: -1}
+    assert session.format_tie({1: 2, 3: -1}) == "2F1 - F3" and session.parse_tie(session.format_tie({2: -1, 4: 3})) == {2: -1, 4: 3}
+    with pytest.raises(ValueError):
+        session.parse_tie("2G1")
+    log = [("a", 1, "step", "{}"), ("a", 2, "tie", '{"id": 9, "text": "F1"}'), ("a", 3, "add", '{"frequency": 0.2}'), ("a", 4, "tie", '{"id": 2, "text": "2F1"}'), ("a", 5, "remove", '{"id": 1}')]
+    actions = spark.createDataFrame(log, "object_id string, seq int, op string, args string")
+    state = {r.id: r for r in session.replay(obs, actions, 2.0).collect()}
+    assert abs(state[1].frequency - 1 / 1.7) < 1e-3 and state[2].frequency == pytest.approx(2 * state[1].frequency) and state[1].refused == 2
+    undone = session.replay(obs, actions.where("seq <= 1"), 2.0).collect()
+    assert [r.id for r in undone] == [1]
