@@ -288,10 +288,10 @@ def tls_transit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("object_id", F.col("k").cast("long").alias("k"), F.col("width").cast("long").alias("width"), (F.round("p", 5) + F.lit(0.0)).alias("p"), (F.round("power", 4) + F.lit(0.0)).alias("power"))
 
 
-@query("object_statistics", f"WITH {_obs_sql('orders')} SELECT object_id, count(*) AS n, {_r('min(t)')} AS tmin, {_r('max(t) - min(t)')} AS baseline, {_r('avg(y)', 4)} AS mean, {_r('stddev_samp(y)', 4)} AS std FROM obs GROUP BY object_id")
+@query("object_statistics", f"WITH {_obs_sql('orders')} SELECT object_id, count(*) AS n, {_r('min(t)')} AS tmin, {_r('max(t) - min(t)')} AS baseline, {_r("avg(y)")} AS mean, {_r("stddev_samp(y)")} AS std FROM obs GROUP BY object_id")
 def object_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spectra.object_stats(series(spark, sf_dir, "orders"))
-    return s.select("object_id", "n", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("tmin", 6), ("baseline", 6), ("mean", 4), ("std", 4))])
+    return s.select("object_id", "n", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("tmin", 6), ("baseline", 6), ("mean", 6), ("std", 6))])
 
 
 @query("cleaned_points", f"WITH {_obs_sql()}, d AS (SELECT *, CASE WHEN rid % 7 = 0 THEN -1::DOUBLE WHEN rid % 11 = 0 THEN 'nan'::DOUBLE ELSE dy END AS e FROM obs) SELECT object_id, count(*) AS n_rows, count(*) AS n_finite, count(*) FILTER (WHERE e > 0 AND NOT isnan(e)) AS n_usable FROM d GROUP BY object_id")
