@@ -79,6 +79,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.marks = {c: self._ids(c) for c in ".,!?;:"}
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -90,10 +91,19 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """``new``: parts as ``_split`` makes them, but for the first of a text."""
-        chunks = [c if c[:1] == "\n" else " " + c for c in new]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[c] = array("I", e.ids).tobytes()
+        """``new``: parts as ``_split`` makes them, but for the first of a text.
+
+        Letters and the mark after them are different pre-tokens, so a word with
+        a mark is the word and the mark.
+        """
+        known = self.known
+        marked = [c for c in new if c[-1:] in self.marks and c[:-1].removeprefix("\n").isalpha()]
+        plain = list({*new}.difference(marked).union(b for c in marked if (b := c[:-1]) not in known))
+        chunks = [c if c[:1] == "\n" else " " + c for c in plain]
+        for c, e in zip(plain, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            known[c] = array("I", e.ids).tobytes()
+        for c in marked:
+            known[c] = known[c[:-1]] + self.marks[c[-1]]
 
     @staticmethod
     def _split(text: str) -> list[str] | None:
