@@ -208,15 +208,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -
     return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, all columns kept.
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, component_id) names as the first of their component.
 
     Rows without a doc_id belong to no group and stay; of repeated rows with
     the same doc_id one stays.
     """
-    found = cut(near_duplicates(docs, text, radius))
     first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if first.where(F.col("count") > 1).limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def keep_first(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, all columns kept; see ``first_rows``."""
+    return first_rows(docs, cut(near_duplicates(docs, text, radius)))
