@@ -7,18 +7,19 @@ learned by expectation-maximisation on counts held out of the training part.
 
 Counting keeps Spark's shuffles small. Texts are packed into blocks of word
 indices; a block asks for the corpus counts of its distinct words, and of its word
-pairs with a known word after a frequent one, with one request per hash bucket
+pairs of known words, with one request per hash bucket
 (sorted 64-bit hashes and local counts). Buckets sum what all blocks sent and
 answer in the order of the request. A word or pair that fills a third of the
 corpus is one entry per block, so no bucket is hot; requests without entries
 are not sent, so their number follows the data. Words and pairs are told apart
 by 64-bit hashes. Blocks and answers are stored tables.
 
-Contexts seen fewer than ``MIN_CONTEXT`` times fall back to unigrams. Defined
-results: a null, empty or blank text is the end token alone; repeated rows
-count as separate training texts and get equal scores; rows without a doc_id
-train and are not held out; an empty table gives an empty result; further
-columns are ignored.
+Every context of the corpus has its bigrams; one it does not hold falls back to
+unigrams. A bucket without tuning data takes the weight of the nearest trained
+one. Defined results: a null, empty or blank text is the end token alone;
+repeated rows count as separate training texts and get equal scores; rows
+without a doc_id train and are not held out; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ FOLDS = 7
 #: Documents of this remainder are scored as unseen; of the next, their counts train the mixture weights.
 HELD_OUT = 2
 TUNING = 3
-MIN_CONTEXT = 4
 #: Characters per block, and characters of corpus per hash bucket.
 BLOCK_CHARS = 8 << 20
 BUCKET_CHARS = 24 << 20
@@ -193,8 +193,8 @@ class Known:
         self.total = self.rest + self.tuning
         b = self.block
         self.u, self.v = b.contexts(), b.tokens
-        # only pairs of known words after a frequent context have a bigram estimate
-        self.asked = (self.total[self.u] >= MIN_CONTEXT) & (self.total[self.v] > 0)
+        # only pairs of known words have a bigram estimate
+        self.asked = (self.total[self.u] > 0) & (self.total[self.v] > 0)
         keys, self.pair = np.unique(self.u[self.asked] * len(b.hashes) + self.v[self.asked], return_inverse=True)
         self.pu, self.pv = keys // len(b.hashes), keys % len(b.hashes)
         hashes = pair_hash(b.hashes[self.pu], b.hashes[self.pv])
@@ -221,7 +221,7 @@ def pair_requests(n_rest: int, v_rest: int, buckets: int):
         # log2 of 1 / (c(u) p1(v)) over counts that leave the tuning texts out, and the context's bucket
         base = np.log2((n_rest + v_rest + 1) / (np.maximum(k.rest[k.pu], 1) * (k.rest[k.pv] + 1.0)))
         code = np.clip(np.round((base + LIMIT) * STEPS), 0, 2 * LIMIT * STEPS).astype(np.int64) * 64 + level(k.rest[k.pu])
-        code[(tuning == 0) | (k.rest[k.pu] < MIN_CONTEXT)] = 0
+        code[(tuning == 0) | (k.rest[k.pu] == 0)] = 0
         counts = np.stack([rest, tuning, code], axis=1)[k.order]
         return pd.DataFrame(_requests(int(rows["block"].iloc[0]), k.hashes, counts, buckets), columns=["bucket", "block", "hashes", "counts"])
 
@@ -261,10 +261,15 @@ def mixture_weights(histogram: list[tuple[int, int, int]]) -> dict[int, float]:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def weight_table(weights: dict[int, float]) -> np.ndarray:
+    """Weight of each of 64 context buckets: its own, or that of the nearest trained one (the lower of two); without any, unigrams."""
+    if not weights:
+        return np.zeros(64)
+    return np.array([weights[min(weights, key=lambda t: (abs(t - b), t))] for b in range(64)])
+
+
 def scorer(n: int, v: int, weights: dict[int, float]):
-    table = np.zeros(64)
-    for b, w in weights.items():
-        table[b] = w
+    table = weight_table(weights)
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         k = Known(rows)
@@ -277,7 +282,7 @@ def scorer(n: int, v: int, weights: dict[int, float]):
         context = k.total[k.u]
         seen = np.zeros(len(k.v), dtype=np.int64)
         seen[k.asked] = pairs[k.pair]
-        w = np.where(context >= MIN_CONTEXT, table[level(context)], 0.0)
+        w = np.where(context > 0, table[level(context)], 0.0)
         p = w * seen / np.maximum(context, 1) + (1 - w) * p1
         starts = np.concatenate([[0], np.cumsum(b.lengths)[:-1]])
         out = {
