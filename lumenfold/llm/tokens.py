@@ -5,11 +5,13 @@ little-endian unsigned 32-bit integers), then a skippable frame with the
 document ids, then the seek table of the zstandard seekable format: compressed
 size, content size and checksum (low 32 bits of XXH64) per frame, and a footer.
 A reader finds the table from the end of the file and decompresses only the
-frames that it wants. Shards cover ascending ranges of doc_id.
+frames that it wants.
 
-Texts are encoded and compressed before the shuffle, so only frames move. Each
-writing task streams frames to a private name and renames it when complete: a
-task that runs again after a lost executor replaces its file.
+Texts are dealt by ranges of (doc_id, content hash), so that a repeated or
+missing doc_id is split like any other range. A task encodes its range and
+streams frames to files of about ``SHARD_BYTES`` of text, each under a private
+name that is changed when the file is complete: a task that runs again after a
+lost executor replaces its files.
 
 Defined results: null and empty texts give a document that holds only the end
 id; repeated doc_ids stay separate documents, ordered by their content; rows
@@ -19,7 +21,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -29,44 +30,49 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, shared_dir
+from .parts import Memory, Parts, groups, put_together
 
 END_ID = 2
-#: Documents per shard, and the most shards of one output; beyond, shards grow.
-SHARD_DOCS = 4096
-MAX_SHARDS = 4096
+#: Bytes of text aimed at per file.
+SHARD_BYTES = 32 << 20
+#: Files that a reading task opens one after the other; shards that are summed up together.
+FILES_PER_TASK = 4
+SHARD_BLOCK = 1024
 #: Parts whose ids a Python worker remembers.
-CACHE = 2_000_000
-#: Characters of text whose unknown chunks are encoded in one call.
-GROUP_CHARS = 1 << 20
+CACHE = 1_000_000
+#: Words that are encoded in one text.
+JOINED = 1000
 
 _INDEX_MAGIC = 0x184D2A50
 _TABLE_MAGIC = 0x184D2A5E
 _SEEKABLE_MAGIC = 0x8F92EAB1
 _CHECKSUMS = 0x80
 
-#: White space other than spaces and line breaks, and pairs of those.
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_PAIRS = ("  ", " \n", "\n ", "\n\n")
+#: Where a cut before a space or line break could be in doubt: such places in a row or at the begin, and all other
+#: white space and control characters.
+_DOUBT = r"^[ \n]|  | \n|\n |\n\n|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+#: Stands before the first part of a text, which follows no space; no other part holds this character.
+_FIRST = "\0"
 
-FRAME_SCHEMA = "doc_id long, shard int, n_tokens long, ids_crc32 long, checksum long, n_bytes long, frame binary"
-MANIFEST_SCHEMA = "shard int, path string, n_docs long, n_tokens long"
+MANIFEST_SCHEMA = "shard long, file int, path string, n_docs long, n_tokens long"
 
 
 class Encoder:
-    """A byte-level BPE tokenizer with a memory of the chunks it has met.
+    """A byte-level BPE tokenizer with a memory of the parts it has met.
 
     A text is cut where a space or line break follows a visible character; no
     pre-token of a byte-level BPE crosses such a place, so the ids of the parts
-    put together are the ids of the text. Texts with any other white space are
-    encoded whole.
+    put together are the ids of the text. Other texts are encoded whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -78,7 +84,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(CACHE)
+        self.line = self._ids("\n")
         self.marks = {c: self._ids(c) for c in ".,!?;:"}
 
     @classmethod
@@ -90,82 +97,59 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """``new``: parts as ``_split`` makes them, but for the first of a text.
-
-        Letters and the mark after them are different pre-tokens, so a word with
-        a mark is the word and the mark.
-        """
-        known = self.known
-        marked = [c for c in new if c[-1:] in self.marks and c[:-1].removeprefix("\n").isalpha()]
-        plain = list({*new}.difference(marked).union(b for c in marked if (b := c[:-1]) not in known))
-        chunks = [c if c[:1] == "\n" else " " + c for c in plain]
-        for c, e in zip(plain, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()
-        for c in marked:
-            known[c] = known[c[:-1]] + self.marks[c[-1]]
-
-    @staticmethod
-    def _split(text: str) -> list[str] | None:
-        """Parts that begin at a space (left out) or line break after a visible character; None if such places are in doubt."""
-        doubt = text[:1].isspace() or any(p in text for p in _PAIRS) or _ODD_SPACE.search(text)
-        return None if doubt else text.replace("\n", " \n").split(" ")
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [self._split(t) for t in texts]
-        known = self.known
-        new = [c for c in set().union(*(p[1:] for p in parts if p)) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set().union(*(p[1:] for p in parts if p)))
-            self._learn(new)
-        end = struct.pack("<I", END_ID)
-        for text, p in zip(texts, parts, strict=True):
-            if p is None:
-                yield self._ids(text) + end
-            else:
-                yield self._ids(p[0]) + b"".join(map(known.__getitem__, p[1:])) + end
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line breaks: many are encoded in one text, a line break between each two."""
+        out: dict[int, bytes] = {}
+        plain = [k for k, w in enumerate(words) if w and "<|" not in w]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode("\n".join(words[k] for k in some), add_special_tokens=False).ids, dtype="<u4")
+            breaks = np.flatnonzero(ids == np.frombuffer(self.line, dtype="<u4")[0]) if len(self.line) == 4 else np.zeros(0, np.int64)
+            if len(breaks) == len(some) - 1:
+                data = ids.tobytes()
+                out.update((k, data[a:b]) for k, a, b in zip(some, [0, *(4 * breaks + 4).tolist()], [*(4 * breaks).tolist(), len(data)], strict=True))
+        return [out[k] if k in out else self._ids(w) for k, w in enumerate(words)]
+
+    def solve(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts. A line break at its begin, letters, and a mark after letters are pre-tokens of their own."""
+        lead = [p[:1] == "\n" for p in parts]
+        words = [p[1:] if p[:1] in ("\n", _FIRST) else " " + p for p in parts]
+        marked = [w[-1:] in self.marks and w[:-1].removeprefix(" ").isalpha() for w in words]
+        bare = [w[:-1] if m else w for w, m in zip(words, marked, strict=True)]
+        distinct = list(set(bare))
+        ids = dict(zip(distinct, self._words(distinct), strict=True))
+        return [(self.line if n else b"") + ids[b] + (self.marks[w[-1]] if m else b"") for n, b, w, m in zip(lead, bare, words, marked, strict=True)]
+
+    def encode_array(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Groups of the texts, in order: (their ids one after the other, offset of each text in them)."""
+        doubt = pc.fill_null(pc.match_substring_regex(texts, _DOUBT), False)
+        for a, b in groups(texts):
+            some, odd = texts.slice(a, b - a), np.flatnonzero(doubt.slice(a, b - a).to_numpy(zero_copy_only=False))
+            cut = Parts(pc.if_else(doubt.slice(a, b - a), "", some) if len(odd) else some)
+            firsts, spot = np.unique(cut.of[cut.at[:-1]], return_inverse=True)
+            ids = self.known.learn([*cut.distinct, *(_FIRST + cut.distinct[k] for k in firsts.tolist())], self.solve)
+            of = cut.of.copy()
+            of[cut.at[:-1]] = len(cut.distinct) + spot
+            of[cut.at[odd]] = len(ids) + np.arange(len(odd))
+            ids += [self._ids(t) for t in some.take(pa.array(odd)).to_pylist()]
+            yield put_together(ids, of, cut.at)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text all its ids and the end id, little-endian unsigned 32-bit."""
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-
-def encode_frames(docs: DataFrame, tokenizer_path: str, bounds: list[int]) -> DataFrame:
-    """One compressed frame per document; ``bounds`` are the first doc_ids of the shards after the first."""
-    edges = np.array(bounds, dtype=np.int64)
-
-    def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = Encoder.load(tokenizer_path), zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            rows: list[tuple] = []
-            for doc, data in zip(ids, encoder.encode(t.as_py() for t in texts), strict=True):
-                shard = 0 if doc is None else int(np.searchsorted(edges, doc, side="right"))
-                rows.append((doc, shard, len(data) // 4, zlib.crc32(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF, len(data), press.compress(data)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            cols = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "shard", "n_tokens", "ids_crc32", "checksum", "n_bytes", "frame"])
-
-    return docs.select("doc_id", "text").mapInArrow(frames, FRAME_SCHEMA)
+        end = struct.pack("<I", END_ID)
+        for ids, at in self.encode_array(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield ids[x:y].tobytes() + end
 
 
 class ShardWriter:
     """Writes one shard file frame by frame."""
 
-    def __init__(self, folder: str, shard: int) -> None:
+    def __init__(self, folder: str, shard: int, file: int) -> None:
         self.fs, base = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(base, recursive=True)
-        self.path, self.uri = f"{base}/shard-{shard:06d}.zst", f"{folder}/shard-{shard:06d}.zst"
+        name = f"shard-{shard:08d}-{file:04d}.zst"
+        self.path, self.uri = f"{base}/{name}", f"{folder}/{name}"
         self.part = f"{self.path}.{uuid.uuid4().hex}.tmp"
         self.out = self.fs.open_output_stream(self.part)
         self.docs: list[int] = []
@@ -223,42 +207,50 @@ class ShardReader:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame:
-    """Writes all documents to shard files below ``folder`` and returns the manifest: shard, path, n_docs, n_tokens."""
-    n = docs.count()
-    shards = max(1, min(MAX_SHARDS, -(-n // SHARD_DOCS)))
-    quantiles = [k / shards for k in range(1, shards)]
-    row = docs.agg(F.percentile_approx("doc_id", quantiles, 20 * MAX_SHARDS).alias("q")).first() if quantiles else None
-    bounds = sorted(set(row["q"] or [])) if row else []
+    """Writes all documents to files below ``folder`` and returns the manifest: shard, file, path, n_docs, n_tokens."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("b")).first()["b"] or 0
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple] = []
-        writer = None
+        encoder, press = Encoder.load(tokenizer_path), zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        shard, made = TaskContext.get().partitionId(), []
+        writer, room = None, 0
+
+        def close() -> None:
+            writer.close()
+            made.append((shard, len(made), writer.uri, len(writer.docs), writer.tokens))
+
         for batch in batches:
-            cols = [batch.column(k) for k in ("doc_id", "shard", "n_bytes", "checksum", "frame")]
-            for doc, shard, n_bytes, checksum, frame in zip(*(c.to_pylist() for c in cols), strict=True):
-                if writer is None or writer[0] != shard:
-                    if writer:
-                        writer[1].close()
-                        made.append((writer[0], writer[1].uri, len(writer[1].docs), writer[1].tokens))
-                    writer = (shard, ShardWriter(folder, shard))
-                writer[1].add(doc, frame, n_bytes, checksum)
+            for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).cast(pa.string())), strict=True):
+                if writer is None:
+                    writer, room = ShardWriter(folder, shard, len(made)), SHARD_BYTES
+                writer.add(doc, press.compress(data), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF)
+                room -= len(data)
+                if room <= 0:
+                    close()
+                    writer = None
         if writer:
-            writer[1].close()
-            made.append((writer[0], writer[1].uri, len(writer[1].docs), writer[1].tokens))
+            close()
         if made:
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["shard", "path", "n_docs", "n_tokens"])
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["shard", "file", "path", "n_docs", "n_tokens"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+    dealt = keyed.repartitionByRange(max(1, -(-int(size) // SHARD_BYTES)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return cut(dealt.select("doc_id", "text").mapInArrow(write, MANIFEST_SCHEMA))
+
 
-    frames = encode_frames(docs, tokenizer_path, bounds)
-    dealt = frames.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "ids_crc32", "checksum")
-    return cut(dealt.select("doc_id", "shard", "n_bytes", "checksum", "frame").mapInArrow(write, MANIFEST_SCHEMA))
+def first_tokens(manifest: DataFrame) -> DataFrame:
+    """(path, first) of every file: the ids of all files before it. Shards are summed up in blocks, so no task holds all files."""
+    block = F.floor(F.col("shard") / SHARD_BLOCK)
+    m = manifest.select(block.alias("block"), "shard", "file", "path", "n_tokens")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = m.groupBy("block").agg(F.sum("n_tokens").alias("n_tokens"))
+    sums = sums.select("block", before(Window.orderBy("block")).alias("base"))
+    return m.select("block", "path", before(Window.partitionBy("block").orderBy("shard", "file")).alias("n")).join(sums, "block").select("path", (F.col("base") + F.col("n")).alias("first"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files. ``start`` counts all earlier ids."""
-    n = manifest.count()
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = manifest.select("shard", "path", before.alias("first"))  # at most MAX_SHARDS rows
 
     def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -271,7 +263,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
                 yield out.astype({"doc_id": "Int64"})
 
-    return offsets.repartition(max(1, n), "shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, -(-manifest.count() // FILES_PER_TASK))
+    return first_tokens(manifest).repartition(files).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
@@ -286,7 +279,7 @@ def read_documents(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
                     for k in shard.find(doc):
                         yield pd.DataFrame({"doc_id": [doc], "ids": [np.frombuffer(shard.ids(k), dtype="<u4").astype(np.int64).tolist()]})
 
-    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInPandas(read, "doc_id long, ids array<long>")
+    return manifest.select("path").repartition(max(1, -(-manifest.count() // FILES_PER_TASK))).mapInPandas(read, "doc_id long, ids array<long>")
 
 
 def token_index(docs: DataFrame, tokenizer_path: str) -> DataFrame:
