@@ -47,3 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Only A-Z become lower case. Pure-ASCII texts take the built-in's fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def content_key(*columns: str | Column) -> tuple[Column, Column]:
+    """Two hashes, 128 bits together, of some columns of a row; a null differs from any value and from a null in another place."""
+    parts = [x for c in (F.col(c) if isinstance(c, str) else c for c in columns) for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts, F.lit(3))
