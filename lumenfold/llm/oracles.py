@@ -45,13 +45,7 @@ SELECT doc_id, count(*) FILTER (WHERE l <> '')::BIGINT AS n_lines, count(*) FILT
 FROM m GROUP BY doc_id
 """
 
-_METRICS = {
-    "word_length": "word_chars / greatest(n_words, 1)::DOUBLE",
-    "symbols": "n_symbols / greatest(n_words, 1)::DOUBLE",
-    "dup_lines": "n_dup_lines / greatest(n_lines, 1)::DOUBLE",
-    "repeats": "n_repeat_words / greatest(n_words, 1)::DOUBLE",
-    "capitals": "n_upper / greatest(word_chars, 1)::DOUBLE",
-}
+_METRICS = {k: f"{count} / greatest({size}, 1)::DOUBLE" for k, (count, size, _) in quality.METRICS.items()}
 _W = quality.WINDOW
 
 
@@ -59,18 +53,16 @@ def _quality() -> str:
     melt = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {v} AS x FROM base WHERE NOT base_failed" for k, v in _METRICS.items())
     value = f"CASE WHEN b <= 0 THEN 0 ELSE 2 * pow({quality.GAMMA}::DOUBLE, (b - 1)::DOUBLE) / {quality.GAMMA + 1.0}::DOUBLE / 1000 END"
 
-    def quartiles(name: str, key: str) -> str:
-        part = f"{key}, metric" if key else "metric"
-        return (
-            f"{name}_r AS (SELECT {part}, b, sum(sum(n)) OVER (PARTITION BY {part} ORDER BY b) AS upto, sum(sum(n)) OVER (PARTITION BY {part}) AS rows FROM sk GROUP BY {part}, b), "
-            f"{name} AS (SELECT {part}, min(rows) AS rows, min(b) FILTER (WHERE upto >= ceil(rows * 0.25)) AS b1, min(b) FILTER (WHERE upto >= ceil(rows * 0.75)) AS b3 FROM {name}_r GROUP BY {part})"
-        )
-
-    margin = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in quality.MARGINS.items()) + " END"
-    pick = lambda b: f"CASE WHEN g.rows >= {quality.MIN_GROUP} THEN g.{b} WHEN l.rows >= {quality.MIN_GROUP} THEN l.{b} ELSE w.{b} END"
     val = lambda b: value.replace("(b ", f"({b} ").replace("WHEN b ", f"WHEN {b} ")
-    sides = ", ".join(f"max(hi) FILTER (WHERE metric = '{k}') AS hi_{k}, max(lo) FILTER (WHERE metric = '{k}') AS lo_{k}" for k in quality.MARGINS)
-    fits = " AND ".join([f"coalesce({_METRICS[k]} <= hi_{k}, true)" for k in quality.MARGINS] + [f"coalesce({_METRICS[k]} >= lo_{k}, true)" for k in quality.TWO_SIDED])
+
+    share = lambda name, part: f"{name} AS (SELECT {part}, b, n / sum(n) OVER (PARTITION BY {part}) AS p FROM {name}_n)"
+    at = lambda q: f"min(b) FILTER (WHERE upto >= {q}::DOUBLE - 1e-9)"
+    prior = f"{quality.PRIOR_ROWS} * p"
+    sides = ", ".join(f"max(hi) FILTER (WHERE metric = '{k}') AS hi_{k}, max(lo) FILTER (WHERE metric = '{k}') AS lo_{k}" for k in quality.METRICS)
+    chance = lambda k: f"{quality.SIGMA} * sqrt({quality.METRICS[k][0]} * {quality.METRICS[k][2]}::DOUBLE)"
+    high = [f"coalesce({c} - {chance(k)} <= hi_{k} * {n}, true)" for k, (c, n, _) in quality.METRICS.items()]
+    low = [f"coalesce({quality.METRICS[k][0]} + {chance(k)} >= lo_{k} * {quality.METRICS[k][1]}, true)" for k in quality.TWO_SIDED]
+    fits = " AND ".join([*high, *low])
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_split("coalesce(text, '')", _WORD_GAP)} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {_W - 1}), ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - {_W - 2})) AS i FROM d WHERE len(w) >= {_W})),
@@ -81,10 +73,13 @@ cnt AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_
 base AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM cnt),
 melt AS ({melt}),
 sk AS (SELECT lang, source, metric, CASE WHEN x < 0.001 THEN 0 ELSE ceil(ln(greatest(x * 1000, 1)) / ln({quality.GAMMA}::DOUBLE))::BIGINT + 1 END AS b, count(*) AS n FROM melt GROUP BY ALL),
-{quartiles("g", "lang, source")}, {quartiles("l", "lang")}, {quartiles("w", "")},
-q AS (SELECT g.lang, g.source, g.metric, {pick("b1")} AS b1, {pick("b3")} AS b3 FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric JOIN w ON w.metric = g.metric),
-v AS (SELECT lang, source, metric, {val("b1")} AS q1, {val("b3")} AS q3 FROM q),
-lim AS (SELECT *, q1 - greatest({quality.SPREAD} * (q3 - q1), {margin}) AS lo, q3 + greatest({quality.SPREAD} * (q3 - q1), {margin}) AS hi FROM v),
+w_n AS (SELECT metric, b, sum(n)::DOUBLE AS n FROM sk GROUP BY ALL), {share("w", "metric")},
+l_n AS (SELECT lang, metric, b, sum(n) AS n FROM (SELECT lang, metric, b, n::DOUBLE AS n FROM sk UNION ALL SELECT x.lang, x.metric, w.b, {prior} FROM (SELECT DISTINCT lang, metric FROM sk) x JOIN w ON w.metric = x.metric) GROUP BY ALL), {share("l", "lang, metric")},
+g_n AS (SELECT lang, source, metric, b, sum(n) AS n FROM (SELECT lang, source, metric, b, n::DOUBLE AS n FROM sk
+  UNION ALL SELECT x.lang, x.source, x.metric, l.b, {prior} FROM (SELECT DISTINCT lang, source, metric FROM sk) x JOIN l ON l.metric = x.metric AND l.lang IS NOT DISTINCT FROM x.lang) GROUP BY ALL), {share("g", "lang, source, metric")},
+run AS (SELECT *, sum(p) OVER (PARTITION BY lang, source, metric ORDER BY b) AS upto FROM g),
+q AS (SELECT lang, source, metric, {at(1 - quality.TAIL)} AS b1, {at(0.5)} AS b2, {at(quality.TAIL)} AS b3 FROM run GROUP BY ALL),
+lim AS (SELECT lang, source, metric, {val('b1')} - {quality.SPREAD} * ({val('b2')} - {val('b1')}) AS lo, {val('b3')} + {quality.SPREAD} * ({val('b3')} - {val('b2')}) AS hi FROM q),
 wide AS (SELECT lang, source, {sides} FROM lim GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fits} AS kept
 FROM base LEFT JOIN wide ON base.lang IS NOT DISTINCT FROM wide.lang AND base.source IS NOT DISTINCT FROM wide.source

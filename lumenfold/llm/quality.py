@@ -2,21 +2,26 @@
 
 Every text is reduced to a few counts inside its own row. Their ratios go into
 mergeable relative-error quantile sketches (DDSketch: counts of logarithmic
-buckets; merging is adding) per language and source, whose quartiles set the
-cutoffs that replace fixed ones. Groups with few rows use the merged sketch of
-their language, then that of the whole corpus. Bucket counts are partially
-aggregated before the shuffle, so a hot source costs no more than a small one.
+buckets; merging is adding) per language and source. Each group's sketch is
+merged with its language's, weighing ``PRIOR_ROWS`` rows, and that likewise with
+the whole corpus's, so a group of few rows follows its parent and one of many
+itself. A cutoff lies ``SPREAD`` times as far beyond the ``TAIL`` quantile as
+that is from the median: no ratio has a fixed limit or margin. A text fails
+where its count exceeds the cutoff by more than ``SIGMA`` standard deviations
+of a count of its size, so that short texts are not judged by chance. Bucket
+counts are partially aggregated before the shuffle, so a hot source costs no
+more than a small one.
 
 Defined results: a null or blank text has no words, fails the base rule and is
 not kept; null language or source form a group of their own; repeated rows
 count and are judged one by one; an empty table gives an empty result; columns
 of the input that are not named here pass through ``filter_documents``
-untouched and are ignored elsewhere, and clash with nothing, as the join is on
-a private row key.
+untouched and are ignored elsewhere, and clash with nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,15 +34,26 @@ WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 GAMMA = 1.02
-#: Rows that a group needs for cutoffs of its own.
-MIN_GROUP = 500
-#: Cutoff: upper quartile plus the larger of SPREAD interquartile ranges and the metric's least margin.
-SPREAD = 6.0
-MARGINS = {"word_length": 3.0, "symbols": 0.25, "dup_lines": 0.5, "repeats": 0.3, "capitals": 0.35}
+#: Upper and lower tail of a group that its cutoffs are extrapolated from, and how far.
+TAIL = 0.8
+SPREAD = 5.0
+#: Rows that the parent's sketch weighs in a group's.
+PRIOR_ROWS = 200
+#: Standard deviations by which a count must exceed a cutoff.
+SIGMA = 3.0
+#: Per metric: the count, what it is a share of, and how many come at a time (a repeat covers two windows at least).
+METRICS = {
+    "word_length": ("word_chars", "n_words", 1),
+    "symbols": ("n_symbols", "n_words", 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 2 * WINDOW),
+    "capitals": ("n_upper", "word_chars", 1),
+}
 #: Metrics whose lower tail is judged as well.
 TWO_SIDED = ("word_length",)
-#: Largest group table that is sent to every executor.
+#: Largest table of groups that is sent to every executor; a larger one is joined in SALT parts.
 BROADCAST_GROUPS = 100_000
+SALT = 16
 
 
 def base_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -79,14 +95,7 @@ def base_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
 def metrics() -> dict[str, Column]:
     """The judged ratios of a row of ``base_counts``."""
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return {
-        "word_length": F.col("word_chars") / words,
-        "symbols": F.col("n_symbols") / words,
-        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-        "repeats": F.col("n_repeat_words") / words,
-        "capitals": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
-    }
+    return {k: F.col(count) / F.greatest(F.col(size), F.lit(1)).cast("double") for k, (count, size, _) in METRICS.items()}
 
 
 def bucket(value: Column) -> Column:
@@ -107,44 +116,58 @@ def sketches(counts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *group: str) -> DataFrame:
-    """Per group and metric: rows, and the values at a quarter and three quarters of the ranks."""
-    merged = sketch.groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
+def merged(sketch: DataFrame, parent: DataFrame | None, *group: str) -> DataFrame:
+    """The sketch of each group and metric with ``PRIOR_ROWS`` rows of its parent's: n (fractional), and the share p of each bucket."""
+    own = sketch.groupBy(*group, "metric", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    if parent is not None:
+        names, shared = own.select(*group, "metric").distinct(), [g for g in group if g in parent.columns]
+        on = F.col("metric") == F.col("_m")
+        for g in shared:
+            on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        prior = names.join(parent.select(F.col("metric").alias("_m"), *[F.col(g).alias(f"_{g}") for g in shared], "bucket", (F.col("p") * PRIOR_ROWS).alias("n")), on)
+        own = own.unionByName(prior.select(*group, "metric", "bucket", "n")).groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
+    return own.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*group, "metric")))
+
+
+def cutoffs(sketch: DataFrame, *group: str) -> DataFrame:
+    """lo and hi of each group and metric of a ``merged`` sketch."""
     key = [*group, "metric"]
-    run = merged.withColumn("upto", F.sum("n").over(Window.partitionBy(*key).orderBy("bucket"))).withColumn("rows", F.sum("n").over(Window.partitionBy(*key)))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), F.col("bucket")))
-    q = run.groupBy(*key).agg(F.first("rows").alias("rows"), at(0.25).alias("b1"), at(0.75).alias("b3"))
-    return q.select(*key, "rows", bucket_value(F.col("b1")).alias("q1"), bucket_value(F.col("b3")).alias("q3"))
-
-
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
-    """One row per (lang, source): lo_ and hi_ of each metric, from the smallest merged sketch with enough rows."""
-    groups = quartiles(sketch, "lang", "source")
-    langs = quartiles(sketch, "lang").select(F.col("lang").alias("_lang"), F.col("metric").alias("_m"), *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q3")])
-    whole = quartiles(sketch).select(F.col("metric").alias("_m2"), *[F.col(c).alias(f"w_{c}") for c in ("q1", "q3")])
-    df = groups.join(langs, groups["lang"].eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_m"))).join(whole, F.col("metric") == F.col("_m2"))
-    pick = lambda q: F.when(F.col("rows") >= min_group, F.col(q)).when(F.col("l_rows") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
-    df = df.withColumn("_q1", pick("q1")).withColumn("_q3", pick("q3"))
-    margin = F.create_map(*[F.lit(x) for kv in MARGINS.items() for x in kv])[F.col("metric")]
-    reach = F.greatest(spread * (F.col("_q3") - F.col("_q1")), margin)
-    df = df.withColumn("lo", F.col("_q1") - reach).withColumn("hi", F.col("_q3") + reach)
-    pivot = [F.max(F.when(F.col("metric") == k, F.col(side))).alias(f"{side}_{k}") for k in MARGINS for side in ("lo", "hi")]
+    run = sketch.withColumn("upto", F.sum("p").over(Window.partitionBy(*key).orderBy("bucket")))
+    at = lambda q: bucket_value(F.min(F.when(F.col("upto") >= q - 1e-9, F.col("bucket"))))
+    q = run.groupBy(*key).agg(at(1 - TAIL).alias("low"), at(0.5).alias("mid"), at(TAIL).alias("high"))
+    return q.select(*key, (F.col("low") - SPREAD * (F.col("mid") - F.col("low"))).alias("lo"), (F.col("high") + SPREAD * (F.col("high") - F.col("mid"))).alias("hi"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """One row per (lang, source): lo_ and hi_ of each metric."""
+    langs = merged(sketch, merged(sketch, None), "lang")
+    df = cutoffs(merged(sketch, langs, "lang", "source"), "lang", "source")
+    pivot = [F.max(F.when(F.col("metric") == k, F.col(side))).alias(f"{side}_{k}") for k in METRICS for side in ("lo", "hi")]
     return df.groupBy("lang", "source").agg(*pivot)
 
 
+def fits() -> Column:
+    """Whether a row of ``base_counts`` with its group's ``thresholds`` keeps to all of them."""
+    chance = lambda count, unit: SIGMA * F.sqrt(F.col(count) * float(unit))
+    high = [F.col(count) - chance(count, unit) <= F.col(f"hi_{k}") * F.col(size) for k, (count, size, unit) in METRICS.items()]
+    low = [F.col(METRICS[k][0]) + chance(METRICS[k][0], METRICS[k][2]) >= F.col(f"lo_{k}") * F.col(METRICS[k][1]) for k in TWO_SIDED]
+    return reduce(lambda a, b: a & b, [*high, *low])
+
+
 def verdicts(counts: DataFrame) -> DataFrame:
     """``base_counts`` rows plus ``kept``. ``counts`` is read twice: give a stored table.
 
     A row is kept if the base rule holds and every ratio lies within its group's cutoffs.
     """
     limits = cut(thresholds(sketches(counts)))
-    small = limits.count() <= BROADCAST_GROUPS
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = counts["lang"].eqNullSafe(limits["_lang"]) & counts["source"].eqNullSafe(limits["_source"])
-    joined = counts.join(F.broadcast(limits) if small else limits, on, "left")
-    m = metrics()
-    fits = [m[k] <= F.col(f"hi_{k}") for k in MARGINS] + [m[k] >= F.col(f"lo_{k}") for k in TWO_SIDED]
-    kept = ~F.col("base_failed") & F.coalesce(reduce(lambda a, b: a & b, fits), F.lit(True))
+    if limits.count() <= BROADCAST_GROUPS:
+        joined = counts.join(F.broadcast(limits), on, "left")
+    else:
+        dealt = limits.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = counts.withColumn("_salt", (F.rand(SALT) * SALT).cast("int")).join(dealt, on & (F.col("_salt") == F.col("_part")), "left")
+    kept = ~F.col("base_failed") & F.coalesce(fits(), F.lit(True))
     return joined.select(*[counts[c] for c in counts.columns], kept.alias("kept"))
 
 
@@ -156,10 +179,10 @@ def judge(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The counts travel with a row key and the rejected keys are removed by an
-    anti join, so repeated doc_ids are judged row by row.
+    Rows are stored with their counts, so that the texts are read once and do not
+    move: each row's verdict needs its counts and the table of cutoffs only.
     """
-    row = F.xxhash64("doc_id", "text", "lang", "source")
-    judged = verdicts(cut(base_counts(docs.select(row.alias("_row"), "text", "lang", "source"), keep=("_row", "lang", "source"))))
-    bad = judged.where(~F.col("kept")).select("_row").distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"], docs["lang"], docs["source"]) == bad["_row"], "left_anti")
+    row = f"_row_{uuid.uuid4().hex}"
+    whole = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias(row), "text", "lang", "source")
+    judged = verdicts(cut(base_counts(whole, keep=(row, "lang", "source"))))
+    return judged.where("kept").select(*[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(docs.columns)])

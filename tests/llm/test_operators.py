@@ -373,12 +373,38 @@ def test_quality_cutoffs_adapt(spark):
     assert all(kept.values())
 
 
-def test_sketch_quartiles_are_close(spark):
+def test_sketch_quantiles_are_close(spark):
     rng = np.random.default_rng(0)
     values = rng.lognormal(1.0, 0.5, 5000)
     df = spark.createDataFrame([(float(v),) for v in values], "v double").select(F.lit("g").alias("lang"), F.lit("m").alias("metric"), quality.bucket(F.col("v")).alias("bucket"))
-    q = quality.quartiles(df.groupBy("lang", "metric", "bucket").agg(F.count("*").alias("n")), "lang").first()
-    assert q.q1 == pytest.approx(np.quantile(values, 0.25), rel=0.02) and q.q3 == pytest.approx(np.quantile(values, 0.75), rel=0.02)
+    q = quality.cutoffs(quality.merged(df.groupBy("lang", "metric", "bucket").agg(F.count("*").alias("n")), None, "lang"), "lang").first()
+    low, mid, high = np.quantile(values, [1 - quality.TAIL, 0.5, quality.TAIL])
+    assert q.hi == pytest.approx(high + quality.SPREAD * (high - mid), rel=0.05)
+    assert q.lo == pytest.approx(low - quality.SPREAD * (mid - low), rel=0.05)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_each_metric_has_cutoffs_of_its_source(spark, monkeypatch, most):
+    """Two sources that differ in every metric; what is usual in one fails in the other, however the groups are joined."""
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", most)
+    rng = random.Random(4)
+    line = lambda k: " ".join(rng.choice("abcdefgh") * 4 + str(rng.randint(0, 999)) for _ in range(k))
+
+    def text(loud):
+        lines_ = [line(9) for _ in range(30)]
+        if loud:
+            shout = line(16)
+            lines_ = [(x.upper() + " ###" + "LONGWORD" * 30) for x in lines_] + ["Same Line"] * 12 + [shout] * 4
+        return "\n".join(lines_)
+
+    rows = [(i, text(False), "en", "calm", 0) for i in range(900)] + [(1000 + i, text(True), "en", "loud", 0) for i in range(900)] + [(5000, text(True), "en", "calm", 0)]
+    counts = quality.base_counts(frame(spark, rows)).cache()
+    assert counts.where("base_failed").count() == 0
+    limits = {r.source: r.asDict() for r in quality.thresholds(quality.sketches(counts)).collect()}
+    for m in quality.METRICS:
+        assert limits["calm"][f"hi_{m}"] != limits["loud"][f"hi_{m}"], m
+    kept = {r.doc_id: r.kept for r in quality.verdicts(counts).collect()}
+    assert not kept.pop(5000) and all(kept.values())
 
 
 def test_toxicity_held_out(spark):
