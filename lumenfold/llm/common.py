@@ -14,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _local_dirs: dict[str, str] = {}
+#: Folders that ``cut`` made and nobody released, oldest first.
+_cuts: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names.
+    """A new folder below the one that ``spark.checkpoint.dir`` names, in a folder of the running application.
 
     Only a local master may run without that setting; it then gets a temporary
     folder of its own. A cluster without it is refused, as its executors do not
@@ -34,16 +36,36 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_dirs.setdefault("base", "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return f"{base.rstrip('/')}/lumenfold-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lumenfold-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, no lineage."""
+    """``df`` written to the shared folder and read back: computed once, no lineage.
+
+    The table stays until ``release``: what is derived from it is computed later.
+    """
     path = shared_dir(df.sparkSession)
+    _cuts.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the list of stored tables, for ``release``."""
+    return len(_cuts)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the stored tables made after ``mark`` gave ``since``, but for the last ``keep``. Nothing may read them any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    end = len(_cuts) - keep
+    for path in _cuts[since:end]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    del _cuts[since:end]
+
+
 def ascii_lower(text: Column) -> Column:
     """Only A-Z become lower case. Pure-ASCII texts take the built-in's fast path."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -3,7 +3,7 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each step
 is one minimum per vertex, map-side combined, joined back to the links, so a hub
 vertex is never gathered in one task. Every round is written to the shared
-folder; nothing is collected but one count and one hash sum.
+folder, and the one before is deleted; nothing is collected but one count and one hash sum.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mark, release
 
 
 def _state(links: DataFrame) -> tuple:
@@ -37,11 +37,13 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     An empty table gives an empty result; loops and repeated links change nothing.
     """
+    start = mark()
     now = cut(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(now)
     for _ in range(max_rounds if before[0] else 0):
         now = cut(small_star(large_star(now)))
         after = _state(now)
+        release(links.sparkSession, start, keep=1)  # the round before
         if after == before:
             break
         before = after
