@@ -19,6 +19,7 @@ through ``keep_first``.
 
 from __future__ import annotations
 
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut
+from .common import content_key, cut
 from .components import components
 
 SHINGLE = 3
@@ -36,9 +37,11 @@ SEED = 42
 RADIUS = 2
 #: Distinct fingerprints sampled to place vantage points; bounds what the driver holds.
 SAMPLE = 32_768
-#: Distinct fingerprints aimed at per shard, and the most that one task takes.
-SHARD = 4096
-MAX_SHARD = 200_000
+#: Distinct fingerprints aimed at per shard as long as there are fewer than SHARDS; then shards grow to BIG, and their
+#: own trees, in memory, do the rest: each level of the outer tree deals boundary points twice.
+SHARD, SHARDS, BIG = 4096, 64, 1 << 20
+#: Most fingerprints that one task takes: 16 bytes each.
+MAX_SHARD = 16 << 20
 #: Below this many, a shard's part is compared directly.
 DIRECT = 768
 _CHUNK = 1 << 16
@@ -157,70 +160,84 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = nxt
 
 
-def shard_links(points: np.ndarray, docs: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, root doc) of each point of a shard that is linked to an earlier document."""
-    order = np.argsort(docs, kind="stable")
-    points, docs = points[order], docs[order]
+def shard_links(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, root) of each distinct signed fingerprint of a shard that is linked to a smaller one."""
+    points = np.sort(points)
     found: list = []
-    _pairs(points, np.arange(len(points)), radius, found)
+    _pairs(points.view(np.uint64), np.arange(len(points)), radius, found)
     root = _roots(len(points), *(np.concatenate(x) for x in zip(*found, strict=True)))
     moved = root != np.arange(len(points))
-    return docs[moved], docs[root[moved]]
+    return points[moved], points[root[moved]]
+
+
+def shard_count(n: int) -> int:
+    """Shards for so many distinct fingerprints."""
+    return max(1, min(-(-n // SHARD), SHARDS), -(-n // BIG))
 
 
 def _links(nodes: DataFrame, radius: int) -> DataFrame:
-    """(u, v) document links that connect all of ``nodes`` (fp, doc) within ``radius`` bits."""
+    """(u, v) links that connect all of the distinct fingerprints ``nodes`` (fp) within ``radius`` bits."""
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], dtype=np.int64).view(np.uint64)
-    tree, _ = build_tree(sample, -(-n // SHARD), radius)
+    tree, _ = build_tree(sample, shard_count(n), radius)
 
     @pandas_udf("array<int>")
     def shards(fps: pd.Series) -> pd.Series:
         return pd.Series(route(tree, fps.to_numpy(np.int64).view(np.uint64), radius))
 
-    routed = cut(nodes.select("fp", "doc", F.explode(shards("fp")).alias("shard")))
+    routed = cut(nodes.select("fp", F.explode(shards("fp")).alias("shard")))
     sizes = routed.groupBy("shard").count()
     hot = [r["shard"] for r in sizes.where(F.col("count") > MAX_SHARD).select("shard").collect()]  # at most SAMPLE / 32 shard numbers
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = shard_links(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["doc"].to_numpy(np.int64), radius)
+        u, v = shard_links(pdf["fp"].to_numpy(np.int64), radius)
         return pd.DataFrame({"u": u, "v": v})
 
     links = routed.where(~F.col("shard").isin(hot)).groupBy("shard").applyInPandas(link, "u long, v long")
     if hot:
         flips = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), k) for k in range(64)])
-        crowd = routed.where(F.col("shard").isin(hot)).select("fp", "doc").distinct()
-        keys = crowd.select("doc", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
-        met = keys.groupBy("key").agg(F.collect_set("doc").alias("docs"))
-        links = links.unionByName(met.where(F.size("docs") > 1).select(F.explode("docs").alias("u"), F.array_min("docs").alias("v")))
+        crowd = routed.where(F.col("shard").isin(hot)).select("fp").distinct()
+        keys = crowd.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
+        met = keys.groupBy("key").agg(F.collect_set("fp").alias("fps"))  # a neighbour has 65 members at most
+        links = links.unionByName(met.where(F.size("fps") > 1).select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")))
     return links
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed 64-bit) and component_id of every row. ``radius`` is 2 or less."""
+def _labelled(docs: DataFrame, text: str, radius: int) -> DataFrame:
+    """doc_id, _k1, _k2 (content key), fp and node (one fingerprint of the component) of every row."""
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
-    marked = cut(docs.select("doc_id", fingerprint_column(text).alias("fp")))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    roots = components(_links(nodes.where(F.col("doc").isNotNull()), radius))
-    # several fingerprints may share a doc_id that repeats; they are then one vertex
-    named = nodes.join(roots, nodes["doc"] == roots["u"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "doc").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    k1, k2 = content_key("doc_id", text)
+    marked = cut(docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), fingerprint_column(text).alias("fp")))
+    roots = components(_links(cut(marked.select("fp").distinct()), radius))
+    return marked.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("doc_id", "_k1", "_k2", "fp", F.coalesce("root", "fp").alias("node"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (signed 64-bit) and component_id (its smallest doc_id) of every row. ``radius`` is 2 or less."""
+    found = cut(_labelled(docs, text, radius))
+    first = found.groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    return found.join(first, "node").select("doc_id", "fp", "component_id")
 
 
-def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``found`` (doc_id, component_id) names as the first of their component.
+def first_rows(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """The first row of each component: smallest doc_id, of rows that share it the one with the smallest content key.
 
-    Rows without a doc_id belong to no group and stay; of repeated rows with
-    the same doc_id one stays.
+    ``found`` has doc_id, _k1, _k2 (content key of doc_id and text) and node. Rows
+    without a doc_id belong to no group and stay; of equal rows one stays.
     """
-    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if first.where(F.col("count") > 1).limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    named = found.where(F.col("doc_id").isNotNull())
+    first = named.groupBy("node").agg(F.min(F.struct("doc_id", "_k1", "_k2")).alias("f"), F.count("*").alias("n"))
+    name = f"_first_{uuid.uuid4().hex}"
+    keys = [f"{name}_1", f"{name}_2"]
+    k1, k2 = content_key("doc_id", text)
+    chosen = first.select(F.col("f._k1").alias(keys[0]), F.col("f._k2").alias(keys[1]))
+    kept = docs.where(F.col("doc_id").isNotNull()).withColumn(keys[0], k1).withColumn(keys[1], k2).hint("merge").join(chosen, keys, "left_semi")
+    if named.groupBy("_k1", "_k2").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(keys)
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def keep_first(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, all columns kept; see ``first_rows``."""
-    return first_rows(docs, cut(near_duplicates(docs, text, radius)))
+    return first_rows(docs, cut(_labelled(docs, text, radius)), text)
