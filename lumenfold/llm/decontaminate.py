@@ -20,17 +20,21 @@ pass through ``clean_documents`` untouched.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, content_key, cut
 
 #: Everything that is no word character after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 10
 #: Largest table of benchmark windows or terms that is sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Parts that the windows of one term are dealt to.
+SALT = 16
 
 
 def words(text: str) -> Column:
@@ -56,8 +60,9 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a row key that depends on doc_id and text alone."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", text))
+    """``docs`` with row keys that depend on doc_id and text alone: _row for postings, which are checked in full, and _row2 beside it."""
+    k1, k2 = content_key("doc_id", text)
+    return docs.withColumn("_row", k1).withColumn("_row2", k2)
 
 
 def build_index(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -71,7 +76,9 @@ def build_index(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
 def rarest_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
     """``terms`` with their corpus frequency and rank in the phrase, rarest first; only phrases whose terms all occur."""
     frequency = index.groupBy("term").agg(F.count("*").alias("freq"))
-    rated = terms.join(frequency, "term", "left")
+    parts = F.sequence(F.lit(0), F.lit(SALT - 1))
+    dealt = frequency.select("term", "freq", F.explode(parts).alias("_salt"))
+    rated = terms.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALT)).cast("int")).join(dealt, ["term", "_salt"], "left").drop("_salt")
     by = Window.partitionBy("phrase")
     rated = rated.withColumn("known", F.count("freq").over(by)).where(F.col("known") == F.col("n"))
     return rated.withColumn("rank", F.row_number().over(by.orderBy("freq", "off"))).drop("known")
@@ -119,35 +126,35 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, step, lambda acc: acc["sum"])
 
 
-def report(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """_row, doc_id, n_words, n_hit and phrases (the distinct windows that occur) of every document; stored."""
+def with_hits(docs: DataFrame, items: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with a struct column (n_words, n_hit, phrases: the distinct windows that occur), and its name, which no other column has."""
     terms = cut(window_terms(benchmark_windows(items)))
-    k = keyed(docs, text)
+    k = keyed(docs.select("doc_id", text), text)
     starts = phrase_starts(build_index(k, terms, text), terms)
-    per_doc = cut(starts.groupBy("_row").agg(F.collect_set(F.struct("start", "n", "phrase")).alias("starts")))
-    joined = k.select("_row", "doc_id", text).hint("merge").join(per_doc, "_row", "left")
-    checked = joined.select("_row", "doc_id", "starts", words(text).alias("w"))
-    same = lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["n"]), " ") == x["phrase"]
-    checked = checked.withColumn("hits", F.when(F.col("starts").isNotNull(), F.sort_array(F.filter("starts", same))))
-    return cut(
-        checked.select(
-            "_row",
-            "doc_id",
-            F.size("w").cast("long").alias("n_words"),
-            F.coalesce(_covered(F.col("hits")), F.lit(0)).cast("long").alias("n_hit"),
-            F.array_distinct(F.transform("hits", lambda x: x["phrase"])).alias("phrases"),
-        )
+    name = f"_hits_{uuid.uuid4().hex}"
+    row = f"{name}_row"
+    per_doc = cut(starts.groupBy(F.col("_row").alias(row)).agg(F.collect_set(F.struct("start", "n", "phrase")).alias(name)))
+    joined = docs.withColumn(row, content_key("doc_id", text)[0]).hint("merge").join(per_doc, row, "left").drop(row)
+    joined = joined.withColumn(f"{name}_w", words(text))
+    same = lambda x: F.array_join(F.slice(F.col(f"{name}_w"), x["start"] + 1, x["n"]), " ") == x["phrase"]
+    joined = joined.withColumn(name, F.when(F.col(name).isNotNull(), F.sort_array(F.filter(name, same))))
+    found = F.struct(
+        F.size(f"{name}_w").cast("long").alias("n_words"),
+        F.coalesce(_covered(F.col(name)), F.lit(0)).cast("long").alias("n_hit"),
+        F.array_distinct(F.transform(name, lambda x: x["phrase"])).alias("phrases"),
     )
+    return joined.withColumn(name, found).drop(f"{name}_w"), name
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    found = report(docs, items)
+    hit, name = with_hits(docs.select("doc_id", "text"), items)
+    found = cut(keyed(hit).select("_row", "_row2", "doc_id", f"{name}.*"))
     owners = benchmark_windows(items).select("phrase", "item_id")
-    hits = found.select("_row", F.explode("phrases").alias("phrase")).distinct().join(owners, "phrase")
-    named = hits.groupBy("_row").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    named = named.select(F.col("_row").alias("_r"), F.size("ids").cast("long").alias("n"), F.array_join(F.sort_array("ids"), ",").alias("list"))
-    out = found.join(named, F.col("_row") == F.col("_r"), "left")
+    hits = found.select("_row", "_row2", F.explode("phrases").alias("phrase")).distinct().join(owners, "phrase")
+    named = hits.groupBy("_row", "_row2").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    named = named.select("_row", "_row2", F.size("ids").cast("long").alias("n"), F.array_join(F.sort_array("ids"), ",").alias("list"))
+    out = found.join(named, ["_row", "_row2"], "left")
     return out.select(
         "doc_id",
         "n_words",
@@ -160,5 +167,5 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns kept."""
-    bad = report(docs.select("doc_id", "text"), items).where(F.col("n_hit") > 0).select("_row").distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["_row"], "left_anti")
+    hit, name = with_hits(docs, items)
+    return hit.where(F.col(f"{name}.n_hit") == 0).select(*docs.columns)
