@@ -176,7 +176,7 @@ def answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals of a bucket's words for each asking block, and a row with the bucket's token and word counts."""
     sizes, where, counts, at = _gather(pdf, 2)
     rest, tuning = (np.bincount(where, c).astype(np.int64) for c in counts)
-    rows = [(int(b), "w", int(k), press(np.concatenate([rest[w], tuning[w]]).astype("<u4")), 0, 0, 0, 0) for b, k, w in zip(pdf["block"], pdf["bucket"], (where[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True)]
+    rows = [(int(b), "w", int(k), press(np.concatenate([rest[w], tuning[w]]).astype("<u8")), 0, 0, 0, 0) for b, k, w in zip(pdf["block"], pdf["bucket"], (where[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True)]
     both = rest + tuning
     rows.append((-1, "s", 0, b"", int(rest.sum()), int((rest > 0).sum()), int(both.sum()), int((both > 0).sum())))
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "blob", "n1", "n2", "n3", "n4"])
@@ -188,7 +188,7 @@ class Known:
     def __init__(self, rows: pd.DataFrame) -> None:
         self.block = Block.unpack(rows.loc[rows["kind"] == "p", "blob"].iloc[0])
         words = rows[rows["kind"] == "w"].sort_values("bucket")["blob"]
-        parts = [unpress(b, "<u4").astype(np.int64).reshape(2, -1) for b in words]
+        parts = [unpress(b, "<u8").astype(np.int64).reshape(2, -1) for b in words]
         self.rest, self.tuning = np.concatenate(parts, axis=1)
         self.total = self.rest + self.tuning
         b = self.block
@@ -233,7 +233,7 @@ def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes, where, counts, at = _gather(pdf, 3)
     rest, tuning = (np.bincount(where, c).astype(np.int64) for c in counts[:2])
     total = rest + tuning
-    rows = [(int(b), "q", int(k), press(total[w].astype("<u4")), 0, 0, 0, 0) for b, k, w in zip(pdf["block"], pdf["bucket"], (where[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True)]
+    rows = [(int(b), "q", int(k), press(total[w].astype("<u8")), 0, 0, 0, 0) for b, k, w in zip(pdf["block"], pdf["bucket"], (where[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True)]
     own, code = counts[1], counts[2]
     live = code > 0
     seen = rest[where[live]]
@@ -274,7 +274,7 @@ def scorer(n: int, v: int, weights: dict[int, float]):
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         k = Known(rows)
         b = k.block
-        answers = [unpress(x, "<u4").astype(np.int64) for x in rows[rows["kind"] == "q"].sort_values("bucket")["blob"]]
+        answers = [unpress(x, "<u8").astype(np.int64) for x in rows[rows["kind"] == "q"].sort_values("bucket")["blob"]]
         pairs = np.zeros(len(k.pu), dtype=np.int64)
         if answers:
             pairs[k.order] = np.concatenate(answers)
