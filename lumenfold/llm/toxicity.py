@@ -34,6 +34,8 @@ DIMENSIONS = 1 << 20
 #: Bounds of the training sample: confirmed toxic documents and unlabelled ones.
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
+#: Features of a sampled document that training looks at, and documents of a doc_id: one.
+MAX_FEATURES = 8192
 #: A feature is used if its rate among confirmed toxic documents exceeds twice
 #: that among unlabelled ones by so many standard errors, in so many documents.
 MIN_Z = 4.0
@@ -62,11 +64,11 @@ def features(text: str | None) -> np.ndarray:
 
 
 def packed_features(text: str = "text"):
-    """The features of a text column as bytes of 32-bit integers."""
+    """The first ``MAX_FEATURES`` features of a text column, which are in no order of their own, as bytes of 32-bit integers."""
 
     @pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t).tobytes())
+        return texts.map(lambda t: features(t)[:MAX_FEATURES].tobytes())
 
     return packed(F.col(text))
 
@@ -83,7 +85,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray
     positive = first(usable.where("toxic = 1"), MAX_POSITIVE).select("doc_id", F.lit(True).alias("positive"))
     unlabelled = first(docs.where(~held_out()), MAX_UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
     chosen = positive.unionByName(unlabelled)  # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", packed_features().alias("f")).collect()
+    each = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", packed_features().alias("f"))
+    rows = each.groupBy("doc_id", "positive").agg(F.min("f").alias("f")).collect()  # at most so many rows of 4 MAX_FEATURES bytes
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
     unpack = lambda kind: [np.frombuffer(r["f"], dtype=np.int32) for r in rows if r["positive"] is kind]
     return unpack(True), unpack(False), prior
