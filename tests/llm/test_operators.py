@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.llm import decontaminate, html_text, language_model, lines, quality, queries, sentencepiece_fst, simhash, suffix_dedup, tokens, toxicity
+from lumenfold.llm import decontaminate, html_text, language_model, lines, near_copies, quality, queries, sentencepiece_fst, simhash, suffix_dedup, tokens, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,11 +58,12 @@ OPERATORS = {
     "toxicity": lambda d: toxicity.score_documents(d, d.select("doc_id", F.lit(None).cast("int").alias("toxic"))),
     "language_model": language_model.score_documents,
     "keep_first": simhash.keep_first,
+    "near_copies": near_copies.keep_first,
     "filter_documents": quality.filter_documents,
     "remove_repeated_lines": lines.remove_repeated_lines,
     "clean_documents": lambda d: decontaminate.clean_documents(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id = 4")),
 }
-WHOLE = [k for k in OPERATORS if k not in ("keep_first", "filter_documents", "clean_documents")]
+WHOLE = [k for k in OPERATORS if k not in ("keep_first", "near_copies", "filter_documents", "clean_documents")]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -74,7 +75,7 @@ def test_odd_input(spark, name):
     assert empty.count() == 0
 
 
-@pytest.mark.parametrize("name", ["filter_documents", "remove_repeated_lines", "clean_documents", "keep_first"])
+@pytest.mark.parametrize("name", ["filter_documents", "remove_repeated_lines", "clean_documents", "keep_first", "near_copies"])
 def test_other_columns_stay(spark, name):
     extra = ["_row", "exact", "near", "kept", "words", "line", "fp", "n_words", "component_id"]
     docs = frame(spark, ODD).select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in extra])
@@ -94,6 +95,29 @@ def test_sentencepiece_equals_library(corpus):
         assert fst.decode(ids) == text
 
 
+def test_encode_and_decode_columns(spark, corpus):
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    path = P.path("piece_bpe_32k.model")
+    docs = frame(spark, [r for r in corpus if r[0] is not None])
+    rows = docs.withColumn("ids", sentencepiece_fst.encode_column(path)).withColumn("back", sentencepiece_fst.decode_column(path)).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.ids == sp.encode(r.text or "") and r.back == (r.text or "")
+
+
+def test_seams_of_the_merge_order():
+    """The compiled merge tables agree with merging, on pairs of pieces."""
+    fst = sentencepiece_fst.Transducer.load(P.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    ids = [i for p, i in fst.ids.items() if fst.reached[i]]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(20_000)]
+    pairs += [(fst.ids[p[:k]], fst.ids[p[k:]]) for p in rng.sample(list(fst.ids), 3000) for k in range(1, len(p)) if p[:k] in fst.ids and p[k:] in fst.ids]
+    got = fst.apart(*(np.array(x) for x in zip(*pairs)))
+    for (a, b), apart in zip(pairs, got.tolist()):
+        x, y = fst.names[a], fst.names[b]
+        assert apart == (fst._merge(list(x + y))[0] == [x, y])
+
+
 def varint(n):
     out = b""
     while n > 127:
@@ -163,10 +187,24 @@ def test_tree_and_crowded_shards_lose_no_pair(spark, monkeypatch, shard, direct,
     monkeypatch.setattr(simhash, "SHARD", shard)
     monkeypatch.setattr(simhash, "DIRECT", direct)
     monkeypatch.setattr(simhash, "MAX_SHARD", most)
-    nodes = spark.createDataFrame([(int(f.view(np.int64)), i) for i, f in enumerate(fps)], "fp long, doc long")
-    roots = {r.u: r.root for r in simhash.components(simhash._links(nodes, 2)).collect()}
-    want = brute_components({i: int(f) for i, f in enumerate(fps)}, 2)
-    assert {i: roots.get(i, i) for i in want} == want
+    signed = fps.view(np.int64).tolist()
+    roots = {r.u: r.root for r in simhash.components(simhash._links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2)).collect()}
+    want = brute_components({i: f % 2**64 for i, f in enumerate(sorted(signed))}, 2)
+    assert {i: sorted(signed).index(roots.get(f, f)) for i, f in enumerate(sorted(signed))} == want
+
+
+def test_repeated_doc_ids_are_no_links(spark):
+    """A doc_id that stands on two texts links neither; only the first row of each group stays."""
+    one, two, three = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, one), (5, one), (5, two), (7, two), (5, three), (6, three), (6, three), (None, three)]
+    docs = frame(spark, [(*r, "en", "s", 0) for r in rows])
+    got = sorted(((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect()))
+    assert got == [(0, 5), (3, 3), (5, 3), (5, 5), (5, 5), (6, 5), (6, 5), (7, 5)]
+    for keep in (simhash.keep_first, near_copies.keep_first):
+        assert sorted((r.doc_id or 0, r.text[0]) for r in keep(docs).collect()) == [(0, "c"), (3, "a"), (5, "b"), (5, "c")]
+    far = frame(spark, [(5, one, "en", "s", 0), (5, two, "en", "s", 0), (6, three, "en", "s", 0), (6, three, "de", "t", 0)])
+    for keep in (simhash.keep_first, near_copies.keep_first):
+        assert sorted((r.doc_id, r.text[0]) for r in keep(far).collect()) == [(5, "a"), (5, "b"), (6, "c")]
 
 
 def test_token_shards(spark, corpus, tmp_path):
@@ -264,7 +302,9 @@ def test_html_templates_per_host(spark):
     assert html_module.unescape("&eacute;") == "é"
 
 
-def test_decontamination(spark, corpus):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination(spark, corpus, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     rng = random.Random(5)
     items = [(0, corpus[0][1]), (1, "w1 w2"), (2, "w1 w2"), (3, None), (4, "..."), (5, corpus[9][1]), (6, prose(rng, 25)), (10, "Zzz unknown"), (11, "A  B c d e")]
     rows = [r for r in corpus if r[0] is not None] + [(900, "x W1, w2! " + items[6][1].upper(), "en", "s", 0)]
@@ -297,10 +337,10 @@ def within_one(a, b):
     return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
 
 
-@pytest.mark.parametrize("most,crowd", [(2, 3), (2, 4096), (16, 4096)])
-def test_line_dedup(spark, monkeypatch, most, crowd):
+@pytest.mark.parametrize("most,parts", [(2, ()), (2, (8, 64)), (16, (8, 64))])
+def test_line_dedup(spark, monkeypatch, most, parts):
     monkeypatch.setattr(lines, "MAX_BUCKET", most)
-    monkeypatch.setattr(lines, "MAX_CROWD", crowd)
+    monkeypatch.setattr(lines, "PARTS", parts)
     rng = random.Random(2)
     base = ["the quick brown fox jumps over the lazy dog", "pack my box with five dozen jugs é today", "short", "  padded line that is long enough \r"]
     docs = []
@@ -332,6 +372,31 @@ def test_line_dedup(spark, monkeypatch, most, crowd):
     assert near
 
 
+def test_templates_are_not_paired_up(spark):
+    """Ids in the last sixth of 20 templates whose second halves are shared: few pairs a line, and no link is lost."""
+    rng = random.Random(6)
+    heads = ["".join(rng.choice("abcdefghij ") for _ in range(30)) for _ in range(20)]
+    tail = "the second half of them "
+    rows = [(k, "\n".join(f"{h}{tail}{i:09d}" for h in heads), "en", "s", 0) for k, i in enumerate(rng.sample(range(10**9), 250) + [7, 8])]
+    docs = lines.keyed(frame(spark, rows))
+    _, distinct = lines.distinct_lines(docs)
+    pairs, links, texts = lines.candidates(docs, distinct.select("h1", "h2", "first", "own", "short"))
+    assert distinct.count() == 252 * 20
+    assert pairs.count() + links.count() < 20 * 252 * 20
+    got = {r.doc_id: r.n_near for r in lines.line_report(frame(spark, rows)).collect()}
+    assert got.pop(251) == 20 and not any(got.values())
+
+
+def test_repeated_rows_and_very_long_lines(spark):
+    a = "a line that is long enough to be near"
+    long = "".join(random.Random(1).choice("abcdef") for _ in range(100_000))
+    rows = [(5, a + "\n\nshort", "en", "s", 0)] * 3 + [(6, a + "s", "en", "s", 0), (7, long, "en", "s", 0), (8, long[:50_000] + "Z" + long[50_000:], "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0)]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_exact, r.n_near) for r in lines.line_report(frame(spark, rows)).collect())
+    assert got == [(0, 0, 0, 0)] * 2 + [(5, 2, 0, 0), (5, 2, 2, 0), (5, 2, 2, 0), (6, 1, 0, 1), (7, 1, 0, 0), (8, 1, 0, 1)]
+    texts = sorted(r.text for r in lines.remove_repeated_lines(frame(spark, rows)).where("doc_id = 5").collect())
+    assert texts == ["", "", a + "\n\nshort"]
+
+
 def test_banded_edit_distance(spark):
     rng = random.Random(4)
     pairs = []
