@@ -70,6 +70,25 @@ def period_at(dt: Column, period: Column, a: Column, model: str = "constant") ->
     return period * (1 + a * dt) if model == "constant" else period * F.exp(a * dt)
 
 
+def delay(dt: Column, a: Column, model: str = "constant") -> Column:
+    """How late events run against a clock of the reference period: a/2 dt^2 to first order."""
+    return dt - warp(dt, a, model)
+
+
+def pdot_at(dt: Column, period: Column, a: Column, model: str = "constant") -> Column:
+    """Rate of the period at dt."""
+    return a * period if model == "constant" else a * period * F.exp(a * dt)
+
+
+def fractional_change(start: Column, end: Column, a: Column, model: str = "constant") -> Column:
+    """P(end) / P(start) - 1; null where the period passes through zero."""
+    return (1 + a * end) / F.nullif(1 + a * start, F.lit(0.0)) - 1 if model == "constant" else F.expm1(a * (end - start))
+
+
+def available_models() -> tuple[str, ...]:
+    return ("constant", "exponential")
+
+
 def phase(tau: Column, period: Column) -> Column:
     q = tau / period
     return q - F.floor(q)

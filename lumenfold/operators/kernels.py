@@ -8,16 +8,23 @@ memory is bounded by CHUNK values however long the grid is.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import special
+from . import grids, nufft
 from .boxes import limb_darkened
 
 CHUNK = 1 << 19
+#: Values of a working array that stays in a processor's cache.
+CACHED = 1 << 15
+#: Points times trials from which equally spaced trials go through the FFT.
+FFT_FROM = 1 << 18
 MINIMISED = frozenset({"pdm", "ce", "sl"})
 
 
@@ -37,27 +44,45 @@ def _phase(tau: np.ndarray, f: np.ndarray) -> np.ndarray:
     return q - np.floor(q)
 
 
+def _sorted_phases(tau: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phases of each trial in ascending order, and the points they belong to; equal phases in the order of points.
+
+    Phase and point are packed into one integer, as plain sorting is several times faster than sorting an index.
+    """
+    bits = max(1, (len(tau) - 1).bit_length())
+    scale = float(1 << (62 - bits))
+    packed = (_phase(tau, f) * scale).astype(np.int64) << bits | np.arange(len(tau))
+    packed.sort(axis=1)
+    return (packed >> bits) / scale, packed & ((1 << bits) - 1)
+
+
+def _trig_sums(tau: np.ndarray, rows: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+    """sum of row * exp(2 pi i f tau) for each row and frequency."""
+    even = nufft.uniform(frequencies) if len(tau) * len(frequencies) >= FFT_FROM else None
+    if even:
+        return nufft.sums(tau, rows, *even, len(frequencies))
+    out = np.empty((len(rows), len(frequencies)), dtype=complex)
+    for part, f in _chunks(frequencies, len(tau)):
+        th = 2 * np.pi * f[:, None] * tau[None, :]
+        out[:, part] = rows @ np.cos(th).T + 1j * (rows @ np.sin(th).T)
+    return out
+
+
 def gls(tau, y, dy, frequencies, fit_mean: bool = True):
     """Generalised Lomb-Scargle power."""
     w = _weights(dy, len(y))
     yc = y - np.sum(w * y)
     yy = np.sum(w * yc * yc)
-    out = np.zeros(len(frequencies))
     if yy <= (64 * np.finfo(float).eps * np.max(np.abs(y), initial=0)) ** 2:
-        return out
-    for part, f in _chunks(frequencies, len(y)):
-        th = 2 * np.pi * f[:, None] * tau[None, :]
-        c, s = np.cos(th), np.sin(th)
-        yc_, ys_ = c @ (w * yc), s @ (w * yc)
-        c2 = 2 * ((c * c) @ w) - 1
-        s2 = 2 * ((c * s) @ w)
-        cm, sm = (c @ w, s @ w) if fit_mean else (0.0, 0.0)
-        cc, ss, cs = (1 + c2) / 2 - cm * cm, (1 - c2) / 2 - sm * sm, s2 / 2 - cm * sm
-        d = yy * (cc * ss - cs * cs)
-        with np.errstate(all="ignore"):
-            p = (ss * yc_**2 + cc * ys_**2 - 2 * cs * yc_ * ys_) / d
-        out[part] = np.where((np.abs(d) > 1e-12 * yy) & (p > 0), np.minimum(p, 1), 0)
-    return out
+        return np.zeros(len(frequencies))
+    once, data = _trig_sums(tau, np.stack([w, w * yc]), frequencies)
+    twice = _trig_sums(2 * tau, w[None, :], frequencies)[0]
+    cm, sm = (once.real, once.imag) if fit_mean else (0.0, 0.0)
+    cc, ss, cs = (1 + twice.real) / 2 - cm * cm, (1 - twice.real) / 2 - sm * sm, twice.imag / 2 - cm * sm
+    d = yy * (cc * ss - cs * cs)
+    with np.errstate(all="ignore"):
+        p = (ss * data.real**2 + cc * data.imag**2 - 2 * cs * data.real * data.imag) / d
+    return np.where((np.abs(d) > 1e-12 * yy) & (p > 0), np.minimum(p, 1), 0)
 
 
 def pdm(tau, y, dy, frequencies, n_bins: int = 10, n_covers: int = 3):
@@ -71,13 +96,15 @@ def pdm(tau, y, dy, frequencies, n_bins: int = 10, n_covers: int = 3):
     for part, f in _chunks(frequencies, n):
         m = len(f)
         b = np.clip((_phase(tau, f) * g).astype(np.int64), 0, g - 1) + np.arange(m)[:, None] * g
-        hist = [np.bincount(b.ravel(), np.tile(v, m), m * g).reshape(m, g) for v in (np.ones(n), yc, yc * yc)]
-        ssd, filled = np.zeros(m), np.zeros(m)
+        b = b.ravel()
+        hist = [np.bincount(b, minlength=m * g).reshape(m, g), np.bincount(b, np.tile(yc, m), m * g).reshape(m, g)]
+        # every point is in one bin of each cover, so the squares need no histogram
+        ssd, filled = np.full(m, n_covers * np.sum(yc * yc)), np.zeros(m)
         for c in range(n_covers):
-            k, s1, s2 = (np.roll(h, c, axis=1).reshape(m, n_bins, n_covers).sum(axis=2) for h in hist)
-            live = k > 0
-            ssd += np.where(live, s2 - s1 * s1 / np.maximum(k, 1), 0).sum(axis=1)
-            filled += live.sum(axis=1)
+            k, s1 = (np.roll(h, c, axis=1).reshape(m, n_bins, n_covers).sum(axis=2) for h in hist)
+            ssd -= (s1 * s1 / np.maximum(k, 1)).sum(axis=1)
+            filled += (k > 0).sum(axis=1)
+        ssd = np.maximum(ssd, 0)
         dof = n * n_covers - filled
         with np.errstate(all="ignore"):
             out[part] = np.where(dof > 0, ssd / dof / sigma2, np.inf)
@@ -108,9 +135,8 @@ def sl(tau, y, dy, frequencies):
     v = (y - lo) / (hi - lo) * 0.5 - 0.25 if hi > lo else np.zeros(n)
     out = np.empty(len(frequencies))
     for part, f in _chunks(frequencies, n):
-        ph = _phase(tau, f)
-        order = np.argsort(ph, axis=1, kind="stable")
-        p, m = np.take_along_axis(ph, order, axis=1), v[order]
+        p, order = _sorted_phases(tau, f)
+        m = v[order]
         out[part] = np.hypot(np.diff(p, axis=1), np.diff(m, axis=1)).sum(axis=1) + np.hypot(p[:, 0] + 1 - p[:, -1], m[:, 0] - m[:, -1])
     return out
 
@@ -125,11 +151,30 @@ def mhaov(tau, y, dy, frequencies, harmonics: int = 3):
     out = np.zeros(len(frequencies))
     if total <= 0:
         return out
-    for part, f in _chunks(frequencies, n * (2 * h + 1)):
-        th = 2 * np.pi * f[:, None] * tau[None, :]
-        basis = np.stack([np.ones_like(th), *(fn(k * th) for k in range(1, h + 1) for fn in (np.cos, np.sin))], axis=2)
-        gram = np.einsum("mni,mnj->mij", basis, basis) + 1000 * np.finfo(float).eps * n * np.eye(2 * h + 1)
-        rhs = np.einsum("mni,n->mi", basis, yc)
+    ones, data = [], []
+    for k in range(1, 2 * h + 1):  # all inner products of the harmonics are such sums
+        rows = np.stack([np.ones(n), yc])[: 2 if k <= h else 1]
+        found = _trig_sums(k * tau, rows, frequencies)
+        ones.append(found[0])
+        data.extend(found[1:])
+    for a in range(0, len(frequencies), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        one = [np.full(len(frequencies[part]), float(n), dtype=complex), *(x[part] for x in ones)]
+        gram = np.empty((len(one[0]), 2 * h + 1, 2 * h + 1))
+        rhs = np.zeros((len(one[0]), 2 * h + 1))
+        gram[:, 0, 0] = n
+        for i in range(1, h + 1):
+            gram[:, 0, 2 * i - 1], gram[:, 0, 2 * i] = one[i].real, one[i].imag
+            rhs[:, 2 * i - 1], rhs[:, 2 * i] = data[i - 1][part].real, data[i - 1][part].imag
+            for j in range(i, h + 1):
+                less = one[j - i]  # exp(i(j - k)) and exp(i(j + k)) give the products of cosines and sines
+                gram[:, 2 * i - 1, 2 * j - 1] = (less.real + one[i + j].real) / 2
+                gram[:, 2 * i, 2 * j] = (less.real - one[i + j].real) / 2
+                gram[:, 2 * i - 1, 2 * j] = (one[i + j].imag + less.imag) / 2
+                gram[:, 2 * i, 2 * j - 1] = (one[i + j].imag - less.imag) / 2
+        low = np.tril_indices(2 * h + 1, -1)
+        gram[:, low[0], low[1]] = gram[:, low[1], low[0]]
+        gram += 1000 * np.finfo(float).eps * n * np.eye(2 * h + 1)
         beta = np.linalg.solve(gram, rhs[:, :, None])[:, :, 0]
         model = np.clip((beta * rhs).sum(axis=1), 0, total)
         out[part] = (model / (2 * h)) / (np.maximum(total - model, 1e-300) / (n - 2 * h - 1))
@@ -137,33 +182,53 @@ def mhaov(tau, y, dy, frequencies, harmonics: int = 3):
 
 
 def bls(tau, y, dy, frequencies, n_durations: int = 8, oversample: int = 10):
-    """Box search: snr of the deepest box per trial. Durations are 1 to 12 % of the period's octave."""
+    """Box search: snr of the deepest box per trial. Durations are 1 to 12 % of the period's octave.
+
+    Periods of an octave share their durations and slots; as many as fit are binned at once.
+    """
     iv = 1.0 / dy**2 if dy is not None and np.isfinite(dy).all() else np.ones(len(y))
-    yc = y - np.median(y)
-    total_a, total_iv = np.sum(yc * iv), np.sum(iv)
+    total_iv = np.sum(iv)
+    yc = y - np.sum(y * iv) / total_iv  # a box's depth in errors is then -inside / sqrt(weight inside * weight outside / weight)
     floor = 4 * len(y) * np.finfo(float).eps * total_iv
     out = np.zeros(len(frequencies))
     periods = 1.0 / frequencies
     lowest = periods.min()
-    for i, p in enumerate(periods):
-        base = lowest * 2.0 ** math.floor(math.log2(p / lowest) + 1e-12)
+    octave = np.floor(np.log2(periods / lowest) + 1e-12).astype(np.int64)
+    for o in np.unique(octave):
+        base = lowest * 2.0 ** float(o)
         durations = np.geomspace(0.01 * base, 0.12 * base, n_durations)
         width = durations[0] / oversample
-        slots = int(math.ceil(p / width)) + oversample
-        b = (np.mod(tau, p) / width).astype(np.int64) + 1
-        a, v = (np.bincount(b, x, slots + 1)[: slots + 1] for x in (yc * iv, iv))
-        a[slots - oversample + 1 :], v[slots - oversample + 1 :] = a[1 : oversample + 1], v[1 : oversample + 1]
-        ca, cv = np.cumsum(a), np.cumsum(v)
-        for kd in np.unique(np.floor(durations / width + 0.5).astype(np.int64)):
-            if kd >= slots:
-                continue
-            ina, inv = ca[kd:] - ca[:-kd], cv[kd:] - cv[:-kd]
-            with np.errstate(all="ignore"):
-                depth = (total_a - ina) / (total_iv - inv) - ina / inv
-                snr = depth / np.sqrt(1 / inv + 1 / (total_iv - inv))
-            good = (inv > floor) & (total_iv - inv > floor) & (depth >= 0)
-            if good.any():
-                out[i] = max(out[i], snr[good].max())
+        boxes = np.unique(np.floor(durations / width + 0.5).astype(np.int64))
+        who = np.flatnonzero(octave == o)
+        most = int(math.ceil(periods[who].max() / width)) + oversample + 1
+        step = max(1, CACHED // most)
+        for a in range(0, len(who), step):
+            rows = who[a : a + step]
+            p = periods[rows]
+            slots = np.ceil(p / width).astype(np.int64) + oversample
+            m = len(rows)
+            b = ((np.mod(tau[None, :], p[:, None]) / width).astype(np.int64) + 1 + np.arange(m)[:, None] * most).ravel()
+            sums = []
+            for x in (yc * iv, iv):
+                h = np.bincount(b, np.tile(x, m), m * most).reshape(m, most)
+                ends = (slots - oversample + 1)[:, None] + np.arange(oversample)
+                np.put_along_axis(h, ends, h[:, 1 : oversample + 1], axis=1)  # the begin of the period once more behind its end
+                h[np.arange(most)[None, :] > slots[:, None]] = 0
+                sums.append(np.cumsum(h, axis=1))
+            ca, cv = sums
+            best = np.zeros(m)
+            for kd in boxes:
+                if kd >= most:
+                    continue
+                ina, inv = ca[:, kd:] - ca[:, :-kd], cv[:, kd:] - cv[:, :-kd]
+                rest = total_iv - inv
+                bad = (inv <= floor) | (rest <= floor) | (ina > 0) | (np.arange(kd, most)[None, :] > slots[:, None])
+                rest *= inv
+                np.putmask(rest, bad, np.inf)
+                ina *= ina
+                ina /= rest
+                best = np.maximum(best, ina.max(axis=1))
+            out[rows] = np.sqrt(best * total_iv)
     return out
 
 
@@ -192,13 +257,21 @@ def tls(tau, y, dy, frequencies, n_bins: int = 256, shapes: int = 5):
 
 
 def _smooth(x: np.ndarray, y: np.ndarray, w: np.ndarray, window: int, leave_out: bool) -> np.ndarray:
-    """Weighted straight line through each circular window of ``window`` points, at its middle point."""
+    """Weighted straight line through each circular window of ``window`` points, at its middle point, for each row."""
     h = window // 2
-    xp, yp, wp = np.r_[x[-h:] - 1, x, x[:h] + 1], np.r_[y[-h:], y, y[:h]], np.r_[w[-h:], w, w[:h]]
-    sums = [np.r_[0, np.cumsum(v)] for v in (wp, wp * xp, wp * yp, wp * xp * xp, wp * xp * yp)]
-    s, sx, sy, sxx, sxy = (c[2 * h + 1 :] - c[: -2 * h - 1] for c in sums)
+    around = lambda v, step: np.concatenate([v[:, -h:] - step, v, v[:, :h] + step], axis=1)
+    xp, yp, wp = around(x, 1.0), around(y, 0.0), around(w, 0.0)
+    wx = wp * xp
+    sums = []
+    for v in (wp, wx, wp * yp, wx * xp, wx * yp):
+        c = np.cumsum(v, axis=1)
+        each = c[:, 2 * h :].copy()
+        each[:, 1:] -= c[:, : -2 * h - 1]
+        sums.append(each)
+    s, sx, sy, sxx, sxy = sums
     if leave_out:
-        s, sx, sy, sxx, sxy = s - w, sx - w * x, sy - w * y, sxx - w * x * x, sxy - w * x * y
+        own = w * x
+        s, sx, sy, sxx, sxy = s - w, sx - own, sy - w * y, sxx - own * x, sxy - own * y
     d = s * sxx - sx * sx
     with np.errstate(all="ignore"):
         slope = np.where(d > 32 * np.finfo(float).eps * s * sxx, (s * sxy - sx * sy) / d, 0.0)
@@ -215,19 +288,17 @@ def supersmoother(tau, y, dy, frequencies, spans=(0.05, 0.2, 0.5)):
         return np.zeros(len(frequencies))
     windows = [min(max(3, int(s * n) | 1), 2 * ((n - 1) // 2) + 1) for s in spans]
     out = np.empty(len(frequencies))
-    for i, f in enumerate(frequencies):
-        q = tau * f
-        ph = q - np.floor(q)
-        o = np.argsort(ph, kind="stable")
-        x, v, wt, er = ph[o], y[o], w[o], e[o]
+    for part, f in _chunks(frequencies, n * (CHUNK // CACHED)):
+        x, o = _sorted_phases(tau, f)
+        v, wt, er = y[o], w[o], e[o]
         fits = np.stack([_smooth(x, v, wt, k, True) for k in windows])
         residual = np.stack([_smooth(x, np.abs(v - s) / er, wt, windows[1], False) for s in fits])
         span = _smooth(x, np.array(spans)[np.argmin(residual, axis=0)], wt, windows[1], False)
         at = np.clip(np.searchsorted(spans, span) - 1, 0, len(spans) - 2)
-        part = np.clip((span - np.array(spans)[at]) / np.diff(spans)[at], 0, 1)
-        pick = np.arange(n)
-        model = _smooth(x, (1 - part) * fits[at, pick] + part * fits[at + 1, pick], wt, windows[0], False)
-        out[i] = 1 - np.mean(np.abs(v - model) / er) / base
+        share = np.clip((span - np.array(spans)[at]) / np.diff(spans)[at], 0, 1)
+        low, high = (np.take_along_axis(fits, k[None], axis=0)[0] for k in (at, at + 1))
+        model = _smooth(x, (1 - share) * low + share * high, wt, windows[0], False)
+        out[part] = 1 - np.mean(np.abs(v - model) / er, axis=1) / base
     return out
 
 
@@ -254,44 +325,86 @@ def _no_rows(whole: list[str], numbers: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"object_id": pd.Series([], dtype=object), **{c: pd.Series([], dtype="int64") for c in whole}, **{c: pd.Series([], dtype="float64") for c in numbers}})
 
 
-def spectrum(obs: DataFrame, method: str, nf: int | None = None, fmax: float | None = None, **settings) -> DataFrame:
-    """object_id, k, f, power of each object: ``nf`` trials from 1/T in steps of 1/(5T), or up to ``fmax``."""
-    kernel = METHODS[method]
+#: Settings that each method takes beside its grid.
+SETTINGS = {
+    "gls": {"fit_mean"}, "pdm": {"n_bins", "n_covers"}, "ce": {"n_phase", "n_mag"}, "sl": set(), "mhaov": {"harmonics"},
+    "bls": {"n_durations", "oversample"}, "tls": {"n_bins", "shapes"}, "supersmoother": {"spans"},
+}
+
+
+def list_methods() -> list[str]:
+    return sorted(METHODS)
+
+
+def get_method(name: str, **settings) -> Callable:
+    """The kernel of a method (letters in either case, hyphens and blanks as underscores) after a check of its settings."""
+    key = re.sub("[-_ ]+", "", name.lower())
+    found = next((m for m in METHODS if m.replace("_", "") == key), None) or {"lombscargle": "gls", "conditionalentropy": "ce", "stringlength": "sl", "aov": "mhaov"}.get(key)
+    if found is None:
+        raise ValueError(f"unknown method {name!r}; there are {', '.join(list_methods())}")
+    if wrong := set(settings) - SETTINGS[found]:
+        raise ValueError(f"{found} has no setting {', '.join(sorted(wrong))}")
+    return METHODS[found]
+
+
+def _grid_of(pdf: pd.DataFrame, nf: int | None, fmax: float | None, span: float) -> np.ndarray:
+    if "_nf" in pdf:
+        row = pdf.iloc[0]
+        return row["_f0"] + row["_df"] * np.arange(int(row["_nf"]))
+    return 1.0 / span + np.arange(nf) * (1.0 / (5.0 * span)) if nf else frequency_grid(span, fmax)
+
+
+def _with_grid(obs: DataFrame, grid: DataFrame | None) -> DataFrame:
+    """Points with their object's grid beside them; objects without a grid are left out."""
+    if grid is None:
+        return obs
+    return obs.join(grid.select("object_id", F.col("f0").alias("_f0"), F.col("df").alias("_df"), F.col("nf").alias("_nf")), "object_id")
+
+
+def spectrum(obs: DataFrame, method: str, nf: int | None = None, fmax: float | None = None, grid: DataFrame | None = None, **settings) -> DataFrame:
+    """object_id, k, f, power of each object: ``nf`` trials from 1/T in steps of 1/(5T), up to ``fmax``, or those of ``grid`` (see ``grids``)."""
+    kernel = get_method(method, **settings)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, y, dy = _points(pdf)
         span = t[-1] - t[0] if len(t) else 0.0
         if span <= 0:
             return _no_rows(["k"], ["f", "power"])
-        f = 1.0 / span + np.arange(nf) * (1.0 / (5.0 * span)) if nf else frequency_grid(span, fmax)
+        f = _grid_of(pdf, nf, fmax, span)
         p = kernel(t - t[0], y, dy, f, **settings)
         return pd.DataFrame({"object_id": pdf["object_id"].iloc[0], "k": np.arange(len(f)), "f": f, "power": p})
 
-    return obs.groupBy("object_id").applyInPandas(run, "object_id string, k long, f double, power double")
+    return _with_grid(obs, grid).groupBy("object_id").applyInPandas(run, "object_id string, k long, f double, power double")
 
 
-def best_periods(obs: DataFrame, method: str, nf: int, n: int = 1, separation: int = 15, **settings) -> DataFrame:
-    """The ``n`` best trials of each object without returning its spectrum: object_id, rank, period, f, power, fap."""
-    kernel = METHODS[method]
+def best_periods(obs: DataFrame, method: str, nf: int | None = None, n: int = 1, separation: int = 15, grid: DataFrame | None = None, **settings) -> DataFrame:
+    """The ``n`` best trials of each object without returning its spectrum: object_id, rank, k, period, f, power, fap."""
+    kernel = get_method(method, **settings)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, y, dy = _points(pdf)
-        cols = {"object_id": [], "rank": [], "period": [], "f": [], "power": [], "fap": []}
+        cols = {"object_id": [], "rank": [], "k": [], "period": [], "f": [], "power": [], "fap": []}
         span = t[-1] - t[0] if len(t) else 0.0
         if span > 0:
-            f = 1.0 / span + np.arange(nf) * (1.0 / (5.0 * span))
+            f = _grid_of(pdf, nf, None, span)
             p = kernel(t - t[0], y, dy, f, **settings)
             score = np.round(np.where(np.isfinite(p), -p if method in MINIMISED else p, -np.inf), 9)
             taken: list[int] = []
-            for k in np.lexsort((np.arange(nf), -score)):
-                if len(taken) == n:
-                    break
-                if all(abs(k - x) >= separation for x in taken):
-                    taken.append(int(k))
+            free = np.ones(len(f), dtype=bool)
+            while len(taken) < n and free.any():
+                k = int(np.flatnonzero(free)[np.argmax(score[free])])
+                taken.append(k)
+                free[max(0, k - separation + 1) : k + separation] = False
             for r, k in enumerate(taken):
                 fap = float(special.baluev_fap(p[k], t, _weights(dy, len(t)), f[-1])) if method == "gls" else float("nan")
-                for c, v in zip(cols, (pdf["object_id"].iloc[0], r + 1, 1 / f[k], f[k], p[k], fap), strict=True):
+                for c, v in zip(cols, (pdf["object_id"].iloc[0], r + 1, k, 1 / f[k], f[k], p[k], fap), strict=True):
                     cols[c].append(v)
-        return pd.DataFrame(cols) if cols["rank"] else _no_rows(["rank"], ["period", "f", "power", "fap"])
+        return pd.DataFrame(cols) if cols["rank"] else _no_rows(["rank", "k"], ["period", "f", "power", "fap"])
+
+    return _with_grid(obs, grid).groupBy("object_id").applyInPandas(run, "object_id string, rank long, k long, period double, f double, power double, fap double")
+
 
-    return obs.groupBy("object_id").applyInPandas(run, "object_id string, rank long, period double, f double, power double, fap double")
+def periodogram(obs: DataFrame, method: str = "gls", n: int = 1, grid_settings: dict | None = None, **settings) -> DataFrame:
+    """The ``n`` best periods of each object on the method's automatic grid."""
+    kernel_name = next(k for k, v in METHODS.items() if v is get_method(method, **settings))
+    return best_periods(obs, kernel_name, n=n, grid=grids.default_grid(obs, kernel_name, **(grid_settings or {})), **settings)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import physics
 from . import spectra
@@ -51,3 +52,19 @@ def eddington_plakidis(oc: DataFrame, max_lag: int) -> DataFrame:
     b = oc.select("object_id", F.col("e").alias("e2"), F.col("oc").alias("oc2"))
     pairs = a.join(b, (a["object_id"] == b["object_id"]) & (F.col("e2") > F.col("e1")) & (F.col("e2") <= F.col("e1") + max_lag)).select(a["object_id"], (F.col("e2") - F.col("e1")).alias("lag"), F.abs(F.col("oc2") - F.col("oc1")).alias("u"))
     return pairs.groupBy("object_id", "lag").agg(F.avg("u").alias("mean_u"), F.count("*").alias("pairs"))
+
+
+def detectable_rate(timings: DataFrame, period: float, error: float) -> DataFrame:
+    """object_id, n, baseline, sigma_rate and sigma_period: formal errors of a quadratic ephemeris through an object's times.
+
+    Each time has the 1-sigma ``error`` (days). The inverse of the normal matrix is written out from power sums of the centred times.
+    """
+    g = Window.partitionBy("object_id")
+    x = timings.withColumn("x", F.col("t") - F.avg("t").over(g)).withColumn("unit", F.max(F.abs("x")).over(g)).where("unit > 0").withColumn("x", F.col("x") / F.col("unit"))
+    s = x.groupBy("object_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("baseline"), F.first("unit").alias("unit"), *[F.sum(F.pow("x", F.lit(float(k)))).alias(f"s{k}") for k in (1, 2, 3, 4)])
+    det = F.col("n") * (F.col("s2") * F.col("s4") - F.col("s3") * F.col("s3")) - F.col("s1") * (F.col("s1") * F.col("s4") - F.col("s2") * F.col("s3")) + F.col("s2") * (F.col("s1") * F.col("s3") - F.col("s2") * F.col("s2"))
+    s = s.withColumn("det", det).where(F.col("det") > 1e-9 * F.col("n"))
+    v2 = (F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")) / F.col("det")
+    v1 = (F.col("n") * F.col("s4") - F.col("s2") * F.col("s2")) / F.col("det")
+    rate = 2 * period * error * F.sqrt(v2) / (F.col("unit") * F.col("unit"))
+    return s.select("object_id", "n", "baseline", rate.alias("sigma_rate"), (period * error * F.sqrt(v1) / F.col("unit")).alias("sigma_period"))

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kernels
+from ..operators import grids, kernels
 from ..sources import observations
 
 
@@ -27,7 +27,7 @@ def _manifest(spark: SparkSession, sink: str) -> dict | None:
 
 def _results(spark: SparkSession, sink: str) -> DataFrame | None:
     try:
-        return spark.read.option("ignoreCorruptFiles", "true").parquet(f"{sink}/results")
+        return spark.read.parquet(f"{sink}/results")  # a damaged part fails the run; nothing is searched again without a word
     except AnalysisException:
         return None
 
@@ -42,12 +42,15 @@ def check_request(stored: dict | None, methods: list[str], settings: dict) -> di
 def failures(obs: DataFrame, min_points: int = 4) -> DataFrame:
     """Objects that cannot be searched, and why."""
     n = observations.usable_counts(obs.withColumn("dy", F.coalesce("dy", F.lit(1.0))))
-    reason = F.when(F.col("n_finite") == 0, "no finite point").when(F.col("n_usable") == 0, "no usable error").when(F.col("n_usable") < min_points, "too few points")
+    reason = F.when(F.col("n_finite") == 0, "no finite point").when(F.col("n_usable") == 0, "no usable error").when(F.col("n_usable") < min_points, "too few points").when(F.col("baseline") <= 0, "no time baseline")
     return n.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("object_id", "reason")
 
 
-def run(obs: DataFrame, methods: list[str], sink: str, nf: int = 1000, n_best: int = 3, min_points: int = 4) -> DataFrame:
-    """Best periods of all objects by all methods, appended to ``sink``; returns everything the sink holds."""
+def run(obs: DataFrame, methods: list[str], sink: str, nf: int | None = None, n_best: int = 3, min_points: int = 4) -> DataFrame:
+    """Best periods of all objects by all methods, appended to ``sink``; returns everything the sink holds.
+
+    Each object is searched on the method's automatic grid, or on ``nf`` trials. Objects that cannot be searched are listed under failures.
+    """
     spark = obs.sparkSession
     settings = {"nf": nf, "n_best": n_best, "min_points": min_points}
     request = check_request(_manifest(spark, sink), methods, settings)
@@ -59,7 +62,7 @@ def run(obs: DataFrame, methods: list[str], sink: str, nf: int = 1000, n_best: i
         done, todo = _results(spark, sink), usable
         if done is not None:
             todo = usable.join(done.where(F.col("method") == method).select("object_id").distinct(), "object_id", "left_anti")
-        found = kernels.best_periods(todo, method, nf, n_best)
+        found = kernels.best_periods(todo, method, nf, n_best, grid=None if nf else grids.default_grid(todo, method))
         found.withColumn("method", F.lit(method)).write.mode("append").partitionBy("method").parquet(f"{sink}/results")
     return _results(spark, sink)
 

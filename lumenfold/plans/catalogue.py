@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import boxes, kernels, models, multiband, peaks, period_change, prewhitening, spectra, tracking, windows
+from ..operators import boxes, grids, kernels, models, multiband, peaks, period_change, prewhitening, spectra, tracking, windows
 from ..sources import observations as obs_source
 from ..streaming import spectra as streaming
-from . import batch, session
+from . import batch
 
 #: table -> object, time, value, band, row number
 SERIES = {
@@ -210,11 +210,106 @@ _spectrum_query(
 )
 
 
-@query("gls_best_period", f"{_gls_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS rn FROM spec) SELECT object_id, k, {_r('f')} AS f, {_r('power')} AS power, {_r('1::DOUBLE / f')} AS period FROM b WHERE rn = 1")
+#: The automatic grid of Lomb-Scargle searches; none of the driver's event times lie on a lattice, whole days do.
+_AUTO = (
+    "st AS (SELECT object_id, count(*) AS n, max(t) - min(t) AS baseline FROM obs GROUP BY object_id HAVING max(t) > min(t)), "
+    "ag AS (SELECT object_id, 1::DOUBLE / baseline AS f0, 1::DOUBLE / (5::DOUBLE * baseline) AS df, 2.5::DOUBLE * n / baseline AS fmax, floor((2.5::DOUBLE * n / baseline - 1::DOUBLE / baseline) / (1::DOUBLE / (5::DOUBLE * baseline)) + 0.5 - 1e-6)::BIGINT + 1 AS nf, n, baseline FROM st)"
+)
+
+
+def _auto_sql(weighted: bool = True) -> str:
+    grid = "grid AS (SELECT cent.*, r.k, f0 + r.k * df AS f FROM (SELECT cent.*, f0, df, nf FROM cent JOIN ag USING (object_id)) cent, LATERAL (SELECT unnest(range(nf)) AS k) r)"
+    return f"WITH {_obs_sql()}, {_AUTO}, {_centred(weighted)}, {grid}, {_trig()}, spec AS (SELECT object_id, k, f, {_power()} AS power, n, baseline FROM trig)"
+
+
+@query("gls_best_period", f"{_auto_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS rn FROM spec) SELECT object_id, k, {_r('f')} AS f, {_r('power')} AS power, {_r('1::DOUBLE / f')} AS period FROM b WHERE rn = 1")
 def gls_best_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(kernels.periodogram(series(spark, sf_dir), "gls"), "object_id k", "f power period")
+
+
+@query("gls_short_grid_best", f"{_gls_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS rn FROM spec) SELECT object_id, k, {_r('f')} AS f, {_r('power')} AS power, {_r('1::DOUBLE / f')} AS period FROM b WHERE rn = 1")
+def gls_short_grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(peaks.best_peak(spectra.gls(series(spark, sf_dir), NF)), "object_id k", "f power period")
 
 
+@query("default_grid_gls", f"WITH {_obs_sql()}, {_AUTO} SELECT object_id, n, nf, {_r('f0')} AS f0, {_r('df', 9)} AS df, {_r('fmax')} AS fmax FROM ag")
+def default_grid_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grids.gls_grid(series(spark, sf_dir))
+    return emit(g, "object_id n nf", "f0 fmax").join(g.select("object_id", (F.round("df", 9) + F.lit(0.0)).alias("df")), "object_id")
+
+
+_VISITS = (
+    "gp AS (SELECT *, t - lag(t) OVER w AS gap FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY t, rid)), gm AS (SELECT *, quantile_cont(CASE WHEN gap > 0 THEN gap END, 0.5) OVER (PARTITION BY object_id) AS mg FROM gp), "
+    "gv AS (SELECT *, CASE WHEN gap > 10 * mg THEN 1 ELSE 0 END AS nw FROM gm), vi AS (SELECT *, sum(nw) OVER (PARTITION BY object_id ORDER BY t, rid ROWS UNBOUNDED PRECEDING) AS visit FROM gv), vs AS (SELECT *, count(*) OVER (PARTITION BY object_id, visit) AS size FROM vi), "
+    "stt AS (SELECT object_id, visit, min(t) AS st FROM vs GROUP BY ALL), sg AS (SELECT object_id, st - lag(st) OVER (PARTITION BY object_id ORDER BY visit) AS b FROM stt), vg AS (SELECT object_id, quantile_cont(b, 0.5) FILTER (WHERE b > 0) AS vgap FROM sg GROUP BY object_id), "
+    "pn AS (SELECT object_id, count(*) AS n, max(t) - min(t) AS baseline, min(mg) AS mg, count(*) FILTER (WHERE gap > 0) AS gaps, count(*) FILTER (WHERE nw = 0 AND gap > 0 AND size <= 10) AS inside FROM vs GROUP BY object_id), "
+    "fm AS (SELECT object_id, n, baseline, CASE WHEN gaps = 0 THEN 5::DOUBLE WHEN 2.5::DOUBLE / mg * baseline <= 100000 OR inside * 2 < gaps THEN 2.5::DOUBLE / mg ELSE least(2.5::DOUBLE / mg, greatest(100000::DOUBLE / baseline, coalesce(2.5::DOUBLE / vgap, 0))) END AS fmax FROM pn JOIN vg USING (object_id))"
+)
+
+
+@query("default_grid_fold", f"WITH {_obs_sql('lineitem')}, {_VISITS} SELECT object_id, n, greatest(ceil((fmax - 1 / baseline) * 5::DOUBLE * baseline) + 1, 1)::BIGINT AS nf, {_r('1 / baseline')} AS f0, {_r('fmax')} AS fmax FROM fm WHERE baseline > 0 AND fmax > 1 / baseline")
+def default_grid_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(grids.fold_grid(series(spark, sf_dir, "lineitem")), "object_id n nf", "f0 fmax")
+
+
+@query("visit_ceiling", f"WITH obs AS (SELECT CAST(user_id AS VARCHAR) AS object_id, floor((epoch_us(ts)::DOUBLE / 86400000000::DOUBLE - 19723::DOUBLE) * 2) / 2 + (event_id % 3) * 1e-5::DOUBLE AS t, event_id AS rid FROM events), {_VISITS} SELECT object_id, n, {_r('fmax', 4)} AS fmax FROM fm")
+def visit_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times pulled together to half days with triplets of exposures."""
+    o = series(spark, sf_dir).withColumn("t", F.floor(F.col("t") * 2) / 2 + (F.col("rid") % 3) * F.lit(1e-5))
+    return emit(grids.pseudo_nyquist(o), "object_id n", "fmax", 4)
+
+
+_LATTICE = (
+    "gp AS (SELECT *, t - lag(t) OVER w AS gap FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY t, rid)), gm AS (SELECT *, quantile_cont(CASE WHEN gap > 0 THEN gap END, 0.5) OVER (PARTITION BY object_id) AS mg FROM gp), "
+    "dv AS (SELECT object_id, d, avg(CASE WHEN abs(gap * d / mg - round(gap * d / mg)) <= 0.01 THEN 1::DOUBLE ELSE 0 END) AS share, count(*) AS gaps FROM gm, range(1, 11) q(d) WHERE gap > 0 GROUP BY object_id, d), "
+    "ch AS (SELECT object_id, min(d) AS d FROM dv WHERE gaps >= 8 AND share >= 0.9 GROUP BY object_id), "
+    "ix AS (SELECT gm.object_id, t - min(t) OVER (PARTITION BY gm.object_id) AS o, d, sum(coalesce(round(gap * d / mg), 0)) OVER (PARTITION BY gm.object_id ORDER BY t, rid ROWS UNBOUNDED PRECEDING) AS i FROM gm JOIN ch USING (object_id)), "
+    "ft AS (SELECT object_id, min(d) AS d, regr_slope(o, i) AS step, regr_intercept(o, i) AS c FROM ix GROUP BY object_id), "
+    "co AS (SELECT ix.object_id, min(ft.d) AS d, min(step) AS step, sqrt(avg(cos(6.283185307179586::DOUBLE * (o - c - step * i) / step)) ^ 2 + avg(sin(6.283185307179586::DOUBLE * (o - c - step * i) / step)) ^ 2) AS coherence FROM ix JOIN ft USING (object_id) WHERE step > 0 GROUP BY ix.object_id)"
+)
+
+
+@query("lattice_nyquist", f"WITH {_obs_sql('lineitem')}, {_LATTICE} SELECT object_id, d AS divisor, {_r('step')} AS step, {_r('coherence')} AS coherence, {_r('0.5::DOUBLE / step')} AS nyquist FROM co WHERE coherence >= 0.9")
+def lattice_nyquist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(grids.lattice_nyquist(series(spark, sf_dir, "lineitem")), "object_id divisor", "step coherence nyquist")
+
+
+@query("box_segments", f"WITH {_obs_sql()}, s AS (SELECT object_id, max(t) - min(t) AS b, least(100::DOUBLE, (max(t) - min(t)) / 2) AS pm FROM obs GROUP BY object_id), g AS (SELECT object_id, segment, b, 0.2::DOUBLE * pow(2::DOUBLE, segment) AS p_lo, least(0.4::DOUBLE * pow(2::DOUBLE, segment), pm) AS p_hi FROM s, range(12) q(segment) WHERE pm > 0.2 AND segment <= ceil(ln(pm / 0.2) / ln(2::DOUBLE) - 1e-9) - 1) SELECT object_id, segment, ceil((1 / p_lo - 1 / p_hi) / (0.05::DOUBLE / (2 * b)))::BIGINT AS nf, {_r('p_lo')} AS p_lo, {_r('p_hi')} AS p_hi FROM g")
+def box_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(grids.box_segments(series(spark, sf_dir)), "object_id segment nf", "p_lo p_hi")
+
+
+@query("transit_grid", f"WITH {_obs_sql()}, s AS (SELECT object_id, count(*) AS n, max(t) - min(t) AS b, least(100::DOUBLE, (max(t) - min(t)) / 2) AS pm FROM obs GROUP BY object_id) SELECT object_id, n, ceil((2::DOUBLE - 1 / pm) / (0.02::DOUBLE / (2 * b)))::BIGINT AS nf, {_r('1 / pm')} AS f0 FROM s WHERE pm > 0.5")
+def transit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(grids.transit_grid(series(spark, sf_dir)), "object_id n nf", "f0")
+
+
+@query("log_periods", f"WITH {_obs_sql()}, o AS (SELECT DISTINCT object_id FROM obs) SELECT object_id, k, {_r('exp(ln(0.5::DOUBLE) + k * (ln(20::DOUBLE) - ln(0.5::DOUBLE)) / 24)')} AS period FROM o, range(25) q(k)")
+def log_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(grids.log_periods(series(spark, sf_dir), 0.5, 20.0, 25), "object_id k", "period")
+
+
+def _auto_best(method: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = series(spark, sf_dir)
+        return emit(kernels.best_periods(o, method, grid=grids.gls_grid(o)), "object_id k", "period f power")
+
+    return f
+
+
+def _auto_fold_sql(spec_sql: str, smallest: bool = True) -> str:
+    body = spec_sql.replace("FROM cent, range(100) r(k)", "FROM (SELECT cent.*, nf FROM cent JOIN ag USING (object_id)) cent, LATERAL (SELECT unnest(range(nf)) AS k) r").replace("FROM lev, range(100) r(k)", "FROM (SELECT lev.*, nf FROM lev JOIN ag USING (object_id)) lev, LATERAL (SELECT unnest(range(nf)) AS k) r")
+    body = body.replace(f"WITH {_obs_sql()}, ", f"WITH {_obs_sql()}, {_AUTO}, ", 1)
+    sign = "" if smallest else "-"
+    return f"{body}, b AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY {sign}round(power, 9), k) AS rn FROM spec) SELECT object_id, k, {_r('1 / f')} AS period, {_r('f')} AS f, {_r('power')} AS power FROM b WHERE rn = 1"
+
+
+query("auto_best_pdm", _auto_fold_sql(f"WITH {_obs_sql()}, {_pdm_sql()}"))(_auto_best("pdm"))
+query("auto_best_ce", _auto_fold_sql(f"WITH {_obs_sql()}, {_ce_sql()}"))(_auto_best("ce"))
+query("auto_best_sl", _auto_fold_sql(f"WITH {_obs_sql()}, {_sl_sql()}"))(_auto_best("sl"))
+query("auto_best_mhaov")(_auto_best("mhaov"))
+
+
 @query("local_maxima", f"{_gls_sql()}, {_MAXIMA} SELECT object_id, k, {_r('power')} AS power FROM maxima")
 def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(peaks.local_maxima(spectra.gls(series(spark, sf_dir), NF)), "object_id k", "power")
@@ -230,7 +325,20 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(peaks.wide_rows(peaks.top_peaks(spectra.gls(series(spark, sf_dir), NF))), "object_id", "period_1 power_1 period_2 power_2 period_3 power_3")
 
 
-@query("diverse_peaks")
+def _related_sql(x: str, y: str) -> str:
+    """peaks.alias_related within 0.01."""
+    close = lambda a, b, m=1: f"abs({a} - {b}) <= {m} * 0.01::DOUBLE"
+    tests = [close(x, y)] + [t for m in range(2, 9) for t in (close(x, f"{m} * {y}", m), close(f"{m} * {x}", y, m))]
+    tests += [t for day, _ in peaks.CLASSIC_WINDOW[:2] for m in (1, 2) for t in (close(x, f"({y} + {m} * {day}::DOUBLE)"), close(x, f"abs({y} - {m} * {day}::DOUBLE)"))]
+    year = f"{peaks.CLASSIC_WINDOW[3][0]}::DOUBLE"
+    return " OR ".join([*tests, close(x, f"({y} + {year})"), close(x, f"({y} - {year})")])
+
+
+_FREE = f"len(w.fs) < 3 AND len(list_filter(w.fs, lambda y: {_related_sql('c.f', 'y')})) = 0"
+_DIVERSE = _TOP.replace("[k] AS ks", "[f] AS fs").replace("CASE WHEN len(w.ks) < 3 AND list_min(list_transform(w.ks, lambda x: abs(x - c.k))) >= 15 THEN list_append(w.ks, c.k) ELSE w.ks END", f"CASE WHEN {_FREE} THEN list_append(w.fs, c.f) ELSE w.fs END").replace("len(w.ks) < 3 AND list_min(list_transform(w.ks, lambda x: abs(x - c.k))) >= 15 FROM", f"{_FREE} FROM")
+
+
+@query("diverse_peaks", _recursive(f"{_gls_sql()}, {_MAXIMA}, {_DIVERSE} SELECT object_id, rank, k, {_r('f')} AS f, {_r('power')} AS power FROM top"))
 def diverse_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(peaks.diverse_peaks(spectra.gls(series(spark, sf_dir), NF)), "object_id rank k", "f power")
 
@@ -271,7 +379,18 @@ def alias_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(peaks.match_aliases(s, peaks.alias_candidates(peaks.best_peak(s))), "object_id kind", "predicted f_peak power")
 
 
-@query("component_combinations")
+_TOP5 = _TOP.replace("len(w.ks) < 3", "len(w.ks) < 5").replace(">= 15", ">= 3")
+_VECTORS = ", ".join(f"({a}, {b})" for a in range(-2, 3) for b in range(-2, 3) if (a or b) and abs(a) + abs(b) > 1)
+
+
+@query(
+    "component_combinations",
+    _recursive(
+        f"{_gls_sql()}, {_MAXIMA}, {_TOP5}, pr AS (SELECT a.object_id, a.rank AS r1, a.f AS f1, b.rank AS r2, b.f AS f2 FROM top a JOIN top b ON a.object_id = b.object_id AND a.rank < b.rank UNION ALL SELECT object_id, rank, f, rank, 0::DOUBLE FROM top), "
+        f"v(n1, n2) AS (VALUES {_VECTORS}), h AS (SELECT c.object_id, c.rank, c.f, r1, r2, n1, n2, n1 * f1 + n2 * f2 AS value FROM top c JOIN pr ON pr.object_id = c.object_id AND r1 < c.rank AND r2 < c.rank, v WHERE (r1 <> r2 OR n2 = 0) AND abs(n1 * f1 + n2 * f2 - c.f) <= 0.02), "
+        f"o AS (SELECT *, row_number() OVER (PARTITION BY object_id, rank ORDER BY abs(n1) + abs(n2), round(abs(value - f), 9), r1, r2, n1, n2) AS rn FROM h) SELECT object_id, rank, r1, r2, n1, n2, {_r('f')} AS f, {_r('value')} AS value FROM o WHERE rn = 1"
+    ),
+)
 def component_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = peaks.top_peaks(spectra.gls(series(spark, sf_dir), NF), n=5, separation=3)
     return emit(peaks.combinations(top, 0.02), "object_id rank r1 r2 n1 n2", "f value")
@@ -338,6 +457,83 @@ def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(windows.runs(series(spark, sf_dir)), "object_id run band n", "first last")
 
 
+_LAB = "lb AS (SELECT *, 'N' || dense_rank() OVER (PARTITION BY object_id ORDER BY subset) AS label, 1::DOUBLE AS weight FROM p)"
+_GAPS7 = "g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY object_id ORDER BY t, rid) > 0.7::DOUBLE THEN 1 ELSE 0 END AS nw FROM obs), p AS (SELECT *, sum(nw) OVER (PARTITION BY object_id ORDER BY t, rid ROWS UNBOUNDED PRECEDING)::BIGINT AS subset FROM g)"
+_SHOW = f"SELECT object_id, subset, label, count(*) AS n, {_r('min(t)')} AS first, {_r('max(weight)')} AS weight FROM {{}} GROUP BY object_id, subset, label"
+
+
+def _shown(points: DataFrame) -> DataFrame:
+    return emit(points.groupBy("object_id", "subset", "label").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("weight").alias("weight")), "object_id subset label n", "first weight")
+
+
+def _labelled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.labelled(windows.gap_partition(series(spark, sf_dir), 0.7))
+
+
+@query("crossed_partition", f"WITH {_obs_sql()}, {_GAPS7}, {_LAB}, bs AS (SELECT *, dense_rank() OVER (PARTITION BY object_id ORDER BY band) - 1 AS bsub FROM lb), x AS (SELECT object_id, t, dense_rank() OVER (PARTITION BY object_id ORDER BY subset, bsub) - 1 AS subset, label || '/' || 'B' || (bsub + 1) AS label, 2::DOUBLE AS weight FROM bs) {_SHOW.format('x')}")
+def crossed_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _labelled_gaps(spark, sf_dir)
+    bands = windows._renumbered(series(spark, sf_dir), "band")
+    return _shown(windows.crossed(o, windows.labelled(bands, "B").withColumn("weight", F.lit(2.0))))
+
+
+@query("merged_subsets", f"WITH {_obs_sql()}, {_GAPS7}, {_LAB}, has AS (SELECT object_id, count(*) FILTER (WHERE subset = 1) > 0 AND count(*) FILTER (WHERE subset = 2) > 0 AS pair FROM lb GROUP BY object_id), x AS (SELECT lb.object_id, t, weight, CASE WHEN pair AND subset IN (1, 2) THEN 1 WHEN pair AND subset > 2 THEN subset - 1 ELSE subset END AS subset, CASE WHEN pair AND subset IN (1, 2) THEN 'N2+N3' ELSE label END AS label FROM lb JOIN has USING (object_id)) {_SHOW.format('x')}")
+def merged_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(windows.merged(_labelled_gaps(spark, sf_dir), 2, 1))
+
+
+@query("split_subsets", f"WITH {_obs_sql()}, {_GAPS7}, {_LAB}, c AS (SELECT *, min(t) OVER w < 12.5 AND max(t) OVER w >= 12.5 AS cut FROM lb WINDOW w AS (PARTITION BY object_id, subset)), x AS (SELECT object_id, t, weight, dense_rank() OVER (PARTITION BY object_id ORDER BY subset, CASE WHEN cut AND t >= 12.5 THEN 1 ELSE 0 END) - 1 AS subset, CASE WHEN cut THEN label || CASE WHEN t >= 12.5 THEN 'b' ELSE 'a' END ELSE label END AS label FROM c) {_SHOW.format('x')}")
+def split_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(windows.split_at(_labelled_gaps(spark, sf_dir), 12.5))
+
+
+@query("weighted_subsets", f"WITH {_obs_sql()}, {_GAPS7}, {_LAB}, x AS (SELECT object_id, t, subset, CASE WHEN subset = 0 THEN 'first' ELSE label END AS label, CASE WHEN subset % 2 = 1 THEN 0.5::DOUBLE ELSE weight END AS weight FROM lb) {_SHOW.format('x')}")
+def weighted_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _labelled_gaps(spark, sf_dir)
+    odd = o.where("subset % 2 = 1").select("object_id", "subset").distinct().withColumn("weight", F.lit(0.5))
+    return _shown(windows.with_weights(windows.renamed(o, 0, "first"), odd))
+
+
+@query("merged_small_subsets")
+def merged_small_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.subset_spans(windows.merged_small(windows.gap_partition(series(spark, sf_dir), 0.7), 10)), "object_id subset n", "first last")
+
+
+@query("joined_runs")
+def joined_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.subset_spans(windows.joined_runs(windows.gap_partition(series(spark, sf_dir), 0.3), 6.0)), "object_id subset n", "first last")
+
+
+@query("suggested_partitions")
+def suggested_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.suggest_partition(series(spark, sf_dir)).select("object_id", *[F.col(c).cast("long").alias(c) for c in ("nights", "seasons", "sectors")], F.coalesce("kind", F.lit("none")).alias("kind"))
+
+
+def window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.window_starts(series(spark, sf_dir), 10.0, 5.0).withColumn("is_last", F.col("is_last").cast("int")), "object_id w_idx is_last", "w_start w_end")
+
+
+@query("period_models", f"WITH {_obs_sql()}, m AS (SELECT object_id, rid, t, 1e-4::DOUBLE AS a FROM obs) SELECT object_id, rid, {_r('t - ln(1 + a * t) / a')} AS delay, {_r('t - (1 - exp(-a * t)) / a')} AS delay_exp, {_r('0.7::DOUBLE * (1 + a * t)')} AS period, {_r('0.7::DOUBLE * exp(a * t)')} AS period_exp, {_r('a * 0.7::DOUBLE * exp(a * t)', 12)} AS rate_exp, {_r('(1 + a * (t + 10)) / (1 + a * t) - 1', 9)} AS change, {_r('exp(a * 10) - 1', 9)} AS change_exp FROM m")
+def period_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, a, p = F.col("t"), F.lit(1e-4), F.lit(0.7)
+    r = lambda c, d=6: F.round(c, d) + F.lit(0.0)
+    return series(spark, sf_dir).select(
+        "object_id", "rid", r(physics.delay(t, a)).alias("delay"), r(physics.delay(t, a, "exponential")).alias("delay_exp"), r(physics.period_at(t, p, a)).alias("period"), r(physics.period_at(t, p, a, "exponential")).alias("period_exp"),
+        r(physics.pdot_at(t, p, a, "exponential"), 12).alias("rate_exp"), r(physics.fractional_change(t, t + 10, a), 9).alias("change"), r(physics.fractional_change(t, t + 10, a, "exponential"), 9).alias("change_exp"),
+    )
+
+
+@query(
+    "detectable_rates",
+    f"WITH {_obs_sql()}, x0 AS (SELECT object_id, t, t - avg(t) OVER (PARTITION BY object_id) AS d FROM obs), x1 AS (SELECT object_id, t, max(abs(d)) OVER (PARTITION BY object_id) AS u, d / max(abs(d)) OVER (PARTITION BY object_id) AS x FROM x0), "
+    "s AS (SELECT object_id, count(*) AS n, max(t) - min(t) AS baseline, min(u) AS u, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4 FROM x1 WHERE u > 0 GROUP BY object_id), d AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM s) "
+    f"SELECT object_id, n, {_r('baseline')} AS baseline, {_r('2 * 0.4::DOUBLE * 0.001::DOUBLE * sqrt((n * s2 - s1 * s1) / det) / (u * u)', 10)} AS sigma_rate, {_r('0.4::DOUBLE * 0.001::DOUBLE * sqrt((n * s4 - s2 * s2) / det) / u', 10)} AS sigma_period FROM d WHERE det > 1e-9 * n",
+)
+def detectable_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = period_change.detectable_rate(series(spark, sf_dir), 0.4, 0.001)
+    return d.select("object_id", F.col("n").cast("long").alias("n"), (F.round("baseline", 6) + F.lit(0.0)).alias("baseline"), *[(F.round(c, 10) + F.lit(0.0)).alias(c) for c in ("sigma_rate", "sigma_period")])
+
+
 _RUNMED = f"WITH {_obs_sql()}, m AS (SELECT *, quantile_cont(y, 0.5) OVER (PARTITION BY object_id) AS whole, quantile_cont(y, 0.5) OVER w AS loc, count(y) OVER w AS c FROM obs WINDOW w AS (PARTITION BY object_id ORDER BY t RANGE BETWEEN 1.5::DOUBLE PRECEDING AND 1.5::DOUBLE FOLLOWING))"
 
 
@@ -357,12 +553,16 @@ def binned_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SLIDE = (
-    f"WITH {_obs_sql()}, e AS (SELECT *, min(t) OVER (PARTITION BY object_id) AS t0, max(t) OVER (PARTITION BY object_id) AS t1 FROM obs), "
-    "sl AS (SELECT object_id, t, y, dy, rid, q.w_idx, t0 + q.w_idx * 5::DOUBLE AS w_start FROM e, range(40) q(w_idx) WHERE q.w_idx <= greatest(floor((t1 - t0 - 10::DOUBLE) / 5::DOUBLE), 0) AND t >= t0 + q.w_idx * 5::DOUBLE AND t < t0 + q.w_idx * 5::DOUBLE + 10::DOUBLE), "
+    f"WITH {_obs_sql()}, e AS (SELECT object_id, min(t) AS t0, max(t) AS t1, floor((max(t) - min(t) - 10::DOUBLE + 1e-8) / 5::DOUBLE)::BIGINT + 1 AS m FROM obs GROUP BY object_id), "
+    "ws AS (SELECT object_id, t1, q.w_idx, t0 + q.w_idx * 5::DOUBLE AS w_start, m + CASE WHEN t1 - (t0 + (m - 1) * 5::DOUBLE + 10) > 2.5 THEN 1 ELSE 0 END AS total FROM e, range(40) q(w_idx) WHERE q.w_idx < m UNION ALL SELECT object_id, t1, m, t1 - 10, m + 1 FROM e WHERE m >= 1 AND t1 - (t0 + (m - 1) * 5::DOUBLE + 10) > 2.5), "
+    "sl AS (SELECT obs.object_id, t, y, dy, rid, w_idx, w_start FROM obs JOIN ws USING (object_id) WHERE t >= w_start AND (t < w_start + 10 OR w_idx = total - 1 AND t <= CASE WHEN t1 - (w_start + 10) BETWEEN 0 AND 1e-8 THEN t1 ELSE w_start + 10 END)), "
     f"{_centred(False, 'object_id, w_idx', 'sl', 'object_id, w_idx')}, gr AS (SELECT cent.*, r.k, 0.2::DOUBLE + r.k * 0.02::DOUBLE AS f FROM cent, range(30) r(k) WHERE n >= 8), {_trig('object_id, w_idx, k', 'gr')}, st AS (SELECT object_id, w_idx, min(w_start) AS w_start FROM gr GROUP BY ALL), spec AS (SELECT trig.object_id, trig.w_idx, k, f, w_start + 5 AS mid, {_power()} AS power FROM trig JOIN st ON st.object_id = trig.object_id AND st.w_idx = trig.w_idx)"
 )
 
 
+query("window_starts", _SLIDE.split(", sl AS (")[0] + f" SELECT object_id, w_idx, (w_idx = total - 1)::BIGINT AS is_last, {_r('w_start')} AS w_start, {_r('CASE WHEN w_idx = total - 1 AND t1 - (w_start + 10) BETWEEN 0 AND 1e-8 THEN t1 ELSE w_start + 10 END')} AS w_end FROM ws")(window_starts)
+
+
 @query("sliding_gls", f"{_SLIDE} SELECT object_id, w_idx, k, {_r('f')} AS f, {_r('power')} AS power, {_r('mid')} AS mid FROM spec")
 def sliding_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(windows.sliding_gls(series(spark, sf_dir), 10.0, 5.0, 0.2, 0.02, 30), "object_id w_idx k", "f power mid")
@@ -491,7 +691,7 @@ def streamable_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(streaming.power(streaming.running_sums(series(spark, sf_dir), [0.1, 0.33, 0.9])).where("n > 3"), "object_id k n", "power")
 
 
-@query("unsearchable_objects", f"WITH {_obs_sql('orders')}, n AS (SELECT object_id, count(*) AS c FROM obs GROUP BY object_id) SELECT object_id, 'too few points' AS reason FROM n WHERE c < 4")
+@query("unsearchable_objects", f"WITH {_obs_sql('orders')}, n AS (SELECT object_id, count(*) AS c, max(t) - min(t) AS b FROM obs GROUP BY object_id) SELECT object_id, CASE WHEN c < 4 THEN 'too few points' ELSE 'no time baseline' END AS reason FROM n WHERE c < 4 OR b <= 0")
 def unsearchable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.failures(series(spark, sf_dir, "orders"))
 
@@ -618,14 +818,6 @@ def cyclic_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(tracking.cyclic(oc), "object_id", "outer_period amplitude delta_bic tail", 5)
 
 
-@query("replayed_sessions")
-def replayed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = series(spark, sf_dir)
-    log = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(op).alias("op"), F.lit(args).alias("args")) for i, (op, args) in enumerate((("step", "{}"), ("add", '{"frequency": 0.71}'), ("tie", '{"id": 2, "text": "2F1"}'), ("delete_points", '{"start": 3, "end": 4}'), ("improve", "{}")))])
-    actions = o.select("object_id").distinct().select("object_id", F.explode(log).alias("a")).select("object_id", "a.*")
-    return emit(session.replay(o, actions, 2.0), "object_id id tie n refused", "frequency amplitude rss", 5)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

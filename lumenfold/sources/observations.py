@@ -85,9 +85,11 @@ def read_files(spark: SparkSession, path: str, domain: str | None = None, **role
     else:
         df = spark.read.parquet(path)
     file = F.col("_metadata.file_path")
-    out = df.withColumn("_stem", F.regexp_extract(file, r"([^/]+?)(\.[^/.]+)*$", 1)).withColumn("_folder", F.regexp_extract(file, r"([^/]+)/[^/]+$", 1))
-    folders = F.size(F.collect_set("_folder").over(Window.partitionBy("_stem")))
-    return observations(out.withColumn("_key", F.when(folders > 1, F.concat_ws("/", "_folder", "_stem")).otherwise(F.col("_stem"))), "_key", domain, **roles)
+    named = lambda d: d.withColumn("_stem", F.regexp_extract(file, r"([^/]+?)(\.[^/.]+)*$", 1)).withColumn("_folder", F.regexp_extract(file, r"([^/]+)/[^/]+$", 1))
+    # stems that clash are found from the file names alone, no observation is moved for it
+    clashing = named(df).select("_stem", "_folder").distinct().groupBy("_stem").count().where("count > 1").select("_stem", F.lit(True).alias("_clash"))
+    out = named(df).join(clashing, "_stem", "left")
+    return observations(out.withColumn("_key", F.when(F.col("_clash"), F.concat_ws("/", "_folder", "_stem")).otherwise(F.col("_stem"))), "_key", domain, **roles)
 
 
 def from_nested(df: DataFrame, object_column: str, nested: str, **fields: str) -> DataFrame:
@@ -111,12 +113,14 @@ def clean(obs: DataFrame) -> DataFrame:
 
 
 def usable_counts(obs: DataFrame) -> DataFrame:
-    """Per object: points, points with finite time and value, and those whose error is usable as well."""
+    """Per object: points, points with finite time and value, those whose error is usable as well, and the time these span."""
     point = _finite("t") & _finite("y")
+    usable = F.when(point & _finite("dy") & (F.col("dy") > 0), F.col("t"))
     return obs.groupBy("object_id").agg(
         F.count("*").alias("n_rows"),
         F.count_if(point).alias("n_finite"),
         F.count_if(point & _finite("dy") & (F.col("dy") > 0)).alias("n_usable"),
+        (F.max(usable) - F.min(usable)).alias("baseline"),
     )
 
 

@@ -267,16 +267,10 @@ def test_tracking_kernels(spark):
     assert tracking.wald(np.array([0.0, 5.0]), np.eye(2))[1] < 1e-3
 
 
-def test_sessions_replay(spark, obs):
-    from lumenfold.plans import session
+def test_frequency_ties():
+    from lumenfold.functions import ties
 
-    assert session.parse_tie("2F1 - F3") == {1: 2, 3: -1}
-    assert session.format_tie({1: 2, 3: -1}) == "2F1 - F3" and session.parse_tie(session.format_tie({2: -1, 4: 3})) == {2: -1, 4: 3}
+    assert ties.parse_tie("2F1 - F3") == {1: 2, 3: -1}
+    assert ties.format_tie({1: 2, 3: -1}) == "2F1 - F3" and ties.parse_tie(ties.format_tie({2: -1, 4: 3})) == {2: -1, 4: 3}
     with pytest.raises(ValueError):
-        session.parse_tie("2G1")
-    log = [("a", 1, "step", "{}"), ("a", 2, "tie", '{"id": 9, "text": "F1"}'), ("a", 3, "add", '{"frequency": 0.2}'), ("a", 4, "tie", '{"id": 2, "text": "2F1"}'), ("a", 5, "remove", '{"id": 1}')]
-    actions = spark.createDataFrame(log, "object_id string, seq int, op string, args string")
-    state = {r.id: r for r in session.replay(obs, actions, 2.0).collect()}
-    assert abs(state[1].frequency - 1 / 1.7) < 1e-3 and state[2].frequency == pytest.approx(2 * state[1].frequency) and state[1].refused == 2
-    undone = session.replay(obs, actions.where("seq <= 1"), 2.0).collect()
-    assert [r.id for r in undone] == [1]
+        ties.parse_tie("2G1")
