@@ -76,7 +76,7 @@ def _role(keys: DataFrame, *columns: str) -> DataFrame:
 def _shared(keys: DataFrame) -> DataFrame:
     """``keys`` that an index line and another line have, with the bucket's size c; stored."""
     sizes = keys.groupBy("key").agg(F.sum("own").alias("n_own"), F.count("*").alias("c")).where("n_own > 0 and c > 1")
-    return cut(keys.join(sizes.select("key", "c"), "key"))
+    return cut(keys.hint("merge").join(sizes.select("key", "c"), "key"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -152,8 +152,8 @@ def candidates(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFra
     """
     met = _shared(_role(distinct, *_ID))
     wanted = met.select(*_ID).distinct()
-    text = occurrences(docs).where(F.col("n") >= MIN_CHARS).select(*_ID, "line").join(wanted, _ID)
-    lines = cut(text.groupBy(*_ID).agg(F.first("line").alias("line")).join(distinct.select(*_ID, "first"), _ID))
+    text = occurrences(docs).where(F.col("n") >= MIN_CHARS).select(*_ID, "line").hint("merge").join(wanted, _ID)
+    lines = cut(text.groupBy(*_ID).agg(F.first("line").alias("line")).hint("merge").join(distinct.select(*_ID, "first"), _ID))
     pairs = _pairs(met)
     crowded = lambda met: met.where(F.col("c") > MAX_BUCKET).select("key", "own", *_ID).join(lines, _ID)
     crowd = crowded(met)
@@ -190,12 +190,12 @@ def removals(docs: DataFrame) -> DataFrame:
     links = cut(near_links(docs, lines.where(F.col("own").isNotNull()).select(*_ID, "first", "own", "short")))
     both = links.unionByName(links.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("h1").alias("g1"), F.col("h2").alias("g2")))
     firsts = lines.select(*_ID, "first")
-    ends = firsts.join(both.select(F.col("g1").alias("h1"), F.col("g2").alias("h2")).distinct(), _ID).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("other"))
+    ends = firsts.hint("merge").join(both.select(F.col("g1").alias("h1"), F.col("g2").alias("h2")).distinct(), _ID).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("other"))
     earliest = both.join(ends, ["g1", "g2"]).groupBy(*_ID).agg(F.min("other").alias("other"))
-    near = firsts.join(earliest, _ID).where(F.col("other") < F.col("first")).select(F.col("first").alias("at"), F.lit(True).alias("near"))
+    near = firsts.hint("merge").join(earliest, _ID).where(F.col("other") < F.col("first")).select(F.col("first").alias("at"), F.lit(True).alias("near"))
     repeated = lines.where("times > 1").select(*_ID, "first")
     # of a row that is there several times each line stands at one place as often, its first one included
-    again = seen.select(*_ID, "at").join(repeated, _ID).select("at", (F.col("at") == F.col("first")).alias("is_first"))
+    again = seen.select(*_ID, "at").hint("merge").join(repeated, _ID).select("at", (F.col("at") == F.col("first")).alias("is_first"))
     again = again.groupBy("at", "is_first").agg(F.count("*").alias("copies")).where("not is_first or copies > 1")
     gone = again.select("at", F.lit(False).alias("near"), (~F.col("is_first")).alias("goes"), "copies")
     gone = gone.unionByName(near.select("at", "near", F.lit(True).alias("goes"), F.lit(1).cast("long").alias("copies"))).select("at.*", "near", "goes", "copies")
