@@ -109,6 +109,19 @@ def sliding_gls(obs: DataFrame, window: float, step: float, f0: float, df: float
     return s.join(mid, [*key]).withColumn("mid", F.col("w_start") + window / 2).drop("w_start")
 
 
+def partition_gls(points: DataFrame, f0: float, df: float, nf: int, min_points: int = 8) -> DataFrame:
+    """Lomb-Scargle power of each subset of a partition on one shared grid: object_id, subset, k, f, power."""
+    key = ("object_id", "subset")
+    c = spectra.centred(points, False, key, key).where(F.col("n") >= min_points)
+    g = c.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(nf - 1)))).withColumn("f", F.lit(f0) + F.col("k") * F.lit(df))
+    return spectra.trig_sums(g, *key, "k").select(*key, "k", "f", spectra.closed_form().alias("power"))
+
+
+def window_periodogram(sliding: DataFrame, window: int) -> DataFrame:
+    """The spectrum of one window of a sliding map, as a spectrum of its own."""
+    return sliding.where(F.col("w_idx") == window).select("object_id", "k", "f", "power")
+
+
 def period_trend(sliding: DataFrame) -> DataFrame:
     """Straight line through each window's best frequency: slope of f and the relative period change a day."""
     best = sliding.withColumn("_s", F.struct(F.round("power", 9).alias("s"), (-F.col("k")).alias("k"))).groupBy("object_id", "w_idx").agg(F.max_by(F.struct("f", "mid"), "_s").alias("b")).select("object_id", "b.*")
@@ -140,7 +153,8 @@ def wwz(obs: DataFrame, n_tau: int, frequencies: list[float], c: float = 0.0125,
     n = n.withColumn("det", cc * ss - cs * cs).withColumn("vx", F.col("syy") - F.col("sy") * F.col("sy")).where("det > 1e-9 and vx > 0")
     n = n.withColumn("vy", (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / F.col("det"))
     power = (F.col("neff") - 3) * F.col("vy") / (2 * F.greatest(F.col("vx") - F.col("vy"), 1e-12 * F.col("vx")))
-    return n.select("object_id", "i", "k", "f", "shift", "neff", power.alias("power"))
+    amplitude = F.hypot((ss * yc - cs * ys) / F.col("det"), (cc * ys - cs * yc) / F.col("det"))
+    return n.select("object_id", "i", "k", "f", "shift", "neff", power.alias("power"), amplitude.alias("amplitude"))
 
 
 def labelled(points: DataFrame, prefix: str = "N") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import boxes, grids, kernels, models, multiband, peaks, period_change, prewhitening, spectra, tracking, windows
+from ..operators import boxes, ephemeris, grids, kernels, models, multiband, peaks, period_change, prewhitening, readouts, spectra, tracking, windows
 from ..sources import observations as obs_source
 from ..streaming import spectra as streaming
 from . import batch
@@ -818,6 +818,130 @@ def cyclic_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(tracking.cyclic(oc), "object_id", "outer_period amplitude delta_bic tail", 5)
 
 
+_BEST = "best AS (SELECT object_id, f AS bf FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 9), k) AS rn FROM spec) WHERE rn = 1)"
+
+
+@query("spectrum_readings", f"{_gls_sql()}, w(wanted) AS (VALUES (0.2::DOUBLE), (0.471::DOUBLE)), j AS (SELECT object_id, wanted, k, f, power, row_number() OVER (PARTITION BY object_id, wanted ORDER BY round(abs(f - wanted), 12), k) AS rn FROM spec, w) SELECT object_id, k, {_r('wanted')} AS wanted, {_r('f')} AS f, {_r('power')} AS power FROM j WHERE rn = 1")
+def spectrum_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    wanted = o.select("object_id").distinct().withColumn("wanted", F.explode(F.array(F.lit(0.2), F.lit(0.471))))
+    return emit(readouts.readings(spectra.gls(o, NF), wanted), "object_id k", "wanted f power")
+
+
+@query("unblocked_samples", f"{_gls_sql()}, {_BEST} SELECT object_id, k, {_r('power')} AS power FROM spec JOIN best USING (object_id) WHERE abs(f - bf) > 0.1")
+def unblocked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spectra.gls(series(spark, sf_dir), NF)
+    return emit(readouts.unblocked(s, peaks.best_peak(s), 0.1), "object_id k", "power")
+
+
+@query("dispersion_scores", f"WITH {_obs_sql()}, {_pdm_sql()} SELECT object_id, k, {_r('(max(power) OVER w - power) / (max(power) OVER w - min(power) OVER w)')} AS score FROM spec WINDOW w AS (PARTITION BY object_id)")
+def dispersion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.peak_score(spectra.pdm(series(spark, sf_dir), NF), "min"), "object_id k", "score")
+
+
+_TOPW = _TOP.replace(">= 15", ">= 5")
+
+
+@query("window_peaks", _recursive(SQL["spectral_window"].split(" SELECT object_id, k, round")[0] + f", {_MAXIMA}, {_TOPW} SELECT object_id, rank, k, {_r('f')} AS f, {_r('power')} AS power FROM top"))
+def window_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.window_peaks(spectra.spectral_window(series(spark, sf_dir), NF)), "object_id rank k", "f power")
+
+
+_RIDGE = SQL["wavelet_z"].split(" SELECT object_id, i, k, ")[0].replace("v AS (SELECT *,", "v AS (SELECT *, sqrt(((s2 * yc - cs * ys) / (cc * s2 - cs * cs)) ^ 2 + ((cc * ys - cs * yc) / (cc * s2 - cs * cs)) ^ 2) AS amplitude,")
+_RIDGE += ", z AS (SELECT *, (neff - 3) * vy / (2 * greatest(vx - vy, 1e-12 * vx)) AS power FROM v), rd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, i ORDER BY -round(power, 9), k) AS rn FROM z) WHERE rn = 1)"
+
+
+@query("wavelet_ridge", f"{_RIDGE} SELECT object_id, i, {_r('f', 5)} AS f, {_r('power', 5)} AS power, {_r('amplitude', 5)} AS amplitude FROM rd")
+def wavelet_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.ridge(windows.wwz(series(spark, sf_dir), 5, [0.2, 0.4, 0.7])), "object_id i", "f power amplitude", 5)
+
+
+@query("wavelet_trend", f"{_RIDGE} SELECT object_id, count(*) AS n, {_r('regr_slope(f, shift)')} AS slope, {_r('avg(f)')} AS mean_f FROM rd GROUP BY object_id HAVING count(*) > 1")
+def wavelet_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.ridge_trend(readouts.ridge(windows.wwz(series(spark, sf_dir), 5, [0.2, 0.4, 0.7]))).where("n > 1"), "object_id n", "slope mean_f")
+
+
+_DRIFT = SQL["drift_search"].split(" SELECT object_id, a_idx, k")[0] + f", pr AS (SELECT object_id, a_idx, k, f, {_power()} AS power FROM trig)"
+
+
+@query("drift_frequency_profile", f"{_DRIFT} SELECT object_id, k, {_r('max(f)')} AS f, {_r('max(power)')} AS power FROM pr GROUP BY object_id, k")
+def drift_frequency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.frequency_profile(period_change.drift_search(series(spark, sf_dir), [-0.001, 0.0, 0.001], 30)), "object_id k", "f power")
+
+
+@query("drift_zero_rate", f"{_DRIFT} SELECT object_id, k, {_r('f')} AS f, {_r('power')} AS power FROM pr WHERE a_idx = 1")
+def drift_zero_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = [-0.001, 0.0, 0.001]
+    return emit(readouts.zero_rate(period_change.drift_search(series(spark, sf_dir), rates, 30), rates), "object_id k", "f power")
+
+
+@query("mixed_domains", f"WITH {_obs_sql()}, d AS (SELECT *, rid % 2 = 0 AS isflux, CASE WHEN rid % 2 = 0 THEN y ELSE 20 + y / 100 END AS v FROM obs) SELECT object_id, rid, {_r('CASE WHEN isflux THEN -2.5::DOUBLE * log10(v) + 25 ELSE v END')} AS y, {_r('CASE WHEN isflux THEN 1.0857362047581296::DOUBLE * dy / v ELSE dy END')} AS dy FROM d")
+def mixed_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flux = F.col("rid") % 2 == 0
+    o = series(spark, sf_dir).withColumn("domain", F.when(flux, "flux").otherwise("magnitude")).withColumn("y", F.when(flux, F.col("y")).otherwise(20 + F.col("y") / 100))
+    return emit(readouts.in_domain(o, "magnitude"), "object_id rid", "y dy")
+
+
+@query("weighted_epochs", f"WITH {_obs_sql()} SELECT object_id, {_r('sum(t / (dy * dy)) / sum(1 / (dy * dy))')} AS epoch FROM obs GROUP BY object_id")
+def weighted_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.weighted_epoch(series(spark, sf_dir)), "object_id", "epoch")
+
+
+@query("centred_bands", f"WITH {_obs_sql()} SELECT object_id, rid, {_r('y - quantile_cont(y, 0.5) OVER (PARTITION BY object_id, band)')} AS y, {_r('t - min(t) OVER (PARTITION BY object_id)')} AS tau FROM obs")
+def centred_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.centred_bands(series(spark, sf_dir)), "object_id rid", "y tau")
+
+
+@query("used_points", f"WITH {_obs_sql()}, {_GAPS7} SELECT object_id, rid, subset FROM p WHERE rid % 5 <> 0 AND subset <> 1")
+def used_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = windows.gap_partition(series(spark, sf_dir), 0.7)
+    return emit(readouts.unused_removed(p, p.where("rid % 5 = 0"), p.where("subset = 1")), "object_id rid subset", "")
+
+
+@query("spacing_lines", f"{_gls_sql()}, {_MAXIMA}, sp AS (SELECT object_id, 1 / f AS period, lead(1 / f) OVER (PARTITION BY object_id ORDER BY 1 / f) - 1 / f AS spacing FROM maxima) SELECT object_id, count(*) AS n, {_r('regr_intercept(spacing, period)')} AS a, {_r('regr_slope(spacing, period)')} AS b FROM sp WHERE spacing IS NOT NULL GROUP BY object_id HAVING regr_slope(spacing, period) IS NOT NULL")
+def spacing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = peaks.local_maxima(spectra.gls(series(spark, sf_dir), NF)).select("object_id", (1.0 / F.col("f")).alias("period"))
+    return emit(readouts.spacing_line(m), "object_id n", "a b")
+
+
+@query("third_masses", f"WITH {_obs_sql()}, m AS (SELECT object_id, rid, pow(y * 1e-5 * {readouts.AU_PER_LIGHT_DAY}::DOUBLE, 3) / pow((1000 + t) / 365.25::DOUBLE, 2) AS f FROM obs) SELECT object_id, rid, {_r('f', 9)} AS f, 1::DOUBLE AS closed FROM m")
+def third_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mass function, and whether the least third mass put into it gives it back."""
+    o = series(spark, sf_dir).withColumn("f", readouts.mass_function(F.col("y") * 1e-5, 1000 + F.col("t")))
+    o = o.withColumn("m", readouts.minimum_third_mass(F.col("f"), F.lit(1.2)))
+    return o.select("object_id", "rid", (F.round("f", 9) + F.lit(0.0)).alias("f"), F.round(F.pow("m", F.lit(3.0)) / F.pow(F.col("m") + 1.2, F.lit(2.0)) / F.col("f"), 6).alias("closed"))
+
+
+@query("line_quality", f"WITH {_obs_sql()}, s AS (SELECT object_id, count(*) AS n, var_pop(y) * count(*) * (1 - regr_r2(y, t)) AS rss FROM obs GROUP BY object_id) SELECT object_id, n, {_r('rss / (n - 2)', 4)} AS reduced_chi2, {_r('n * ln(rss / n) + 2 * ln(n)', 4)} AS bic, {_r('n * ln(rss / n) + 4', 4)} AS aic FROM s WHERE n > 2 AND rss > 0")
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("n"), (F.var_pop("y") * F.count("*") * (1 - F.regr_r2("y", "t"))).alias("rss")).where("n > 2 and rss > 0")
+    q = readouts.model_quality(s.withColumn("parameters", F.lit(2)), False)
+    return q.select("object_id", F.col("n").cast("long").alias("n"), (F.col("rss") / (F.col("n") - 2)).alias("r"), "bic", "aic").select("object_id", "n", (F.round("r", 4) + F.lit(0.0)).alias("reduced_chi2"), *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("bic", "aic")])
+
+
+@query("partition_spectra", f"WITH {_obs_sql()}, p AS (SELECT *, floor((t - min(t) OVER (PARTITION BY object_id)) / 10::DOUBLE)::BIGINT AS subset FROM obs), {_centred(False, 'object_id, subset', 'p', 'object_id, subset')}, gr AS (SELECT cent.*, r.k, 0.2::DOUBLE + r.k * 0.02::DOUBLE AS f FROM cent, range(20) r(k) WHERE n >= 8), {_trig('object_id, subset, k', 'gr')} SELECT object_id, subset, k, {_r('f')} AS f, {_r(_power())} AS power FROM trig")
+def partition_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.partition_gls(windows.chunk_partition(series(spark, sf_dir), 10.0), 0.2, 0.02, 20), "object_id subset k", "f power")
+
+
+@query("ephemeris_lines", f"{_OC}, s AS (SELECT object_id, count(*) AS n, regr_intercept(oc, e) AS c0, regr_slope(oc, e) AS c1, var_pop(oc) * count(*) * (1 - coalesce(regr_r2(oc, e), 0)) AS chi2 FROM oc GROUP BY object_id) SELECT object_id, n, {_r('c0', 7)} AS c0, {_r('c1', 7)} AS c1, {_r('chi2', 5)} AS chi2, {_r('n * ln(chi2 / n) + 2 * ln(n)', 4)} AS bic FROM s")
+def ephemeris_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ephemeris.fits(_events_oc(spark, sf_dir)).where("degree = 1")
+    r = lambda c, d: (F.round(c, d) + F.lit(0.0)).alias(c)
+    return f.select("object_id", F.col("n").cast("long").alias("n"), r("c0", 7), r("c1", 7), r("chi2", 5), r("bic", 4))
+
+
+@query("ephemeris_degrees")
+def ephemeris_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ephemeris.fits(_events_oc(spark, sf_dir))
+    return emit(ephemeris.best_fit(found).withColumn("rate_error", ephemeris.scaled_error()), "object_id degree n", "c0 c1 chi2 f_ratio p_value rate_error")
+
+
+@query("profile_changes")
+def profile_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.total_change(tracking.profile(series(spark, sf_dir), 0.75, 20)), "object_id n", "first last change")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
