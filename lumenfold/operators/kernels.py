@@ -68,21 +68,36 @@ def _trig_sums(tau: np.ndarray, rows: np.ndarray, frequencies: np.ndarray) -> np
     return out
 
 
+class LombScargle:
+    """Lomb-Scargle powers of several value series at the same times, errors and trials: what depends on the weights alone is kept."""
+
+    def __init__(self, tau, dy, frequencies, fit_mean: bool = True) -> None:
+        self.tau, self.f = tau, frequencies
+        self.w = _weights(dy, len(tau))
+        once, twice = _trig_sums(tau, self.w[None, :], frequencies)[0], _trig_sums(2 * tau, self.w[None, :], frequencies)[0]
+        cm, sm = (once.real, once.imag) if fit_mean else (0.0, 0.0)
+        self.cc, self.ss, self.cs = (1 + twice.real) / 2 - cm * cm, (1 - twice.real) / 2 - sm * sm, twice.imag / 2 - cm * sm
+        self.det = self.cc * self.ss - self.cs * self.cs
+
+    def data_sums(self, y) -> np.ndarray:
+        """sum of w (y - mean) exp(2 pi i f tau)."""
+        return _trig_sums(self.tau, (self.w * (y - np.sum(self.w * y)))[None, :], self.f)[0]
+
+    def power(self, y, data: np.ndarray | None = None) -> np.ndarray:
+        yc = y - np.sum(self.w * y)
+        yy = np.sum(self.w * yc * yc)
+        if yy <= (64 * np.finfo(float).eps * np.max(np.abs(y), initial=0)) ** 2:
+            return np.zeros(len(self.f))
+        data = self.data_sums(y) if data is None else data
+        d = yy * self.det
+        with np.errstate(all="ignore"):
+            p = (self.ss * data.real**2 + self.cc * data.imag**2 - 2 * self.cs * data.real * data.imag) / d
+        return np.where((np.abs(d) > 1e-12 * yy) & (p > 0), np.minimum(p, 1), 0)
+
+
 def gls(tau, y, dy, frequencies, fit_mean: bool = True):
     """Generalised Lomb-Scargle power."""
-    w = _weights(dy, len(y))
-    yc = y - np.sum(w * y)
-    yy = np.sum(w * yc * yc)
-    if yy <= (64 * np.finfo(float).eps * np.max(np.abs(y), initial=0)) ** 2:
-        return np.zeros(len(frequencies))
-    once, data = _trig_sums(tau, np.stack([w, w * yc]), frequencies)
-    twice = _trig_sums(2 * tau, w[None, :], frequencies)[0]
-    cm, sm = (once.real, once.imag) if fit_mean else (0.0, 0.0)
-    cc, ss, cs = (1 + twice.real) / 2 - cm * cm, (1 - twice.real) / 2 - sm * sm, twice.imag / 2 - cm * sm
-    d = yy * (cc * ss - cs * cs)
-    with np.errstate(all="ignore"):
-        p = (ss * data.real**2 + cc * data.imag**2 - 2 * cs * data.real * data.imag) / d
-    return np.where((np.abs(d) > 1e-12 * yy) & (p > 0), np.minimum(p, 1), 0)
+    return LombScargle(tau, dy, frequencies, fit_mean).power(y)
 
 
 def pdm(tau, y, dy, frequencies, n_bins: int = 10, n_covers: int = 3):

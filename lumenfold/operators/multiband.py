@@ -31,12 +31,13 @@ def offsets(bands, f: np.ndarray) -> np.ndarray:
         share = x.sum()
         v = y - np.sum(x * y) / share
         ref += np.sum(x * v * v)
-        c, s = np.cos(2 * np.pi * f[:, None] * tau), np.sin(2 * np.pi * f[:, None] * tau)
-        cm, sm = c @ x, s @ x
-        cc = cc + (c * c) @ x - cm * cm / share
-        ss = ss + (s * s) @ x - sm * sm / share
-        cs = cs + (c * s) @ x - cm * sm / share
-        y1, y2 = y1 + c @ (x * v), y2 + s @ (x * v)
+        once, data = kernels._trig_sums(tau, np.stack([x, x * v]), f)
+        twice = kernels._trig_sums(2 * tau, x[None, :], f)[0]
+        cm, sm = once.real, once.imag
+        cc = cc + (share + twice.real) / 2 - cm * cm / share
+        ss = ss + (share - twice.real) / 2 - sm * sm / share
+        cs = cs + twice.imag / 2 - cm * sm / share
+        y1, y2 = y1 + data.real, y2 + data.imag
     d = cc * ss - cs * cs
     with np.errstate(all="ignore"):
         p = (ss * y1**2 + cc * y2**2 - 2 * cs * y1 * y2) / (d * ref)

@@ -65,13 +65,14 @@ def extract(t: np.ndarray, y: np.ndarray, dy: np.ndarray | None, fmax: float, li
         return []
     w = kernels._weights(dy, n) * n
     grid = kernels.frequency_grid(span, fmax, 10.0)
+    engine = kernels.LombScargle(tau, dy, grid)
     f = np.zeros(0)
     rest, rss, bic = y - np.sum(w * y) / w.sum(), None, None
     rss = float(np.sum(w * rest**2))
     bic = n * math.log(rss / n) + math.log(n)
     found: list[tuple] = []
     while len(f) < limit and n > 3 * (len(f) + 1) + 1:
-        power = kernels.gls(tau, rest, None if dy is None else dy, grid)
+        power = engine.power(rest)
         k = int(np.argmax(power))
         new_f, beta, cov, new_rss = multi_sine(tau, y, w, np.append(f, grid[k]))
         new_bic = n * math.log(max(new_rss, 1e-300) / n) + (3 * len(new_f) + 1) * math.log(n)
@@ -79,7 +80,7 @@ def extract(t: np.ndarray, y: np.ndarray, dy: np.ndarray | None, fmax: float, li
         amp = math.hypot(beta[m], beta[2 * m])
         left = y - _design(tau, new_f) @ beta
         near = grid[np.abs(grid - new_f[-1]) <= max(1.0, 12.5 / span)]
-        noise = np.mean([2 * abs(np.sum(w * left * np.exp(-2j * np.pi * g * tau))) / w.sum() for g in near])
+        noise = np.mean(2 * np.abs(kernels._trig_sums(tau, (w * left)[None, :], near)[0])) / w.sum()
         snr = amp / noise if noise > 0 else math.inf
         fap = float(special.baluev_fap(power[k], t, w, fmax))
         if not (snr >= min_snr and fap <= max_fap and new_bic - bic <= -min_gain and 0 < new_f[-1] <= fmax * 1.1):
