@@ -14,7 +14,8 @@ answers that Spark shuffles:
 3. Stretches of windows with one shared minimiser go to its bucket with their
    bytes. The bucket sorts their suffixes to the depth of a window, and in that
    order the previous and next suffix of a smaller document give the longest
-   previous factor; where it reaches ``LENGTH``, the later copy goes.
+   previous factor, found by pointers that jump; where it reaches ``LENGTH``,
+   the later copy goes.
 
 Equal stretches within a block are sent once, for their smallest document, so a
 passage that a third of all documents share is one row per block.
@@ -130,6 +131,18 @@ class Block:
         h = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), dtype=">u8").astype(np.uint64).reshape(-1, 2)
         return begin, end, doc, h[:, 0], h[:, 1]
 
+    def distinct_segments(self) -> tuple[np.ndarray, ...]:
+        """begin, end, doc_id and distinct number of each segment; hashes (two arrays) and smallest doc_id of each distinct one, in order of the hashes."""
+        begin, end, doc, h1, h2 = self.segments()
+        ids = self.ids[doc]
+        order = np.lexsort((ids, h2, h1))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        return begin, end, ids, number, h1[first], h2[first], ids[first]
+
     def valid_starts(self) -> np.ndarray:
         """Which positions start a window inside their document."""
         n = max(0, len(self.data) - LENGTH + 1)
@@ -195,18 +208,16 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def first_requests(stored: DataFrame, buckets: int) -> DataFrame:
-    """Kind s: segment hashes with doc_ids. Kind m: distinct minimisers and whether several documents of the block have them."""
+    """Kind s: hashes of the distinct segments with their smallest doc_id. Kind m: distinct minimisers and whether several documents of the block have them."""
 
     def ask(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for block, blob in zip(pdf["block"], pdf["blob"], strict=True):
                 b = Block.unpack(blob)
-                _, _, doc, h1, h2 = b.segments()
-                order = np.argsort(h1, kind="stable")
-                for k, x, y in bucket_ranges(h1[order], buckets):
-                    o = order[x:y]
-                    rows.append((block, "s", k, _join_fields(press_sorted(h1[o]), press(h2[o]), press(_signed(b.ids[doc[o]])))))
+                *_, h1, h2, least = b.distinct_segments()
+                for k, x, y in bucket_ranges(h1, buckets):
+                    rows.append((block, "s", k, _join_fields(press_sorted(h1[x:y]), press(h2[x:y]), press(_signed(least[x:y])))))
                 minimisers = window_minimisers(b.data)
                 value, at, _ = b.runs(b.valid_starts(), minimisers)
                 doc = b.ids[np.searchsorted(b.ends, at, side="right")]
@@ -260,12 +271,9 @@ class Judged:
     def __init__(self, rows: pd.DataFrame) -> None:
         take = lambda kind: rows[rows["kind"] == kind].sort_values("bucket")["blob"]
         b = self.block = Block.unpack(take("p").iloc[0])
-        begin, end, doc, h1, _ = b.segments()
-        order = np.argsort(h1, kind="stable")
+        begin, end, ids, number, *_ = b.distinct_segments()
         least = [unpress(x, "<u8").view("<i8") for x in take("s")]
-        earlier = np.zeros(len(begin), dtype=bool)
-        if least:
-            earlier[order] = np.concatenate(least) < b.ids[doc[order]]
+        earlier = np.concatenate(least)[number] < ids if least else np.zeros(len(begin), dtype=bool)
         self.gone = np.zeros(len(b.data) + 1, dtype=np.int32)  # difference array of removed bytes
         np.add.at(self.gone, begin[earlier], 1)
         np.add.at(self.gone, end[earlier], -1)
@@ -336,22 +344,36 @@ def suffix_order(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tupl
     return order, common
 
 
-def longest_previous_factor(doc: np.ndarray, common: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """``length`` where the previous or next suffix of a smaller document, in suffix order, shares that much; 0 elsewhere.
+def _smaller_before(rank: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix of each suffix with the nearest one before it, in suffix order, whose document is smaller; 0 below ``length``.
 
-    Both lie in the same interval of full common prefixes, so a running minimum
-    over the interval, from either side, tells whether they are there.
+    All pointers jump at once: what lies between a suffix and the one it points to is of no smaller document, so a
+    pointer to such a one may take over that one's pointer, and the shorter of both prefixes.
+    """
+    n = len(rank)
+    to = np.arange(n) - 1
+    shared = common.copy()
+    shared[:1] = 0
+    live = np.flatnonzero((shared >= length) & (to >= 0))
+    live = live[rank[to[live]] >= rank[live]]
+    while len(live):
+        via = to[live]
+        shared[live] = np.minimum(shared[live], shared[via])
+        to[live] = to[via]
+        live = live[(shared[live] >= length) & (to[live] >= 0)]
+        live = live[rank[to[live]] >= rank[live]]
+    return np.where((shared >= length) & (to >= 0), shared, 0)
+
+
+def longest_previous_factor(doc: np.ndarray, common: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The longest previous factor of each suffix, in suffix order: the longer of its common prefixes with the previous and
+    the next suffix of a smaller document. ``common`` is that with the suffix before; lengths below ``length`` count as 0.
     """
     if not len(doc):
         return np.zeros(0, dtype=np.int64)
-    interval = np.cumsum(common < length)
     _, rank = np.unique(doc, return_inverse=True)
-    n = len(doc) + 1
-    forward = np.minimum.accumulate(rank - interval * n)
-    previous = forward < rank - interval * n
-    back = (rank + interval * n)[::-1]
-    following = (np.minimum.accumulate(back) < back)[::-1]
-    return np.where(previous | following, length, 0)
+    after = np.append(common[1:], 0)  # common prefix with the suffix behind
+    return np.maximum(_smaller_before(rank, common, length), _smaller_before(rank[::-1], after[::-1], length)[::-1])
 
 
 def answer_stretches(pdf: pd.DataFrame) -> pd.DataFrame:
