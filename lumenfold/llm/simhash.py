@@ -216,7 +216,7 @@ def _labelled(docs: DataFrame, text: str, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed 64-bit) and component_id (its smallest doc_id) of every row. ``radius`` is 2 or less."""
     found = cut(_labelled(docs, text, radius))
-    first = found.groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    first = cut(found.groupBy("node").agg(F.min("doc_id").alias("component_id")))  # apart from the join, which can then split a large component
     return found.join(first, "node").select("doc_id", "fp", "component_id")
 
 
