@@ -93,7 +93,35 @@ def box(bands, f: np.ndarray) -> np.ndarray:
     return np.sqrt(sum(np.maximum(kernels.bls(*b, f), 0) ** 2 for b in bands))
 
 
-METHODS = {"offsets": (offsets, 3), "flexible": (flexible, 3), "mhaov": (aov, 8), "supersmoother": (smoother, 8), "bls": (box, 8)}
+def joint_box(bands, f: np.ndarray, n_durations: int = 8, oversample: int = 10) -> np.ndarray:
+    """Signal-to-noise of the deepest box with one depth, time and duration in all bands, each about its own level."""
+    w = [np.ones(len(y)) if dy is None else 1 / dy**2 for _, y, dy in bands]
+    v = [(y - np.sum(x * y) / x.sum()) * x for (_, y, _), x in zip(bands, w, strict=True)]
+    total, periods, out = sum(x.sum() for x in w), 1.0 / f, np.zeros(len(f))
+    lowest = periods.min()
+    for i, p in enumerate(periods):
+        base = lowest * 2.0 ** np.floor(np.log2(p / lowest) + 1e-12)
+        durations = np.geomspace(0.01 * base, 0.12 * base, n_durations)
+        width = durations[0] / oversample
+        slots = int(np.ceil(p / width))
+        sums = []
+        for (tau, _, _), x, z in zip(bands, w, v, strict=True):
+            b = (np.mod(tau, p) / width).astype(np.int64)
+            h = np.stack([np.bincount(b, z, slots + 1)[:slots], np.bincount(b, x, slots + 1)[:slots]])
+            sums.append(np.cumsum(np.concatenate([np.zeros((2, 1)), h, h], axis=1), axis=1))  # a box may run over the end of the period
+        for kd in np.unique(np.floor(durations / width + 0.5).astype(np.int64)):
+            if kd >= slots:
+                continue
+            inside = [c[:, kd : kd + slots] - c[:, :slots] for c in sums]
+            depth = -sum(x[0] for x in inside)
+            weight = sum(x[1] * (1 - x[1] / z.sum()) for x, z in zip(inside, w, strict=True))
+            good = (weight > 1e-9 * total) & (depth > 0)
+            if good.any():
+                out[i] = max(out[i], float((depth[good] / np.sqrt(weight[good])).max()))
+    return out
+
+
+METHODS = {"offsets": (offsets, 3), "flexible": (flexible, 3), "mhaov": (aov, 8), "supersmoother": (smoother, 8), "bls": (box, 8), "joint_bls": (joint_box, 4)}
 
 
 def spectrum(obs: DataFrame, method: str, nf: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import physics
-from . import spectra
+from . import kernels, readouts, spectra
 
 
 def linear_ephemeris(events: DataFrame, period: float) -> DataFrame:
@@ -68,3 +72,46 @@ def detectable_rate(timings: DataFrame, period: float, error: float) -> DataFram
     v1 = (F.col("n") * F.col("s4") - F.col("s2") * F.col("s2")) / F.col("det")
     rate = 2 * period * error * F.sqrt(v2) / (F.col("unit") * F.col("unit"))
     return s.select("object_id", "n", "baseline", rate.alias("sigma_rate"), (period * error * F.sqrt(v1) / F.col("unit")).alias("sigma_period"))
+
+
+RATES = "object_id string, f double, rate double, pdot double, power double, steady_power double, correlation double"
+
+
+def _vertex(lo: float, mid: float, hi: float) -> float:
+    bend = lo - 2 * mid + hi
+    return 0.5 * (lo - hi) / bend if bend < 0 else 0.0
+
+
+def rate_search(obs: DataFrame, seeds: DataFrame, n_rates: int = 12, model: str = "constant") -> DataFrame:
+    """Best frequency and relative drift rate of each object about its seed (object_id, f), refined by parabolas.
+
+    Times are bent so that a drifting period is constant, and each rate is one Lomb-Scargle spectrum on the window
+    of frequencies about the seed. ``correlation`` of both parameters comes from the curvature of the peak.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, y, dy = kernels._points(pdf)
+        none = pd.DataFrame({"object_id": pd.Series([], dtype=object), **{c.split()[0]: pd.Series([], dtype=float) for c in RATES.split(", ")[1:]}})
+        span = t[-1] - t[0] if len(t) else 0.0
+        if len(t) < 8 or span <= 0:
+            return none
+        seed = float(pdf["_f"].iloc[0])
+        w = kernels._weights(dy, len(t))
+        tau = t - np.sum(w * t)
+        f0, df, nf = readouts.frequency_window(seed, span)
+        grid = f0 + df * np.arange(nf)
+        rates = np.array([a for a in readouts.drift_rates(n_rates, seed, span) if 1 + a * tau.min() > 0.05 and 1 + a * tau.max() > 0.05])
+        bend = (lambda a: np.log1p(a * tau) / a) if model == "constant" else (lambda a: -np.expm1(-a * tau) / a)
+        power = np.stack([kernels.gls(tau if a == 0 else bend(a), y, dy, grid) for a in rates])
+        j, i = np.unravel_index(int(np.argmax(np.round(power, 9))), power.shape)
+        f, a, correlation = grid[i], rates[j], math.nan
+        if 0 < i < nf - 1 and 0 < j < len(rates) - 1:
+            p = power[j - 1 : j + 2, i - 1 : i + 2]
+            f += _vertex(*p[1]) * df
+            a += _vertex(*p[:, 1]) * (rates[1] - rates[0])
+            cff, caa, cfa = p[1, 0] - 2 * p[1, 1] + p[1, 2], p[0, 1] - 2 * p[1, 1] + p[2, 1], (p[0, 0] + p[2, 2] - p[0, 2] - p[2, 0]) / 4
+            correlation = float(cfa / math.sqrt(cff * caa)) if cff < 0 and caa < 0 else math.nan
+        steady = float(power[int(np.flatnonzero(rates == 0)[0])].max())
+        return pd.DataFrame([(pdf["object_id"].iloc[0], f, a, a / f, float(power[j, i]), steady, correlation)], columns=[c.split()[0] for c in RATES.split(", ")])
+
+    return obs.join(seeds.selectExpr("object_id", "f AS _f"), "object_id").groupBy("object_id").applyInPandas(run, RATES)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import boxes, ephemeris, grids, kernels, models, multiband, peaks, period_change, prewhitening, readouts, spectra, tracking, windows
+from ..operators import boxes, constrained, ephemeris, grids, kernels, models, multiband, peaks, period_change, prewhitening, readouts, spectra, tracking, windows
 from ..sources import observations as obs_source
 from ..streaming import spectra as streaming
 from . import batch
@@ -942,6 +942,44 @@ def profile_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(readouts.total_change(tracking.profile(series(spark, sf_dir), 0.75, 20)), "object_id n", "first last change")
 
 
+def _seeds(o: DataFrame) -> DataFrame:
+    return kernels.best_periods(o, "gls", grid=grids.gls_grid(o)).select("object_id", "f")
+
+
+@query("harmonic_fits")
+def harmonic_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    return emit(constrained.harmonic_fits(o, _seeds(o), 2, band_offsets=True), "object_id component parameters", "frequency amplitude rss bic", 5)
+
+
+@query("resampled_errors")
+def resampled_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    return emit(constrained.harmonic_fits(o, _seeds(o), 1, resamples=50), "object_id component", "frequency amplitude frequency_error amplitude_error", 5)
+
+
+@query("drift_rates")
+def drift_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    return emit(period_change.rate_search(o, _seeds(o)), "object_id", "f rate power steady_power correlation", 5)
+
+
+@query("multiband_joint_bls")
+def multiband_joint_bls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _multiband("joint_bls", 15)(spark, sf_dir)
+
+
+def _auto_own(method: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return emit(kernels.periodogram(series(spark, sf_dir), method), "object_id k", "period f power", 5)
+
+    return f
+
+
+for _m in ("bls", "tls"):
+    query(f"auto_best_{_m}")(_auto_own(_m))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

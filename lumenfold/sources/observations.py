@@ -133,3 +133,55 @@ def unique_keys(df: DataFrame, key: str, order: str) -> DataFrame:
 def csv_safe(c: Column) -> Column:
     """A cell that a spreadsheet would run as a formula gets a quote in front."""
     return F.when(c.rlike(r"^[=+@\t\r-]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+#: Files that a batch run writes itself; they are never its inputs.
+OWN_OUTPUTS = ("results", "failures", "manifest")
+
+
+def list_inputs(spark: SparkSession, inputs: str | list[str]) -> list[str]:
+    """Paths from a path, a list of them, or a manifest (a .lst file with one path a line, relative to its folder); each once, own outputs left out."""
+    out: dict[str, None] = {}
+    for path in [inputs] if isinstance(inputs, str) else inputs:
+        if path.endswith(".lst"):
+            folder = path.rsplit("/", 1)[0] if "/" in path else "."
+            names = [r.value.strip() for r in spark.read.text(path).collect()]  # one line a file, not a row a point
+            out.update((n if "://" in n or n.startswith("/") else f"{folder}/{n}", None) for n in names if n and not n.startswith("#"))
+        else:
+            out[path] = None
+    return [p for p in out if p.rstrip("/").rsplit("/", 1)[-1] not in OWN_OUTPUTS]
+
+
+def read_inputs(spark: SparkSession, inputs: str | list[str], domain: str | None = None, **roles: str) -> DataFrame:
+    """Observations of all inputs. Inputs of one kind are read together; ``source`` is the path that a row came from."""
+    kinds: dict[str, list[str]] = {}
+    for p in list_inputs(spark, inputs):
+        kinds.setdefault(p.lower().removesuffix(".gz").removesuffix(".bz2").rsplit(".", 1)[-1], []).append(p)
+    if not kinds:
+        raise ValueError("no inputs")
+    parts = [read_files(spark, p, domain, **roles).withColumn("source", F.lit(p)) for paths in kinds.values() for p in paths]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.withColumn("rid", F.monotonically_increasing_id())
+
+
+def classify_sink(sink: str | None) -> str:
+    """memory (none given), file (a table format by suffix) or directory."""
+    if sink is None:
+        return "memory"
+    return "file" if sink.lower().rsplit("/", 1)[-1].endswith((".csv", ".csv.gz", ".tsv")) else "directory"
+
+
+def write_rows(rows: DataFrame, sink: str | None, mode: str = "errorifexists") -> DataFrame:
+    """Rows as Parquet below a directory, as one CSV folder of safe cells for a file sink, or as they are; returns what is there."""
+    kind = classify_sink(sink)
+    if kind == "memory":
+        return rows
+    if kind == "directory":
+        rows.write.mode(mode).parquet(sink)
+        return rows.sparkSession.read.parquet(sink)
+    safe = rows.select(*[csv_safe(F.col(c)).alias(c) if k == "string" else F.col(c) for c, k in rows.dtypes])
+    sep = "\t" if sink.lower().endswith(".tsv") else ","
+    safe.write.mode(mode).csv(sink, header=True, sep=sep, compression="gzip" if sink.lower().endswith(".gz") else "none")
+    return rows.sparkSession.read.csv(sink, header=True, sep=sep, schema=safe.schema)
