@@ -152,8 +152,9 @@ def candidates(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFra
     """
     met = _shared(_role(distinct, *_ID))
     wanted = met.select(*_ID).distinct()
-    text = occurrences(docs).where(F.col("n") >= MIN_CHARS).select(*_ID, "line").hint("merge").join(wanted, _ID)
-    lines = cut(text.groupBy(*_ID).agg(F.first("line").alias("line")).hint("merge").join(distinct.select(*_ID, "first"), _ID))
+    # one row a line and task moves, however often a line is there
+    text = occurrences(docs).where(F.col("n") >= MIN_CHARS).groupBy(*_ID).agg(F.first("line").alias("line"))
+    lines = cut(text.hint("merge").join(wanted, _ID).hint("merge").join(distinct.select(*_ID, "first"), _ID))
     pairs = _pairs(met)
     crowded = lambda met: met.where(F.col("c") > MAX_BUCKET).select("key", "own", *_ID).join(lines, _ID)
     crowd = crowded(met)
