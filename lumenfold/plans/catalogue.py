@@ -969,15 +969,16 @@ def multiband_joint_bls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multiband("joint_bls", 15)(spark, sf_dir)
 
 
-def _auto_own(method: str):
+def _long_periods(method: str, grid):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return emit(kernels.periodogram(series(spark, sf_dir), method), "object_id k", "period f power", 5)
+        o = series(spark, sf_dir)
+        return emit(kernels.best_periods(o, method, grid=grid(o, shortest=2.0)), "object_id k", "period f power", 5)
 
     return f
 
 
-for _m in ("bls", "tls"):
-    query(f"auto_best_{_m}")(_auto_own(_m))
+query("long_period_boxes")(_long_periods("bls", grids.box_grid))
+query("long_period_transits")(_long_periods("tls", grids.transit_grid))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
