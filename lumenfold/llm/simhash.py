@@ -39,9 +39,9 @@ RADIUS = 2
 SAMPLE = 32_768
 #: Distinct fingerprints aimed at per shard as long as there are fewer than SHARDS; then shards grow to BIG, and their
 #: own trees, in memory, do the rest: each level of the outer tree deals boundary points twice.
-SHARD, SHARDS, BIG = 4096, 64, 1 << 20
+SHARD, SHARDS, BIG = 4096, 64, 5 << 18
 #: Most fingerprints that one task takes: 16 bytes each.
-MAX_SHARD = 16 << 20
+MAX_SHARD = 24 << 20
 #: Below this many, a shard's part is compared directly.
 DIRECT = 768
 _CHUNK = 1 << 16
