@@ -39,22 +39,32 @@ class Parts:
         self.distinct: list[str] = coded.dictionary.to_pylist()
 
 
-class Memory(dict):
-    """Ids (little-endian unsigned 32-bit bytes) of parts; forgets all when it would outgrow its bound."""
+class Memory:
+    """Ids (little-endian unsigned 32-bit bytes) of some ``most`` parts, in two halves: when the younger one is full, the
+    older one is forgotten, and what is met again moves to the younger one. So frequent parts stay.
+    """
 
     def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most = most
+        self.half = most // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, wanted: list[str], solve: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The ids of ``wanted``; what is not known yet is solved at once."""
-        new = [p for p in wanted if p not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = wanted
-        if new:
-            self.update(zip(new, solve(new), strict=True))
-        return [self[p] for p in wanted]
+        """The ids of the distinct parts ``wanted``; those that are not known are solved together."""
+        out = list(map(self.young.get, wanted))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if missing:
+            parts = [wanted[k] for k in missing]
+            found = list(map(self.old.get, parts))
+            new = [p for p, ids in zip(parts, found, strict=True) if ids is None]
+            solved = iter(solve(new) if new else ())
+            ids = [x if x is not None else next(solved) for x in found]
+            if len(self.young) + len(parts) > self.half:
+                self.old, self.young = self.young, {}
+            self.young.update(zip(parts, ids, strict=True))
+            for k, x in zip(missing, ids, strict=True):
+                out[k] = x
+        return out
 
 
 def put_together(ids: list[bytes], of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

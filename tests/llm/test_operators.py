@@ -95,6 +95,24 @@ def test_sentencepiece_equals_library(corpus):
         assert fst.decode(ids) == text
 
 
+def test_memory_keeps_what_is_met_again():
+    from lumenfold.llm.parts import Memory
+
+    solved = []
+
+    def solve(parts):
+        solved.extend(parts)
+        return [p.encode() for p in parts]
+
+    memory = Memory(8)
+    for k in range(20):
+        wanted = ["often", f"rare{k}", f"rarer{k}"]
+        assert memory.learn(wanted, solve) == [p.encode() for p in wanted]
+        assert len(memory.young) + len(memory.old) <= 8
+    assert solved.count("often") == 1 and len(solved) == 41
+    assert memory.learn(["rare0"], solve) == [b"rare0"] and solved.count("rare0") == 2
+
+
 def test_encode_and_decode_columns(spark, corpus):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     path = P.path("piece_bpe_32k.model")
