@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, quality
+from . import bit_sliced, decontaminate, lines, quality, resampling
 from .common import LOWER, UPPER
 
 _WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -87,3 +87,33 @@ FROM base LEFT JOIN wide ON base.lang IS NOT DISTINCT FROM wide.lang AND base.so
 
 
 QUALITY = _quality()
+
+_R = resampling
+
+RESAMPLING = f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, {_split(_LOWERED, decontaminate.GAP)} AS w FROM documents),
+b AS (SELECT {_split(_LOWERED, decontaminate.GAP)} AS w FROM benchmark),
+tw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY w),
+sw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w),
+hashed AS (SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % {_R.N_BUCKETS} AS bucket
+  FROM (SELECT w FROM sw UNION SELECT w FROM tw), tab),
+s AS (SELECT bucket, sum(n)::DOUBLE AS n FROM sw JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS n FROM tw JOIN hashed USING (w) GROUP BY bucket),
+tot AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS ss, coalesce((SELECT sum(n) FROM t), 0) AS tt),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * (ss + {_R.N_BUCKETS}) / ((coalesce(s.n, 0) + 1) * (tt + {_R.N_BUCKETS}))))::BIGINT AS g FROM s FULL JOIN t USING (bucket), tot),
+weighed AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS w FROM d) JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{_R.SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weighed USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= {_R.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT {_R.PERCENT} * count(*) // 100 FROM placed) THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+_B = bit_sliced
+
+TOP_K = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({_B.SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {_B.EVERY} = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {_B.K}
+"""

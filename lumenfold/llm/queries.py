@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_model, lines, oracles, quality, sentencepiece_fst, simhash, suffix_dedup, tokens, toxicity
+from . import alignment, bit_sliced, decontaminate, html_text, language_model, lines, oracles, quality, resampling, sentencepiece_fst, simhash, suffix_dedup, tokens, toxicity
 from .common import table
 
 
@@ -67,6 +67,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best and count_sum of every document."""
+    import public_tokenizers
+
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score and rank of every document."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the 20 best partners of every vector whose vec_id is divisible by 20."""
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -79,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_alignment": op11_alignment,
+        "op12_resampling": op12_resampling,
+        "op13_exact_top_k": op13_exact_top_k,
     }
 
 
@@ -88,4 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": oracles.DECONTAMINATION,
         "op7_line_dedup": oracles.LINE_DEDUP,
         "op8_quality_rules": oracles.QUALITY,
+        "op12_resampling": oracles.RESAMPLING,
+        "op13_exact_top_k": oracles.TOP_K,
     }
