@@ -64,6 +64,8 @@ _TABLE = crc_table()
 def crc32_all(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Unsigned CRC-32 of each stretch of ``data`` (bytes)."""
     out = np.empty(len(starts), dtype=np.uint32)
+    if not len(out):
+        return out
     order = np.argsort(sizes, kind="stable")
     lengths, first = np.unique(sizes[order], return_index=True)
     for size, bucket in zip(lengths.tolist(), np.split(order, first[1:]), strict=True):
