@@ -105,12 +105,30 @@ def buoyancy_radius(mean_spacing: Column, ell: int = 1) -> Column:
     return F.lit(math.sqrt(ell * (ell + 1.0)) * 86400.0) * mean_spacing
 
 
-def ltte_delay(dt: Column, outer_period: float, amplitude: float, omega: float, eccentricity: float, periastron: float, steps: int = 12) -> Column:
-    """Light-time delay on an eccentric orbit (Irwin 1952); Kepler's equation by a fixed number of Newton steps."""
-    m = 2 * math.pi * (dt - F.lit(periastron)) / F.lit(outer_period)
+def _column(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def eccentric_anomaly(dt: Column, outer_period: Column | float, eccentricity: Column | float, periastron: Column | float, steps: int = 60) -> Column:
+    """Kepler's equation by Newton's steps, each kept within the eccentricity of the mean anomaly, where the root is."""
+    e = _column(eccentricity)
+    m = 2 * math.pi * (dt - _column(periastron)) / _column(outer_period)
     m = m - 2 * math.pi * F.floor(m / (2 * math.pi))
-    e = F.lit(eccentricity)
-    anomaly = F.aggregate(F.array_repeat(F.lit(0), steps), m + e * F.sin(m), lambda x, _: x - (x - e * F.sin(x) - m) / (1 - e * F.cos(x)))
-    nu = 2 * F.atan2(F.sqrt(1 + e) * F.sin(anomaly / 2), F.sqrt(1 - e) * F.cos(anomaly / 2))
-    root = math.sqrt(1 - (eccentricity * math.cos(omega)) ** 2)
-    return F.lit(amplitude / root) * ((1 - e * e) * F.sin(nu + F.lit(omega)) / (1 + e * F.cos(nu)) + e * F.lit(math.sin(omega)))
+    step = lambda x: F.least(F.greatest(x - (x - e * F.sin(x) - m) / (1 - e * F.cos(x)), m - e), m + e)
+    return F.aggregate(F.array_repeat(F.lit(0), steps), m + e * F.sin(m), lambda x, _: step(x))
+
+
+def ltte_delay(dt: Column, outer_period: Column | float, amplitude: Column | float, omega: Column | float, eccentricity: Column | float, periastron: Column | float) -> Column:
+    """Light-time delay on an eccentric orbit (Irwin 1952), amplitude a sin i / c: two terms of the eccentric anomaly."""
+    e, w = _column(eccentricity), _column(omega)
+    x = eccentric_anomaly(dt, outer_period, e, periastron)
+    return _column(amplitude) * (F.cos(w) * F.sqrt(1 - e * e) * F.sin(x) + F.sin(w) * F.cos(x))
+
+
+def ltte_slope(dt: Column, outer_period: Column | float, amplitude: Column | float, omega: Column | float, eccentricity: Column | float, periastron: Column | float) -> Column:
+    """Rate of ``ltte_delay``."""
+    e, w = _column(eccentricity), _column(omega)
+    x = eccentric_anomaly(dt, outer_period, e, periastron)
+    turn = 2 * math.pi / _column(outer_period) / (1 - e * F.cos(x))
+    return _column(amplitude) * (F.cos(w) * F.sqrt(1 - e * e) * F.cos(x) - F.sin(w) * F.sin(x)) * turn
+

@@ -113,15 +113,16 @@ def fit(t: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, constraints:
     return now, beta, where, rss, x.shape[1] + len(p)
 
 
-def wild_errors(t: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, constraints: Constraints = Constraints(), resamples: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def wild_errors(t: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, constraints: Constraints = Constraints(), resamples: int = 200, seed: int = 0, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Standard deviations of frequencies and amplitudes over refits to the model plus residuals of random sign."""
-    now, beta, where, *_ = fit(t, y, w, f, constraints)
-    x, _ = _columns(t, now, np.zeros(len(t), dtype=np.int64), constraints)
+    group = np.zeros(len(t), dtype=np.int64) if group is None else group
+    now, beta, where, *_ = fit(t, y, w, f, constraints, group)
+    x, _ = _columns(t, now, group, constraints)
     model, rng = x @ beta, np.random.default_rng(seed)
     rest = (y - model) * math.sqrt(len(t) / max(len(t) - x.shape[1] - len(now), 1))
     found = []
     for _ in range(resamples):
-        g, b, at, *_ = fit(t, model + rest * rng.choice([-1.0, 1.0], len(t)), w, now, constraints, rounds=15)
+        g, b, at, *_ = fit(t, model + rest * rng.choice([-1.0, 1.0], len(t)), w, now, constraints, group, rounds=15)
         found.append(np.concatenate([g, [math.hypot(b[own[0]], b[own[0] + 1]) for own in at]]))
     sd = np.std(found, axis=0, ddof=1)
     return sd[: len(now)], sd[len(now) :]
@@ -146,7 +147,7 @@ def harmonic_fits(obs: DataFrame, seeds: DataFrame, harmonics: int = 2, band_off
         group = pd.factorize(pdf["band"].fillna(""))[0] if band_offsets else None
         start = pdf["_f"].iloc[0] * np.arange(1, harmonics + 1)
         now, beta, where, rss, m = fit(tau, y, w, start, c, group)
-        ef, ea = wild_errors(tau, y, w, now, Constraints(ties=c.ties), resamples, zlib.crc32(str(pdf["object_id"].iloc[0]).encode()) + seed) if resamples else (np.full(harmonics, np.nan),) * 2
+        ef, ea = wild_errors(tau, y, w, now, c, resamples, zlib.crc32(str(pdf["object_id"].iloc[0]).encode()) + seed, group) if resamples else (np.full(harmonics, np.nan),) * 2
         bic = n * math.log(max(rss, 1e-300) / n) + m * math.log(n)
         rows = [(pdf["object_id"].iloc[0], i + 1, now[i], math.hypot(beta[j], beta[j + 1]), math.atan2(beta[j], beta[j + 1]), ef[i], ea[i], rss, m, bic) for i, (j, *_) in enumerate(where)]
         return pd.DataFrame(rows, columns=columns)

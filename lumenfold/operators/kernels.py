@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from . import grids, nufft
+from . import grids, nufft, spread
 from .boxes import limb_darkened
 
 CHUNK = 1 << 19
@@ -74,10 +74,7 @@ class LombScargle:
     def __init__(self, tau, dy, frequencies, fit_mean: bool = True) -> None:
         self.tau, self.f = tau, frequencies
         self.w = _weights(dy, len(tau))
-        once, twice = _trig_sums(tau, self.w[None, :], frequencies)[0], _trig_sums(2 * tau, self.w[None, :], frequencies)[0]
-        cm, sm = (once.real, once.imag) if fit_mean else (0.0, 0.0)
-        self.cc, self.ss, self.cs = (1 + twice.real) / 2 - cm * cm, (1 - twice.real) / 2 - sm * sm, twice.imag / 2 - cm * sm
-        self.det = self.cc * self.ss - self.cs * self.cs
+        self.terms = weight_terms(_trig_sums(tau, self.w[None, :], frequencies)[0], _trig_sums(2 * tau, self.w[None, :], frequencies)[0], fit_mean)
 
     def data_sums(self, y) -> np.ndarray:
         """sum of w (y - mean) exp(2 pi i f tau)."""
@@ -88,11 +85,22 @@ class LombScargle:
         yy = np.sum(self.w * yc * yc)
         if yy <= (64 * np.finfo(float).eps * np.max(np.abs(y), initial=0)) ** 2:
             return np.zeros(len(self.f))
-        data = self.data_sums(y) if data is None else data
-        d = yy * self.det
-        with np.errstate(all="ignore"):
-            p = (self.ss * data.real**2 + self.cc * data.imag**2 - 2 * self.cs * data.real * data.imag) / d
-        return np.where((np.abs(d) > 1e-12 * yy) & (p > 0), np.minimum(p, 1), 0)
+        return power_of_sums(self.terms, self.data_sums(y) if data is None else data, yy)
+
+
+def weight_terms(once: np.ndarray, twice: np.ndarray, fit_mean: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squares of cosines, of sines, and products, about their means, from sums of w exp(2 pi i f tau) and w exp(4 pi i f tau) with weights of sum one."""
+    cm, sm = (once.real, once.imag) if fit_mean else (0.0, 0.0)
+    return (1 + twice.real) / 2 - cm * cm, (1 - twice.real) / 2 - sm * sm, twice.imag / 2 - cm * sm
+
+
+def power_of_sums(terms: tuple[np.ndarray, np.ndarray, np.ndarray], data: np.ndarray, yy: float) -> np.ndarray:
+    """Power from the terms of the weights, the sums of the data, and the weighted square of the values about their mean."""
+    cc, ss, cs = terms
+    d = yy * (cc * ss - cs * cs)
+    with np.errstate(all="ignore"):
+        p = (ss * data.real**2 + cc * data.imag**2 - 2 * cs * data.real * data.imag) / d
+    return np.where((np.abs(d) > 1e-12 * yy) & (p > 0), np.minimum(p, 1), 0)
 
 
 def gls(tau, y, dy, frequencies, fit_mean: bool = True):
@@ -363,17 +371,23 @@ def get_method(name: str, **settings) -> Callable:
 
 
 def _grid_of(pdf: pd.DataFrame, nf: int | None, fmax: float | None, span: float) -> np.ndarray:
+    """The object's trials; none where the grid table has no row for it."""
     if "_nf" in pdf:
         row = pdf.iloc[0]
-        return row["_f0"] + row["_df"] * np.arange(int(row["_nf"]))
+        return row["_f0"] + row["_df"] * np.arange(int(row["_nf"])) if np.isfinite(row["_nf"]) else np.zeros(0)
     return 1.0 / span + np.arange(nf) * (1.0 / (5.0 * span)) if nf else frequency_grid(span, fmax)
 
 
-def _with_grid(obs: DataFrame, grid: DataFrame | None) -> DataFrame:
-    """Points with their object's grid beside them; objects without a grid are left out."""
+def _with_grid(obs: DataFrame, grid: DataFrame | None, nf: int | None = None, relative: float = 1.0) -> DataFrame:
+    """Points with their object's grid beside them (null where it has none), hashed by object to tasks for the work that they are. ``relative``: cost of a trial and point against a plain fold."""
+    obs = spread.deal(obs, relative * spread.estimated_work(obs, nf), "object_id")
     if grid is None:
         return obs
-    return obs.join(grid.select("object_id", F.col("f0").alias("_f0"), F.col("df").alias("_df"), F.col("nf").alias("_nf")), "object_id")
+    return obs.join(grid.select("object_id", F.col("f0").alias("_f0"), F.col("df").alias("_df"), F.col("nf").cast("double").alias("_nf")), "object_id", "left")
+
+
+#: Cost of a point and trial against phase dispersion.
+RELATIVE = {"gls": 0.1, "pdm": 1.0, "ce": 1.0, "sl": 3.0, "mhaov": 0.5, "bls": 20.0, "tls": 3.0, "supersmoother": 40.0}
 
 
 def spectrum(obs: DataFrame, method: str, nf: int | None = None, fmax: float | None = None, grid: DataFrame | None = None, **settings) -> DataFrame:
@@ -386,10 +400,12 @@ def spectrum(obs: DataFrame, method: str, nf: int | None = None, fmax: float | N
         if span <= 0:
             return _no_rows(["k"], ["f", "power"])
         f = _grid_of(pdf, nf, fmax, span)
+        if not len(f):
+            return _no_rows(["k"], ["f", "power"])
         p = kernel(t - t[0], y, dy, f, **settings)
         return pd.DataFrame({"object_id": pdf["object_id"].iloc[0], "k": np.arange(len(f)), "f": f, "power": p})
 
-    return _with_grid(obs, grid).groupBy("object_id").applyInPandas(run, "object_id string, k long, f double, power double")
+    return _with_grid(obs, grid, nf, RELATIVE.get(method, 1.0)).groupBy("object_id").applyInPandas(run, "object_id string, k long, f double, power double")
 
 
 def best_periods(obs: DataFrame, method: str, nf: int | None = None, n: int = 1, separation: int = 15, grid: DataFrame | None = None, **settings) -> DataFrame:
@@ -400,8 +416,8 @@ def best_periods(obs: DataFrame, method: str, nf: int | None = None, n: int = 1,
         t, y, dy = _points(pdf)
         cols = {"object_id": [], "rank": [], "k": [], "period": [], "f": [], "power": [], "fap": []}
         span = t[-1] - t[0] if len(t) else 0.0
-        if span > 0:
-            f = _grid_of(pdf, nf, None, span)
+        f = _grid_of(pdf, nf, None, span) if span > 0 else ()
+        if len(f):
             p = kernel(t - t[0], y, dy, f, **settings)
             score = np.round(np.where(np.isfinite(p), -p if method in MINIMISED else p, -np.inf), 9)
             taken: list[int] = []
@@ -416,7 +432,7 @@ def best_periods(obs: DataFrame, method: str, nf: int | None = None, n: int = 1,
                     cols[c].append(v)
         return pd.DataFrame(cols) if cols["rank"] else _no_rows(["rank", "k"], ["period", "f", "power", "fap"])
 
-    return _with_grid(obs, grid).groupBy("object_id").applyInPandas(run, "object_id string, rank long, k long, period double, f double, power double, fap double")
+    return _with_grid(obs, grid, nf, RELATIVE.get(method, 1.0)).groupBy("object_id").applyInPandas(run, "object_id string, rank long, k long, period double, f double, power double, fap double")
 
 
 def periodogram(obs: DataFrame, method: str = "gls", n: int = 1, grid_settings: dict | None = None, **settings) -> DataFrame:

@@ -44,25 +44,40 @@ def _correction(nf: int, size: int) -> np.ndarray:
     return 2 * half * (turn @ (w[x > 0] * _kernel(x[x > 0])))
 
 
-def sums(t: np.ndarray, values: np.ndarray, f0: float, df: float, nf: int) -> np.ndarray:
-    """F_k for each row of ``values``: shape (rows, nf), complex."""
+def grid_size(nf: int) -> int:
+    """Cells of the grid for ``nf`` frequencies."""
+    return _fast_length(max(2 * nf, 2 * WIDTH))
+
+
+def spread(t: np.ndarray, values: np.ndarray, f0: float, df: float, nf: int) -> np.ndarray:
+    """The grid of each row of ``values``: shape (rows, grid_size(nf)), complex. Grids of parts of the points add up to the grid of all."""
     values = np.atleast_2d(values)
-    size = _fast_length(max(2 * nf, 2 * WIDTH))
+    size = grid_size(nf)
     x = np.mod(df * t, 1.0) * size
     c = values * np.exp(2j * np.pi * (np.mod(f0 * t, 1.0) + np.mod((nf // 2) * np.mod(df * t, 1.0), 1.0)))
     first = np.ceil(x - WIDTH / 2).astype(np.int64)
     at = first[:, None] + np.arange(WIDTH)
-    spread = _kernel((at - x[:, None]) * (2 / WIDTH))
+    share = _kernel((at - x[:, None]) * (2 / WIDTH))
     at = np.mod(at, size).ravel()
-    out = np.empty((len(values), nf), dtype=complex)
-    k = np.mod(np.arange(nf) - nf // 2, size)
+    out = np.empty((len(values), size), dtype=complex)
     for i, row in enumerate(c):
-        each = (row[:, None] * spread).ravel()
-        grid = np.bincount(at, each.real, size) + 1j * np.bincount(at, each.imag, size)
-        out[i] = np.fft.ifft(grid)[k] * size / _correction(nf, size)
+        each = (row[:, None] * share).ravel()
+        out[i] = np.bincount(at, each.real, size) + 1j * np.bincount(at, each.imag, size)
     return out
 
 
+def transform(grid: np.ndarray, nf: int) -> np.ndarray:
+    """F_k of each grid: shape (rows, nf), complex."""
+    size = grid_size(nf)
+    k = np.mod(np.arange(nf) - nf // 2, size)
+    return np.stack([np.fft.ifft(g)[k] * size / _correction(nf, size) for g in grid])
+
+
+def sums(t: np.ndarray, values: np.ndarray, f0: float, df: float, nf: int) -> np.ndarray:
+    """F_k for each row of ``values``: shape (rows, nf), complex."""
+    return transform(spread(t, values, f0, df, nf), nf)
+
+
 def uniform(frequencies: np.ndarray) -> tuple[float, float] | None:
     """(f0, df) of equally spaced ascending frequencies, else None."""
     n = len(frequencies)

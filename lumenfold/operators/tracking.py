@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import special
+from . import spread
 from .kernels import _points
 
 
@@ -51,12 +52,11 @@ def phase_track(t: np.ndarray, y: np.ndarray, period: float, segments: int | Non
             continue
         ph, v = tau[a:b] * f, y[a:b]
 
-        def rss(d: float) -> float:
-            m = _basis(ph - d, h) @ beta
-            r = v - m
-            return float(np.sum((r - r.mean()) ** 2))
-
-        scan = np.array([rss(d) for d in shifts])
+        turn = 2 * np.pi * (ph[None, :] - shifts[:, None])
+        model = beta[0] + sum(beta[2 * j - 1] * np.cos(j * turn) + beta[2 * j] * np.sin(j * turn) for j in range(1, h + 1))
+        rest = v - model
+        rest -= rest.mean(axis=1, keepdims=True)
+        scan = (rest * rest).sum(axis=1)
         i = int(np.argmin(scan))
         lo, mid, hi = scan[i - 1], scan[i], scan[(i + 1) % len(scan)]
         bend = lo - 2 * mid + hi
@@ -82,12 +82,11 @@ def period_profile(t: np.ndarray, y: np.ndarray, period: float, per_interval: in
             continue
         grid = 1 / period + np.linspace(-1, 1, 201) / span
 
-        def rss(f: float) -> float:
-            m = _basis(tau * f, harmonics)
-            beta, *_ = np.linalg.lstsq(m, v, rcond=None)
-            return float(np.sum((v - m @ beta) ** 2))
-
-        chi = np.array([rss(f) for f in grid])
+        phase = 2 * np.pi * grid[:, None] * tau[None, :]
+        basis = np.stack([np.ones_like(phase), *(fn(h * phase) for h in range(1, harmonics + 1) for fn in (np.cos, np.sin))], axis=2)
+        q, _ = np.linalg.qr(basis)
+        rest = v - (q @ (q.transpose(0, 2, 1) @ v)[:, :, None])[:, :, 0]
+        chi = (rest * rest).sum(axis=1)
         i = int(np.clip(np.argmin(chi), 1, len(grid) - 2))
         bend, df = chi[i - 1] - 2 * chi[i] + chi[i + 1], grid[1] - grid[0]
         f = grid[i] + (0.5 * (chi[i - 1] - chi[i + 1]) / bend * df if bend > 0 else 0.0)
@@ -205,7 +204,7 @@ def _grouped(obs: DataFrame, schema: str, rows) -> DataFrame:
         out = pd.DataFrame([(pdf["object_id"].iloc[0], *r) for r in rows(t, y)], columns=columns)
         return out.astype({c.split()[0]: {"long": "int64", "double": "float64"}.get(c.split()[1], object) for c in schema.split(", ")})
 
-    return obs.groupBy("object_id").applyInPandas(run, schema)
+    return spread.deal_objects(obs).groupBy("object_id").applyInPandas(run, schema)
 
 
 def track(obs: DataFrame, period: float, segments: int | None = None) -> DataFrame:

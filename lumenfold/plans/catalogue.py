@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import physics
-from ..operators import boxes, constrained, ephemeris, grids, kernels, models, multiband, peaks, period_change, prewhitening, readouts, spectra, tracking, windows
+from ..operators import box_search, boxes, constrained, ephemeris, gridded, grids, kernels, light_time, models, multiband, peaks, period_change, prewhitening, readouts, spacing, spectra, tracking, variation, windows
+from ..operators import period_laws as law_fits
 from ..sources import observations as obs_source
 from ..streaming import spectra as streaming
 from . import batch
@@ -977,6 +979,165 @@ def _long_periods(method: str, grid):
     return f
 
 
+def _box_search_sql(objective: str) -> str:
+    """box_search.search of periods from 4 days on, boxes of 2, 3 and 5 bins of a fortieth of each segment's shortest period."""
+    value = "ina * ina / (inv * (total - inv))" if objective == "snr" else "ina * ina / (inv * (total - inv) * (total - inv))"
+    power = "depth / depth_err" if objective == "snr" else "0.5::DOUBLE * inv * depth * depth"
+    return (
+        f"WITH {_obs_sql()}, c0 AS (SELECT *, 1::DOUBLE / (dy * dy) AS iv, min(t) OVER g AS tmin, max(t) OVER g - min(t) OVER g AS baseline, count(*) OVER g AS n FROM obs WINDOW g AS (PARTITION BY object_id)), "
+        "cent AS (SELECT *, t - tmin AS tau, y - sum(iv * y) OVER g / sum(iv) OVER g AS yc, sum(iv) OVER g AS total FROM c0 WHERE n >= 4 WINDOW g AS (PARTITION BY object_id)), "
+        "sg AS (SELECT object_id, baseline, s AS segment, 4::DOUBLE * pow(2, s) AS p_lo, least(8::DOUBLE * pow(2, s), least(100, baseline / 2)) AS p_hi FROM (SELECT DISTINCT object_id, baseline FROM cent), range(6) q(s) WHERE 4::DOUBLE * pow(2, s) < least(100, baseline / 2) - 1e-9), "
+        "g1 AS (SELECT *, 1 / p_hi AS f0, 0.05::DOUBLE / (2 * baseline) AS df FROM sg), tr AS (SELECT object_id, segment, k, p_lo, 1 / (f0 + df * k) AS p, 0.05::DOUBLE * p_lo / 2 AS width FROM (SELECT *, unnest(range(ceil((1 / p_lo - f0) / df)::BIGINT)) AS k FROM g1) WHERE 1 / (f0 + df * k) > p_lo), "
+        "hist AS (SELECT object_id, segment, k, p, width, ceil(p / width)::BIGINT AS nb, floor((tau % p) / width)::BIGINT + 1 AS b, sum(yc * iv) AS a, sum(iv) AS v, min(total) AS total, min(tmin) AS tmin FROM cent JOIN tr USING (object_id) GROUP BY ALL), "
+        "wr AS (SELECT * FROM hist WHERE b < nb UNION ALL SELECT * REPLACE (nb + b - 1 AS b) FROM hist WHERE b <= 2), "
+        "box AS (SELECT object_id, segment, k, p, width, nb, tmin, total, kd, b - q AS i, sum(a) AS ina, sum(v) AS inv FROM wr, (VALUES (2), (3), (5)) w(kd), range(1, 6) r(q) WHERE q <= kd AND b - q >= 0 AND b - q <= nb + 2 - kd GROUP BY ALL), "
+        f"val AS (SELECT *, {value} AS v FROM box WHERE ina <= 0 AND inv > 1e-12 * total AND total - inv > 1e-12 * total), top AS (SELECT *, max(v) OVER (PARTITION BY object_id, segment, k) AS most FROM val), "
+        f"one AS (SELECT *, row_number() OVER (PARTITION BY object_id, segment, k ORDER BY kd, i) AS rn FROM top WHERE v >= most * (1 - {box_search.TIE})), "
+        "fld AS (SELECT *, -ina / (total - inv) - ina / inv AS depth, sqrt(1 / inv + 1 / (total - inv)) AS depth_err, kd * width AS duration FROM one WHERE rn = 1), "
+        f"spec AS (SELECT tr.object_id, tr.segment, tr.k, tr.p AS period, {power} AS power, depth, depth_err, duration, tmin + (i * f.width + duration / 2) % f.p AS t0 FROM tr JOIN (SELECT DISTINCT object_id FROM cent) USING (object_id) LEFT JOIN fld f USING (object_id, segment, k)), "
+        "m AS (SELECT *, count(*) OVER o AS trials, avg(coalesce(power, 0)) OVER o AS mean, stddev_pop(coalesce(power, 0)) OVER o AS sd, row_number() OVER (PARTITION BY object_id ORDER BY round(power, 9) DESC NULLS LAST, period) AS rn FROM spec WINDOW o AS (PARTITION BY object_id)) "
+        f"SELECT object_id, trials, segment::BIGINT AS segment, k, {', '.join(f'{_r(c, 5)} AS {c}' for c in ('period', 'power', 'depth', 'depth_err', 'duration', 't0'))}, {_r('CASE WHEN sd > 0 THEN (coalesce(power, 0) - mean) / sd ELSE 0 END', 5)} AS sde FROM m WHERE rn = 1"
+    )
+
+
+def _box_search(objective: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = series(spark, sf_dir)
+        found = box_search.search(o, grids.box_segments(o, shortest=4.0), objective, oversample=2, shares=(0.05, 0.12, 3))
+        return emit(found, "object_id trials segment k", "period power depth depth_err duration t0 sde", 5)
+
+    return f
+
+
+query("box_search_snr", _box_search_sql("snr"))(_box_search("snr"))
+query("box_search_likelihood", _box_search_sql("likelihood"))(_box_search("likelihood"))
+
+
+@query("box_search_default")
+def box_search_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(box_search.search(series(spark, sf_dir)), "object_id trials segment k", "period power depth depth_snr duration t0 log_likelihood sde")
+
+
+_SCAN_PERIODS = 8
+
+
+def _floating_scan_sql() -> str:
+    """light_time.scan of the event O-C tables at eight outer periods: each column is made orthogonal to those before it, and so is the O-C."""
+    columns = ["q0", "q1", "q2", "q3", "q4"]
+    raw = ["1::DOUBLE", "x", "x * x", "cos(6.283185307179586::DOUBLE * f * x * half)", "sin(6.283185307179586::DOUBLE * f * x * half)"]
+    steps, before = [], "base"
+    for i, (q, v) in enumerate(zip([*columns, "r"], [*raw, "oc"], strict=True)):
+        less = "".join(f" - sum({v} * {c}) OVER g / nullif(sum({c} * {c}) OVER g, 0) * {c}" for c in columns[:i])
+        steps.append(f"s{i}a AS (SELECT *, {v}{less} AS {q}_ FROM {before} WINDOW g AS (PARTITION BY object_id, k))")
+        again = "".join(f" - sum({q}_ * {c}) OVER g / nullif(sum({c} * {c}) OVER g, 0) * {c}" for c in columns[:i])
+        steps.append(f"s{i} AS (SELECT *, {q}_{again} AS {q} FROM s{i}a WINDOW g AS (PARTITION BY object_id, k))")
+        before = f"s{i}"
+    gain = "sum(oc * q3) * sum(oc * q3) / sum(q3 * q3) + sum(oc * q4) * sum(oc * q4) / sum(q4 * q4)"
+    return (
+        f"{_OC}, tt AS (SELECT oc.*, obs.t FROM oc JOIN obs USING (object_id, rid)), u AS (SELECT *, min(t) OVER o AS t0, max(t) OVER o - min(t) OVER o AS span, avg(t) OVER o AS mid, count(*) OVER o AS n FROM tt WINDOW o AS (PARTITION BY object_id)), "
+        f"base AS (SELECT object_id, oc, n, k, (t - mid) / (span / 2) AS x, span / 2 AS half, 1 / span + k * (1 / (span * 0.25::DOUBLE) - 1 / span) / {_SCAN_PERIODS - 1} AS f FROM u, range({_SCAN_PERIODS}) q(k) WHERE n >= 20), "
+        + ", ".join(steps)
+        + f", z AS (SELECT object_id, k, min(1 / f) AS outer_period, ({gain}) / ((sum(r * r)) / (min(n) - 6)) AS gain FROM s5 GROUP BY object_id, k) SELECT object_id, k, {_r('outer_period', 4)} AS outer_period, {_r('gain', 4)} AS f_like FROM z"
+    )
+
+
+@query("floating_scan", _floating_scan_sql())
+def floating_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain of a circular orbit over the parabola in units of what the fit leaves, at eight outer periods from the baseline to its quarter."""
+    oc = _events_oc(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("object_id"))).where("n >= 20")
+    return emit(light_time.fixed_scan(oc.select("object_id", "t", F.col("oc").alias("y")), _SCAN_PERIODS, 0.25), "object_id k", "outer_period f_like", 4)
+
+
+@query("light_time_orbits")
+def light_time_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = light_time.orbits(light_time.from_track(tracking.track(series(spark, sf_dir), 0.25, 12)), 0.25, degree=1)
+    return emit(found, "object_id reason n epochs parameters", "outer_period amplitude chi2 null_chi2 delta_bic", 4)
+
+
+@query("eccentric_orbits")
+def eccentric_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    track = light_time.from_track(tracking.track(series(spark, sf_dir), 0.25, 14))
+    return emit(light_time.orbits(track, 0.25, degree=1, eccentric=True), "object_id reason n parameters", "outer_period amplitude eccentricity chi2", 3)
+
+
+@query("light_time_predictions")
+def light_time_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    fits = light_time.orbits(light_time.from_track(tracking.track(o, 0.25, 12)), 0.25, degree=1)
+    return emit(light_time.predict(fits, o, 0.25).withColumn("t_micros", F.round(F.col("t") * 86400e6)), "object_id t_micros", "secular cyclic apparent_period", 5)
+
+
+@query("gridded_gls", f"{_gls_sql()} SELECT object_id, k, {_r('f')} AS f, {_r('power')} AS power FROM spec")
+def gridded_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object in parts of 20 points and slabs of 64 trials, as one too large for a task is."""
+    o = series(spark, sf_dir)
+    grid = o.groupBy("object_id").agg((F.max("t") - F.min("t")).alias("b")).where("b > 0").select("object_id", (1 / F.col("b")).alias("f0"), (1 / (5 * F.col("b"))).alias("df"), F.lit(NF).cast("long").alias("nf"))
+    return emit(gridded.spectrum(o, grid, part=20, slab=64), "object_id k", "f power")
+
+
+_HELD = 0.37
+
+
+def _variation_sql(tail: str) -> str:
+    """variation.compute of one held frequency, mode both, an offset a band: bands are separate fits but for the common variance."""
+    c = "sum(w * (s - sm) * (s - sm)) AS ss, sum(w * (c - cm) * (c - cm)) AS cc, sum(w * (s - sm) * (c - cm)) AS sc, sum(w * (s - sm) * (y - ym)) AS sy, sum(w * (c - cm) * (y - ym)) AS cy, sum(w * (y - ym) * (y - ym)) AS yy"
+    return (
+        f"WITH {_obs_sql()}, o AS (SELECT *, 1 / (dy * dy) AS w, sin(6.283185307179586::DOUBLE * {_HELD}::DOUBLE * (t - avg(t) OVER q)) AS s, cos(6.283185307179586::DOUBLE * {_HELD}::DOUBLE * (t - avg(t) OVER q)) AS c, count(*) OVER q AS n FROM obs WINDOW q AS (PARTITION BY object_id)), "
+        "m AS (SELECT *, sum(w * s) OVER b / sum(w) OVER b AS sm, sum(w * c) OVER b / sum(w) OVER b AS cm, sum(w * y) OVER b / sum(w) OVER b AS ym FROM o WINDOW b AS (PARTITION BY object_id, band)), "
+        f"z AS (SELECT object_id, band, min(n) AS n, count(*) AS nb, avg(t) AS mid, {c} FROM m GROUP BY object_id, band), "
+        "ok AS (SELECT object_id FROM z GROUP BY object_id HAVING count(*) >= 2 AND min(nb) >= 5 AND min(n) >= count(*) * 3 + 2), "
+        "f AS (SELECT z.*, ss * cc - sc * sc AS d, (cc * sy - sc * cy) / (ss * cc - sc * sc) AS bs, (ss * cy - sc * sy) / (ss * cc - sc * sc) AS bc FROM z JOIN ok USING (object_id)), "
+        "g AS (SELECT *, yy - bs * sy - bc * cy AS chi, sqrt(bs * bs + bc * bc) AS a FROM f), "
+        "h AS (SELECT *, count(*) OVER q AS g, sum(chi) OVER q AS chi_all FROM g WINDOW q AS (PARTITION BY object_id)), "
+        "e AS (SELECT *, chi_all / (n - 3 * g) AS unit, (bs * bs * cc - 2 * bs * bc * sc + bc * bc * ss) / (d * a * a) * chi_all / (n - 3 * g) AS va, (bc * bc * cc + 2 * bs * bc * sc + bs * bs * ss) / (d * a * a * a * a) * chi_all / (n - 3 * g) AS vp FROM h) " + tail
+    )
+
+
+def _held_components(o: DataFrame) -> DataFrame:
+    return o.select("object_id").distinct().select("object_id", F.lit(0).alias("component"), F.lit(_HELD).alias("f"))
+
+
+@query("subset_variation", _variation_sql(f"SELECT object_id, band AS subset, nb AS n, {_r('mid', 5)} AS mid, {_r('a', 5)} AS amplitude, {_r('sqrt(va)', 5)} AS amplitude_error, {_r('atan2(bc, bs)', 5)} AS phase, {_r('sqrt(vp)', 5)} AS phase_error FROM e"))
+def subset_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    found = variation.subset_variation(o, _held_components(o), offsets=True).where("subset IS NOT NULL")
+    return emit(found, "object_id subset n", "mid amplitude amplitude_error phase phase_error", 5)
+
+
+@query("subset_tests", _variation_sql(
+    "SELECT object_id, min(n) AS n, round(sum(a * a / va) - sum(a / va) * sum(a / va) / sum(1 / va), 4) + 0::DOUBLE AS amplitude_statistic, round(min(n) * ln(min(chi_all) / (sum(yy) - (sum(cc) * sum(sy) * sum(sy) - 2 * sum(sc) * sum(sy) * sum(cy) + sum(ss) * sum(cy) * sum(cy)) / (sum(ss) * sum(cc) - sum(sc) * sum(sc)))) + (2 * count(*) - 2) * ln(min(n)), 4) + 0::DOUBLE AS delta_bic FROM e GROUP BY object_id"
+))
+def subset_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    found = variation.subset_variation(o, _held_components(o), offsets=True).where("subset IS NULL AND reason IS NULL")
+    return emit(found, "object_id n", "amplitude_statistic delta_bic", 4)
+
+
+def _subset_mode(mode: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = series(spark, sf_dir)
+        return emit(variation.subset_variation(o, _held_components(o), mode=mode), "object_id component subset n reason", "amplitude amplitude_error phase phase_error amplitude_p phase_p delta_bic", 4)
+
+    return f
+
+
+query("subset_amplitudes")(_subset_mode("amplitude"))
+query("subset_phases")(_subset_mode("phase"))
+
+
+@query("period_law_ladder")
+def period_law_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = tracking.profile(series(spark, sf_dir), 0.25, 6).selectExpr("object_id", "mid AS t", "period AS y", "period_error AS dy")
+    return emit(law_fits.ladder(profile, (*law_fits.AUTO, "power")), "object_id rank law n parameters", "period chi2 bic_scaled", 3)
+
+
+@query("mode_spacings")
+def mode_spacings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    modes = kernels.best_periods(o, "gls", n=12, separation=6, grid=grids.gls_grid(o)).selectExpr("object_id", "period", "power AS amplitude")
+    return emit(spacing.series(modes), "object_id n_modes n_members", "comb_spacing mean_spacing intercept slope rms", 5)
+
+
 query("long_period_boxes")(_long_periods("bls", grids.box_grid))
 query("long_period_transits")(_long_periods("tls", grids.transit_grid))
 
