@@ -199,6 +199,16 @@ def compare(t: np.ndarray, p: np.ndarray, error: np.ndarray | None = None, laws:
     return [r | {"rank": i + 1} for i, r in enumerate(sorted(out, key=lambda r: (r["pinned"], r["bic_scaled"], r["parameters"])))]
 
 
+def values(fit: dict, t: np.ndarray) -> np.ndarray:
+    """Periods of a fit of ``compare`` at given times."""
+    s = np.asarray(t, dtype=float) - fit["mid"]
+    if fit["law"] == "constant":
+        return np.full(len(s), fit["_center"])
+    if fit["law"] == "linear":
+        return fit["_center"] + fit["slope"] * s
+    return fit["_center"] * np.exp(np.clip(fit["slope"] * change(s, fit["u"], fit["exponent"] if fit["law"] == "power" else 2.0), -60, 60))
+
+
 def ladder(periods: DataFrame, laws: tuple[str, ...] = AUTO) -> DataFrame:
     """Ranked laws of each track (object_id, t, y the period, dy its error or null). Objects with too few points have no row."""
     columns = [c.split()[0] for c in FIT.split(", ")]
