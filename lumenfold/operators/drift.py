@@ -104,7 +104,7 @@ def _seeded(obs: DataFrame, seeds: DataFrame) -> DataFrame:
     return spread.deal_objects(obs.join(seeds.select("object_id", F.col("f").cast("double").alias("_f")), "object_id", "left"))
 
 
-def rate_search(obs: DataFrame, seeds: DataFrame, method: str = "gls", n_rates: int = 12, model: str = "constant", **settings) -> DataFrame:
+def rate_search(obs: DataFrame, seeds: DataFrame, method: str = "gls", n_rates: int = 12, model: str = "constant", reach: float = 30.0, samples: float = 10.0, **settings) -> DataFrame:
     """Best frequency and rate of each object about its seed (object_id, f); one row an object."""
     sharpness(method, settings)
     kernels.get_method(method, **settings)
@@ -112,19 +112,19 @@ def rate_search(obs: DataFrame, seeds: DataFrame, method: str = "gls", n_rates:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, y, dy = kernels._points(pdf)
-        r = search(t, y, dy, float(pdf["_f"].iloc[0]), method, n_rates, model, **settings) | {"object_id": pdf["object_id"].iloc[0]}
+        r = search(t, y, dy, float(pdf["_f"].iloc[0]), method, n_rates, model, reach, samples, **settings) | {"object_id": pdf["object_id"].iloc[0]}
         return pd.DataFrame([[r[c] for c in columns]], columns=columns).astype({"reason": object, "at_edge": bool})
 
     out = _seeded(obs, seeds).groupBy("object_id").applyInPandas(run, FOUND)
     return out.select([F.when(~F.isnan(c), F.col(c)).alias(c) if c in NUMBERS else F.col(c) for c in columns])
 
 
-def surface(obs: DataFrame, seeds: DataFrame, method: str = "gls", n_rates: int = 12, model: str = "constant", **settings) -> DataFrame:
+def surface(obs: DataFrame, seeds: DataFrame, method: str = "gls", n_rates: int = 12, model: str = "constant", reach: float = 30.0, samples: float = 10.0, **settings) -> DataFrame:
     """object_id, a_idx, k, rate, f and power: the whole search."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, y, dy = kernels._points(pdf)
-        r = search(t, y, dy, float(pdf["_f"].iloc[0]), method, n_rates, model, **settings)
+        r = search(t, y, dy, float(pdf["_f"].iloc[0]), method, n_rates, model, reach, samples, **settings)
         i, k = np.indices(r["surface"].shape)
         return pd.DataFrame({"object_id": pdf["object_id"].iloc[0], "a_idx": i.ravel(), "k": k.ravel(), "rate": r["axis"][i.ravel()], "f": r["grid"][k.ravel()], "power": r["surface"].ravel()}).astype({"object_id": object})
 

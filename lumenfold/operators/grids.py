@@ -76,13 +76,20 @@ def uniform_size(baseline: Column, fmax: Column, f0: Column, samples_per_peak: f
     return _size(F.greatest(F.ceil((fmax - f0) * samples_per_peak * baseline) + 1, F.lit(1)))
 
 
-def checked(grid: DataFrame, limit: int = MAX_SIZE) -> DataFrame:
-    """``grid`` with ``large`` (an automatic grid past LARGE_SIZE); raises when an object's grid exceeds the limit."""
-    refuse = F.raise_error(F.concat(F.lit("the grid of object "), "object_id", F.lit(f" exceeds {limit} samples")))
-    return grid.withColumn("nf", F.when(F.col("nf") > limit, refuse.cast("long")).otherwise(F.col("nf"))).withColumn("large", F.col("nf") > LARGE_SIZE)
+def checked(grid: DataFrame, limit: int = MAX_SIZE, refuse: bool = True) -> DataFrame:
+    """``grid`` with ``large`` (an automatic grid past LARGE_SIZE); raises when an object's grid exceeds the limit, or with ``refuse`` off makes its nf null."""
+    error = F.raise_error(F.concat(F.lit("the grid of object "), "object_id", F.lit(f" exceeds {limit} samples")))
+    return grid.withColumn("nf", F.when(F.col("nf") > limit, error.cast("long") if refuse else F.lit(None).cast("long")).otherwise(F.col("nf"))).withColumn("large", F.coalesce(F.col("nf") > LARGE_SIZE, F.lit(True)))
 
 
-def gls_grid(obs: DataFrame, samples_per_peak: float = 5.0, factor: float = 5.0, fmin: float | None = None, fmax: float | None = None) -> DataFrame:
+def without_trials(obs: DataFrame, grid: DataFrame) -> DataFrame:
+    """object_id and reason of objects that a grid table has no trials for."""
+    known = grid.groupBy("object_id").agg(F.max("nf").alias("nf"))
+    lost = obs.select("object_id").distinct().join(known, "object_id", "left").where("nf IS NULL")
+    return lost.join(grid.select("object_id").distinct().withColumn("listed", F.lit(True)), "object_id", "left").select("object_id", F.when(F.col("listed"), "its grid exceeds the largest size").otherwise("no trial period within the baseline").alias("reason"))
+
+
+def gls_grid(obs: DataFrame, samples_per_peak: float = 5.0, factor: float = 5.0, fmin: float | None = None, fmax: float | None = None, refuse: bool = True) -> DataFrame:
     """1/T to ``factor`` times the average Nyquist frequency N/2T, stopped at the Nyquist frequency of a lattice; objects without a baseline have no row."""
     s = obs.groupBy("object_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("baseline")).where("baseline > 0")
     f0 = F.lit(fmin) if fmin is not None else 1.0 / F.col("baseline")
@@ -95,40 +102,40 @@ def gls_grid(obs: DataFrame, samples_per_peak: float = 5.0, factor: float = 5.0,
     s = s.where("fmax > f0").withColumn("df", 1.0 / (samples_per_peak * F.col("baseline")))
     # half a sample is rounded down: for odd N the exact size ends in one half, which noise would decide
     nf = _size(F.floor((F.col("fmax") - F.col("f0")) / F.col("df") + 0.5 - 1e-6) + 1)
-    return checked(s.select("object_id", "n", "baseline", "f0", "df", "fmax", nf.alias("nf")))
+    return checked(s.select("object_id", "n", "baseline", "f0", "df", "fmax", nf.alias("nf")), refuse=refuse)
 
 
-def fold_grid(obs: DataFrame, samples_per_peak: float = 5.0, factor: float = 5.0, floor: float = 0.0, stop_at_nyquist: bool = False) -> DataFrame:
+def fold_grid(obs: DataFrame, samples_per_peak: float = 5.0, factor: float = 5.0, floor: float = 0.0, stop_at_nyquist: bool = False, refuse: bool = True) -> DataFrame:
     """1/T to the pseudo-Nyquist frequency (``floor`` at least), for methods that fold."""
     s = pseudo_nyquist(obs, factor).where("baseline > 0").withColumn("fmax", F.greatest("fmax", F.lit(float(floor))))
     if stop_at_nyquist:
         s = s.join(lattice_nyquist(obs).select("object_id", "nyquist"), "object_id", "left").withColumn("fmax", F.least("fmax", "nyquist"))
     s = s.withColumn("f0", 1.0 / F.col("baseline")).withColumn("df", 1.0 / (samples_per_peak * F.col("baseline"))).where("fmax > f0")
-    return checked(s.select("object_id", "n", "baseline", "f0", "df", "fmax", uniform_size(F.col("baseline"), F.col("fmax"), F.col("f0"), samples_per_peak).alias("nf")))
+    return checked(s.select("object_id", "n", "baseline", "f0", "df", "fmax", uniform_size(F.col("baseline"), F.col("fmax"), F.col("f0"), samples_per_peak).alias("nf")), refuse=refuse)
 
 
-def box_segments(obs: DataFrame, shortest: float = 0.2, longest: float = 100.0, transits: int = 2, factor: float = 2.0, share: float = 0.05, oversample: int = 2) -> DataFrame:
+def box_segments(obs: DataFrame, shortest: float = 0.2, longest: float = 100.0, transits: int = 2, factor: float = 2.0, share: float = 0.05, oversample: int = 2, refuse: bool = True) -> DataFrame:
     """Period segments of the box search (object_id, segment, p_lo, p_hi, f0, df, nf): each ``factor`` long, uniform in frequency."""
     s = obs.groupBy("object_id").agg((F.max("t") - F.min("t")).alias("baseline")).withColumn("p_max", F.least(F.lit(longest), F.col("baseline") / transits)).where(F.col("p_max") > shortest)
     last = F.ceil(F.log(F.col("p_max") / shortest) / math.log(factor) - 1e-9) - 1
     s = s.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     s = s.withColumn("p_lo", shortest * F.pow(F.lit(factor), F.col("segment").cast("double"))).withColumn("p_hi", F.least(F.col("p_lo") * factor, F.col("p_max")))
     s = s.withColumn("f0", 1.0 / F.col("p_hi")).withColumn("df", F.lit(share) / (oversample * F.col("baseline")))
-    return checked(s.select("object_id", "segment", "p_lo", "p_hi", "f0", "df", _size(F.ceil((1.0 / F.col("p_lo") - F.col("f0")) / F.col("df"))).alias("nf")))
+    return checked(s.select("object_id", "segment", "p_lo", "p_hi", "f0", "df", _size(F.ceil((1.0 / F.col("p_lo") - F.col("f0")) / F.col("df"))).alias("nf")), refuse=refuse)
 
 
-def transit_grid(obs: DataFrame, shortest: float = 0.5, longest: float = 100.0, transits: int = 2, share: float = 0.05, least_duration: float = 0.01, oversample: int = 2) -> DataFrame:
+def transit_grid(obs: DataFrame, shortest: float = 0.5, longest: float = 100.0, transits: int = 2, share: float = 0.05, least_duration: float = 0.01, oversample: int = 2, refuse: bool = True) -> DataFrame:
     """Trial frequencies of the transit search: the step drifts no more than twice the shortest transit over the baseline."""
     s = obs.groupBy("object_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("baseline")).withColumn("p_max", F.least(F.lit(longest), F.col("baseline") / transits)).where(F.col("p_max") > shortest)
     s = s.withColumn("f0", 1.0 / F.col("p_max")).withColumn("df", F.lit(min(share, 2.0 * least_duration)) / (oversample * F.col("baseline")))
-    return checked(s.select("object_id", "n", "baseline", "f0", "df", F.lit(1.0 / shortest).alias("fmax"), _size(F.ceil((1.0 / shortest - F.col("f0")) / F.col("df"))).alias("nf")))
+    return checked(s.select("object_id", "n", "baseline", "f0", "df", F.lit(1.0 / shortest).alias("fmax"), _size(F.ceil((1.0 / shortest - F.col("f0")) / F.col("df"))).alias("nf")), refuse=refuse)
 
 
-def box_grid(obs: DataFrame, **settings) -> DataFrame:
+def box_grid(obs: DataFrame, refuse: bool = True, **settings) -> DataFrame:
     """The segments of the box search as one grid of frequencies."""
-    s = box_segments(obs, **settings).groupBy("object_id").agg(F.min("f0").alias("f0"), F.first("df").alias("df"), (1.0 / F.min("p_lo")).alias("fmax"))
+    s = box_segments(obs, refuse=refuse, **settings).groupBy("object_id").agg(F.min("f0").alias("f0"), F.first("df").alias("df"), (1.0 / F.min("p_lo")).alias("fmax"))
     stats = obs.groupBy("object_id").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("baseline"))
-    return checked(stats.join(s, "object_id").select("object_id", "n", "baseline", "f0", "df", "fmax", _size(F.ceil((F.col("fmax") - F.col("f0")) / F.col("df"))).alias("nf")))
+    return checked(stats.join(s, "object_id").select("object_id", "n", "baseline", "f0", "df", "fmax", _size(F.ceil((F.col("fmax") - F.col("f0")) / F.col("df"))).alias("nf")), refuse=refuse)
 
 
 def log_periods(objects: DataFrame, shortest: float, longest: float, n: int) -> DataFrame:
@@ -141,8 +148,10 @@ def log_periods(objects: DataFrame, shortest: float, longest: float, n: int) ->
 GRIDS = {"gls": gls_grid, "pdm": fold_grid, "ce": fold_grid, "sl": fold_grid, "mhaov": fold_grid, "supersmoother": fold_grid, "bls": box_grid, "tls": transit_grid}
 
 
-def default_grid(obs: DataFrame, method: str, **settings) -> DataFrame:
-    """The automatic grid of a method."""
+def default_grid(obs: DataFrame, method: str, oversized: str = "raise", **settings) -> DataFrame:
+    """The automatic grid of a method. An object whose grid exceeds MAX_SIZE ends the query, or with ``oversized`` "skip" has nf null and is searched by none."""
     if method not in GRIDS:
         raise ValueError(f"unknown method {method!r}; there are {', '.join(sorted(GRIDS))}")
-    return GRIDS[method](obs, **settings)
+    if oversized not in ("raise", "skip"):
+        raise ValueError("oversized grids raise or skip")
+    return GRIDS[method](obs, refuse=oversized == "raise", **settings)

@@ -138,3 +138,24 @@ def wide_rows(peaks: DataFrame, n: int = 3) -> DataFrame:
     for r in range(1, n + 1):
         cols += [F.max(F.when(F.col("rank") == r, 1.0 / F.col("f"))).alias(f"period_{r}"), F.max(F.when(F.col("rank") == r, F.col("power"))).alias(f"power_{r}")]
     return peaks.groupBy("object_id").agg(*cols)
+
+
+def noise_curve(spectrum: DataFrame, window: float = 1.0, estimator: str = "mean", least: int = 25) -> DataFrame:
+    """``spectrum`` (object_id, k from 0, f, amplitude) with ``noise``: mean or median amplitude within ``window`` of each frequency, or of the ``least`` nearest samples where the window holds fewer.
+
+    Non-finite amplitudes count as samples but not in the estimate. Boxes are RANGE frames; where they are too small,
+    ROWS frames, which at the ends of the grid become its first or last samples.
+    """
+    if estimator not in ("mean", "median"):
+        raise ValueError(f"unknown estimator {estimator!r}; there are mean, median")
+    g = Window.partitionBy("object_id")
+    value = F.when(~F.isnan("amplitude"), F.col("amplitude"))
+    level = (lambda x: F.avg(x)) if estimator == "mean" else (lambda x: F.percentile(x, F.lit(0.5)))
+    near = f"OVER (PARTITION BY object_id ORDER BY f RANGE BETWEEN {float(window)}D PRECEDING AND {float(window)}D FOLLOWING)"
+    half = max(1, least // 2)
+    rows = g.orderBy("k").rowsBetween(-half, least - half - 1)
+    s = spectrum.withColumn("_v", value).withColumn("_n", F.count("*").over(g)).withColumn("_box", F.expr(f"count(*) {near}"))
+    first, last = level(F.when(F.col("k") < least, F.col("_v"))).over(g), level(F.when(F.col("k") >= F.col("_n") - least, F.col("_v"))).over(g)
+    few = F.when((F.col("k") <= half) | (F.col("_n") <= least), first).when(F.col("k") - half > F.col("_n") - least, last).otherwise(level("_v").over(rows))
+    short = F.col("_box") < F.least(F.lit(least), F.col("_n"))
+    return s.withColumn("noise", F.when(short, few).otherwise(F.expr(f"{'avg(_v)' if estimator == 'mean' else 'percentile(_v, 0.5D)'} {near}"))).drop("_v", "_n", "_box")

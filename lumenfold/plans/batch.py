@@ -13,8 +13,9 @@ import json
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import grids, kernels
+from ..operators import grids, kernels, prewhitening
 from ..sources import observations
 
 
@@ -62,11 +63,42 @@ def run(obs: DataFrame, methods: list[str], sink: str, nf: int | None = None, n_
         done, todo = _results(spark, sink), usable
         if done is not None:
             todo = usable.join(done.where(F.col("method") == method).select("object_id").distinct(), "object_id", "left_anti")
-        found = kernels.best_periods(todo, method, nf, n_best, grid=None if nf else grids.default_grid(todo, method))
+        grid = None if nf else grids.default_grid(todo, method, oversized="skip")
+        found = kernels.best_periods(todo, method, nf, n_best, grid=grid)
+        if grid is not None:
+            grids.without_trials(todo, grid).withColumn("reason", F.concat(F.lit(f"{method}: "), "reason")).write.mode("append").parquet(f"{sink}/failures")
         found.withColumn("method", F.lit(method)).write.mode("append").partitionBy("method").parquet(f"{sink}/results")
     return _results(spark, sink)
 
 
+def prewhiten_run(obs: DataFrame, sink: str, chunks: int = 1, only: list[int] | None = None, **settings) -> DataFrame:
+    """Components of all objects (``prewhitening.prewhiten``), appended to ``sink`` chunk by chunk; resumable.
+
+    Rows say how many their object has; an object is done when its newest attempt holds as many. Others are done again,
+    and only the newest attempt is returned. ``only``: the chunks (objects by a hash of their name) to do in this call.
+    """
+    spark = obs.sparkSession
+    request = check_request(_manifest(spark, sink), ["prewhiten"], settings)
+    spark.createDataFrame([(json.dumps(request, sort_keys=True),)], "request string").coalesce(1).write.mode("overwrite").json(f"{sink}/manifest")
+    schema = f"{prewhitening.COMPONENTS}, of long, attempt long"
+
+    def newest() -> DataFrame | None:
+        try:
+            rows = spark.read.schema(schema).parquet(f"{sink}/components")
+        except AnalysisException:
+            return None
+        return rows.join(rows.groupBy("object_id").agg(F.max("attempt").alias("attempt")), ["object_id", "attempt"])
+
+    for chunk in range(chunks) if only is None else only:
+        rows, todo, attempt = newest(), obs.where(F.pmod(F.xxhash64("object_id"), F.lit(chunks)) == chunk), 0
+        if rows is not None:
+            attempt = (rows.agg(F.max("attempt")).first()[0] or 0) + 1
+            todo = todo.join(rows.groupBy("object_id").agg(F.count("*").alias("n"), F.max("of").alias("of")).where("n = of").select("object_id"), "object_id", "left_anti")
+        found = prewhitening.prewhiten(todo, **settings).withColumn("of", F.count("*").over(Window.partitionBy("object_id"))).withColumn("attempt", F.lit(attempt).cast("long"))
+        found.write.mode("append").parquet(f"{sink}/components")
+    return newest().drop("of", "attempt")
+
+
 def merge(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Existing rows win; rows with new keys are added; columns of both are kept."""
     fresh = new.join(existing.select(*keys).distinct(), list(keys), "left_anti")

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import physics
-from ..operators import box_search, boxes, constrained, ephemeris, gridded, grids, kernels, light_time, models, multiband, peaks, period_change, prewhitening, readouts, spacing, spectra, tracking, variation, windows
+from ..functions import sql as sql_functions
+from ..operators import box_search, boxes, constrained, drift, ephemeris, gridded, grids, kernels, light_time, models, multiband, peaks, period_change, prewhitening, readouts, spacing, spectra, tracking, variation, windows
+from ..operators import methods as search_methods
 from ..operators import period_laws as law_fits
 from ..sources import observations as obs_source
 from ..streaming import spectra as streaming
 from . import batch
+from . import period_changes as catalogue_of_changes
 
 #: table -> object, time, value, band, row number
 SERIES = {
@@ -1138,6 +1141,66 @@ def mode_spacings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(spacing.series(modes), "object_id n_modes n_members", "comb_spacing mean_spacing intercept slope rms", 5)
 
 
+def _noise_sql(level: str) -> str:
+    """peaks.noise_curve with windows of 0.07 cycles per day, ten samples at least."""
+    return (
+        f"WITH {_obs_sql()}, {_centred(False)}, {_grid()}, {_trig()}, spec AS (SELECT object_id, k, f, 2 * sqrt(yc_ * yc_ + ys_ * ys_) AS a FROM trig), "
+        "b AS (SELECT *, count(*) OVER g AS n, count(*) OVER near AS box FROM spec WINDOW g AS (PARTITION BY object_id), near AS (PARTITION BY object_id ORDER BY f RANGE BETWEEN 0.07::DOUBLE PRECEDING AND 0.07::DOUBLE FOLLOWING)), "
+        f"v AS (SELECT *, {level}(a) OVER (PARTITION BY object_id ORDER BY f RANGE BETWEEN 0.07::DOUBLE PRECEDING AND 0.07::DOUBLE FOLLOWING) AS wide, {level}(a) OVER (PARTITION BY object_id ORDER BY k ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING) AS few, "
+        f"{level}(a) FILTER (WHERE k < 40) OVER (PARTITION BY object_id) AS head, {level}(a) FILTER (WHERE k >= n - 40) OVER (PARTITION BY object_id) AS tail FROM b) "
+        f"SELECT object_id, k, {_r('CASE WHEN box >= least(40, n) THEN wide WHEN k <= 20 OR n <= 40 THEN head WHEN k - 20 > n - 40 THEN tail ELSE few END')} AS noise FROM v"
+    )
+
+
+def _noise_curve(estimator: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return emit(peaks.noise_curve(spectra.amplitude_spectrum(series(spark, sf_dir), NF, False), 0.07, estimator, 40), "object_id k", "noise")
+
+    return f
+
+
+query("noise_curve", _noise_sql("avg"))(_noise_curve("mean"))
+query("noise_curve_median", _noise_sql("median"))(_noise_curve("median"))
+
+
+@query("prewhiten_grid", f"WITH {_obs_sql()}, s AS (SELECT object_id, max(t) - min(t) AS b FROM obs GROUP BY object_id HAVING max(t) > min(t)) SELECT object_id, ceil((50 - 1 / b) * 10 * b)::BIGINT + 1 AS nf, {_r('1 / b')} AS f0, 50::DOUBLE AS fmax FROM s")
+def prewhiten_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(prewhitening.default_grid(series(spark, sf_dir)), "object_id nf", "f0 fmax")
+
+
+@query("prewhitened_own_grid")
+def prewhitened_own_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    found = prewhitening.prewhiten(o, grid=grids.gls_grid(o, 10.0), limit=4, min_snr=2.5, max_fap=0.5, min_gain=0.0)
+    return emit(found, "object_id rank status", "frequency amplitude snr delta_bic", 4)
+
+
+@query("period_changes")
+def period_change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalogue_of_changes.tagged_rows(series(spark, sf_dir), n_rates=3, segments=10, per_interval=8)
+    return emit(catalogue_of_changes.table(rows, "summary"), "object_id status n seed_source law n_segments n_intervals", "search_period search_power track_pdot track_chi2 orbit_period", 3)
+
+
+@query("drift_by_folding")
+def drift_by_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    return emit(drift.rate_search(o, _seeds(o), "pdm", n_rates=4, reach=5.0), "object_id reason n rates", "f rate power steady_power", 5)
+
+
+@query("several_methods")
+def several_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search_methods.search(series(spark, sf_dir), ["Lomb-Scargle", "PDM", "Conditional-Entropy"], n=2, settings={"pdm": {"n_bins": 8}})
+    return emit(found, "object_id method rank k", "period f power")
+
+
+@query("table_function")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL table function over all objects."""
+    sql_functions.register_table_function(spark)
+    series(spark, sf_dir).createOrReplaceTempView("lumenfold_points")
+    return emit(spark.sql("SELECT * FROM periodogram(TABLE(SELECT object_id, t, y, dy FROM lumenfold_points) PARTITION BY (object_id), 'gls', 'best', 2)"), "object_id rank k", "period f power")
+
+
 query("long_period_boxes")(_long_periods("bls", grids.box_grid))
 query("long_period_transits")(_long_periods("tls", grids.transit_grid))
 
