@@ -97,3 +97,37 @@ def scaled_error() -> Column:
 def implied_model() -> Column:
     """The drift law that a cubic row favours: a rate that follows the period bends the diagram with the sign of its own rate."""
     return F.when(F.isnan("c3") | (F.abs("c3") < 2 * F.col("e3")), "constant").when(F.col("c2") * F.col("c3") > 0, "exponential").otherwise("constant")
+
+
+def threshold(sigma: Column, n_sigma: float = 3.0) -> Column:
+    """The least rate that stands ``n_sigma`` errors above zero."""
+    return F.lit(float(n_sigma)) * sigma
+
+
+def amplitude_floor(times: DataFrame, outer_periods: list[float], degree: int = 2) -> DataFrame:
+    """object_id, outer_period and sigma: the error of a cycle's semi-amplitude, averaged over its phase, fitted together with a polynomial of ``degree``.
+
+    ``times`` has object_id, t and sigma (the timing error). Sums of products of the columns are additive and come from an
+    aggregate; a small system per object and period follows. Infinite where the times cannot tell the cycle from the polynomial.
+    """
+    k = degree + 3
+    s = times.groupBy("object_id").agg(F.avg("t").alias("mid"), F.greatest((F.max("t") - F.min("t")) / 2, F.lit(1e-300)).alias("half"))
+    x = times.join(s, "object_id").withColumn("x", (F.col("t") - F.col("mid")) / F.col("half")).withColumn("w", 1 / (F.col("sigma") * F.col("sigma")))
+    x = x.withColumn("outer_period", F.explode(F.array(*[F.lit(float(p)) for p in outer_periods])))
+    turn = 2 * math.pi * (F.col("t") - F.col("mid")) / F.col("outer_period")
+    cols = [F.pow("x", F.lit(float(i))) if i else F.lit(1.0) for i in range(degree + 1)] + [F.cos(turn), F.sin(turn)]
+    sums_ = x.groupBy("object_id", "outer_period").agg(F.array(*[F.sum(F.col("w") * cols[i] * cols[j]) for i in range(k) for j in range(k)]).alias("h"))
+
+    @pandas_udf("double")
+    def solve(h: pd.Series) -> pd.Series:
+        out = []
+        for row in h:
+            m = np.array(row, dtype=float).reshape(k, k)
+            d = np.sqrt(np.maximum(np.diag(m), 1e-300))
+            n = m / np.outer(d, d)
+            bad = not np.isfinite(n).all() or np.linalg.cond(n) > 1e12
+            v = None if bad else np.diag(np.linalg.inv(n)) / d**2
+            out.append(math.inf if bad else math.sqrt(max(0.5 * (v[-1] + v[-2]), 0.0)))
+        return pd.Series(out)
+
+    return sums_.select("object_id", "outer_period", solve("h").alias("sigma"))

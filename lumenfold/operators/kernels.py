@@ -301,8 +301,11 @@ def _smooth(x: np.ndarray, y: np.ndarray, w: np.ndarray, window: int, leave_out:
         return (sy - slope * sx) / s + slope * x
 
 
-def supersmoother(tau, y, dy, frequencies, spans=(0.05, 0.2, 0.5)):
-    """Variable-span smoother score (Friedman 1984): 1 - mean |residual| / mean |deviation|."""
+def supersmoother(tau, y, dy, frequencies, spans=(0.05, 0.2, 0.5), bass: float = 0.0):
+    """Variable-span smoother score (Friedman 1984): 1 - mean |residual| / mean |deviation|.
+
+    ``bass`` from 0 to 10 moves spans to the longest one where its residuals are hardly larger: by the share (best / longest)^(10 - bass).
+    """
     n = len(y)
     e = dy if dy is not None and np.isfinite(dy).all() else np.ones(n)
     w = 1.0 / e**2
@@ -316,7 +319,13 @@ def supersmoother(tau, y, dy, frequencies, spans=(0.05, 0.2, 0.5)):
         v, wt, er = y[o], w[o], e[o]
         fits = np.stack([_smooth(x, v, wt, k, True) for k in windows])
         residual = np.stack([_smooth(x, np.abs(v - s) / er, wt, windows[1], False) for s in fits])
-        span = _smooth(x, np.array(spans)[np.argmin(residual, axis=0)], wt, windows[1], False)
+        span = np.array(spans)[np.argmin(residual, axis=0)]
+        if bass > 0:
+            least = residual.min(axis=0)
+            with np.errstate(all="ignore"):
+                share = np.where((least < residual[-1]) & (least > 0), np.maximum(1e-7, least / residual[-1]) ** (10 - bass), 0.0)
+            span = span + (spans[-1] - span) * share
+        span = _smooth(x, span, wt, windows[1], False)
         at = np.clip(np.searchsorted(spans, span) - 1, 0, len(spans) - 2)
         share = np.clip((span - np.array(spans)[at]) / np.diff(spans)[at], 0, 1)
         low, high = (np.take_along_axis(fits, k[None], axis=0)[0] for k in (at, at + 1))
@@ -351,7 +360,7 @@ def _no_rows(whole: list[str], numbers: list[str]) -> pd.DataFrame:
 #: Settings that each method takes beside its grid.
 SETTINGS = {
     "gls": {"fit_mean"}, "pdm": {"n_bins", "n_covers"}, "ce": {"n_phase", "n_mag"}, "sl": set(), "mhaov": {"harmonics"},
-    "bls": {"n_durations", "oversample"}, "tls": {"n_bins", "shapes"}, "supersmoother": {"spans"},
+    "bls": {"n_durations", "oversample"}, "tls": {"n_bins", "shapes"}, "supersmoother": {"spans", "bass"},
 }
 
 

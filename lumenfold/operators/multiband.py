@@ -135,21 +135,27 @@ def spectrum(obs: DataFrame, method: str, nf: int) -> DataFrame:
         f = 1.0 / span + np.arange(nf) * (1.0 / (5.0 * span))
         return pd.DataFrame({"object_id": pdf["object_id"].iloc[0], "k": np.arange(nf), "f": f, "power": kernel(bands, f)})
 
-    return obs.groupBy("object_id").applyInPandas(run, "object_id string, k long, f double, power double")
+    return kernels._with_grid(obs, None, nf, 10.0).groupBy("object_id").applyInPandas(run, "object_id string, k long, f double, power double")
 
 
-def bootstrap_fap(obs: DataFrame, nf: int, resamples: int = 100, seed: int = 0) -> DataFrame:
-    """object_id, power, fap, level_10: shared-sinusoid peak against maxima of within-band resampled values.
+def bootstrap_fap(obs: DataFrame, nf: int | None = None, resamples: int = 100, seed: int = 0, model: str = "offsets", grid: DataFrame | None = None, levels: tuple[float, ...] = (0.1,)) -> DataFrame:
+    """object_id, power, fap and level_P for each chance of P per cent in ``levels``: the peak of any multi-band ``model`` against maxima over the same grid of values that are drawn anew within each band.
 
-    The stream of each object depends on its name and the seed alone, so a task that runs again gives the same.
+    The grid has ``nf`` trials from 1/T, or is the object's row of ``grid`` (object_id, f0, df, nf). The stream of each
+    object depends on its name and the seed alone, so a task that runs again gives the same.
     """
+    if model not in METHODS:
+        raise ValueError(f"unknown model {model!r}; there are {', '.join(sorted(METHODS))}")
+    kernel, least = METHODS[model]
+    names = [f"level_{round(100 * x):d}" for x in levels]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, span, bands = _bands(pdf, 3)
-        if span <= 0 or not bands:
-            return pd.DataFrame({"object_id": pd.Series([], dtype=object), **{c: pd.Series([], dtype=float) for c in ("power", "fap", "level_10")}})
-        f = 1.0 / span + np.arange(nf) * (1.0 / (5.0 * span))
-        peak = offsets(bands, f).max()
+        _, span, bands = _bands(pdf, least)
+        none = pd.DataFrame({"object_id": pd.Series([], dtype=object), **{c: pd.Series([], dtype=float) for c in ("power", "fap", *names)}})
+        f = kernels._grid_of(pdf, nf, None, span) if span > 0 and bands else np.zeros(0)
+        if not len(f):
+            return none
+        peak = kernel(bands, f).max()
         rng = np.random.default_rng([seed, zlib.crc32(str(pdf["object_id"].iloc[0]).encode())])
         null = np.empty(resamples)
         for i in range(resamples):
@@ -157,8 +163,11 @@ def bootstrap_fap(obs: DataFrame, nf: int, resamples: int = 100, seed: int = 0)
             for tau, y, dy in bands:
                 j = rng.integers(0, len(y), len(y))
                 drawn.append((tau, y[j], None if dy is None else dy[j]))
-            null[i] = offsets(drawn, f).max()
+            null[i] = kernel(drawn, f).max()
         fap = (1 + np.count_nonzero(null >= peak)) / (resamples + 1)
-        return pd.DataFrame({"object_id": [pdf["object_id"].iloc[0]], "power": [peak], "fap": [fap], "level_10": [np.sort(null)[int(0.9 * resamples)]]})
+        null.sort()
+        at = [null[min(resamples - 1, int((1 - x) * resamples))] for x in levels]
+        return pd.DataFrame([[pdf["object_id"].iloc[0], peak, fap, *at]], columns=list(none.columns))
 
-    return obs.groupBy("object_id").applyInPandas(run, "object_id string, power double, fap double, level_10 double")
+    schema = "object_id string, power double, fap double, " + ", ".join(f"{c} double" for c in names)
+    return kernels._with_grid(obs, grid, nf, 10.0 * resamples).groupBy("object_id").applyInPandas(run, schema)

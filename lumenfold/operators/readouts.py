@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import peaks
+from . import kernels, peaks, spread
 
 #: Astronomical units a light day, days a year, and the greatest frequency at which window peaks are measured.
 AU_PER_LIGHT_DAY = 173.14463267424034
@@ -182,3 +184,40 @@ def total_change(profile: DataFrame) -> DataFrame:
 def timescale_years(period: Column, rate: Column) -> Column:
     """P over |dP/dt| in years; infinite without a rate."""
     return F.when(rate != 0, period / F.abs(F.nullif(rate, F.lit(0.0))) / DAYS_PER_YEAR).otherwise(F.lit(float("inf")))
+
+
+def measured_window_peaks(obs: DataFrame, n: int = 3, fmax: float = WINDOW_FMAX, samples: float = 10.0) -> DataFrame:
+    """object_id, rank, f, amplitude and ratio (to the highest): the ``n`` highest peaks of each object's own spectral window, ``samples`` trials a width up to ``fmax``.
+
+    Peaks below two widths 1/T belong to the one at zero and are left out; others lie two widths apart. Objects whose band lies inside that peak have none.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, _, dy = kernels._points(pdf.assign(y=0.0))
+        rows, span = [], t[-1] - t[0] if len(t) > 1 else 0.0
+        if span > 0 and fmax > 2 / span:
+            f = kernels.frequency_grid(span, fmax, samples)
+            a = np.abs(kernels._trig_sums(t - t[0], kernels._weights(dy, len(t))[None, :], f)[0])
+            peak = np.r_[False, (a[1:-1] > a[:-2]) & (a[1:-1] >= a[2:]), False] & (f >= 2 / span)
+            for i in np.flatnonzero(peak)[np.argsort(-np.round(a[peak], 9), kind="stable")]:
+                if len(rows) < n and all(abs(f[i] - r[2]) >= 2 / span for r in rows):
+                    rows.append((pdf["object_id"].iloc[0], len(rows) + 1, f[i], a[i]))
+        out = pd.DataFrame(rows, columns=["object_id", "rank", "f", "amplitude"]).astype({"object_id": object, "rank": "int64", "f": float, "amplitude": float})
+        return out.assign(ratio=out["amplitude"] / out["amplitude"].iloc[0] if len(out) else out["amplitude"])
+
+    return spread.deal_objects(obs.select("object_id", "t", "dy", "rid")).groupBy("object_id").applyInPandas(run, "object_id string, rank long, f double, amplitude double, ratio double")
+
+
+def alias_report(obs: DataFrame, spectrum: DataFrame, n_window: int = 3, orders: tuple[int, ...] = (1, 2), harmonics: tuple[int, ...] = (2, 3), reach: float = 3.0, sense: str = "max") -> DataFrame:
+    """What each object's best peak may be mistaken for, by the object's own sampling: object_id, kind, predicted, f_peak, power and relative power of the nearest optimum within ``reach`` / T.
+
+    Candidates are the best frequency plus and minus ``orders`` of the measured window peaks (kind "window RANK +m"), and its harmonics and fractions. ``spectrum`` has baseline. Candidates at or below zero, or past the grid, match nothing.
+    """
+    best = peaks.best_peak(spectrum, sense).select("object_id", F.col("f").alias("f0"), F.col("power").alias("p0"))
+    own = measured_window_peaks(obs, n_window).select("object_id", "rank", F.col("f").alias("fw"))
+    signs = F.array(*[F.struct(F.lit(s * m).alias("m"), F.lit(f"{'+' if s > 0 else '-'}{m}").alias("name")) for m in orders for s in (1, -1)])
+    shifted = best.join(own, "object_id").withColumn("s", F.explode(signs)).select("object_id", "f0", F.concat(F.lit("window "), "rank", F.lit(" "), "s.name").alias("kind"), F.abs(F.col("f0") + F.col("s.m") * F.col("fw")).alias("predicted"))
+    multiples = [F.struct(F.lit(f"harmonic {h}").alias("kind"), (F.col("f0") * h).alias("predicted")) for h in harmonics] + [F.struct(F.lit(f"subharmonic {h}").alias("kind"), (F.col("f0") / h).alias("predicted")) for h in harmonics]
+    related = best.select("object_id", "f0", F.explode(F.array(*multiples)).alias("c")).select("object_id", "f0", "c.*")
+    found = peaks.match_aliases(spectrum, shifted.unionByName(related).where("predicted > 0"), reach, sense)
+    return found.join(best, "object_id").select("object_id", "kind", "predicted", "f_peak", "power", (F.col("power") / F.nullif(F.col("p0"), F.lit(0.0))).alias("relative"))

@@ -72,6 +72,19 @@ def binned_trend(obs: DataFrame, width: float) -> DataFrame:
     return df.groupBy("object_id", "subset").agg(F.expr("percentile(t, 0.5D)").alias("t"), F.expr("percentile(y, 0.5D)").alias("y"), F.count("*").alias("n"))
 
 
+def interpolated_trend(obs: DataFrame, width: float, least: int = 1) -> DataFrame:
+    """``obs`` with ``trend``: straight lines between the medians of half-width bins of ``least`` points or more, level beyond the first and last; an object of under two such bins takes its median."""
+    nodes = binned_trend(obs, width).where(F.col("n") >= least).select("object_id", F.col("t").alias("nt"), F.col("y").alias("ny"))
+    line = nodes.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("nt", "ny"))).alias("_n"))
+    df = obs.join(line, "object_id", "left").withColumn("_m", F.expr("percentile(y, 0.5D) OVER (PARTITION BY object_id)"))
+    after = F.size(F.filter("_n", lambda p: p["nt"] <= F.col("t")))  # nodes up to the point
+    lo, hi = F.get(F.col("_n"), F.greatest(after - 1, F.lit(0))), F.get(F.col("_n"), F.least(after, F.size("_n") - 1))
+    inside = (after > 0) & (after < F.size("_n"))
+    slope = (hi["ny"] - lo["ny"]) / F.nullif(hi["nt"] - lo["nt"], F.lit(0.0))
+    level = F.when(inside, lo["ny"] + slope * (F.col("t") - lo["nt"])).when(after == 0, lo["ny"]).otherwise(hi["ny"])
+    return df.withColumn("trend", F.when(F.coalesce(F.size("_n"), F.lit(0)) < 2, F.col("_m")).otherwise(level)).drop("_n", "_m")
+
+
 def window_starts(obs: DataFrame, window: float, step: float) -> DataFrame:
     """(object_id, w_idx, w_start, w_end, is_last): windows every ``step`` while they fit, and one flush with the end if more than half a step is left.
 
@@ -129,15 +142,22 @@ def period_trend(sliding: DataFrame) -> DataFrame:
     return out.withColumn("relative_change", -F.col("slope") / F.col("mean_f"))
 
 
-def wwz(obs: DataFrame, n_tau: int, frequencies: list[float], c: float = 0.0125, min_neff: float = 3.5) -> DataFrame:
-    """Weighted wavelet Z (Foster 1996) on ``n_tau`` times over the baseline and a list of frequencies.
+def wwz(obs: DataFrame, n_tau: int, frequencies: list[float] | None = None, c: float = 0.0125, min_neff: float = 3.5, fmax: float | None = None) -> DataFrame:
+    """Weighted wavelet Z (Foster 1996) on ``n_tau`` times over the baseline and a list of frequencies, or on each object's own: from 2/T up to ``fmax`` (half the average sampling rate) in the ratio that keeps the wavelet's resolution.
 
     The projection on (1, cos, sin) is solved in closed form from twelve sums.
     """
     g = Window.partitionBy("object_id")
     df = obs.withColumn("_t0", F.min("t").over(g)).withColumn("_t1", F.max("t").over(g)).withColumn("yc", F.col("y") - F.avg("y").over(g))
-    df = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_tau - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(frequencies) - 1))))
-    df = df.withColumn("f", F.get(F.array(*map(F.lit, frequencies)), F.col("k"))).withColumn("shift", F.col("_t0") + F.col("i") * (F.col("_t1") - F.col("_t0")) / F.lit(float(n_tau - 1)))
+    df = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_tau - 1))))
+    if frequencies is None:
+        ratio, span = 1.0 + math.sqrt(2.0 * c) / 4.0, F.col("_t1") - F.col("_t0")
+        top = F.lit(fmax) if fmax is not None else 0.5 * F.count("*").over(Window.partitionBy("object_id", "i")) / span
+        df = df.where(span > 0).withColumn("_last", F.floor(F.log(top * span / 2) / math.log(ratio) + 1e-9).cast("int")).where("_last >= 0")
+        df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_last")))).withColumn("f", 2.0 / span * F.pow(F.lit(ratio), F.col("k").cast("double")))
+    else:
+        df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(frequencies) - 1)))).withColumn("f", F.get(F.array(*map(F.lit, frequencies)), F.col("k")))
+    df = df.withColumn("shift", F.col("_t0") + F.col("i") * (F.col("_t1") - F.col("_t0")) / F.lit(float(n_tau - 1)))
     df = df.withColumn("z", F.lit(2 * math.pi) * F.col("f") * (F.col("t") - F.col("shift"))).withColumn("w", F.exp(-c * F.col("z") * F.col("z")))
     w, co, si, y = F.col("w"), F.cos("z"), F.sin("z"), F.col("yc")
     s = df.groupBy("object_id", "i", "k").agg(

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import physics
 from ..functions import sql as sql_functions
-from ..operators import box_search, boxes, constrained, drift, ephemeris, gridded, grids, kernels, light_time, models, multiband, peaks, period_change, prewhitening, readouts, spacing, spectra, tracking, variation, windows
+from ..operators import box_search, boxes, constrained, drift, ephemeris, gridded, grids, kernels, light_time, models, multiband, natural_fit, peaks, period_change, prewhitening, readouts, spacing, spectra, tracking, variation, windows
 from ..operators import methods as search_methods
 from ..operators import period_laws as law_fits
 from ..sources import observations as obs_source
@@ -1201,6 +1201,53 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(spark.sql("SELECT * FROM periodogram(TABLE(SELECT object_id, t, y, dy FROM lumenfold_points) PARTITION BY (object_id), 'gls', 'best', 2)"), "object_id rank k", "period f power")
 
 
+@query(
+    "interpolated_trend",
+    f"WITH {_obs_sql()}, b0 AS (SELECT *, floor((t - min(t) OVER (PARTITION BY object_id)) / 2::DOUBLE)::BIGINT AS bin FROM obs), nd AS (SELECT object_id, median(t) AS nt, median(y) AS ny FROM b0 GROUP BY object_id, bin HAVING count(*) >= 2), "
+    "cnt AS (SELECT object_id, count(*) AS m FROM nd GROUP BY object_id), lo AS (SELECT o.object_id, o.rid, max_by(ny, nt) AS y0, max(nt) AS t0 FROM obs o JOIN nd ON nd.object_id = o.object_id AND nt <= t GROUP BY o.object_id, o.rid), "
+    "hi AS (SELECT o.object_id, o.rid, min_by(ny, nt) AS y1, min(nt) AS t1 FROM obs o JOIN nd ON nd.object_id = o.object_id AND nt > t GROUP BY o.object_id, o.rid), md AS (SELECT object_id, median(y) AS my FROM obs GROUP BY object_id) "
+    f"SELECT o.object_id, o.rid, {_r('CASE WHEN coalesce(m, 0) < 2 THEN my WHEN t0 IS NULL THEN y1 WHEN t1 IS NULL THEN y0 ELSE y0 + (y1 - y0) / (t1 - t0) * (t - t0) END')} AS trend FROM obs o JOIN md USING (object_id) LEFT JOIN cnt USING (object_id) LEFT JOIN lo USING (object_id, rid) LEFT JOIN hi USING (object_id, rid)",
+)
+def interpolated_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.interpolated_trend(series(spark, sf_dir), 4.0, 2), "object_id rid", "trend")
+
+
+@query("measured_window")
+def measured_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(readouts.measured_window_peaks(series(spark, sf_dir)), "object_id rank", "f amplitude ratio", 5)
+
+
+@query("alias_report")
+def alias_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    return emit(readouts.alias_report(o, spectra.gls(o, NF)), "object_id kind", "predicted f_peak power relative", 5)
+
+
+@query("wavelets_own_frequencies")
+def wavelets_own_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(windows.wwz(series(spark, sf_dir), 4, fmax=0.5), "object_id i k", "f power amplitude", 5)
+
+
+@query("amplitude_floor")
+def amplitude_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = series(spark, sf_dir).select("object_id", "t", F.col("dy").alias("sigma"))
+    return emit(ephemeris.amplitude_floor(times, [5.0, 12.0, 30.0]).where("sigma < double('inf')"), "object_id", "outer_period sigma", 4)
+
+
+@query("multiband_chances")
+def multiband_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(multiband.bootstrap_fap(series(spark, sf_dir), 60, 19, model="mhaov"), "object_id", "power fap level_10", 5)
+
+
+@query("bounded_fits")
+def bounded_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's best frequency and its double, offsets by band, frequencies within a width of their start."""
+    o = series(spark, sf_dir)
+    seeds = _seeds(o)
+    both = seeds.select("object_id", F.lit(0).alias("component"), "f").unionByName(seeds.select("object_id", F.lit(1).alias("component"), (2 * F.col("f")).alias("f")))
+    return emit(natural_fit.fit_objects(o, both, constrained.Constraints(offsets=True), subset="band"), "object_id component parameters", "frequency amplitude rss", 4)
+
+
 query("long_period_boxes")(_long_periods("bls", grids.box_grid))
 query("long_period_transits")(_long_periods("tls", grids.transit_grid))
 
