@@ -1 +1,15 @@
 """Spark-native period analysis of irregularly sampled time series."""
+
+from __future__ import annotations
+
+
+def ship(spark) -> str:
+    """Sends this package to the executors of a session that was started where they cannot import it; returns the archive."""
+    import os
+    import shutil
+    import tempfile
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "lumenfold"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
+    return archive

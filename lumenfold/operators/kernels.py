@@ -234,22 +234,26 @@ def bls(tau, y, dy, frequencies, n_durations: int = 8, oversample: int = 10):
             sums = []
             for x in (yc * iv, iv):
                 h = np.bincount(b, np.tile(x, m), m * most).reshape(m, most)
-                ends = (slots - oversample + 1)[:, None] + np.arange(oversample)
-                np.put_along_axis(h, ends, h[:, 1 : oversample + 1], axis=1)  # the begin of the period once more behind its end
+                ends = (slots - oversample)[:, None] + np.arange(oversample)
+                np.put_along_axis(h, ends, h[:, 1 : oversample + 1], axis=1)  # the begin of the period once more, from its last slot on
                 h[np.arange(most)[None, :] > slots[:, None]] = 0
                 sums.append(np.cumsum(h, axis=1))
             ca, cv = sums
             best = np.zeros(m)
+            least, short = floor * total_iv, int(slots.min())
             for kd in boxes:
                 if kd >= most:
                     continue
                 ina, inv = ca[:, kd:] - ca[:, :-kd], cv[:, kd:] - cv[:, :-kd]
+                np.minimum(ina, 0, out=ina)  # what is no dip scores nothing
                 rest = total_iv - inv
-                bad = (inv <= floor) | (rest <= floor) | (ina > 0) | (np.arange(kd, most)[None, :] > slots[:, None])
                 rest *= inv
-                np.putmask(rest, bad, np.inf)
+                np.putmask(rest, rest <= least, np.inf)
                 ina *= ina
                 ina /= rest
+                if most - 1 > short:  # ends behind the period of some trials
+                    tail = ina[:, short + 1 - kd :]
+                    tail[np.arange(short + 1, most)[None, :] > slots[:, None]] = 0
                 best = np.maximum(best, ina.max(axis=1))
             out[rows] = np.sqrt(best * total_iv)
     return out
@@ -279,26 +283,34 @@ def tls(tau, y, dy, frequencies, n_bins: int = 256, shapes: int = 5):
     return (out - out.mean()) / sd if sd > 0 else np.zeros_like(out)
 
 
-def _smooth(x: np.ndarray, y: np.ndarray, w: np.ndarray, window: int, leave_out: bool) -> np.ndarray:
-    """Weighted straight line through each circular window of ``window`` points, at its middle point, for each row."""
-    h = window // 2
-    around = lambda v, step: np.concatenate([v[:, -h:] - step, v, v[:, :h] + step], axis=1)
-    xp, yp, wp = around(x, 1.0), around(y, 0.0), around(w, 0.0)
-    wx = wp * xp
-    sums = []
-    for v in (wp, wx, wp * yp, wx * xp, wx * yp):
+class _Lines:
+    """Weighted straight lines through each circular window of ``window`` points, at its middle point, for each row; what depends on abscissae and weights alone is kept for all ordinates."""
+
+    def __init__(self, x: np.ndarray, w: np.ndarray, window: int) -> None:
+        self.h, self.x, self.w = window // 2, x, w
+        self.wp, xp = self._around(w), self._around(x, 1.0)
+        self.wxp = self.wp * xp
+        self.sums = self._sum(self.wp), self._sum(self.wxp), self._sum(self.wxp * xp)
+
+    def _around(self, v: np.ndarray, step: float = 0.0) -> np.ndarray:
+        return np.concatenate([v[:, -self.h :] - step, v, v[:, : self.h] + step], axis=1)
+
+    def _sum(self, v: np.ndarray) -> np.ndarray:
         c = np.cumsum(v, axis=1)
-        each = c[:, 2 * h :].copy()
-        each[:, 1:] -= c[:, : -2 * h - 1]
-        sums.append(each)
-    s, sx, sy, sxx, sxy = sums
-    if leave_out:
-        own = w * x
-        s, sx, sy, sxx, sxy = s - w, sx - own, sy - w * y, sxx - own * x, sxy - own * y
-    d = s * sxx - sx * sx
-    with np.errstate(all="ignore"):
-        slope = np.where(d > 32 * np.finfo(float).eps * s * sxx, (s * sxy - sx * sy) / d, 0.0)
-        return (sy - slope * sx) / s + slope * x
+        each = c[:, 2 * self.h :].copy()
+        each[:, 1:] -= c[:, : -2 * self.h - 1]
+        return each
+
+    def at(self, y: np.ndarray, leave_out: bool = False) -> np.ndarray:
+        yp = self._around(y)
+        (s, sx, sxx), sy, sxy = self.sums, self._sum(self.wp * yp), self._sum(self.wxp * yp)
+        if leave_out:
+            own = self.w * self.x
+            s, sx, sy, sxx, sxy = s - self.w, sx - own, sy - self.w * y, sxx - own * self.x, sxy - own * y
+        d = s * sxx - sx * sx
+        with np.errstate(all="ignore"):
+            slope = np.where(d > 32 * np.finfo(float).eps * s * sxx, (s * sxy - sx * sy) / d, 0.0)
+            return (sy - slope * sx) / s + slope * self.x
 
 
 def supersmoother(tau, y, dy, frequencies, spans=(0.05, 0.2, 0.5), bass: float = 0.0):
@@ -317,19 +329,20 @@ def supersmoother(tau, y, dy, frequencies, spans=(0.05, 0.2, 0.5), bass: float =
     for part, f in _chunks(frequencies, n * (CHUNK // CACHED)):
         x, o = _sorted_phases(tau, f)
         v, wt, er = y[o], w[o], e[o]
-        fits = np.stack([_smooth(x, v, wt, k, True) for k in windows])
-        residual = np.stack([_smooth(x, np.abs(v - s) / er, wt, windows[1], False) for s in fits])
+        lines = {k: _Lines(x, wt, k) for k in dict.fromkeys(windows)}
+        fits = np.stack([lines[k].at(v, True) for k in windows])
+        residual = np.stack([lines[windows[1]].at(np.abs(v - s) / er) for s in fits])
         span = np.array(spans)[np.argmin(residual, axis=0)]
         if bass > 0:
             least = residual.min(axis=0)
             with np.errstate(all="ignore"):
                 share = np.where((least < residual[-1]) & (least > 0), np.maximum(1e-7, least / residual[-1]) ** (10 - bass), 0.0)
             span = span + (spans[-1] - span) * share
-        span = _smooth(x, span, wt, windows[1], False)
+        span = lines[windows[1]].at(span)
         at = np.clip(np.searchsorted(spans, span) - 1, 0, len(spans) - 2)
         share = np.clip((span - np.array(spans)[at]) / np.diff(spans)[at], 0, 1)
         low, high = (np.take_along_axis(fits, k[None], axis=0)[0] for k in (at, at + 1))
-        model = _smooth(x, (1 - share) * low + share * high, wt, windows[0], False)
+        model = lines[windows[0]].at((1 - share) * low + share * high)
         out[part] = 1 - np.mean(np.abs(v - model) / er, axis=1) / base
     return out
 

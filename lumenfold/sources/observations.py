@@ -6,6 +6,11 @@ y DOUBLE, dy DOUBLE, rid BIGINT``; ``rid`` only breaks ties.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,11 +78,15 @@ def observations(df: DataFrame, object_column: str, domain: str | None = None, *
 
 
 def read_files(spark: SparkSession, path: str, domain: str | None = None, **roles: str) -> DataFrame:
-    """Observation files by suffix (parquet, csv, tsv, dat, txt and their gz or bz2 forms); the object is the file's stem.
+    """Observation files by suffix (parquet, fits, csv, tsv, dat, txt and the texts' gz or bz2 forms); the object is the file's stem.
 
     Equal stems in different folders are told apart by the folder's name.
     """
     stem = path.lower().removesuffix(".gz").removesuffix(".bz2")
+    if stem.endswith((".fits", ".fit", ".fts")):
+        from .fits import read_fits
+
+        return read_fits(spark, path, domain=domain, **roles)
     if stem.endswith((".csv", ".tsv", ".tab", ".dat", ".txt", ".ecsv")):
         sep = "," if stem.endswith((".csv", ".ecsv")) else "\t" if stem.endswith((".tsv", ".tab")) else " "
         df = spark.read.csv(path, header=True, inferSchema=True, sep=sep, comment="#", ignoreLeadingWhiteSpace=True)
@@ -92,6 +101,30 @@ def read_files(spark: SparkSession, path: str, domain: str | None = None, **role
     return observations(out.withColumn("_key", F.when(F.col("_clash"), F.concat_ws("/", "_folder", "_stem")).otherwise(F.col("_stem"))), "_key", domain, **roles)
 
 
+def from_curves(spark: SparkSession, curves: Iterable[tuple]) -> DataFrame:
+    """Observations of curves that are at hand in the driver: (key, t, y), (key, t, y, dy) or (key, t, y, dy, band) of equally long arrays.
+
+    Times may be datetimes, masked or missing entries become nulls, and a repeated key becomes ``key#2``. For a few
+    curves; a catalogue is read from files by tasks.
+    """
+    frames, met = [], Counter()
+    for key, t, y, *more in curves:
+        met[str(key)] += 1
+        name = str(key) if met[str(key)] == 1 else f"{key}#{met[str(key)]}"
+        times = np.asarray(t)
+        if times.dtype.kind == "M":
+            times = times.astype("datetime64[us]").astype(np.int64) / 86400e6 + 40587.0
+        cols = [np.ma.filled(np.ma.asarray(x, dtype=float), np.nan) for x in (times, y, *more[:1])]
+        if len({len(c) for c in cols}) != 1:
+            raise ValueError(f"the arrays of {name} differ in length")
+        dy = cols[2] if len(cols) > 2 else np.full(len(cols[0]), np.nan)
+        frames.append(pd.DataFrame({"object_id": name, "band": str(more[1]) if len(more) > 1 else None, "t": cols[0], "y": cols[1], "dy": dy}))
+    whole = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c: [] for c in ("object_id", "band", "t", "y", "dy")})
+    schema = "object_id string, band string, t double, y double, dy double"
+    rows = spark.createDataFrame(whole.astype(object).where(whole.notna(), None).values.tolist(), schema) if len(whole) else spark.createDataFrame([], schema)
+    return rows.withColumn("rid", F.monotonically_increasing_id())
+
+
 def from_nested(df: DataFrame, object_column: str, nested: str, **fields: str) -> DataFrame:
     """One row per object with an array of structs -> canonical observations."""
     inner = df.select(F.col(object_column).alias("_object"), F.posexplode(nested).alias("_at", "_p")).select("_object", "_p.*")

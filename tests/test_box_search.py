@@ -52,6 +52,15 @@ def test_boxes_equal_plain_ones(objective):
         assert [got[c][i] for c in ("power", "depth", "duration", "t0")] == pytest.approx(want, rel=1e-9)
 
 
+def test_kernel_equals_segments():
+    t, y, dy = transit(150)
+    periods = np.concatenate([np.linspace(1.0, 1.99, 40), np.linspace(2.0, 3.9, 40)])
+    got = kernels.bls(t - t[0], y, dy, 1 / periods)
+    for lo, part in ((1.0, slice(0, 40)), (2.0, slice(40, 80))):
+        want = box_search.boxes(t - t[0], y, dy, periods[part], box_search.durations(lo, least=0.0))["power"]
+        np.testing.assert_allclose(got[part], want, rtol=1e-9)
+
+
 def test_no_dip_and_flat():
     periods, lengths = np.array([2.0, 3.0]), np.array([0.2])
     flat = box_search.boxes(np.arange(20.0), np.ones(20), None, periods, lengths)
