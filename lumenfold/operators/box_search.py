@@ -20,7 +20,7 @@ the spectrum.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,8 +40,6 @@ TIE = 1e-10
 CACHED = 1 << 15
 
 FIELDS = ("power", "depth", "depth_err", "depth_snr", "duration", "t0", "log_likelihood")
-_SPECTRUM = "object_id string, segment long, k long, period double, " + ", ".join(f"{c} double" for c in FIELDS)
-_PIECE = _SPECTRUM + ", trials long, mean double, m2 double"
 
 
 def durations(p_lo: float, shares: tuple[float, float, int] = DURATIONS, least: float = LEAST_DURATION) -> np.ndarray:
@@ -121,12 +119,16 @@ def pieces(segments: DataFrame, counts: DataFrame, work: float = spread.WORK / 4
     return s.withColumn("k1", F.least(F.col("k0") + F.col("size"), F.col("nf"))).select("object_id", "segment", "p_lo", "f0", "df", "k0", "k1", "n").where("k1 > k0")
 
 
-def _run(obs: DataFrame, segments: DataFrame, objective: str, oversample: int, shares: tuple[float, float, int], least: float, min_points: int, whole: bool, work: float) -> DataFrame:
+def spread_trials(obs: DataFrame, segments: DataFrame, kernel: Callable, fields: tuple[str, ...], min_points: int, whole: bool, work: float, digits: int = 9) -> DataFrame:
+    """Runs ``kernel(tau, y, dy, periods, p_lo)`` -> {field: values} on all pieces of all segments: a row a trial (``whole``), or the best trial of each piece with the number, mean and squares of its powers.
+
+    ``power`` is -inf and other fields null where a trial has nothing; ``t0`` counts from an object's first time.
+    """
     counts = obs.groupBy("object_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
     cut = pieces(segments, counts, work)
     total = cut.agg(F.sum(F.col("n") * (F.col("k1") - F.col("k0")).cast("double"))).first()[0] or 0.0
     dealt = spread.deal(cut.drop("n").join(curves(obs), "object_id"), total, "object_id", "segment", "k0")
-    schema = _SPECTRUM if whole else _PIECE
+    schema = "object_id string, segment long, k long, period double, " + ", ".join(f"{c} double" for c in fields) + ("" if whole else ", trials long, mean double, m2 double")
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +138,7 @@ def _run(obs: DataFrame, segments: DataFrame, objective: str, oversample: int, s
                 k = np.arange(r.k1 - 1, r.k0 - 1, -1)  # ascending periods
                 periods = 1.0 / (r.f0 + r.df * k)
                 k, periods = k[periods > r.p_lo], periods[periods > r.p_lo]
-                got = boxes(t - t[0], y, dy, periods, durations(r.p_lo, shares, least), oversample, objective)
+                got = kernel(t - t[0], y, dy, periods, r.p_lo)
                 real = np.isfinite(got["power"])
                 got["t0"] = np.where(real, got["t0"] + t[0], 0.0)
                 if whole:
@@ -144,27 +146,38 @@ def _run(obs: DataFrame, segments: DataFrame, objective: str, oversample: int, s
                     yield rows[columns]
                 elif len(periods):
                     power = np.where(real, got["power"], 0.0)
-                    i = int(np.argmax(np.round(got["power"], 9)))  # of equal ones the shortest period
-                    values = [r.object_id, r.segment, int(k[i]), periods[i], *(got[c][i] if real[i] else math.nan for c in FIELDS), len(power), power.mean(), float(np.sum((power - power.mean()) ** 2))]
+                    i = int(np.argmax(np.round(got["power"], digits)))  # of equal ones the shortest period
+                    values = [r.object_id, r.segment, int(k[i]), periods[i], *(got[c][i] if real[i] else math.nan for c in fields), len(power), power.mean(), float(np.sum((power - power.mean()) ** 2))]
                     yield pd.DataFrame([values], columns=columns)
 
     out = dealt.mapInPandas(run, schema)
-    return out.select([F.when(~F.isnan(c), F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in columns])
+    return out.select([F.when(~F.isnan(c), F.col(c)).alias(c) if c in fields else F.col(c) for c in columns])
+
+
+def merge_pieces(parts: DataFrame, fields: tuple[str, ...], digits: int = 9) -> DataFrame:
+    """The best trial of each object from ``spread_trials``: object_id, trials, segment, k, period, fields, and sde. Of equal powers the shortest period wins."""
+    order = F.struct(F.round(F.coalesce("power", F.lit(float("-inf"))), digits), -F.col("period"))
+    best = F.max_by(F.struct("segment", "k", "period", *fields), order).alias("b")
+    s = parts.groupBy("object_id").agg(best, F.sum("trials").alias("trials"), (F.sum(F.col("trials") * F.col("mean")) / F.sum("trials")).alias("mean"), F.sum(F.col("m2") + F.col("trials") * F.col("mean") * F.col("mean")).alias("square"))
+    sd = F.sqrt(F.greatest(F.col("square") / F.col("trials") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    return s.select("object_id", "trials", "b.*", F.when(sd > 0, (F.coalesce(F.col("b.power"), F.lit(0.0)) - F.col("mean")) / sd).otherwise(0.0).alias("sde"))
+
+
+def _run(obs: DataFrame, segments: DataFrame | None, objective: str, oversample: int, shares: tuple[float, float, int], least: float, min_points: int, whole: bool, work: float) -> DataFrame:
+    def kernel(tau: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray, p_lo: float) -> dict[str, np.ndarray]:
+        return boxes(tau, y, dy, periods, durations(p_lo, shares, least), oversample, objective)
+
+    return spread_trials(obs, grids.box_segments(obs) if segments is None else segments, kernel, FIELDS, min_points, whole, work)
 
 
 def spectrum(obs: DataFrame, segments: DataFrame | None = None, objective: str = "snr", oversample: int = OVERSAMPLE, shares: tuple[float, float, int] = DURATIONS, least: float = LEAST_DURATION, min_points: int = 4, work: float = spread.WORK / 4) -> DataFrame:
     """The best box of every trial: object_id, segment, k, period and FIELDS. ``segments`` as ``grids.box_segments`` gives them (the default)."""
-    return _run(obs, grids.box_segments(obs) if segments is None else segments, objective, oversample, shares, least, min_points, True, work)
+    return _run(obs, segments, objective, oversample, shares, least, min_points, True, work)
 
 
 def search(obs: DataFrame, segments: DataFrame | None = None, objective: str = "snr", oversample: int = OVERSAMPLE, shares: tuple[float, float, int] = DURATIONS, least: float = LEAST_DURATION, min_points: int = 4, work: float = spread.WORK / 4) -> DataFrame:
     """The best box of each object: object_id, trials, segment, k, period, FIELDS and sde, how far its power stands above the mean of all trials in standard deviations. Of equal powers the shortest period wins."""
-    parts = _run(obs, grids.box_segments(obs) if segments is None else segments, objective, oversample, shares, least, min_points, False, work)
-    order = F.struct(F.round(F.coalesce("power", F.lit(float("-inf"))), 9), -F.col("period"))
-    best = F.max_by(F.struct("segment", "k", "period", *FIELDS), order).alias("b")
-    s = parts.groupBy("object_id").agg(best, F.sum("trials").alias("trials"), (F.sum(F.col("trials") * F.col("mean")) / F.sum("trials")).alias("mean"), F.sum(F.col("m2") + F.col("trials") * F.col("mean") * F.col("mean")).alias("square"))
-    sd = F.sqrt(F.greatest(F.col("square") / F.col("trials") - F.col("mean") * F.col("mean"), F.lit(0.0)))
-    return s.select("object_id", "trials", "b.*", F.when(sd > 0, (F.coalesce(F.col("b.power"), F.lit(0.0)) - F.col("mean")) / sd).otherwise(0.0).alias("sde"))
+    return merge_pieces(_run(obs, segments, objective, oversample, shares, least, min_points, False, work), FIELDS)
 
 
 def not_searched(obs: DataFrame, segments: DataFrame | None = None, min_points: int = 4) -> DataFrame:

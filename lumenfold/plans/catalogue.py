@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import physics
 from ..functions import sql as sql_functions
-from ..operators import box_search, boxes, constrained, drift, ephemeris, gridded, grids, kernels, light_time, models, multiband, natural_fit, peaks, period_change, prewhitening, readouts, spacing, spectra, tracking, variation, windows
+from ..operators import box_search, boxes, constrained, drift, ephemeris, gridded, grids, kernels, light_time, models, multiband, natural_fit, peaks, period_change, prewhitening, readouts, spacing, spectra, tracking, transit_search, variation, windows
 from ..operators import methods as search_methods
 from ..operators import period_laws as law_fits
 from ..sources import observations as obs_source
@@ -1248,6 +1248,33 @@ def bounded_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(natural_fit.fit_objects(o, both, constrained.Constraints(offsets=True), subset="band"), "object_id component parameters", "frequency amplitude rss", 4)
 
 
+def _transit_search_sql() -> str:
+    """transit_search.search with periods from 5 days on, 64 bins, shapes of 2, 4 and 6 bins."""
+    t = [(w, j, f"{g!r}::DOUBLE") for w in (2, 4, 6) for j, g in enumerate(boxes.limb_darkened(w))]
+    return (
+        f"WITH {_obs_sql()}, tpl(width, j, g) AS (VALUES {_values(t)}), c0 AS (SELECT *, 1 / (dy * dy) AS w, min(t) OVER o AS tmin, max(t) OVER o - min(t) OVER o AS b, count(*) OVER o AS n FROM obs WINDOW o AS (PARTITION BY object_id)), "
+        "cent AS (SELECT *, t - tmin AS tau, y - sum(w * y) OVER o / sum(w) OVER o AS yc, sum(w) OVER o AS total FROM c0 WHERE n >= 4 AND least(100, b / 2) > 5 WINDOW o AS (PARTITION BY object_id)), "
+        "gr AS (SELECT DISTINCT object_id, 1 / least(100, b / 2) AS f0, 0.02::DOUBLE / (2 * b) AS df FROM cent), tr AS (SELECT object_id, k, 1 / (f0 + df * k) AS p FROM (SELECT *, unnest(range(ceil((0.2::DOUBLE - f0) / df)::BIGINT)) AS k FROM gr)), "
+        "h AS (SELECT object_id, k, p, least(floor((tau / p - floor(tau / p)) * 64), 63)::BIGINT AS b, sum(w * yc) AS a, sum(w) AS v, min(total) AS total FROM cent JOIN tr USING (object_id) GROUP BY ALL), "
+        "s0 AS (SELECT object_id, k, p, total, width, (b - j + 64) % 64 AS start, sum(g * a) AS num, sum(g * v) AS cw, sum(g * g * v) AS den FROM h, tpl GROUP BY ALL), s1 AS (SELECT *, den - cw * cw / total AS d FROM s0), "
+        "s2 AS (SELECT *, num * num / d AS sr FROM s1 WHERE num < 0 AND den > 1e-12 * total AND d > 1e-9 * den), m AS (SELECT *, max(sr) OVER (PARTITION BY object_id, k) AS most FROM s2), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY object_id, k ORDER BY width, start) AS rn FROM m WHERE sr >= most * (1 - 1e-9)), sp AS (SELECT tr.object_id, tr.k, tr.p AS period, coalesce(sr, 0) AS power, -num / d AS depth FROM tr LEFT JOIN o ON o.object_id = tr.object_id AND o.k = tr.k AND rn = 1), "
+        "z AS (SELECT *, count(*) OVER q AS trials, avg(power) OVER q AS mean, stddev_pop(power) OVER q AS sd, row_number() OVER (PARTITION BY object_id ORDER BY -round(power, 6), period) AS rn FROM sp WINDOW q AS (PARTITION BY object_id)) "
+        f"SELECT object_id, trials, k, {', '.join(f'{_r(c, 4)} AS {c}' for c in ('period', 'power', 'depth'))}, {_r('CASE WHEN sd > 0 THEN (power - mean) / sd ELSE 0 END', 4)} AS sde FROM z WHERE rn = 1"
+    )
+
+
+@query("transit_search", _transit_search_sql())
+def transit_search_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = series(spark, sf_dir)
+    return emit(transit_search.search(o, grids.transit_grid(o, shortest=5.0), 64, [2, 4, 6]), "object_id trials k", "period power depth sde", 4)
+
+
+@query("transit_search_default")
+def transit_search_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit(transit_search.search(series(spark, sf_dir)), "object_id trials k", "period power depth duration t0 sde", 4)
+
+
 query("long_period_boxes")(_long_periods("bls", grids.box_grid))
 query("long_period_transits")(_long_periods("tls", grids.transit_grid))
 

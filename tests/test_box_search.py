@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import box_search, boxes, gridded, grids, kernels, nufft, spread
+from lumenfold.operators import box_search, boxes, gridded, grids, kernels, nufft, spread, transit_search
 
 SCHEMA = "object_id string, t double, y double, dy double, rid long"
 
@@ -107,6 +107,49 @@ def test_segments_and_pieces_change_nothing(spark, catalogue, objective):
     assert {(r.object_id, r.reason) for r in box_search.not_searched(catalogue, segments).collect()} == {("few", "too few points"), ("short", "no trial period within the baseline")}
 
 
+def plain_transit(t, y, w, period, n_bins, lengths):
+    """One period: every shape at every start, weighted least squares of level and shape."""
+    phase = (t - t.min()) / period
+    b = np.minimum(((phase - np.floor(phase)) * n_bins).astype(int), n_bins - 1)
+    best = (0.0, 0.0, 0.0, 0.0)
+    for k in lengths:
+        for i in range(n_bins):
+            g = np.zeros(n_bins)
+            g[(i + np.arange(k)) % n_bins] = boxes.limb_darkened(k)
+            x = np.column_stack([np.ones(len(t)), -g[b]]) * np.sqrt(w)[:, None]
+            if np.linalg.matrix_rank(x) < 2:
+                continue
+            beta = np.linalg.lstsq(x, y * np.sqrt(w), rcond=None)[0]
+            gain = np.sum(w * (y - np.average(y, weights=w)) ** 2) - np.sum((y * np.sqrt(w) - x @ beta) ** 2)
+            if beta[1] > 0 and gain > best[0] * (1 + 1e-9):
+                best = gain, beta[1], k / n_bins * period, ((i + k / 2) / n_bins % 1) * period
+    return best
+
+
+def test_transits_equal_plain_least_squares():
+    t, y, dy = transit(50, depth=0.02)
+    periods = np.array([2.1, 3.7, 5.3])
+    got = transit_search.transits(t - t[0], y, dy, periods, 32, [2, 4])
+    for i, p in enumerate(periods):
+        assert [got[c][i] for c in transit_search.FIELDS] == pytest.approx(plain_transit(t, y, 1 / dy**2, p, 32, [2, 4]), rel=1e-6)
+    flat = transit_search.transits(t - t[0], np.ones(50), dy, periods)
+    assert (flat["power"] == 0).all()
+
+
+def test_transit_search_of_a_catalogue(spark, catalogue):
+    best = {r.object_id: r for r in transit_search.search(catalogue, work=50_000).collect()}
+    assert set(best) == {"a", "b"} and best["a"].period == pytest.approx(3.7, rel=2e-3) and best["a"].depth == pytest.approx(0.03, rel=0.25)
+    assert abs((best["a"].t0 - 2458001.3 - 0.0925 + 1.85) % 3.7 - 1.85) < 0.12 and best["a"].sde > 6
+    whole = transit_search.spectrum(catalogue).where("object_id = 'a'").toPandas()
+    assert len(whole) == best["a"].trials and best["a"].power == pytest.approx(whole.power.max())
+    assert best["a"].sde == pytest.approx((whole.power.max() - whole.power.mean()) / whole.power.std(ddof=0))
+    a = catalogue.where("object_id = 'a'").orderBy("t").toPandas()
+    tau = a.t.to_numpy() - a.t.min()
+    some = whole.sort_values("k").iloc[::50]
+    kernel = kernels.tls(tau, a.y.to_numpy(), a.dy.to_numpy(), 1 / some.period.to_numpy())
+    np.testing.assert_allclose(np.corrcoef(kernel, some.power)[0, 1], 1, atol=1e-9)
+
+
 def test_one_object_in_many_tasks(spark, catalogue):
     segments = grids.box_segments(catalogue, shortest=0.5)
     dealt = box_search.spectrum(catalogue.where("object_id = 'a'"), segments.where("object_id = 'a'"), work=50_000).withColumn("task", F.spark_partition_id())
