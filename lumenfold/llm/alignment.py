@@ -48,6 +48,8 @@ from .tokens import _DOUBT
 #: Parts that a Python worker remembers, and that stand in one text when they are solved.
 CACHE = 500_000
 JOINED = 4000
+#: Bytes of text that are aligned at once.
+GROUP = 3 << 20
 #: Pairs of one slice of the table; pairs that a task sums up before it passes them on.
 SLICE = 4_000_000
 SUMMED = 2_000_000
@@ -175,7 +177,7 @@ class Aligner:
     def align(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str], list[bytes], list[bytes]]]:
         """Groups of texts, in order: (counts: a row a text of tokens of A and B, groups and links; hash of the groups; packed id pairs; packed number of links of each pair)."""
         doubt = pc.fill_null(pc.match_substring_regex(texts, _DOUBT), False)
-        for lo, hi in groups(texts):
+        for lo, hi in groups(texts, GROUP):
             some, odd = texts.slice(lo, hi - lo), np.flatnonzero(doubt.slice(lo, hi - lo).to_numpy(zero_copy_only=False))
             cut_ = Parts(pc.if_else(doubt.slice(lo, hi - lo), "", some) if len(odd) else some)
             of, at, distinct = cut_.of.astype(np.int64), cut_.at, cut_.distinct
