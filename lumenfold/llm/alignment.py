@@ -49,7 +49,7 @@ from .tokens import _DOUBT
 CACHE = 500_000
 JOINED = 4000
 #: Bytes of text that are aligned at once.
-GROUP = 3 << 20
+GROUP = 8 << 20
 #: Pairs of one slice of the table; pairs that a task sums up before it passes them on.
 SLICE = 4_000_000
 SUMMED = 2_000_000
