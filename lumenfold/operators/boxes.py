@@ -1,50 +1,24 @@
-"""Transit searches as histograms, window sums and template joins."""
+"""Transit searches on short grids: histograms, window sums and templates of one object's folds at once.
+
+Points are dealt by object for the work that they are and packed, and each object's
+folds stay in memory: only the best box of each trial leaves its task, and nothing but
+the points is shuffled. Points without a time or a value take no part; null errors
+count as one.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from . import spectra
 
+from . import spread
 
-def _bins(obs: DataFrame, nf: int, n_bins: int) -> DataFrame:
-    """(object_id, k, b, p, a, iv, ...) for every phase bin, empty ones too; a and iv are weighted sums."""
-    g = Window.partitionBy("object_id")
-    df = obs.withColumn("iv", F.when(F.col("dy").isNull(), F.lit(1.0)).otherwise(1.0 / (F.col("dy") * F.col("dy"))))
-    df = df.withColumn("tmin", F.min("t").over(g)).withColumn("baseline", F.max("t").over(g) - F.col("tmin")).withColumn("tau", F.col("t") - F.col("tmin"))
-    df = df.withColumn("yc", F.col("y") - F.sum(F.col("iv") * F.col("y")).over(g) / F.sum("iv").over(g)).where("baseline > 0")
-    df = spectra.folded(spectra.on_grid(df, nf)).withColumn("b", F.least(F.floor(F.col("phi") * n_bins), F.lit(n_bins - 1)))
-    hist = df.groupBy("object_id", "k", "b").agg(F.first("p").alias("p"), F.sum(F.col("iv") * F.col("yc")).alias("a"), F.sum("iv").alias("iv"), F.count("*").alias("m"))
-    frame = hist.groupBy("object_id", "k").agg(F.first("p").alias("p"), F.sum("a").alias("a_all"), F.sum("iv").alias("iv_all"), F.sum("m").alias("n"))
-    every = frame.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
-    return every.join(hist.select("object_id", "k", "b", "a", "iv"), ["object_id", "k", "b"], "left").fillna(0.0, ["a", "iv"])
-
-
-def bls(obs: DataFrame, nf: int = 20, n_bins: int = 50, widths: tuple[int, ...] = (1, 2, 5), digits: int = 6) -> DataFrame:
-    """Box search (Kovacs et al. 2002): the box of largest depth signal-to-noise per trial period.
-
-    Bins after the last repeat the first ones, so boxes may run over the fold.
-    """
-    df = _bins(obs, nf, n_bins)
-    wrapped = df.unionByName(df.where(F.col("b") < max(widths)).withColumn("b", F.col("b") + n_bins))
-    parts = []
-    for i, w in enumerate(widths):
-        frame = Window.partitionBy("object_id", "k").orderBy("b").rowsBetween(0, w - 1)
-        parts.append(wrapped.withColumn("sa", F.sum("a").over(frame)).withColumn("si", F.sum("iv").over(frame)).withColumn("width", F.lit(w)).withColumn("wi", F.lit(i)).where(F.col("b") < n_bins))
-    boxes = parts[0]
-    for p in parts[1:]:
-        boxes = boxes.unionByName(p)
-    floor = 1e-9 * F.col("iv_all")
-    boxes = boxes.where((F.col("si") > floor) & (F.col("iv_all") - F.col("si") > floor))
-    depth = (F.col("a_all") - F.col("sa")) / (F.col("iv_all") - F.col("si")) - F.col("sa") / F.col("si")
-    boxes = boxes.withColumn("depth", depth).where("depth >= 0").withColumn("snr", F.col("depth") / F.sqrt(1 / F.col("si") + 1 / (F.col("iv_all") - F.col("si"))))
-    first = F.struct(F.round("snr", digits).alias("s"), (-F.col("wi")).alias("w"), (-F.col("b")).alias("b"))
-    best = boxes.groupBy("object_id", "k").agg(F.first("p").alias("p"), F.max_by(F.struct("snr", "depth", "width", "b"), first).alias("x"))
-    return best.select("object_id", "k", "p", F.col("x.snr").alias("power"), "x.depth", "x.width", F.col("x.b").alias("start"))
+FOUND = "object_id string, k int, p double, power double, depth double, width int, start long"
 
 
 def limb_darkened(n: int, u1: float = 0.4, u2: float = 0.3) -> list[float]:
@@ -54,21 +28,87 @@ def limb_darkened(n: int, u1: float = 0.4, u2: float = 0.3) -> list[float]:
     return [x / max(g) for x in g]
 
 
-def templates(spark: SparkSession, widths: tuple[int, ...]) -> DataFrame:
-    """(width, j, g): a fixed table of a few hundred rows at most."""
-    rows = [(w, j, round(g, 9)) for w in widths for j, g in enumerate(limb_darkened(w))]
-    return spark.createDataFrame(rows, "width int, j int, g double")
+def _histograms(t: np.ndarray, y: np.ndarray, dy: np.ndarray, nf: int, n_bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trial periods, and (trial, bin) sums of weighted values and of weights; no trials without a baseline."""
+    tau = t - t.min()
+    baseline = tau.max()
+    if not baseline > 0:
+        return np.zeros(0), np.zeros((0, n_bins)), np.zeros((0, n_bins))
+    iv = 1.0 / (dy * dy)
+    yc = y - np.sum(iv * y) / np.sum(iv)
+    p = 1.0 / (1.0 / baseline + np.arange(nf) * (1.0 / (5.0 * baseline)))
+    q = tau[None, :] / p[:, None]
+    at = (np.minimum(np.floor((q - np.floor(q)) * n_bins).astype(np.int64), n_bins - 1) + np.arange(nf)[:, None] * n_bins).ravel()
+    a, w = (np.bincount(at, np.tile(x, nf), nf * n_bins).reshape(nf, n_bins) for x in (iv * yc, iv))
+    return p, a, w
+
+
+def _window(x: np.ndarray, shape: list[float]) -> np.ndarray:
+    """Sums of ``shape`` times the bins from each bin on; bins after the last are the first ones."""
+    return sum(g * np.roll(x, -j, axis=1) for j, g in enumerate(shape))
+
+
+def _best(score: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trials with any finite score of (trial, width, start), and the place of the first highest one."""
+    s = np.where(np.isfinite(score), np.round(score, digits), -np.inf).reshape(len(score), -1)
+    at = np.argmax(s, axis=1)
+    found = np.flatnonzero(s[np.arange(len(s)), at] > -np.inf)
+    return found, at[found] // score.shape[2], at[found] % score.shape[2]
+
+
+def _box_scores(a: np.ndarray, iv: np.ndarray, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Depth signal-to-noise and depth of (trial, width, start); nan where there is no box or no dip."""
+    ones = [[1.0] * w for w in widths]
+    sa, si = (np.stack([_window(x, g) for g in ones], axis=1) for x in (a, iv))
+    a_all, iv_all = (x.sum(axis=1)[:, None, None] for x in (a, iv))
+    good = (si > 1e-9 * iv_all) & (iv_all - si > 1e-9 * iv_all)
+    with np.errstate(all="ignore"):
+        depth = (a_all - sa) / (iv_all - si) - sa / si
+        snr = depth / np.sqrt(1 / si + 1 / (iv_all - si))
+    return np.where(good & (depth >= 0), snr, np.nan), depth
+
+
+def _transit_scores(a: np.ndarray, iv: np.ndarray, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Signal residue and depth of (trial, width, start), fitted jointly with the level; nan where there is no dip."""
+    shapes = [[round(g, 9) for g in limb_darkened(w)] for w in widths]
+    num, cw = (np.stack([_window(x, g) for g in shapes], axis=1) for x in (a, iv))
+    den = np.stack([_window(iv, [x * x for x in g]) for g in shapes], axis=1)
+    with np.errstate(all="ignore"):
+        d = den - cw * cw / iv.sum(axis=1)[:, None, None]
+        good = (num < 0) & (den > 1e-300) & (d > 1e-9 * den)
+        return np.where(good, num * num / d, np.nan), -num / d
+
+
+def _search(obs: DataFrame, nf: int, n_bins: int, widths: tuple[int, ...], digits: int, scores: Callable) -> DataFrame:
+    usable = obs.where("t IS NOT NULL AND y IS NOT NULL")
+    points = F.array_sort(F.collect_list(F.struct("t", "rid", "y", F.coalesce(F.col("dy"), F.lit(1.0)).alias("dy"))))
+    # every trial also passes over its bins, once a bin of each width
+    dealt = spread.deal(usable, spread.estimated_work(usable, nf * (1 + sum(widths))), "object_id")
+    packed = dealt.groupBy("object_id").agg(points.alias("p")).select("object_id", F.col("p.t").alias("t"), F.col("p.y").alias("y"), F.col("p.dy").alias("dy"))
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            parts = []
+            for r in pdf.itertuples():
+                p, a, iv = _histograms(*(np.asarray(x, dtype=float) for x in (r.t, r.y, r.dy)), nf, n_bins)
+                score, depth = scores(a, iv, widths)
+                k, w, b = _best(score, digits)
+                parts.append((np.full(len(k), r.object_id, dtype=object), k, p[k], score[k, w, b], depth[k, w, b], np.array(widths)[w], b))
+            if parts:
+                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    return packed.mapInPandas(run, FOUND)
+
+
+def bls(obs: DataFrame, nf: int = 20, n_bins: int = 50, widths: tuple[int, ...] = (1, 2, 5), digits: int = 6) -> DataFrame:
+    """Box search (Kovacs et al. 2002): the box of largest depth signal-to-noise per trial period; of equal ones the first width, then the earliest.
+
+    Bins after the last repeat the first ones, so boxes may run over the fold.
+    """
+    return _search(obs, nf, n_bins, widths, digits, _box_scores)
 
 
 def tls(obs: DataFrame, nf: int = 20, n_bins: int = 64, widths: tuple[int, ...] = (2, 4, 6), digits: int = 6) -> DataFrame:
-    """Transit least squares as a matched filter: folded bins joined to limb-darkened templates, jointly with the level."""
-    t = F.broadcast(templates(obs.sparkSession, widths))
-    df = _bins(obs, nf, n_bins).crossJoin(t).withColumn("start", F.pmod(F.col("b") - F.col("j"), F.lit(n_bins)))
-    s = df.groupBy("object_id", "k", "width", "start").agg(
-        F.first("p").alias("p"), F.first("iv_all").alias("iv_all"), F.sum(F.col("g") * F.col("a")).alias("num"), F.sum(F.col("g") * F.col("iv")).alias("cw"), F.sum(F.col("g") * F.col("g") * F.col("iv")).alias("den")
-    )
-    s = s.withColumn("d", F.col("den") - F.col("cw") * F.col("cw") / F.col("iv_all")).where((F.col("num") < 0) & (F.col("den") > 1e-300) & (F.col("d") > 1e-9 * F.col("den")))
-    s = s.withColumn("sr", F.col("num") * F.col("num") / F.col("d")).withColumn("depth", -F.col("num") / F.col("d"))
-    first = F.struct(F.round("sr", digits).alias("s"), (-F.col("width")).alias("w"), (-F.col("start")).alias("b"))
-    best = s.groupBy("object_id", "k").agg(F.first("p").alias("p"), F.max_by(F.struct("sr", "depth", "width", "start"), first).alias("x"))
-    return best.select("object_id", "k", "p", F.col("x.sr").alias("power"), "x.depth", "x.width", "x.start")
+    """Transit least squares as a matched filter: folded bins against limb-darkened templates, jointly with the level."""
+    return _search(obs, nf, n_bins, tuple(sorted(widths)), digits, _transit_scores)
