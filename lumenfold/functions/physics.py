@@ -30,21 +30,30 @@ def magnitude_error(value: Column, error: Column) -> Column:
 
 
 def convert_pdot(value: Column, unit_from: str, unit_to: str, period: Column | None = None) -> Column:
-    """Between d/d, s/s, s/yr, ms/yr, d/yr, d/Myr, d/cycle, s/cycle and 1/yr; the last three need the period in days."""
+    """Between d/d, s/s, s/yr, ms/yr, d/yr, d/Myr, d/cycle, s/cycle and 1/yr; the last three need the period in days.
 
-    def factor(unit: str) -> Column:
-        if unit in PDOT_UNITS:
-            return F.lit(PDOT_UNITS[unit])
-        if period is None:
+    A period of zero gives NaN where it would divide, and zero where it multiplies.
+    """
+    for unit in (unit_from, unit_to):
+        if unit not in PDOT_UNITS and period is None:
             raise ValueError(f"{unit} needs a period")
-        return {"d/cycle": 1.0 / period, "s/cycle": F.lit(1 / 86400) / period, "1/yr": period / YEAR}[unit]
+    size = PDOT_UNITS | {"d/cycle": 1.0, "s/cycle": 1 / 86400, "1/yr": 1 / YEAR}
+    power = {"d/cycle": -1, "s/cycle": -1, "1/yr": 1}  # of the period
+    n = power.get(unit_from, 0) - power.get(unit_to, 0)
+    out = value * F.lit(size[unit_from]) / F.lit(size[unit_to])
+    for _ in range(abs(n)):
+        out = out * period if n > 0 else _per(out, period)
+    return out
 
-    return value * factor(unit_from) / factor(unit_to)
+
+def _per(value: Column, period: Column) -> Column:
+    """``value / period``; NaN for a period of zero, as nothing then says what it would be."""
+    return F.when(period == 0, F.lit(float("nan"))).otherwise(value / F.nullif(period, F.lit(0.0)))
 
 
 def mass_loss_rate(pdot: Column, period: Column, total_mass: Column) -> Column:
-    """Solar masses per year for an isotropic wind: half the mass times the relative period change a year."""
-    return total_mass / 2 * pdot / period * YEAR
+    """Solar masses per year for an isotropic wind: half the mass times the relative period change a year; NaN for a period of zero."""
+    return _per(total_mass / 2 * pdot, period) * YEAR
 
 
 def pdot_from_mass_loss(rate: Column, period: Column, total_mass: Column) -> Column:

@@ -1,10 +1,13 @@
 """What is shuffled and how work is dealt must follow the input, not its trials."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import boxes
+from lumenfold.operators import boxes, readouts
+from lumenfold.plans import catalogue
 
 SCHEMA = "object_id string, band string, t double, y double, dy double, rid long"
 
@@ -51,3 +54,35 @@ def test_box_search_without_points_or_errors(spark):
     bare = points(spark).withColumn("dy", F.lit(None).cast("double"))
     ones = points(spark).withColumn("dy", F.lit(1.0))
     assert sorted(boxes.tls(bare, 4).collect()) == sorted(boxes.tls(ones, 4).collect())
+
+
+def test_nothing_orbits_where_the_mass_function_is_zero(spark):
+    rows = spark.createDataFrame([(0.0,), (0.5,)], "f double").select(readouts.minimum_third_mass(F.col("f"), F.lit(1.2)).alias("m")).collect()
+    assert rows[0].m == 0 and rows[1].m**3 / (rows[1].m + 1.2) ** 2 == pytest.approx(0.5)
+
+
+@pytest.fixture(scope="module")
+def odd_events(tmp_path_factory):
+    """Zero values, a band of two points, values that are all their mean, and one object of one point."""
+    rows, rng = [], np.random.default_rng(5)
+    for user in range(4):
+        for i in range(24 if user < 3 else 1):
+            value = 0.0 if i == 5 else 0.1 if user == 2 else round(float(rng.uniform(1, 50)), 2)
+            rows.append((len(rows), pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=int(rng.integers(0, 2_500_000))), user, "rare" if i < 2 else "abc"[i % 3], value))
+    folder = tmp_path_factory.mktemp("odd")
+    events = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])
+    duckdb.sql("COPY (SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM events) TO '" + str(folder / "events.parquet") + "' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["unit_conversions", "third_masses"])
+def test_odd_values_give_what_the_sql_gives(spark, odd_events, name):
+    found = catalogue.queries()[name](spark, odd_events).toPandas()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{odd_events}/events.parquet'")
+        wanted = c.execute(catalogue.oracle_sql()[name]).df()[list(found.columns)]
+    keys = [c for c in found.columns if found[c].dtype != float]
+    found, wanted = (x.sort_values(keys).reset_index(drop=True) for x in (found, wanted))
+    assert len(found) and found[keys].equals(wanted[keys])
+    for c in set(found.columns) - set(keys):
+        np.testing.assert_allclose(found[c], wanted[c], atol=2e-6, err_msg=c)
