@@ -163,7 +163,7 @@ def mass_function(amplitude: Column, outer_period: Column) -> Column:
 
 
 def minimum_third_mass(f: Column, inner: Column, steps: int = 80) -> Column:
-    """The mass m with m^3 / (inner + m)^2 = f, by bisection between 0 and a bound."""
+    """The mass m with m^3 / (inner + m)^2 = f, by bisection between 0 and a bound; 0 for f = 0."""
     bound = 2 * (f + F.pow(f * inner * inner, F.lit(1.0 / 3.0))) + inner
     value = lambda m: m * m * m / ((inner + m) * (inner + m))
 
@@ -172,7 +172,7 @@ def minimum_third_mass(f: Column, inner: Column, steps: int = 80) -> Column:
         low = value(mid) < f
         return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.array_repeat(F.lit(0), steps), F.struct((f * 0.0).alias("lo"), bound.alias("hi")), halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    return F.aggregate(F.array_repeat(F.lit(0), steps), F.struct((f * 0.0).alias("lo"), bound.alias("hi")), halve, lambda acc: F.when(f == 0, F.lit(0.0)).otherwise((acc["lo"] + acc["hi"]) / 2))
 
 
 def total_change(profile: DataFrame) -> DataFrame:

@@ -914,7 +914,9 @@ def third_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mass function, and whether the least third mass put into it gives it back."""
     o = series(spark, sf_dir).withColumn("f", readouts.mass_function(F.col("y") * 1e-5, 1000 + F.col("t")))
     o = o.withColumn("m", readouts.minimum_third_mass(F.col("f"), F.lit(1.2)))
-    return o.select("object_id", "rid", (F.round("f", 9) + F.lit(0.0)).alias("f"), F.round(F.pow("m", F.lit(3.0)) / F.pow(F.col("m") + 1.2, F.lit(2.0)) / F.col("f"), 6).alias("closed"))
+    back = F.pow("m", F.lit(3.0)) / F.pow(F.col("m") + 1.2, F.lit(2.0))
+    closed = F.when(F.col("f") == 0, (back == 0).cast("double")).otherwise(back / F.nullif(F.col("f"), F.lit(0.0)))
+    return o.select("object_id", "rid", (F.round("f", 9) + F.lit(0.0)).alias("f"), F.round(closed, 6).alias("closed"))
 
 
 @query("line_quality", f"WITH {_obs_sql()}, s AS (SELECT object_id, count(*) AS n, var_pop(y) * count(*) * (1 - regr_r2(y, t)) AS rss FROM obs GROUP BY object_id) SELECT object_id, n, {_r('rss / (n - 2)', 4)} AS reduced_chi2, {_r('n * ln(rss / n) + 2 * ln(n)', 4)} AS bic, {_r('n * ln(rss / n) + 4', 4)} AS aic FROM s WHERE n > 2 AND rss > 0")
