@@ -424,7 +424,7 @@ def cleaned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(obs_source.usable_counts(series(spark, sf_dir).withColumn("dy", bad)), "object_id n_rows n_finite n_usable", "")
 
 
-@query("magnitudes", f"WITH {_obs_sql()} SELECT object_id, rid, {_r('-2.5::DOUBLE * log10(y) + 25')} AS mag, {_r('1.0857362047581296::DOUBLE * dy / y')} AS mag_err, {_r('pow(10::DOUBLE, -0.4::DOUBLE * (-2.5::DOUBLE * log10(y) + 25 - 25))', 4)} AS flux FROM obs")
+@query("magnitudes", f"WITH {_obs_sql()} SELECT object_id, rid, {_r('CASE WHEN y > 0 THEN -2.5::DOUBLE * log10(y) + 25 END')} AS mag, {_r('CASE WHEN y > 0 THEN 1.0857362047581296::DOUBLE * dy / y END')} AS mag_err, {_r('CASE WHEN y > 0 THEN pow(10::DOUBLE, -0.4::DOUBLE * (-2.5::DOUBLE * log10(y) + 25 - 25)) END', 4)} AS flux FROM obs")
 def magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = series(spark, sf_dir).withColumn("mag", physics.magnitude(F.col("y"), 25.0)).withColumn("mag_err", physics.magnitude_error(F.col("y"), F.col("dy")))
     out = emit(df.withColumn("flux", physics.flux(F.col("mag"), 25.0)), "object_id rid", "mag mag_err flux")
