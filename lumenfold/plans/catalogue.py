@@ -880,7 +880,7 @@ def drift_zero_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(readouts.zero_rate(period_change.drift_search(series(spark, sf_dir), rates, 30), rates), "object_id k", "f power")
 
 
-@query("mixed_domains", f"WITH {_obs_sql()}, d AS (SELECT *, rid % 2 = 0 AS isflux, CASE WHEN rid % 2 = 0 THEN y ELSE 20 + y / 100 END AS v FROM obs) SELECT object_id, rid, {_r('CASE WHEN isflux THEN -2.5::DOUBLE * log10(v) + 25 ELSE v END')} AS y, {_r('CASE WHEN isflux THEN 1.0857362047581296::DOUBLE * dy / v ELSE dy END')} AS dy FROM d")
+@query("mixed_domains", f"WITH {_obs_sql()}, d AS (SELECT *, rid % 2 = 0 AS isflux, CASE WHEN rid % 2 = 0 THEN y ELSE 20 + y / 100 END AS v FROM obs) SELECT object_id, rid, {_r('CASE WHEN NOT isflux THEN v WHEN v > 0 THEN -2.5::DOUBLE * log10(v) + 25 END')} AS y, {_r('CASE WHEN NOT isflux THEN dy WHEN v > 0 THEN 1.0857362047581296::DOUBLE * dy / v END')} AS dy FROM d")
 def mixed_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     flux = F.col("rid") % 2 == 0
     o = series(spark, sf_dir).withColumn("domain", F.when(flux, "flux").otherwise("magnitude")).withColumn("y", F.when(flux, F.col("y")).otherwise(20 + F.col("y") / 100))
