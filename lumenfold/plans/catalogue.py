@@ -783,7 +783,7 @@ def period_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(models.period_law(series(spark, sf_dir, "lineitem").withColumnRenamed("y", "period")), "object_id n law", "mean slope", 4)
 
 
-_spectrum_query("kernel_shared_offsets", lambda o: multiband.spectrum(o, "offsets", 40), SQL["gls_shared_offsets"].split(" SELECT object_id, k, round")[0].replace("tot AS", "enough AS (SELECT object_id, band FROM obs GROUP BY ALL HAVING count(*) >= 3), tot AS").replace("FROM obs)", "FROM obs)", 1))
+_spectrum_query("kernel_shared_offsets", lambda o: multiband.spectrum(o, "offsets", 40), SQL["gls_shared_offsets"].split(" SELECT object_id, k, round")[0].replace("WHERE baseline > 0)", "WHERE baseline > 0 AND n >= 3)"))  # multiband.METHODS: bands of three points or more
 
 
 def _multiband(method: str, nf: int):

@@ -75,7 +75,7 @@ def odd_events(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["unit_conversions", "third_masses", "magnitudes", "mixed_domains"])
+@pytest.mark.parametrize("name", ["unit_conversions", "third_masses", "magnitudes", "mixed_domains", "kernel_shared_offsets"])
 def test_odd_values_give_what_the_sql_gives(spark, odd_events, name):
     found = catalogue.queries()[name](spark, odd_events).toPandas()
     with duckdb.connect() as c:
