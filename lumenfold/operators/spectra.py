@@ -1,8 +1,9 @@
 """Periodogram statistics as grouped aggregations over (object x trial frequency).
 
-Observations are dealt by object once; exploding the trial grid and grouping by
-(object, k) keeps that partitioning, so a statistic costs a single shuffle of
-the observations. Sums are map-side combined. For grids of many thousand trials
+Observations are dealt by object once, to tasks for their points times trials;
+exploding the trial grid and grouping by (object, k) keeps that partitioning, so a
+statistic costs a single shuffle of the observations, and a task's groups fit in
+memory however large the table is. For grids of many thousand trials
 use ``kernels``, which stream the grid through memory instead of exploding it.
 """
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import spread
+
 KEY = ["object_id"]
 TWO_PI = 2 * math.pi
 
@@ -67,7 +70,7 @@ def closed_form(fit_mean: bool = True) -> Column:
 
 def gls(obs: DataFrame, nf: int = 200, fit_mean: bool = True, weighted: bool = True) -> DataFrame:
     """Generalised Lomb-Scargle power: object_id, k, f, power, n, baseline."""
-    sums = trig_sums(on_grid(centred(obs, weighted), nf), "object_id", "k")
+    sums = trig_sums(on_grid(centred(spread.deal_trials(obs, nf), weighted), nf), "object_id", "k")
     return sums.select("object_id", "k", "f", closed_form(fit_mean).alias("power"), "n", "baseline")
 
 
@@ -79,7 +82,7 @@ def aov(obs: DataFrame, nf: int = 200) -> DataFrame:
 
 def amplitude_spectrum(obs: DataFrame, nf: int = 200, least_squares: bool = True) -> DataFrame:
     """Amplitude and phase of the least-squares sinusoid, or of the discrete Fourier transform, per trial."""
-    s = trig_sums(on_grid(centred(obs, False), nf), "object_id", "k")
+    s = trig_sums(on_grid(centred(spread.deal_trials(obs, nf), False), nf), "object_id", "k")
     if least_squares:
         cc, ss, cs = (1 + F.col("c2")) / 2, (1 - F.col("c2")) / 2, F.col("s2") / 2
         d = cc * ss - cs * cs
@@ -92,7 +95,7 @@ def amplitude_spectrum(obs: DataFrame, nf: int = 200, least_squares: bool = True
 
 def spectral_window(obs: DataFrame, nf: int = 200) -> DataFrame:
     """Modulus of the sampling's transform per trial."""
-    s = trig_sums(on_grid(centred(obs, False), nf), "object_id", "k")
+    s = trig_sums(on_grid(centred(spread.deal_trials(obs, nf), False), nf), "object_id", "k")
     return s.select("object_id", "k", "f", F.hypot("c", "s").alias("power"))
 
 
@@ -105,7 +108,7 @@ def folded(df: DataFrame) -> DataFrame:
 def pdm(obs: DataFrame, nf: int = 200, n_bins: int = 10, n_covers: int = 3, by: tuple[str, ...] = ("object_id",)) -> DataFrame:
     """Phase dispersion (Stellingwerf 1978): one fine histogram is regrouped into all covers."""
     g = n_bins * n_covers
-    fine = folded(on_grid(centred(obs, False, by), nf)).withColumn("b", F.least(F.greatest(F.floor(F.col("phi") * g), F.lit(0)), F.lit(g - 1)))
+    fine = folded(on_grid(centred(spread.deal_trials(obs, nf), False, by), nf)).withColumn("b", F.least(F.greatest(F.floor(F.col("phi") * g), F.lit(0)), F.lit(g - 1)))
     hist = fine.groupBy(*by, "k", "b").agg(F.first("f").alias("f"), F.first("yy").alias("yy"), F.first("n").alias("n"), F.count("*").alias("m"), F.sum("yc").alias("sy"), F.sum(F.col("yc") * F.col("yc")).alias("syy"))
     covers = hist.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_covers - 1)))).withColumn("j", F.floor(((F.col("b") + F.col("c")) % g) / n_covers))
     coarse = covers.groupBy(*by, "k", "c", "j").agg(F.first("f").alias("f"), F.first("yy").alias("yy"), F.first("n").alias("n"), F.sum("m").alias("m"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
@@ -119,7 +122,7 @@ def pdm(obs: DataFrame, nf: int = 200, n_bins: int = 10, n_covers: int = 3, by:
 def conditional_entropy(obs: DataFrame, nf: int = 200, n_phase: int = 10, n_mag: int = 10, by: tuple[str, ...] = ("object_id",)) -> DataFrame:
     """Entropy of the value given the phase (Graham et al. 2013)."""
     g = Window.partitionBy(*by)
-    df = centred(obs, False, by).withColumn("lo", F.min("y").over(g)).withColumn("hi", F.max("y").over(g))
+    df = centred(spread.deal_trials(obs, nf), False, by).withColumn("lo", F.min("y").over(g)).withColumn("hi", F.max("y").over(g))
     level = F.when(F.col("hi") > F.col("lo"), (F.col("y") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).otherwise(F.lit(0.0))
     clip = lambda x, n: F.least(F.greatest(F.floor(x * n), F.lit(0)), F.lit(n - 1))
     df = folded(on_grid(df.withColumn("i", clip(level, n_mag)), nf)).withColumn("j", clip(F.col("phi"), n_phase))
@@ -131,7 +134,7 @@ def conditional_entropy(obs: DataFrame, nf: int = 200, n_phase: int = 10, n_mag:
 def string_length(obs: DataFrame, nf: int = 200, by: tuple[str, ...] = ("object_id",)) -> DataFrame:
     """Length of the folded curve with its wrap segment (Dworetsky 1983); ties in phase keep row order."""
     g = Window.partitionBy(*by)
-    df = centred(obs, False, by).withColumn("lo", F.min("y").over(g)).withColumn("hi", F.max("y").over(g))
+    df = centred(spread.deal_trials(obs, nf), False, by).withColumn("lo", F.min("y").over(g)).withColumn("hi", F.max("y").over(g))
     m = F.when(F.col("hi") > F.col("lo"), (F.col("y") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 0.5 - 0.25).otherwise(F.lit(0.0))
     df = folded(on_grid(df.withColumn("m", m), nf))
     run = Window.partitionBy(*by, "k").orderBy("phi", "rid")
@@ -149,7 +152,7 @@ def pooled(band_spectrum: DataFrame, weight: Column) -> DataFrame:
 def gls_offsets(obs: DataFrame, nf: int = 200) -> DataFrame:
     """One sinusoid shared by all bands with a constant per band."""
     per_band = ("object_id", "band")
-    df = centred(obs, True, per_band)
+    df = centred(spread.deal_trials(obs, nf), True, per_band)
     share = F.col("wsum") / F.sum(F.when(F.col("_one") == 1, F.col("wsum"))).over(Window.partitionBy("object_id"))
     one = F.row_number().over(Window.partitionBy(*per_band).orderBy("rid"))
     df = df.withColumn("_one", one).withColumn("share", share)
@@ -167,5 +170,5 @@ def gls_offsets(obs: DataFrame, nf: int = 200) -> DataFrame:
 
 def gls_per_band(obs: DataFrame, nf: int = 200) -> DataFrame:
     """Independent sinusoids; band powers weighted by each band's chi-squared about its mean."""
-    s = trig_sums(on_grid(centred(obs, True, ("object_id", "band")), nf), "object_id", "band", "k")
+    s = trig_sums(on_grid(centred(spread.deal_trials(obs, nf), True, ("object_id", "band")), nf), "object_id", "band", "k")
     return pooled(s.select("object_id", "band", "k", "f", closed_form().alias("power"), "yy", "wsum"), F.col("yy") * F.col("wsum"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Points times trials aimed at per task, and the most tasks of one call.
 WORK = 100_000_000
 MOST_TASKS = 200_000
+#: Rows of points beside trials that a task holds.
+ROWS = 1_000_000
 #: Fixed value: an automatic grid has about this many trials for each point of its object (5 samples a peak up to 2.5 N/T).
 TRIALS_PER_POINT = 12.5
 
@@ -28,6 +30,11 @@ def deal(df: DataFrame, total: float, *keys: str | Column) -> DataFrame:
     return df.repartition(tasks(total, df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+def deal_trials(obs: DataFrame, nf: int) -> DataFrame:
+    """Points hashed by object for plans that put a row a trial beside each: a task has ROWS such rows or so, whatever the size of the table, and fits its aggregates and sorts in memory."""
+    return obs.repartition(tasks(float(obs.count()) * nf, obs.sparkSession.sparkContext.defaultParallelism, ROWS), "object_id")
+
+
 def deal_objects(df: DataFrame) -> DataFrame:
     """``df`` hashed by object for grouped calls that take far longer than their bytes tell: as many tasks as shuffles have partitions here, two a core at least, and none is joined to others."""
     spark = df.sparkSession

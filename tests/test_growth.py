@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import boxes, readouts
+from lumenfold.operators import boxes, readouts, spectra, spread
 from lumenfold.plans import catalogue
 
 SCHEMA = "object_id string, band string, t double, y double, dy double, rid long"
@@ -86,3 +86,11 @@ def test_odd_values_give_what_the_sql_gives(spark, odd_events, name):
     assert len(found) and found[keys].equals(wanted[keys])
     for c in set(found.columns) - set(keys):
         np.testing.assert_allclose(found[c], wanted[c], atol=2e-6, err_msg=c)
+
+
+def test_tasks_follow_the_rows_and_objects(spark, monkeypatch):
+    """Adaptive execution would join them by bytes, which say nothing about points times trials."""
+    o = points(spark)
+    monkeypatch.setattr(spread, "ROWS", 100)
+    for df in (spectra.pdm(o, 50), spectra.conditional_entropy(o, 50), spectra.string_length(o, 50), spectra.pdm(o, 50, by=("object_id", "band"))):
+        assert "hashpartitioning(object_id#" in (p := plan(df)) and p.count("Exchange") == 1 and "40), REPARTITION_BY_NUM" in p
