@@ -153,4 +153,4 @@ def harmonic_fits(obs: DataFrame, seeds: DataFrame, harmonics: int = 2, band_off
         return pd.DataFrame(rows, columns=columns)
 
     joined = obs.join(seeds.selectExpr("object_id", "f AS _f"), "object_id")
-    return spread.deal_objects(joined).groupBy("object_id").applyInPandas(run, ROWS)
+    return spread.deal_objects(joined, obs).groupBy("object_id").applyInPandas(run, ROWS)

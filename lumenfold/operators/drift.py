@@ -101,7 +101,7 @@ def search(t: np.ndarray, y: np.ndarray, dy: np.ndarray | None, seed: float, met
 
 
 def _seeded(obs: DataFrame, seeds: DataFrame) -> DataFrame:
-    return spread.deal_objects(obs.join(seeds.select("object_id", F.col("f").cast("double").alias("_f")), "object_id", "left"))
+    return spread.deal_objects(obs.join(seeds.select("object_id", F.col("f").cast("double").alias("_f")), "object_id", "left"), obs)
 
 
 def rate_search(obs: DataFrame, seeds: DataFrame, method: str = "gls", n_rates: int = 12, model: str = "constant", reach: float = 30.0, samples: float = 10.0, **settings) -> DataFrame:

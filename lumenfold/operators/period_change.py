@@ -114,4 +114,4 @@ def rate_search(obs: DataFrame, seeds: DataFrame, n_rates: int = 12, model: str
         steady = float(power[int(np.flatnonzero(rates == 0)[0])].max())
         return pd.DataFrame([(pdf["object_id"].iloc[0], f, a, a / f, float(power[j, i]), steady, correlation)], columns=[c.split()[0] for c in RATES.split(", ")])
 
-    return spread.deal_objects(obs.join(seeds.selectExpr("object_id", "f AS _f"), "object_id")).groupBy("object_id").applyInPandas(run, RATES)
+    return spread.deal_objects(obs.join(seeds.selectExpr("object_id", "f AS _f"), "object_id"), obs).groupBy("object_id").applyInPandas(run, RATES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ WORK = 100_000_000
 MOST_TASKS = 200_000
 #: Rows of points beside trials that a task holds.
 ROWS = 1_000_000
+#: Objects in a task of grouped calls.
+OBJECTS = 100
 #: Fixed value: an automatic grid has about this many trials for each point of its object (5 samples a peak up to 2.5 N/T).
 TRIALS_PER_POINT = 12.5
 
@@ -35,7 +39,13 @@ def deal_trials(obs: DataFrame, nf: int) -> DataFrame:
     return obs.repartition(tasks(float(obs.count()) * nf, obs.sparkSession.sparkContext.defaultParallelism, ROWS), "object_id")
 
 
-def deal_objects(df: DataFrame) -> DataFrame:
-    """``df`` hashed by object for grouped calls that take far longer than their bytes tell: as many tasks as shuffles have partitions here, two a core at least, and none is joined to others."""
+def deal_objects(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``df`` hashed by object for grouped calls that take far longer than their bytes tell: as many tasks as shuffles have partitions here, two a core at least, and none is joined to others.
+
+    With ``counted``, a table of the same objects that is cheap to read, there is also a task for every OBJECTS of them, so that the longest task does not grow with the table.
+    """
     spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "object_id")
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if counted is not None:
+        n = min(max(n, math.ceil(counted.agg(F.approx_count_distinct("object_id")).first()[0] / OBJECTS)), MOST_TASKS)
+    return df.repartition(n, "object_id")

@@ -145,5 +145,5 @@ def subset_variation(obs: DataFrame, components: DataFrame, subset: str = "band"
         out = pd.DataFrame(rows, columns=columns)
         return out.astype({"component": "Int64", "n": "int64", **{c: "float64" for c in NUMBERS}})
 
-    out = spread.deal_objects(joined).groupBy("object_id").applyInPandas(run, ROWS)
+    out = spread.deal_objects(joined, obs).groupBy("object_id").applyInPandas(run, ROWS)
     return out.select([F.when(~F.isnan(c), F.col(c)).alias(c) if c in NUMBERS else F.col(c) for c in columns])

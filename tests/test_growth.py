@@ -1,12 +1,14 @@
 """What is shuffled and how work is dealt must follow the input, not its trials."""
 
+import re
+
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import boxes, readouts, spectra, spread
+from lumenfold.operators import boxes, readouts, spectra, spread, variation
 from lumenfold.plans import catalogue
 
 SCHEMA = "object_id string, band string, t double, y double, dy double, rid long"
@@ -94,3 +96,11 @@ def test_tasks_follow_the_rows_and_objects(spark, monkeypatch):
     monkeypatch.setattr(spread, "ROWS", 100)
     for df in (spectra.pdm(o, 50), spectra.conditional_entropy(o, 50), spectra.string_length(o, 50), spectra.pdm(o, 50, by=("object_id", "band"))):
         assert "hashpartitioning(object_id#" in (p := plan(df)) and p.count("Exchange") == 1 and "40), REPARTITION_BY_NUM" in p
+
+
+def test_tasks_of_grouped_calls_follow_the_objects(spark, monkeypatch):
+    o = points(spark, 12, [f"o{i}" for i in range(30)])
+    monkeypatch.setattr(spread, "OBJECTS", 2)
+    held = o.select("object_id").distinct().select("object_id", F.lit(0).alias("component"), F.lit(0.5).alias("f"))
+    found = variation.subset_variation(o, held)
+    assert int(re.search(r"(\d+)\), REPARTITION_BY_NUM", plan(found))[1]) >= 14
