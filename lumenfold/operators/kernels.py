@@ -25,6 +25,8 @@ CHUNK = 1 << 19
 CACHED = 1 << 15
 #: Points times trials from which equally spaced trials go through the FFT.
 FFT_FROM = 1 << 18
+#: Trials from which equally spaced ones below that are products of few exponentials.
+EVEN_FROM = 16
 MINIMISED = frozenset({"pdm", "ce", "sl"})
 
 
@@ -58,9 +60,11 @@ def _sorted_phases(tau: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _trig_sums(tau: np.ndarray, rows: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
     """sum of row * exp(2 pi i f tau) for each row and frequency."""
-    even = nufft.uniform(frequencies) if len(tau) * len(frequencies) >= FFT_FROM else None
-    if even:
+    even = nufft.uniform(frequencies) if len(frequencies) >= EVEN_FROM else None
+    if even and len(tau) * len(frequencies) >= FFT_FROM:
         return nufft.sums(tau, rows, *even, len(frequencies))
+    if even:
+        return nufft.Products(tau, *even, len(frequencies)).sums(rows)
     out = np.empty((len(rows), len(frequencies)), dtype=complex)
     for part, f in _chunks(frequencies, len(tau)):
         th = 2 * np.pi * f[:, None] * tau[None, :]
@@ -74,11 +78,15 @@ class LombScargle:
     def __init__(self, tau, dy, frequencies, fit_mean: bool = True) -> None:
         self.tau, self.f = tau, frequencies
         self.w = _weights(dy, len(tau))
-        self.terms = weight_terms(_trig_sums(tau, self.w[None, :], frequencies)[0], _trig_sums(2 * tau, self.w[None, :], frequencies)[0], fit_mean)
+        even = nufft.uniform(frequencies) if len(frequencies) >= EVEN_FROM and len(tau) * len(frequencies) < FFT_FROM else None
+        self.near = nufft.Products(tau, *even, len(frequencies)) if even else None
+        once, twice = (self.near.sums(self.w), self.near.doubled().sums(self.w)) if even else (_trig_sums(k * tau, self.w[None, :], frequencies) for k in (1, 2))
+        self.terms = weight_terms(once[0], twice[0], fit_mean)
 
     def data_sums(self, y) -> np.ndarray:
         """sum of w (y - mean) exp(2 pi i f tau)."""
-        return _trig_sums(self.tau, (self.w * (y - np.sum(self.w * y)))[None, :], self.f)[0]
+        values = (self.w * (y - np.sum(self.w * y)))[None, :]
+        return (self.near.sums(values) if self.near else _trig_sums(self.tau, values, self.f))[0]
 
     def power(self, y, data: np.ndarray | None = None) -> np.ndarray:
         yc = y - np.sum(self.w * y)

@@ -7,6 +7,8 @@ divided out after one FFT. Error some 1e-11 of the sum of absolute values.
 
 from __future__ import annotations
 
+import copy
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -78,6 +80,25 @@ def sums(t: np.ndarray, values: np.ndarray, f0: float, df: float, nf: int) -> np
     return transform(spread(t, values, f0, df, nf), nf)
 
 
+class Products:
+    """F_k of few points without a grid: exponentials of coarse steps times those of fine ones, some 2 sqrt(nf) a point in place of nf, met in one matrix product a row. They are kept for further values at the same times."""
+
+    def __init__(self, t: np.ndarray, f0: float, df: float, nf: int) -> None:
+        fine, turn = max(1, math.isqrt(nf)), 2j * np.pi * t
+        self.nf = nf
+        self.step = np.exp(np.outer(turn, df * np.arange(fine)))
+        self.jump = np.exp(np.outer(f0 + df * fine * np.arange(-(-nf // fine)), turn))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.stack([((self.jump * row) @ self.step).ravel()[: self.nf] for row in np.atleast_2d(values)])
+
+    def doubled(self) -> Products:
+        """The same at twice the times."""
+        out = copy.copy(self)
+        out.step, out.jump = self.step * self.step, self.jump * self.jump
+        return out
+
+
 def uniform(frequencies: np.ndarray) -> tuple[float, float] | None:
     """(f0, df) of equally spaced ascending frequencies, else None."""
     n = len(frequencies)
