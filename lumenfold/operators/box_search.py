@@ -27,15 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import grids, spread
+from . import folds, grids, spread
+from .folds import TIE
 
 OBJECTIVES = ("snr", "likelihood")
 #: Shortest and longest duration as shares of a segment's shortest period, their number, and the least duration in days.
 DURATIONS = (0.01, 0.12, 8)
 LEAST_DURATION = 0.01
 OVERSAMPLE = 10
-#: Boxes whose squared objectives differ by less than this share are equal.
-TIE = 1e-10
 #: Values of a working array that stays in a processor's cache.
 CACHED = 1 << 15
 
@@ -65,11 +64,17 @@ def boxes(tau: np.ndarray, y: np.ndarray, dy: np.ndarray | None, periods: np.nda
     width, bins = widths(lengths, oversample)
     out = {c: np.zeros(len(periods)) for c in FIELDS}
     out["power"][:] = -np.inf
-    step = max(1, CACHED // (int(math.ceil(periods.max() / width)) + oversample + 1)) if len(periods) else 1
+    cells = int(math.ceil(periods.max() / width)) + oversample + 1 if len(periods) else 1
+    few = len(periods) > 0 and folds.sparse(len(tau), width * bins[-1] / periods.min(), cells, len(bins))
+    step = max(1, CACHED // (2 * len(tau) if few else cells))
     for a in range(0, len(periods), step):
         p = periods[a : a + step]
         m, slots = len(p), np.ceil(p / width).astype(np.int64) + oversample
         most = int(slots.max()) + 1
+        if few:
+            at = np.minimum((np.mod(tau[None, :], p[:, None]) / width).astype(np.int64) + 1, most - 1)
+            _record(out, a, p, width, total, objective, *folds.box_runs(at, yc * iv, iv, slots, oversample, bins[bins < most], floor, objective != "snr")[1:])
+            continue
         at = (np.minimum((np.mod(tau[None, :], p[:, None]) / width).astype(np.int64) + 1, most - 1) + np.arange(m)[:, None] * most).ravel()
         sums = []
         for x in (yc * iv, iv):
@@ -92,19 +97,24 @@ def boxes(tau: np.ndarray, y: np.ndarray, dy: np.ndarray | None, periods: np.nda
             i = np.argmax(ina >= (v - TIE * np.abs(v))[:, None], axis=1)  # boxes of the same points differ by rounding
             better = ~bad[np.arange(m), i] & ((v > best * (1 + TIE)) | (start < 0))
             best, start, size = np.where(better, v, best), np.where(better, i, start), np.where(better, kd, size)
-        found = np.flatnonzero(start >= 0)
-        s, e = start[found], start[found] + size[found]
-        ina, inv = (c[found, e] - c[found, s] for c in sums)
-        depth = -ina / (total - inv) - ina / inv
-        error = np.sqrt(1 / inv + 1 / (total - inv))
-        length = size[found] * width
-        values = {"depth": depth, "depth_err": error, "depth_snr": depth / error, "duration": length, "t0": np.mod(s * width + 0.5 * length, p[found]), "log_likelihood": 0.5 * inv * depth * depth}
-        for c, v in values.items():
-            out[c][a + found] = v
-        out["power"][a + found] = values["depth_snr" if objective == "snr" else "log_likelihood"]
+        rows = np.arange(m)
+        _record(out, a, p, width, total, objective, start, size, *(c[rows, start + size] - c[rows, start] for c in sums))
     return out
 
 
+def _record(out: dict[str, np.ndarray], a: int, p: np.ndarray, width: float, total: float, objective: str, start: np.ndarray, size: np.ndarray, ina: np.ndarray, inv: np.ndarray) -> None:
+    """Writes the FIELDS of the boxes found for the periods from ``a`` on."""
+    found = np.flatnonzero(start >= 0)
+    s, ina, inv = start[found], ina[found], inv[found]
+    depth = -ina / (total - inv) - ina / inv
+    error = np.sqrt(1 / inv + 1 / (total - inv))
+    length = size[found] * width
+    values = {"depth": depth, "depth_err": error, "depth_snr": depth / error, "duration": length, "t0": np.mod(s * width + 0.5 * length, p[found]), "log_likelihood": 0.5 * inv * depth * depth}
+    for c, v in values.items():
+        out[c][a + found] = v
+    out["power"][a + found] = values["depth_snr" if objective == "snr" else "log_likelihood"]
+
+
 def curves(obs: DataFrame) -> DataFrame:
     """One row an object: n, its first time, and its points as arrays in order of time."""
     points = F.array_sort(F.collect_list(F.struct("t", "rid", "y", F.coalesce(F.col("dy"), F.lit(1.0)).alias("dy"))))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from . import grids, nufft, spread
+from . import folds, grids, nufft, spread
 from .boxes import limb_darkened
 
 CHUNK = 1 << 19
@@ -232,13 +232,18 @@ def bls(tau, y, dy, frequencies, n_durations: int = 8, oversample: int = 10):
         boxes = np.unique(np.floor(durations / width + 0.5).astype(np.int64))
         who = np.flatnonzero(octave == o)
         most = int(math.ceil(periods[who].max() / width)) + oversample + 1
-        step = max(1, CACHED // most)
+        few = folds.sparse(len(tau), width * boxes[-1] / periods[who].min(), most, len(boxes))
+        step = max(1, CACHED // (2 * len(tau) if few else most))
         for a in range(0, len(who), step):
             rows = who[a : a + step]
             p = periods[rows]
             slots = np.ceil(p / width).astype(np.int64) + oversample
             m = len(rows)
-            b = ((np.mod(tau[None, :], p[:, None]) / width).astype(np.int64) + 1 + np.arange(m)[:, None] * most).ravel()
+            b = (np.mod(tau[None, :], p[:, None]) / width).astype(np.int64) + 1
+            if few:
+                out[rows] = np.sqrt(folds.box_runs(b, yc * iv, iv, slots, oversample, boxes[boxes < most], floor)[0] * total_iv)
+                continue
+            b = (b + np.arange(m)[:, None] * most).ravel()
             sums = []
             for x in (yc * iv, iv):
                 h = np.bincount(b, np.tile(x, m), m * most).reshape(m, most)
