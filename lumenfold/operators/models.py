@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from .windows import by_time
 
+#: Share of the largest residual within which one is nothing.
+ZERO = 1e-9
+
 
 def evaluate(obs: DataFrame, components: DataFrame, epoch: float = 0.0) -> DataFrame:
     """Each point with ``model`` = sum of A sin(2 pi f (t - epoch) + phase) over its object's components."""
@@ -20,8 +23,8 @@ def evaluate(obs: DataFrame, components: DataFrame, epoch: float = 0.0) -> DataF
 
 
 def correlation_factor(residuals: DataFrame) -> DataFrame:
-    """max(mean length of runs of equal sign / 2, 1) of a column ``residual`` in time order."""
-    sign = F.when(F.col("residual") >= 0, 1).otherwise(-1)
+    """max(mean length of runs of equal sign / 2, 1) of a column ``residual`` in time order. A residual of nothing counts as positive, also where sums in another order leave it a rounding below: within ZERO of the object's largest."""
+    sign = F.when(F.col("residual") >= -ZERO * F.max(F.abs("residual")).over(Window.partitionBy("object_id")), 1).otherwise(-1)
     df = residuals.withColumn("_s", sign).withColumn("_n", F.when(F.col("_s") == F.lag("_s").over(by_time()), 0).otherwise(1))
     return df.groupBy("object_id").agg(F.greatest(F.count("*") / F.sum("_n") / 2, F.lit(1.0)).alias("factor"), F.sum("_n").alias("n_runs"))
 

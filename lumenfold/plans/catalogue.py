@@ -734,7 +734,7 @@ def analytic_uncertainties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit(models.analytic_uncertainties(c, spectra.object_stats(o).withColumnRenamed("std", "sigma")), "object_id", "amplitude_error phase_error frequency_error")
 
 
-@query("correlation_factor", f"WITH {_obs_sql()}, r AS (SELECT *, CASE WHEN y - avg(y) OVER (PARTITION BY object_id) >= 0 THEN 1 ELSE -1 END AS s FROM obs), g AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY object_id ORDER BY t, rid) THEN 0 ELSE 1 END AS nw FROM r) SELECT object_id, sum(nw)::BIGINT AS n_runs, {_r('greatest(count(*)::DOUBLE / sum(nw) / 2, 1)')} AS factor FROM g GROUP BY object_id")
+@query("correlation_factor", f"WITH {_obs_sql()}, d AS (SELECT *, y - avg(y) OVER (PARTITION BY object_id) AS residual FROM obs), r AS (SELECT *, CASE WHEN residual >= -1e-9::DOUBLE * max(abs(residual)) OVER (PARTITION BY object_id) THEN 1 ELSE -1 END AS s FROM d), g AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY object_id ORDER BY t, rid) THEN 0 ELSE 1 END AS nw FROM r) SELECT object_id, sum(nw)::BIGINT AS n_runs, {_r('greatest(count(*)::DOUBLE / sum(nw) / 2, 1)')} AS factor FROM g GROUP BY object_id")
 def correlation_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = series(spark, sf_dir)
     return emit(models.correlation_factor(o.withColumn("residual", F.expr("y - avg(y) OVER (PARTITION BY object_id)"))), "object_id n_runs", "factor")
