@@ -3,8 +3,7 @@
 Boxes: with far fewer points than bins nearly all boxes hold the points of another one.
 What a box scores depends on its points alone, so each run of points (in order of phase)
 is scored once, and the shortest length and earliest start that hold just this run are
-those of the box. Shapes: a shape's sums over all starts are a banded product; starts in
-blocks as long as the shape make it a plain one.
+those of the box. Shapes: a shape's sums over all starts come from Fourier transforms.
 """
 
 from __future__ import annotations
@@ -94,3 +93,28 @@ def box_runs(bin_of: np.ndarray, a: np.ndarray, v: np.ndarray, slots: np.ndarray
     pick = near[pick]
     best[rows], start[rows], size[rows], out_a[rows], out_v[rows] = score[pick], begin[pick] - rows * (int(slots.max()) + longest + 2), kd[pick], ina[pick], inv[pick]
     return best, start, size, out_a, out_v
+
+
+@lru_cache(maxsize=64)
+def _transforms(shape: tuple[float, ...], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    g = np.r_[np.array(shape), np.zeros(bins - len(shape))]
+    return np.conj(np.fft.rfft(g)), np.conj(np.fft.rfft(g * g))
+
+
+def residues(data: np.ndarray, weight: np.ndarray, bins: int, total: float, shape: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a level and the shape at each start lower chi2 by (0 where it is no dip), and the numerator and denominator of its depth, from transforms of folded weighted values and weights.
+
+    Starts without a fit are multiplied by nothing: masks cost several times as much as the sums.
+    """
+    g, g2 = _transforms(shape, bins)
+    num, cw, den = (np.fft.irfft(x, bins, axis=1) for x in (data * g, weight * g, weight * g2))
+    cw *= cw
+    cw *= -1 / total
+    cw += den
+    fall = np.minimum(num, 0)
+    fall *= fall
+    fall /= np.maximum(cw, 1e-20 * total)
+    good = cw > 1e-9 * den
+    good &= den > 1e-12 * total
+    fall *= good
+    return fall, num, cw

@@ -277,20 +277,18 @@ def tls(tau, y, dy, frequencies, n_bins: int = 256, shapes: int = 5):
     w = 1.0 / dy**2 if dy is not None and np.isfinite(dy).all() else np.ones(len(y))
     yc = y - np.sum(w * y) / np.sum(w)
     widths = np.unique(np.clip(np.rint(np.geomspace(0.01, 0.1, shapes) * n_bins).astype(int), 1, n_bins))
-    pads = [np.fft.rfft(np.r_[g := np.array(limb_darkened(int(k))), np.zeros(n_bins - len(g))]) for k in widths]
-    pads2 = [np.fft.rfft(np.r_[(g := np.array(limb_darkened(int(k)))) ** 2, np.zeros(n_bins - len(g))]) for k in widths]
+    shapes_ = [tuple(limb_darkened(int(k))) for k in widths]
     out = np.zeros(len(frequencies))
-    for part, f in _chunks(frequencies, max(len(y), n_bins)):
+    step = max(1, CACHED // max(len(y), n_bins))
+    for at in range(0, len(frequencies), step):
+        part = slice(at, at + step)
+        f = frequencies[part]
         m = len(f)
-        b = np.minimum((_phase(tau, f) * n_bins).astype(np.int64), n_bins - 1) + np.arange(m)[:, None] * n_bins
-        a, v = (np.fft.rfft(np.bincount(b.ravel(), np.tile(x, m), m * n_bins).reshape(m, n_bins), axis=1) for x in (w * yc, w))
+        b = (np.minimum((_phase(tau, f) * n_bins).astype(np.int64), n_bins - 1) + np.arange(m)[:, None] * n_bins).ravel()
+        a, v = (np.fft.rfft(np.bincount(b, np.tile(x, m), m * n_bins).reshape(m, n_bins), axis=1) for x in (w * yc, w))
         best = np.zeros(m)
-        for g, g2 in zip(pads, pads2, strict=True):
-            num, cw, den = (np.fft.irfft(x * np.conj(k), n_bins, axis=1) for x, k in ((a, g), (v, g), (v, g2)))
-            d = den - cw * cw / w.sum()
-            with np.errstate(all="ignore"):
-                sr = np.where((num < 0) & (den > 1e-12 * w.sum()) & (d > 1e-9 * den), num * num / d, 0)
-            best = np.maximum(best, sr.max(axis=1))
+        for g in shapes_:
+            best = np.maximum(best, folds.residues(a, v, n_bins, w.sum(), g)[0].max(axis=1))
         out[part] = best
     sd = out.std()
     return (out - out.mean()) / sd if sd > 0 else np.zeros_like(out)

@@ -2,7 +2,7 @@
 
 At each trial period the points are folded to ``n_bins`` bins and fitted with a level
 and a shape of each width at each start; sums over all starts come from Fourier
-transforms. What a fit lowers chi2 by is the signal residue (power); ``sde`` is how far
+transforms (``folds``). What a fit lowers chi2 by is the signal residue (power); ``sde`` is how far
 the best one stands above the mean of all trials. The pieces, their dealing and their
 merging are ``box_search``'s.
 
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import box_search, grids, spread
+from . import box_search, folds, grids, spread
 from .boxes import limb_darkened
 
 FIELDS = ("power", "depth", "duration", "t0")
@@ -25,7 +25,7 @@ FIELDS = ("power", "depth", "duration", "t0")
 N_BINS = 256
 SHAPES = (0.01, 0.10, 5)
 #: Values of a working array that stays in a processor's cache; digits of a power that count, as transforms round.
-CACHED = 1 << 17
+CACHED = 1 << 15
 DIGITS = 6
 
 
@@ -43,10 +43,7 @@ def transits(tau: np.ndarray, y: np.ndarray, dy: np.ndarray | None, periods: np.
     if np.ptp(y) <= 64 * np.finfo(float).eps * np.max(np.abs(y), initial=0):
         return out
     yc = y - level
-    filters = []
-    for k in lengths:
-        g = np.r_[np.array(limb_darkened(int(k))), np.zeros(n_bins - k)]
-        filters.append((k, np.conj(np.fft.rfft(g)), np.conj(np.fft.rfft(g * g))))
+    filters = [(k, tuple(limb_darkened(int(k)))) for k in lengths]
     step = max(1, CACHED // max(len(tau), n_bins))
     for a in range(0, len(periods), step):
         p = periods[a : a + step]
@@ -55,16 +52,12 @@ def transits(tau: np.ndarray, y: np.ndarray, dy: np.ndarray | None, periods: np.
         b = (np.minimum(((q - np.floor(q)) * n_bins).astype(np.int64), n_bins - 1) + np.arange(m)[:, None] * n_bins).ravel()
         data, weight = (np.fft.rfft(np.bincount(b, np.tile(x, m), m * n_bins).reshape(m, n_bins), axis=1) for x in (w * yc, w))
         best, rows = np.zeros(m), np.arange(m)
-        for k, g, g2 in filters:
-            num, cw, den = (np.fft.irfft(x, n_bins, axis=1) for x in (data * g, weight * g, weight * g2))
-            d = den - cw * cw / total
-            with np.errstate(all="ignore"):
-                sr = np.where((num < 0) & (den > 1e-12 * total) & (d > 1e-9 * den), num * num / d, 0.0)
+        for k, g in filters:
+            sr, num, d = folds.residues(data, weight, n_bins, total, g)
             most = sr.max(axis=1)
-            i = np.argmax(sr >= (most * (1 - 1e-9))[:, None], axis=1)
             better = np.flatnonzero((most > 0) & (most > best * (1 + 1e-9)))
             best[better] = most[better]
-            at, where = a + better, i[better]
+            at, where = a + better, np.argmax(sr[better] >= (most[better] * (1 - 1e-9))[:, None], axis=1)
             out["depth"][at] = -num[rows[better], where] / d[rows[better], where]
             out["duration"][at] = k / n_bins * p[better]
             out["t0"][at] = np.mod((where + k / 2) / n_bins, 1.0) * p[better]
