@@ -69,6 +69,21 @@ def orbit_columns(dt: np.ndarray, period: float, e: float, periastron: float) ->
     return np.column_stack([math.sqrt(1 - e * e) * np.sin(x), np.cos(x)])
 
 
+def kepler_rows(mean: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """``kepler`` for rows of mean anomalies, each with its own e."""
+    e = e[:, None]
+    m = np.mod(mean, 2 * np.pi)
+    x = m + e * np.sin(m)
+    for _ in range(40):
+        step = (x - e * np.sin(x) - m) / (1 - e * np.cos(x))
+        x = np.clip(x - step, m - e, m + e)
+        if np.all(np.abs(step) < 1e-13):
+            return x
+    for i in np.flatnonzero(~np.all(np.abs(step) < 1e-13, axis=1)):
+        x[i] = kepler(mean[i], float(e[i, 0]))
+    return x
+
+
 def distinct_epochs(t: np.ndarray, period: float) -> np.ndarray:
     """Mean times of runs of sorted times closer than a quarter period."""
     if not len(t):
@@ -110,31 +125,83 @@ class _Joint:
         x -= self.q @ (self.q.T @ x)
         return self.rest - x @ np.linalg.lstsq(x, self.rest, rcond=None)[0]
 
+    def left_rows(self, p: np.ndarray) -> np.ndarray:
+        """``left`` of each row of parameters: the two columns are made orthogonal in place of a least-squares solution each."""
+        if p.shape[1] > 1:
+            e = p[:, 1]
+            x = kepler_rows(2 * np.pi * (self.dt[None, :] - (p[:, 2] * p[:, 0])[:, None]) / p[:, :1], e)
+            both = np.stack([np.sqrt(1 - e * e)[:, None] * np.sin(x), np.cos(x)]) / self.sigma
+        else:
+            x = 2 * np.pi * self.dt[None, :] / p[:, :1]
+            both = np.stack([np.sin(x), np.cos(x)]) / self.sigma
+        both -= (both @ self.q) @ self.q.T
+        left = np.broadcast_to(self.rest, both[0].shape)
+        u, v = both
+        size = lambda z: np.einsum("ij,ij->i", z, z)
+        swap = size(v) > size(u)
+        u, v = np.where(swap[:, None], v, u), np.where(swap[:, None], u, v)
+        uu = size(u)
+        for again in (False, True):  # twice, so that nearly parallel columns are parted to rounding
+            v = v - (np.einsum("ij,ij->i", u, v) / np.maximum(uu, 1e-300))[:, None] * u
+        vv = size(v)
+        vv = np.where(vv > (4 * np.finfo(float).eps) ** 2 * uu, vv, np.inf)
+        left = left - (np.einsum("ij,ij->i", left, u) / np.where(uu > 0, uu, np.inf))[:, None] * u
+        return left - (np.einsum("ij,ij->i", left, v) / vv)[:, None] * v
+
     def polish(self, p: np.ndarray, bounds: tuple[float, float], free: np.ndarray) -> tuple[np.ndarray, float]:
         """Damped Gauss-Newton of the projected residuals over the ``free`` parameters, inside the bounds."""
-        lo, hi = np.array([bounds[0], 0.0, -np.inf])[: len(p)], np.array([bounds[1], MAX_ECCENTRICITY, np.inf])[: len(p)]
-        p, damping, idle = np.clip(p, lo, hi), 1e-3, 0
-        rest = self.left(p)
-        chi = float(rest @ rest)
-        unit = np.array([p[0], 1.0, 1.0])[: len(p)] * 1e-6
-        for _ in range(80 if len(free) else 0):
-            steps = [np.where(np.arange(len(p)) == i, unit, 0.0) for i in free]
-            j = np.column_stack([(self.left(np.minimum(p + d, hi)) - self.left(np.maximum(p - d, lo))) / float(np.sum(np.minimum(p + d, hi) - np.maximum(p - d, lo))) for d in steps])
-            h = j.T @ j
-            move = np.zeros(len(p))
-            move[free] = -np.linalg.lstsq(h + damping * np.diag(np.maximum(np.diag(h), 1e-300)), j.T @ rest, rcond=None)[0]
-            trial = np.clip(p + move, lo, hi)
-            new = self.left(trial)
-            value = float(new @ new)
-            if value < chi:
-                idle = idle + 1 if chi - value <= 1e-10 * chi else 0
-                p, rest, chi, damping = trial, new, value, damping / 6
-                if idle > 1:
-                    break
-            else:
-                damping *= 6
-                if damping > 1e12:
-                    break
+        p, chi = self.polish_rows(p[None, :], bounds, free)
+        return p[0], float(chi[0])
+
+    def polish_rows(self, p: np.ndarray, bounds: tuple[float, float], free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``polish`` from several starts (rows), each with steps, damping and end of its own, evaluated together."""
+        m = p.shape[1]
+        lo, hi = np.array([bounds[0], 0.0, -np.inf])[:m], np.array([bounds[1], MAX_ECCENTRICITY, np.inf])[:m]
+        p = np.clip(p, lo, hi)
+        rest = self.left_rows(p)
+        chi = np.einsum("ij,ij->i", rest, rest)
+        unit = np.column_stack([p[:, 0], np.ones((len(p), 2))])[:, :m] * 1e-6
+        damping, idle = np.full(len(p), 1e-3), np.zeros(len(p), dtype=int)
+        live = np.arange(len(p)) if len(free) else np.zeros(0, dtype=int)
+        slopes: dict[int, np.ndarray] = {}  # kept while a start does not move
+        for _ in range(80):
+            if not len(live):
+                break
+            fresh = np.array([i for i in live if i not in slopes], dtype=int)
+            if len(fresh):
+                up, down = (np.repeat(p[fresh, None, :], len(free), axis=1) for _ in range(2))
+                for k, c in enumerate(free):
+                    up[:, k, c] = np.minimum(p[fresh, c] + unit[fresh, c], hi[c])
+                    down[:, k, c] = np.maximum(p[fresh, c] - unit[fresh, c], lo[c])
+                both = self.left_rows(np.concatenate([up, down]).reshape(-1, m)).reshape(2, len(fresh), len(free), -1)
+                width = (up - down).sum(axis=2)[:, :, None]
+                for i, j in zip(fresh.tolist(), (both[0] - both[1]) / width, strict=True):
+                    slopes[i] = j
+            j = np.stack([slopes[i] for i in live.tolist()])
+            h = j @ j.transpose(0, 2, 1)
+            g = (j @ rest[live][:, :, None])[:, :, 0]
+            at = np.arange(len(free))
+            h[:, at, at] += damping[live, None] * np.maximum(h[:, at, at], 1e-300)
+            trial = p[live].copy()
+            trial[:, free] -= np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(h, g, strict=True)])
+            trial = np.clip(trial, lo, hi)
+            new = self.left_rows(trial)
+            value = np.einsum("ij,ij->i", new, new)
+            down_ = value < chi[live]
+            rest_of = []
+            for k, i in enumerate(live.tolist()):
+                if down_[k]:
+                    idle[i] = idle[i] + 1 if chi[i] - value[k] <= 1e-10 * chi[i] else 0
+                    p[i], rest[i], chi[i] = trial[k], new[k], value[k]
+                    damping[i] /= 6
+                    slopes.pop(i)
+                    go = idle[i] <= 1
+                else:
+                    damping[i] *= 6
+                    go = damping[i] <= 1e12
+                if go:
+                    rest_of.append(i)
+            live = np.array(rest_of, dtype=int)
         return p, chi
 
     def solution(self, p: np.ndarray, fixed: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +286,11 @@ def search(
     if eccentric:
         lowest = np.flatnonzero((chi <= np.append(np.inf, chi[:-1])) & (chi <= np.append(chi[1:], np.inf)))
         starts = [p[0], *(1 / f[lowest[np.argsort(chi[lowest])][:3]])]
-        tries = sorted((float(r @ r), k, *q) for k, q in enumerate((x, e, ph) for x in starts for e in (0.05, 0.2, 0.4, 0.6, 0.8) for ph in np.arange(12) / 12) for r in [joint.left(np.array(q))])
-        p, best = min((joint.polish(np.array(q), bounds, np.array([*free, 1, 2])) for _, _, *q in tries[:5]), key=lambda r: r[1])
+        tries = np.array([(x, e, ph) for x in starts for e in (0.05, 0.2, 0.4, 0.6, 0.8) for ph in np.arange(12) / 12])
+        left = joint.left_rows(tries)
+        tries = tries[np.argsort(np.einsum("ij,ij->i", left, left), kind="stable")[:5]]
+        p, best = joint.polish_rows(tries, bounds, np.array([*free, 1, 2]))
+        p, best = p[np.argmin(best)], float(best.min())
     values, cov = joint.solution(p, outer_period is not None)
     m, k_poly = len(values) - (outer_period is not None), degree + 1
     dof = max(1, n - m)
