@@ -113,6 +113,73 @@ def fit(t: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, constraints:
     return now, beta, where, rss, x.shape[1] + len(p)
 
 
+def fit_rows(t: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, constraints: Constraints = Constraints(), group: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """``fit`` of each row of ``y`` from the same frequencies: frequencies and linear coefficients a row. Steps are taken together, each row with a damping and an end of its own."""
+    constraints.validate(len(f))
+    group = np.zeros(len(t), dtype=np.int64) if group is None else group
+    a, const, p0 = constraints.matrix(np.asarray(f, dtype=float))
+    r = np.sqrt(w)
+    each = np.unique(group)
+    fixed = np.stack([(group == g).astype(float) for g in each] if constraints.offsets else [np.ones(len(t))])
+    masks, where, n_cols = [], [], len(fixed)
+    for i in range(len(f)):
+        own = []
+        for g in each if i in constraints.vary else [None]:
+            masks.append((i, np.ones(len(t)) if g is None else (group == g).astype(float)))
+            own.append(n_cols)
+            n_cols += 2
+        where.append(own)
+
+    def columns(now: np.ndarray) -> np.ndarray:
+        x = np.empty((len(now), n_cols, len(t)))
+        x[:, : len(fixed)] = fixed
+        th = 2 * np.pi * now[:, :, None] * t
+        c, s = np.cos(th), np.sin(th)
+        for k, (i, mask) in enumerate(masks):
+            x[:, len(fixed) + 2 * k], x[:, len(fixed) + 2 * k + 1] = c[:, i] * mask, s[:, i] * mask
+        return x
+
+    def linear(p: np.ndarray, y: np.ndarray):
+        now = p @ a.T + const
+        x = columns(now)
+        q, tri = np.linalg.qr((x * r).transpose(0, 2, 1))
+        size = np.abs(np.einsum("kii->ki", tri))
+        whole = size.min(axis=1) > 1e-10 * size.max(axis=1)
+        beta = np.empty((len(p), n_cols))
+        if whole.any():
+            beta[whole] = np.linalg.solve(tri[whole], (q[whole].transpose(0, 2, 1) @ (y * r)[whole][:, :, None]))[:, :, 0]
+        for k in np.flatnonzero(~whole):  # dependent columns: the shortest solution
+            beta[k] = np.linalg.lstsq((x[k] * r).T, y[k] * r, rcond=None)[0]
+        rest = y - (beta[:, None, :] @ x)[:, 0]
+        return now, x, beta, rest, np.sum(w * rest**2, axis=1)
+
+    p = np.tile(p0, (len(y), 1))
+    now, x, beta, rest, rss = linear(p, y)
+    damping, live = np.full(len(y), 1e-3), np.arange(len(y)) if len(p0) else np.zeros(0, dtype=int)
+    for _ in range(rounds):
+        if not len(live):
+            break
+        xl, bl = x[live], beta[live]
+        slope = np.stack([sum(2 * np.pi * t * (-bl[:, j, None] * xl[:, j + 1] + bl[:, j + 1, None] * xl[:, j]) for j in own) for own in where], axis=1)
+        full = np.concatenate([xl, a.T @ slope], axis=1) * r
+        h = full @ full.transpose(0, 2, 1)
+        g = (full @ (rest[live] * r)[:, :, None])[:, :, 0]
+        at = np.arange(h.shape[1])
+        h[:, at, at] += damping[live, None] * np.maximum(h[:, at, at], 1e-12)
+        trial_p = p[live] + np.linalg.solve(h, g[:, :, None])[:, n_cols:, 0]
+        trial = linear(trial_p, y[live])
+        down = trial[-1] <= rss[live]
+        done = down & (rss[live] - trial[-1] <= 1e-12 * np.maximum(rss[live], 1e-300))
+        yes, no = live[down], live[~down]
+        p[yes] = trial_p[down]
+        for old, new in zip((now, x, beta, rest, rss), trial, strict=True):
+            old[yes] = new[down]
+        damping[yes] /= 5
+        damping[no] *= 8
+        live = live[~done & (damping[live] <= 1e10)]
+    return now, beta
+
+
 def wild_errors(t: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, constraints: Constraints = Constraints(), resamples: int = 200, seed: int = 0, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Standard deviations of frequencies and amplitudes over refits to the model plus residuals of random sign."""
     group = np.zeros(len(t), dtype=np.int64) if group is None else group
@@ -120,10 +187,9 @@ def wild_errors(t: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, cons
     x, _ = _columns(t, now, group, constraints)
     model, rng = x @ beta, np.random.default_rng(seed)
     rest = (y - model) * math.sqrt(len(t) / max(len(t) - x.shape[1] - len(now), 1))
-    found = []
-    for _ in range(resamples):
-        g, b, at, *_ = fit(t, model + rest * rng.choice([-1.0, 1.0], len(t)), w, now, constraints, group, rounds=15)
-        found.append(np.concatenate([g, [math.hypot(b[own[0]], b[own[0] + 1]) for own in at]]))
+    signs = np.stack([rng.choice([-1.0, 1.0], len(t)) for _ in range(resamples)])
+    g, b = fit_rows(t, model + rest * signs, w, now, constraints, group, rounds=15)
+    found = np.column_stack([g, *(np.hypot(b[:, own[0]], b[:, own[0] + 1]) for own in where)])
     sd = np.std(found, axis=0, ddof=1)
     return sd[: len(now)], sd[len(now) :]
 
