@@ -174,29 +174,35 @@ def sl(tau, y, dy, frequencies):
 
 def mhaov(tau, y, dy, frequencies, harmonics: int = 3):
     """Multiharmonic analysis of variance."""
-    n, h = len(y), harmonics
+    return mhaov_rows(tau, np.asarray(y)[None, :], frequencies, harmonics)[0]
+
+
+def mhaov_rows(tau, y, frequencies, harmonics: int = 3):
+    """``mhaov`` of each row of values at the same times, whose inner products are summed and solved once for all."""
+    n, h = y.shape[1], harmonics
+    out = np.zeros((len(y), len(frequencies)))
     if n <= 2 * h + 1:
-        return np.full(len(frequencies), np.nan)
-    yc = y - y.mean()
-    total = np.sum(yc * yc)
-    out = np.zeros(len(frequencies))
-    if total <= 0:
+        return out + np.nan
+    yc = y - y.mean(axis=1, keepdims=True)
+    total = np.sum(yc * yc, axis=1)
+    if not (total > 0).any():
         return out
     ones, data = [], []
     for k in range(1, 2 * h + 1):  # all inner products of the harmonics are such sums
-        rows = np.stack([np.ones(n), yc])[: 2 if k <= h else 1]
+        rows = np.vstack([np.ones((1, n)), yc[: len(yc) if k <= h else 0]])
         found = _trig_sums(k * tau, rows, frequencies)
         ones.append(found[0])
-        data.extend(found[1:])
+        if k <= h:
+            data.append(found[1:])
     for a in range(0, len(frequencies), 1 << 14):
         part = slice(a, a + (1 << 14))
         one = [np.full(len(frequencies[part]), float(n), dtype=complex), *(x[part] for x in ones)]
         gram = np.empty((len(one[0]), 2 * h + 1, 2 * h + 1))
-        rhs = np.zeros((len(one[0]), 2 * h + 1))
+        rhs = np.zeros((len(one[0]), 2 * h + 1, len(yc)))
         gram[:, 0, 0] = n
         for i in range(1, h + 1):
             gram[:, 0, 2 * i - 1], gram[:, 0, 2 * i] = one[i].real, one[i].imag
-            rhs[:, 2 * i - 1], rhs[:, 2 * i] = data[i - 1][part].real, data[i - 1][part].imag
+            rhs[:, 2 * i - 1], rhs[:, 2 * i] = data[i - 1][:, part].real.T, data[i - 1][:, part].imag.T
             for j in range(i, h + 1):
                 less = one[j - i]  # exp(i(j - k)) and exp(i(j + k)) give the products of cosines and sines
                 gram[:, 2 * i - 1, 2 * j - 1] = (less.real + one[i + j].real) / 2
@@ -206,9 +212,10 @@ def mhaov(tau, y, dy, frequencies, harmonics: int = 3):
         low = np.tril_indices(2 * h + 1, -1)
         gram[:, low[0], low[1]] = gram[:, low[1], low[0]]
         gram += 1000 * np.finfo(float).eps * n * np.eye(2 * h + 1)
-        beta = np.linalg.solve(gram, rhs[:, :, None])[:, :, 0]
+        beta = np.linalg.solve(gram, rhs)
         model = np.clip((beta * rhs).sum(axis=1), 0, total)
-        out[part] = (model / (2 * h)) / (np.maximum(total - model, 1e-300) / (n - 2 * h - 1))
+        out[:, part] = ((model / (2 * h)) / (np.maximum(total - model, 1e-300) / (n - 2 * h - 1))).T
+    out[total <= 0] = 0.0
     return out
 
 

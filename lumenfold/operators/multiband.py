@@ -69,17 +69,24 @@ def flexible(bands, f: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 
 def aov(bands, f: np.ndarray, harmonics: int = 3) -> np.ndarray:
     """Pooled F of bands in units of their own scatter."""
-    model, left, dof1, dof2 = np.zeros(len(f)), np.zeros(len(f)), 0, 0
-    for tau, y, _ in bands:
-        n, q = len(y), 2 * harmonics + 1
-        if n <= q or y.std() <= 0:
+    return aov_rows([(tau, y[None, :]) for tau, y, _ in bands], f, harmonics)[0]
+
+
+def aov_rows(bands, f: np.ndarray, harmonics: int = 3) -> np.ndarray:
+    """``aov`` of several draws of values at the same times: bands are (tau, values by draw)."""
+    draws = len(bands[0][1]) if bands else 1
+    model, left, dof1, dof2 = np.zeros((draws, len(f))), np.zeros((draws, len(f))), np.zeros((draws, 1), dtype=int), np.zeros((draws, 1), dtype=int)
+    for tau, y in bands:
+        n, q = y.shape[1], 2 * harmonics + 1
+        use = y.std(axis=1, keepdims=True) > 0
+        if n <= q or not use.any():
             continue
-        v = (y - y.mean()) / y.std()
-        power = kernels.mhaov(tau, v, None, f, harmonics) * (2 * harmonics) / (n - q)  # model over rest
+        v = (y - y.mean(axis=1, keepdims=True)) / np.where(use, y.std(axis=1, keepdims=True), 1.0)
+        power = kernels.mhaov_rows(tau, v, f, harmonics) * (2 * harmonics) / (n - q)  # model over rest
         share = power / (1 + power)
-        model, left = model + share * n, left + (1 - share) * n
-        dof1, dof2 = dof1 + 2 * harmonics, dof2 + n - q
-    return (model / max(dof1, 1)) / (np.maximum(left, 1e-300) / max(dof2, 1)) if dof2 else np.full(len(f), np.nan)
+        model, left = model + use * share * n, left + use * (1 - share) * n
+        dof1, dof2 = dof1 + use * 2 * harmonics, dof2 + use * (n - q)
+    return np.where(dof2 > 0, (model / np.maximum(dof1, 1)) / (np.maximum(left, 1e-300) / np.maximum(dof2, 1)), np.nan)
 
 
 def smoother(bands, f: np.ndarray) -> np.ndarray:
@@ -158,12 +165,14 @@ def bootstrap_fap(obs: DataFrame, nf: int | None = None, resamples: int = 100, s
         peak = kernel(bands, f).max()
         rng = np.random.default_rng([seed, zlib.crc32(str(pdf["object_id"].iloc[0]).encode())])
         null = np.empty(resamples)
-        for i in range(resamples):
-            drawn = []
-            for tau, y, dy in bands:
-                j = rng.integers(0, len(y), len(y))
-                drawn.append((tau, y[j], None if dy is None else dy[j]))
-            null[i] = kernel(drawn, f).max()
+        draws = [[rng.integers(0, len(y), len(y)) for _, y, _ in bands] for _ in range(resamples)]
+        if model == "mhaov":  # takes no errors, so that all draws share what depends on times alone
+            step = max(1, kernels.CHUNK // (7 * len(f)))
+            for a in range(0, resamples, step):
+                null[a : a + step] = aov_rows([(tau, np.stack([y[d[b]] for d in draws[a : a + step]])) for b, (tau, y, _) in enumerate(bands)], f).max(axis=1)
+        else:
+            for i, d in enumerate(draws):
+                null[i] = kernel([(tau, y[j], None if dy is None else dy[j]) for (tau, y, dy), j in zip(bands, d, strict=True)], f).max()
         fap = (1 + np.count_nonzero(null >= peak)) / (resamples + 1)
         null.sort()
         at = [null[min(resamples - 1, int((1 - x) * resamples))] for x in levels]
