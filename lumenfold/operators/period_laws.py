@@ -47,6 +47,18 @@ def change(s: np.ndarray, u: float, exponent: float) -> np.ndarray:
     return -np.expm1((1 - exponent) * gap) / ((1 - exponent) * u)
 
 
+def change_rows(s: np.ndarray, u: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    """``change`` for rows of (u, exponent)."""
+    out = np.tile(np.asarray(s, dtype=float), (len(u), 1))
+    bent = np.abs(u) * max(float(np.max(np.abs(s), initial=0)), 1e-300) >= 1e-9
+    for rows, square in ((bent & (exponent == 2.0), True), (bent & (exponent != 2.0), False)):
+        if rows.any():
+            v, d = u[rows, None], exponent[rows, None]
+            gap = 1 - v * s
+            out[rows] = s / gap if square else -np.expm1((1 - d) * np.log(np.abs(gap))) / ((1 - d) * v)
+    return out
+
+
 class _Track:
     def __init__(self, t: np.ndarray, p: np.ndarray, error: np.ndarray | None) -> None:
         good = np.isfinite(t) & np.isfinite(p) & (p > 0)
@@ -81,6 +93,17 @@ class _Track:
         with np.errstate(over="ignore", invalid="ignore"):
             return q[0] * np.exp(np.clip(q[1] / self.span * change(s, u, d), -60, 60))
 
+    def model_rows(self, law: str, q: np.ndarray) -> np.ndarray:
+        """``model`` at the track's points for each row of parameters."""
+        if law == "constant":
+            return np.repeat(q, self.n, axis=1)
+        if law == "linear":
+            return q[:, :1] + q[:, 1:2] / self.span * self.s
+        u = q[:, 2] * self.u_most if q.shape[1] > 2 else np.zeros(len(q))
+        d = q[:, 3] if q.shape[1] > 3 else np.full(len(q), 2.0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return q[:, :1] * np.exp(np.clip(q[:, 1:2] / self.span * change_rows(self.s, u, d), -60, 60))
+
     def _log_linear(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(P_c, slope, chi2) of the log-linear fit for each row g."""
         w, y = (self.p / self.sigma) ** 2, np.log(self.p)
@@ -112,28 +135,27 @@ class _Track:
         rest = lambda q: (self.p - self.model(law, q)) / self.sigma
 
         def slopes(q: np.ndarray) -> np.ndarray:
-            cols = []
-            for i in range(m):
-                d = 1e-6 * (abs(q[0]) if i == 0 or law == "linear" else 1.0)
-                up, down = q.copy(), q.copy()
-                up[i], down[i] = min(q[i] + d, hi[i]), max(q[i] - d, lo[i])
-                cols.append((rest(up) - rest(down)) / (up[i] - down[i]))
-            return np.column_stack(cols)
+            d = np.full(m, 1e-6 * abs(q[0])) if law == "linear" else np.r_[1e-6 * abs(q[0]), np.full(m - 1, 1e-6)]
+            up, down = np.minimum(q + np.diag(d), hi), np.maximum(q - np.diag(d), lo)
+            found = self.model_rows(law, np.concatenate([up, down]))
+            return ((found[m:] - found[:m]) / self.sigma / np.diagonal(up - down)[:, None]).T
 
         best = None
         for q in self.starts(law):
             q = np.clip(np.asarray(q, dtype=float), lo, hi)
             r, damping = rest(q), 1e-3
             chi = float(r @ r)
+            moved = True
             for _ in range(120):
-                j = slopes(q)
-                h = j.T @ j
+                if moved:
+                    j = slopes(q)
+                    h, moved = j.T @ j, False
                 trial = np.clip(q - np.linalg.lstsq(h + damping * np.diag(np.maximum(np.diag(h), 1e-300)), j.T @ r, rcond=None)[0], lo, hi)
                 new = rest(trial)
                 value = float(new @ new)
                 if value < chi:
                     done = chi - value <= 1e-10 * chi
-                    q, r, chi, damping = trial, new, value, damping / 5
+                    q, r, chi, damping, moved = trial, new, value, damping / 5, True
                     if done:
                         break
                 else:
