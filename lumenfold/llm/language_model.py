@@ -9,7 +9,8 @@ Counting keeps Spark's shuffles small. Texts are packed into blocks of word
 indices; a block asks for the corpus counts of its distinct words, and of its word
 pairs of known words, with one request per hash bucket
 (sorted 64-bit hashes and local counts). Buckets sum what all blocks sent and
-answer in the order of the request. A word or pair that fills a third of the
+answer in the order of the request. Workers keep numbers of tokens, words and pairs
+in 32 bits and let go of what a step no longer needs. A word or pair that fills a third of the
 corpus is one entry per block, so no bucket is hot; requests without entries
 are not sent, so their number follows the data. Words and pairs are told apart
 by 64-bit hashes. Blocks and answers are stored tables.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .packing import bucket_ranges, press, press_sorted, unpress, unpress_sorted
+from .packing import bucket_ranges, entries, press, press_sorted, unpress, unpress_sorted
 
 FOLDS = 7
 #: Documents of this remainder are scored as unseen; of the next, their counts train the mixture weights.
@@ -49,6 +50,7 @@ BUCKET_CHARS = 24 << 20
 STEPS, LIMIT = 16, 48
 ROUNDS = 200
 END = b""
+_CHUNK = 1 << 16
 
 REPLY = "block long, kind string, bucket int, blob binary, n1 long, n2 long, n3 long, n4 long"
 REQUEST = "bucket int, block long, hashes binary, counts binary"
@@ -70,20 +72,24 @@ class Block:
         self.ids, self.lengths, self.tokens, self.hashes = ids, lengths, tokens, hashes
 
     @classmethod
-    def pack(cls, docs: list[tuple[int | None, list[bytes]]]) -> bytes:
+    def pack(cls, docs: Iterable[tuple[int | None, list[bytes]]]) -> bytes:
+        """The words of one document at a time are held; of the others, their numbers."""
         known: dict[bytes, int] = {}
-        parts = [np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words)) for _, words in docs]
+        names, parts = [], []
+        for doc, words in docs:
+            names.append(doc)
+            parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int32, count=len(words)))
         tokens = np.concatenate(parts)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))
         order = np.argsort(hashes)
         counts = np.bincount(tokens, minlength=len(known))
         by_count = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which compress well
-        number = np.empty(len(known), dtype=np.int64)
+        number = np.empty(len(known), dtype="<u4")
         number[by_count] = np.arange(len(known))
         spot = number[order]  # number of the k-th smallest hash
-        nulls = np.array([d is None for d, _ in docs], dtype=np.uint8)
-        ids = np.array([0 if d is None else d for d, _ in docs], dtype="<i8")
-        fields = [press(ids.view("<u8")), nulls.tobytes(), press(np.array([len(p) for p in parts], dtype="<u4")), press(number[tokens].astype("<u4")), press_sorted(hashes[order]), press(spot.astype("<u4"))]
+        nulls = np.array([d is None for d in names], dtype=np.uint8)
+        ids = np.array([0 if d is None else d for d in names], dtype="<i8")
+        fields = [press(ids.view("<u8")), nulls.tobytes(), press(np.array([len(p) for p in parts], dtype="<u4")), press(number[tokens]), press_sorted(hashes[order]), press(spot)]
         head = np.array([len(f) for f in fields], dtype="<u4").tobytes()
         return head + b"".join(fields)
 
@@ -94,17 +100,19 @@ class Block:
         f = [data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
         ids = unpress(f[0], "<u8").view("<i8").tolist()
         ids = [None if n else d for d, n in zip(ids, f[1], strict=True)]
-        hashes, spot = unpress_sorted(f[4]), unpress(f[5], "<u4").astype(np.int64)
-        rank = np.empty(len(spot), dtype=np.int64)
-        rank[spot] = np.arange(len(spot))
-        return cls(ids, unpress(f[2], "<u4").astype(np.int64), rank[unpress(f[3], "<u4").astype(np.int64)], hashes)
+        hashes, spot = unpress_sorted(f[4]), unpress(f[5], "<u4")
+        rank = np.empty(len(spot), dtype=np.int32)
+        rank[spot] = np.arange(len(spot), dtype=np.int32)
+        return cls(ids, unpress(f[2], "<u4").astype(np.int64), rank[unpress(f[3], "<u4")], hashes)
 
     def folds(self) -> np.ndarray:
-        return np.repeat([fold(d) for d in self.ids], self.lengths)
+        return np.repeat(np.array([fold(d) for d in self.ids], dtype=np.uint8), self.lengths)
 
-    def local_counts(self, index: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """How often each index occurs in training texts that do not, and that do, tune the weights."""
-        f = self.folds()
+    def local_counts(self, index: np.ndarray, size: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """How often each index occurs in training texts that do not, and that do, tune the weights. ``index`` stands for
+        all tokens or for ``some``.
+        """
+        f = self.folds() if some is None else self.folds()[some]
         tuning = f == TUNING
         rest = ~tuning & (f != HELD_OUT)
         return np.bincount(index[rest], minlength=size), np.bincount(index[tuning], minlength=size)
@@ -112,37 +120,54 @@ class Block:
     def contexts(self) -> np.ndarray:
         """Index of the word before each token; before the first, the end token."""
         end = np.searchsorted(self.hashes, np.uint64(xxhash.xxh64_intdigest(END)))
-        before = np.concatenate([[end], self.tokens[:-1]])
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
         before[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = end
         return before
 
 
 def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    x = u * np.uint64(0x9E3779B97F4A7C15) + v
+    x = u * np.uint64(0x9E3779B97F4A7C15)
+    x += v
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them in 32 bits."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    values = values[new]
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    where = np.empty_like(number)
+    where[order] = number
+    return values, where
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """The stored blocks of all documents."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(docs: list) -> pa.RecordBatch:
+        def row(docs: Iterator) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([Block.pack(docs)], pa.binary())], names=["block", "blob"])
 
-        held: list[tuple[int | None, list[bytes]]] = []
-        size = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                t = text.as_py()
-                held.append((doc.as_py(), tokenize(t)))
-                size += len(t or "") + 1
-                if size >= BLOCK_CHARS:
-                    yield row(held)
-                    held, size = [], 0
-        if held:
-            yield row(held)
+        rows = ((doc.as_py(), text.as_py()) for batch in batches for doc, text in zip(batch.column(0), batch.column(1), strict=True))
+
+        def some(doc: int | None, text: str | None) -> Iterator[tuple[int | None, list[bytes]]]:
+            """This document and those that follow, up to the size of a block."""
+            size = len(text or "") + 1
+            yield doc, tokenize(text)
+            while size < BLOCK_CHARS and (following := next(rows, None)):
+                size += len(following[1] or "") + 1
+                yield following[0], tokenize(following[1])
+
+        for first in rows:
+            yield row(some(*first))
 
     return cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "block long, blob binary"))
 
@@ -164,18 +189,31 @@ def word_requests(stored: DataFrame, buckets: int) -> DataFrame:
     return stored.mapInPandas(ask, REQUEST)
 
 
-def _gather(pdf: pd.DataFrame, columns: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    hashes = [unpress_sorted(h) for h in pdf["hashes"]]
-    counts = [unpress(c, "<u4").reshape(columns, -1).astype(np.int64) for c in pdf["counts"]]
-    sizes = [len(h) for h in hashes]
-    _, where = np.unique(np.concatenate(hashes), return_inverse=True)
-    return sizes, where, np.concatenate(counts, axis=1), np.concatenate([[0], np.cumsum(sizes)])
+def _gather(pdf: pd.DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all entries of a bucket: the number of their hash, their counts, and where each request begins."""
+    at = np.cumsum([0, *(entries(h, "<u8") for h in pdf["hashes"])])
+    hashes = np.empty(at[-1], dtype=np.uint64)
+    for i, j, h in zip(at[:-1], at[1:], pdf["hashes"], strict=True):
+        hashes[i:j] = unpress_sorted(h)
+    where = distinct(hashes)[1]
+    del hashes
+    counts = np.empty((columns, at[-1]), dtype=np.uint32)
+    for i, j, c in zip(at[:-1], at[1:], pdf["counts"], strict=True):
+        counts[:, i:j] = unpress(c, "<u4").reshape(columns, -1)
+    return where, counts, at
+
+
+def _sums(where: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    sums = np.zeros(int(where.max(initial=-1)) + 1, dtype=np.int64)
+    for at in range(0, len(where), _CHUNK):
+        np.add.at(sums, where[at : at + _CHUNK], counts[at : at + _CHUNK])
+    return sums
 
 
 def answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals of a bucket's words for each asking block, and a row with the bucket's token and word counts."""
-    sizes, where, counts, at = _gather(pdf, 2)
-    rest, tuning = (np.bincount(where, c).astype(np.int64) for c in counts)
+    where, counts, at = _gather(pdf, 2)
+    rest, tuning = (_sums(where, c) for c in counts)
     rows = [(int(b), "w", int(k), press(np.concatenate([rest[w], tuning[w]]).astype("<u8")), 0, 0, 0, 0) for b, k, w in zip(pdf["block"], pdf["bucket"], (where[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True)]
     both = rest + tuning
     rows.append((-1, "s", 0, b"", int(rest.sum()), int((rest > 0).sum()), int(both.sum()), int((both > 0).sum())))
@@ -195,18 +233,17 @@ class Known:
         self.u, self.v = b.contexts(), b.tokens
         # only pairs of known words have a bigram estimate
         self.asked = (self.total[self.u] > 0) & (self.total[self.v] > 0)
-        keys, self.pair = np.unique(self.u[self.asked] * len(b.hashes) + self.v[self.asked], return_inverse=True)
-        self.pu, self.pv = keys // len(b.hashes), keys % len(b.hashes)
-        hashes = pair_hash(b.hashes[self.pu], b.hashes[self.pv])
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
+        keys = self.u[self.asked] * np.int64(len(b.hashes))
+        keys += self.v[self.asked]
+        keys, self.pair = distinct(keys)
+        self.pu, self.pv = (keys // len(b.hashes)).astype(np.int32), (keys % len(b.hashes)).astype(np.int32)
+        del keys
+        self.hashes = pair_hash(b.hashes[self.pu], b.hashes[self.pv])
+        self.order = np.argsort(self.hashes).astype(np.int32)
+        self.hashes = self.hashes[self.order]
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        f = self.block.folds()[self.asked]
-        tuning = f == TUNING
-        rest = ~tuning & (f != HELD_OUT)
-        n = len(self.pu)
-        return np.bincount(self.pair[rest], minlength=n), np.bincount(self.pair[tuning], minlength=n)
+        return self.block.local_counts(self.pair, len(self.pu), self.asked)
 
 
 def level(context_count: np.ndarray) -> np.ndarray:
@@ -217,11 +254,13 @@ def level(context_count: np.ndarray) -> np.ndarray:
 def pair_requests(n_rest: int, v_rest: int, buckets: int):
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         k = Known(rows)
-        rest, tuning = k.pair_counts()
+        rest, tuning = (c.astype("<u4") for c in k.pair_counts())
         # log2 of 1 / (c(u) p1(v)) over counts that leave the tuning texts out, and the context's bucket
-        base = np.log2((n_rest + v_rest + 1) / (np.maximum(k.rest[k.pu], 1) * (k.rest[k.pv] + 1.0)))
-        code = np.clip(np.round((base + LIMIT) * STEPS), 0, 2 * LIMIT * STEPS).astype(np.int64) * 64 + level(k.rest[k.pu])
-        code[(tuning == 0) | (k.rest[k.pu] == 0)] = 0
+        context = k.rest[k.pu]
+        base = np.log2((n_rest + v_rest + 1) / (np.maximum(context, 1) * (k.rest[k.pv] + 1.0)))
+        code = np.clip(np.round((base + LIMIT) * STEPS), 0, 2 * LIMIT * STEPS).astype("<u4") * np.uint32(64) + level(context).astype("<u4")
+        code[(tuning == 0) | (context == 0)] = 0
+        del base, context
         counts = np.stack([rest, tuning, code], axis=1)[k.order]
         return pd.DataFrame(_requests(int(rows["block"].iloc[0]), k.hashes, counts, buckets), columns=["bucket", "block", "hashes", "counts"])
 
@@ -230,17 +269,19 @@ def pair_requests(n_rest: int, v_rest: int, buckets: int):
 
 def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals of a bucket's pairs for each asking block, and rows (context bucket, quantised ratio, tuning tokens)."""
-    sizes, where, counts, at = _gather(pdf, 3)
-    rest, tuning = (np.bincount(where, c).astype(np.int64) for c in counts[:2])
-    total = rest + tuning
+    where, counts, at = _gather(pdf, 3)
+    rest = _sums(where, counts[0])
+    total = rest + _sums(where, counts[1])
     rows = [(int(b), "q", int(k), press(total[w].astype("<u8")), 0, 0, 0, 0) for b, k, w in zip(pdf["block"], pdf["bucket"], (where[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True)]
-    own, code = counts[1], counts[2]
-    live = code > 0
+    del total
+    live = np.flatnonzero(counts[2])
+    own, code = counts[1][live], counts[2][live].astype(np.int32)
     seen = rest[where[live]]
-    ratio = np.where(seen > 0, code[live] // 64 + np.round(np.log2(np.maximum(seen, 1)) * STEPS).astype(np.int64), -1)
-    keys, spot = np.unique(np.stack([code[live] % 64, ratio]), axis=1, return_inverse=True)
-    n = np.bincount(spot.ravel(), own[live], keys.shape[1]).astype(np.int64)
-    rows += [(-1, "h", 0, b"", int(a), int(r), int(c), 0) for (a, r), c in zip(keys.T.tolist(), n.tolist(), strict=True)]
+    ratio = np.where(seen > 0, code // 64 + np.round(np.log2(np.maximum(seen, 1)) * STEPS).astype(np.int32), -1)
+    width = 2 * LIMIT * STEPS + 64 * STEPS + 2  # of a ratio, which is -1 or more
+    keys, spot = distinct(code % 64 * width + ratio + 1)
+    n = _sums(spot, own)
+    rows += [(-1, "h", 0, b"", k // width, k % width - 1, c, 0) for k, c in zip(keys.tolist(), n.tolist(), strict=True)]
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "blob", "n1", "n2", "n3", "n4"])
 
 
@@ -278,18 +319,25 @@ def scorer(n: int, v: int, weights: dict[int, float]):
         pairs = np.zeros(len(k.pu), dtype=np.int64)
         if answers:
             pairs[k.order] = np.concatenate(answers)
-        p1 = (k.total[k.v] + 1.0) / (n + v + 1.0)
-        context = k.total[k.u]
-        seen = np.zeros(len(k.v), dtype=np.int64)
-        seen[k.asked] = pairs[k.pair]
-        w = np.where(context > 0, table[level(context)], 0.0)
-        p = w * seen / np.maximum(context, 1) + (1 - w) * p1
+        del answers
+        k.hashes = k.order = k.pu = k.pv = None
+        p1 = ((k.total + 1.0) / (n + v + 1.0))[k.v]
+        weight = np.where(k.total > 0, table[level(k.total)], 0.0)  # of each word as a context
+        w = weight[k.u]
+        p = np.zeros(len(k.v))
+        p[k.asked] = pairs[k.pair]
+        p *= w
+        p /= np.maximum(k.total, 1)[k.u]
+        np.subtract(1, w, out=w)
+        w *= p1
+        p += w
+        del w, pairs
         starts = np.concatenate([[0], np.cumsum(b.lengths)[:-1]])
         out = {
             "doc_id": pd.array(b.ids, dtype="Int64"),
             "held_out": [fold(d) == HELD_OUT for d in b.ids],
             "n_tokens": b.lengths,
-            "n_known": np.add.reduceat((k.total[k.v] > 0).astype(np.int64), starts),
+            "n_known": np.add.reduceat((k.total > 0)[k.v], starts, dtype=np.int64),
             "train_tokens": n,
             "base_score": np.add.reduceat(np.log10(p1), starts),
             "score": np.add.reduceat(np.log10(p), starts),
