@@ -21,6 +21,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -61,9 +63,16 @@ _CHECKSUMS = 0x80
 #: Where a cut before a space or line break could be in doubt: such places in a row or at the begin, and all other
 #: white space and control characters.
 _DOUBT = r"^[ \n]|  | \n|\n |\n\n|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+#: A space or none and Latin letters: a pre-token of its own.
+_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Stands before the first part of a text, which follows no space; no other part holds this character.
 _FIRST = "\0"
 
+#: The character by which a byte-level BPE writes each byte: printable ones themselves, the others from U+0100 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PLAIN]
+_BYTES = "".join(chr(b if b in _PLAIN else 256 + _OTHERS.index(b)) for b in range(256))
+
 MANIFEST_SCHEMA = "shard long, file int, path string, n_docs long, n_tokens long"
 
 
@@ -72,7 +81,9 @@ class Encoder:
 
     A text is cut where a space or line break follows a visible character; no
     pre-token of a byte-level BPE crosses such a place, so the ids of the parts
-    put together are the ids of the text. Other texts are encoded whole.
+    put together are the ids of the text. Other texts are encoded whole. Words
+    of Latin letters are single pre-tokens; the library's model takes them as
+    they are, if nothing in the tokenizer but its byte level comes before it.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -84,6 +95,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model if self._plain() else None
         self.known = Memory(CACHE)
         self.line = self._ids("\n")
         self.marks = {c: self._ids(c) for c in ".,!?;:"}
@@ -94,16 +106,34 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _plain(self) -> bool:
+        """Whether a text is only cut by the usual byte-level rule before the model sees it, and no added token is a word or part of one."""
+        state = json.loads(self.tokenizer.to_str())
+        cut = state["pre_tokenizer"] or {}
+        rule = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
+        return rule and not state["normalizer"] and not state["post_processor"] and not any(_WORD.fullmatch(t["content"]) for t in state["added_tokens"])
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, by the model alone."""
+        tokenize, out = self.model.tokenize, []
+        for w in words:
+            spelled = w.replace(" ", _BYTES[32]) if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+            out.append(array("I", [t.id for t in tokenize(spelled)]).tobytes())
+        return out
+
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words without line breaks: many are encoded in one text, a line break between each two."""
         out: dict[int, bytes] = {}
-        plain = [k for k, w in enumerate(words) if w and "<|" not in w]
+        if self.model is not None:
+            letters = [k for k, w in enumerate(words) if _WORD.fullmatch(w)]
+            out.update(zip(letters, self._letters([words[k] for k in letters]), strict=True))
+        plain = [k for k, w in enumerate(words) if k not in out and w and "<|" not in w]
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode("\n".join(words[k] for k in some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words[k] for k in some)], add_special_tokens=False)[0].ids, dtype="<u4")
             breaks = np.flatnonzero(ids == np.frombuffer(self.line, dtype="<u4")[0]) if len(self.line) == 4 else np.zeros(0, np.int64)
             if len(breaks) == len(some) - 1:
                 data = ids.tobytes()
