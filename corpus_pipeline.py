@@ -27,7 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """The first document of each component of near copies: five-word shingles, Jaccard similarity 0.8 or more.
+
+    Fingerprints through the vantage-point tree first, each link verified; what lies beyond two bits by bands.
+    """
     return near_copies.keep_first(docs)
 
 

@@ -1,9 +1,14 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-Texts with the same shingles collapse first. The rest enter buckets by bands of
-minimum hashes: a pair at similarity s meets unless all bands differ, which at
+Texts with the same shingles collapse first. Fingerprints of the shingle sets
+then go through the vantage-point tree of ``simhash``: what it links within two
+bits is verified on the whole sets, and star contraction joins it. Two bits do
+not reach all pairs at the threshold (most similar texts differ in more), so a
+second step finds the links between the components that this leaves. There the
+sets enter buckets by bands of minimum hashes, and only buckets that hold more
+than one component are looked at: a pair at similarity s meets unless all bands differ, which at
 0.8 happens to 3 pairs in a million and above it to fewer. Whatever meets is
-verified on the whole shingle sets, so no link is an estimate. In a bucket with
+verified in the same way, so no link is an estimate. In a bucket with
 more than ``MAX_BUCKET`` members its most central one, which meets most others
 in all its buckets, is held against all: variants of one text are linked to that
 text. Members of buckets that still hold more than one component are compared by
@@ -31,7 +36,8 @@ from pyspark.sql.window import Window
 
 from .common import content_key, cut
 from .components import components
-from .simhash import first_rows
+from .simhash import RADIUS, first_rows, majority
+from .simhash import _links as fingerprint_links
 
 SHINGLE = 5
 SEED = 42
@@ -84,7 +90,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _described(texts: pd.Series) -> pd.DataFrame:
     found = [shingles(t) for t in texts]
-    return pd.DataFrame({"digest": [digest(f) for f in found], "n": np.array([len(f) for f in found], dtype=np.int32), "keys": [bands(f) for f in found]})
+    fps = np.array([majority(f) for f in found], dtype=np.uint64).view(np.int64)
+    return pd.DataFrame({"digest": [digest(f) for f in found], "n": np.array([len(f) for f in found], dtype=np.int32), "fp": fps, "keys": [bands(f) for f in found]})
 
 
 def _sets(texts: pd.Series) -> pd.DataFrame:
@@ -108,9 +115,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("u", "v").distinct().join(left, "u").join(right, "v").where(pandas_udf(_similar, "boolean")("a", "b")).select("u", "v")
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v) of ``nodes`` (node, fp) that the vantage-point tree links within ``RADIUS`` bits: a star for each fingerprint and shard."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(first, "fp").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    u, v = (first.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in ("u", "v"))
+    near = fingerprint_links(first.select("fp"), RADIUS).join(u, "u").join(v, "v").select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
+    return same.unionByName(near).where("u != v")
+
+
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with their component."""
-    named = members.join(roots, members["node"] == roots["u"], "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    named = members.join(roots, members["node"] == roots["u"], "left").select("key", "node", "n", "c", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     return cut(named.join(mixed, "key"))
 
@@ -145,32 +161,36 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(u, v) links between ``nodes`` (node, doc, digest, n, keys) that connect all similar ones that meet."""
+    """(u, v) links between ``nodes`` (node, doc, digest, n, fp, keys) that connect all similar ones that meet."""
+    near = cut(_fingerprint_pairs(nodes))
     each = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = cut(each.join(shared, "key"))
-    wanted = met.select("node").distinct().join(nodes.select("node", "doc", F.col("digest").alias("_digest")), "node")
+    ends = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node")))
+    wanted = met.select("node").unionByName(ends).distinct().join(nodes.select("node", "doc", F.col("digest").alias("_digest")), "node")
     texts = docs.select(F.col("doc_id").alias("doc"), F.col(text).alias("_text")).join(wanted, "doc").select("node", "_digest", pandas_udf(_sets, "digest binary, found array<long>")("_text").alias("s"))
     sets = cut(texts.where("_digest = s.digest").select("node", F.col("s.found").alias("found")).dropDuplicates(["node"]))
+    close = cut(_verified(near, sets))
+    met = _labelled(met, components(close))
     small = met.where(F.col("c") <= MAX_BUCKET)
-    other = small.select("key", F.col("node").alias("v"), F.col("n").alias("nv"))
-    pairs = small.join(other, "key").where((F.col("node") < F.col("v")) & _fits("n", "nv")).select(F.col("node").alias("u"), "v")
+    other = small.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("other"))
+    pairs = small.join(other, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & _fits("n", "nv")).select(F.col("node").alias("u"), "v")
     crowd = met.where(F.col("c") > MAX_BUCKET)
     meets = crowd.groupBy("node").agg(F.sum("c").alias("meets"))
-    pivots = crowd.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", "node")).alias("pivot"))
-    stars = crowd.join(pivots, "key").where("node != pivot").select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v"))
-    links = cut(_verified(pairs.unionByName(stars), sets))
+    pivots = crowd.join(meets, "node").groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("meets", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("main"))
+    stars = crowd.join(pivots, "key").where("root != main").select(F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v"))
+    links = close.unionByName(cut(_verified(pairs.unionByName(stars), sets)))
     if not crowd.limit(1).count():
         return links
-    crowd = _labelled(crowd, components(links))
+    crowd = _labelled(crowd.drop("root"), components(links))
     return links.unionByName(_verified(_prefix_pairs(crowd, sets), sets)) if crowd.limit(1).count() else links
 
 
 def _components(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, _k1, _k2 (content key) and node (one of the component's) of every row."""
     k1, k2 = content_key("doc_id", text)
-    marked = cut(docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), pandas_udf(_described, "digest binary, n int, keys array<long>")(text).alias("d")).select("doc_id", "_k1", "_k2", "d.*"))
-    alone = marked.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    marked = cut(docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), pandas_udf(_described, "digest binary, n int, fp long, keys array<long>")(text).alias("d")).select("doc_id", "_k1", "_k2", "d.*"))
+    alone = marked.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = cut(alone.withColumn("node", F.monotonically_increasing_id()))
     roots = components(_links(nodes.where(F.col("doc").isNotNull()), docs, text))
     named = nodes.join(roots, nodes["node"] == roots["u"], "left").select("digest", F.coalesce("root", "node").alias("node"))

@@ -56,8 +56,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         parts, n = iter([b" ".join(words)]), 1
     else:
         parts, n = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)), len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; of none, zero."""
+    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, n, _CHUNK):
         some = hashes[at : at + _CHUNK]
         ones += np.unpackbits(some.view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

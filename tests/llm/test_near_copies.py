@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from test_operators import DOCS, ODD, frame
 
@@ -76,3 +77,36 @@ def test_variants_of_one_text_do_not_meet_in_pairs(spark, monkeypatch):
     kept = {r.doc_id for r in near_copies.keep_first(frame(spark, rows)).collect()}
     assert kept == brute_firsts(rows) and 40 < len(kept) < 280
     assert sum(pairs) < 300 * near_copies.BANDS and pairs[-1] < 300
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Links within two fingerprint bits come from the vantage-point tree, verified; with the bands silent they are all there is."""
+    from lumenfold.llm import simhash
+
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    rows = []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        rows += [(2 * i, " ".join(words), "en", "s", 0)]
+        words[rng.choice([0, 299])] = "other"  # one shingle of 296 is another
+        rows += [(2 * i + 1, " ".join(words), "en", "s", 0)]
+    prints = {d: simhash.majority(near_copies.shingles(t)) for d, t, *_ in rows}
+    linked = {2 * i for i in range(60) if (prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= simhash.RADIUS}
+    assert len(linked) > 40
+    called, tree = [], near_copies.fingerprint_links
+    monkeypatch.setattr(near_copies, "fingerprint_links", lambda nodes, radius: called.append(radius) or tree(nodes, radius))
+    assert {r.doc_id for r in pipeline.near_dedup(spark, frame(spark, rows), "").collect()} == {2 * i for i in range(60)}
+    assert called == [simhash.RADIUS]
+    monkeypatch.setattr(near_copies, "_described", _silent(near_copies._described))
+    kept = {r.doc_id for r in pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
+    assert kept == {2 * i for i in range(60)} | {2 * i + 1 for i in range(60) if 2 * i not in linked}
+
+
+def _silent(described):
+    def silent(texts: pd.Series) -> pd.DataFrame:
+        out = described(texts)
+        out["keys"] = [k[:0] for k in out["keys"]]
+        return out
+
+    return silent
