@@ -37,6 +37,8 @@ LEAST_DURATION = 0.01
 OVERSAMPLE = 10
 #: Values of a working array that stays in a processor's cache.
 CACHED = 1 << 15
+#: Points times trials whose runs are scored at once: fewer calls, as few runs are scored.
+RUNS = 1 << 16
 
 FIELDS = ("power", "depth", "depth_err", "depth_snr", "duration", "t0", "log_likelihood")
 
@@ -66,13 +68,13 @@ def boxes(tau: np.ndarray, y: np.ndarray, dy: np.ndarray | None, periods: np.nda
     out["power"][:] = -np.inf
     cells = int(math.ceil(periods.max() / width)) + oversample + 1 if len(periods) else 1
     few = len(periods) > 0 and folds.sparse(len(tau), width * bins[-1] / periods.min(), cells, len(bins))
-    step = max(1, CACHED // (2 * len(tau) if few else cells))
+    step = max(1, RUNS // len(tau) if few else CACHED // cells)
     for a in range(0, len(periods), step):
         p = periods[a : a + step]
         m, slots = len(p), np.ceil(p / width).astype(np.int64) + oversample
         most = int(slots.max()) + 1
         if few:
-            at = np.minimum((np.mod(tau[None, :], p[:, None]) / width).astype(np.int64) + 1, most - 1)
+            at = np.minimum((folds.remainders(tau, p) / width).astype(np.int32) + 1, most - 1)
             _record(out, a, p, width, total, objective, *folds.box_runs(at, yc * iv, iv, slots, oversample, bins[bins < most], floor, objective != "snr")[1:])
             continue
         at = (np.minimum((np.mod(tau[None, :], p[:, None]) / width).astype(np.int64) + 1, most - 1) + np.arange(m)[:, None] * most).ravel()
@@ -143,6 +145,7 @@ def spread_trials(obs: DataFrame, segments: DataFrame, kernel: Callable, fields:
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
+            best = []
             for r in pdf.itertuples():
                 t, y, dy = (np.asarray(x, dtype=float) for x in (r.t, r.y, r.dy))
                 k = np.arange(r.k1 - 1, r.k0 - 1, -1)  # ascending periods
@@ -157,8 +160,9 @@ def spread_trials(obs: DataFrame, segments: DataFrame, kernel: Callable, fields:
                 elif len(periods):
                     power = np.where(real, got["power"], 0.0)
                     i = int(np.argmax(np.round(got["power"], digits)))  # of equal ones the shortest period
-                    values = [r.object_id, r.segment, int(k[i]), periods[i], *(got[c][i] if real[i] else math.nan for c in fields), len(power), power.mean(), float(np.sum((power - power.mean()) ** 2))]
-                    yield pd.DataFrame([values], columns=columns)
+                    best.append([r.object_id, r.segment, int(k[i]), periods[i], *(got[c][i] if real[i] else math.nan for c in fields), len(power), power.mean(), float(np.sum((power - power.mean()) ** 2))])
+            if best:  # a frame for each piece takes longer than some of the pieces
+                yield pd.DataFrame(best, columns=columns)
 
     out = dealt.mapInPandas(run, schema)
     return out.select([F.when(~F.isnan(c), F.col(c)).alias(c) if c in fields else F.col(c) for c in columns])

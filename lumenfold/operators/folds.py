@@ -16,6 +16,10 @@ import numpy as np
 TIE = 1e-10
 #: Cost of a run of points against a box of bins.
 RUN = 2.0
+#: Runs of so many points are scored for every start; longer ones for starts whose longest box holds more. Starts scored at once, and the share of a trial's highest bound that goes first.
+NEAR = 12
+AT_ONCE = 4096
+SHARE = 0.5
 
 
 def sparse(n: int, share: float, bins: float, lengths: int) -> bool:
@@ -23,14 +27,132 @@ def sparse(n: int, share: float, bins: float, lengths: int) -> bool:
     return RUN * n * (2 + share * n) < bins * lengths
 
 
+def remainders(tau: np.ndarray, periods: np.ndarray) -> np.ndarray:
+    """``np.mod`` of each period (row) and time from 0 on, to the last bit, several times as fast: whole periods are products without rounding."""
+    p = periods[:, None]
+    whole = tau / p
+    np.floor(whole, out=whole)
+    if not whole.size or whole.max() >= 1 << 20:
+        return np.mod(tau[None, :], p)
+    high = (np.ascontiguousarray(periods).view(np.int64) & ~np.int64((1 << 21) - 1)).view(float)[:, None]
+    left = tau - whole * high
+    whole *= p - high
+    left -= whole
+    return np.add(left, p, out=left, where=left < 0)
+
+
 def box_runs(bin_of: np.ndarray, a: np.ndarray, v: np.ndarray, slots: np.ndarray, wrapped: int, lengths: np.ndarray, floor: float, likelihood: bool = False) -> tuple[np.ndarray, ...]:
     """(squared objective, start, length, sum of a, sum of v) of each row's best box; start -1 where none is a dip.
 
     ``bin_of``: bins from 1 on of each trial (row) and point. The period's last bin is ``slots - wrapped``; from it on the
     first ``wrapped`` bins stand once more. A box of start i holds the bins i + 1 to i + length. Of equal boxes the
     shortest, then the earliest wins.
+
+    The dips among the points that the longest box from a start may hold bound what its runs score (Cauchy-Schwarz), so
+    only starts whose bound reaches the best score so far are scored: highest bounds first, then those left.
     """
     m, n = bin_of.shape
+    total, longest, bits = v.sum(), int(lengths.max()), n.bit_length()
+    if n < 2 or not m or not v.min() > 2 * floor or (int(slots.max()) + longest + 2) << bits >= 1 << 29:
+        return _all_runs(bin_of, a, v, slots, wrapped, lengths, floor, likelihood)
+    last, first = (slots - wrapped).astype(np.int32)[:, None] << bits, np.int32((wrapped + 1) << bits)
+    behind = ((slots + 1).astype(np.int32) << bits | n)[:, None]
+    keys = bin_of.astype(np.int32) << bits | np.arange(n, dtype=np.int32)
+    np.putmask(keys, keys >= last, np.broadcast_to(behind, keys.shape))
+    keys.sort(axis=1)
+    again = keys[:, : int(np.count_nonzero(keys.min(axis=0) < first))]
+    keys = np.concatenate([keys, np.where(again < first, again + (last - (1 << bits)), behind), behind], axis=1)
+    keys.sort(axis=1)
+    # points are rows and trials columns, with a row before the first point and some behind the last
+    stride = keys.shape[1] + 1
+    at = np.full((stride + n, m), 1 << 29, dtype=np.int32)
+    at[0], at[1:stride] = 0, keys.T
+    who = (at[1 : stride - 1] & ((1 << bits) - 1)).astype(np.intp)
+    at[:stride] >>= bits
+    near = most = min(n - 1, NEAR)
+    wide = many = at[near : near + stride] - at[:stride] < longest
+    while most < n - 1 and wide.any():
+        most = min(most + 4, n - 1)
+        wide = at[most : most + stride] - at[:stride] < longest
+    at = at[: stride + most]
+    # sums of all before a point: of a, of v, and of what dips alone could score
+    sums = np.empty((3, stride + most, m))
+    for x, c in zip((a, v, np.minimum(a, 0) ** 2 / v), sums, strict=True):
+        c[:2] = 0
+        np.append(x, 0.0).take(who, out=c[2:stride], mode="clip")
+        for j in range(3, stride):
+            np.add(c[j - 1], c[j], out=c[j])
+        c[stride:] = c[stride - 1]
+    end, cv, cq = sums
+    end[stride:] = np.inf
+    begin, same = end[:stride].copy(), at[1:stride] == at[: stride - 1]
+    begin[0] = -np.inf  # a run that parts points of one bin is no box
+    np.putmask(begin[1:], same, -np.inf)
+    np.putmask(end[1:stride], same, np.inf)
+    bound, rest = cq[near : near + stride] - cq[:stride], cv[near : near + stride] - cv[:stride]
+    if most > near:
+        wide = np.flatnonzero(many)
+        for x, c in ((bound, cq), (rest, cv)):
+            x.ravel()[wide] = c.ravel().take(wide + most * m) - c.ravel().take(wide)
+    np.subtract(total, rest, out=rest)
+    np.maximum(rest, floor, out=rest)
+    bound /= rest * rest if likelihood else rest
+    np.putmask(bound, begin == -np.inf, -1.0)
+    lengths = np.sort(lengths)
+    least = np.append(lengths[np.searchsorted(lengths, np.arange(1, longest + 1))], 1 << 30).astype(np.int32)
+    at, end, cv, begin, many, left = (x.ravel() for x in (at, end, cv, begin, many, bound))
+
+    def scores(starts: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(squared objective, length, bins, bin before, sum of a, sum of v) of runs of 1 to k points; -1 where there is no box or no dip."""
+        steps = np.arange(0, (k + 1) * m, m)[:, None] + starts
+        b, before = at.take(steps), at.take(starts - m)
+        kd = least.take(b[:-1] - b[0], mode="clip")
+        bad = kd >= b[1:] - before
+        ina = end.take(steps[1:])
+        ina -= begin.take(starts)
+        bad |= ina > 0
+        inv = cv.take(steps[1:])
+        inv -= cv.take(starts)
+        outside = total - inv
+        score = ina * ina
+        score /= outside * inv
+        if likelihood:
+            score /= outside
+        np.putmask(score, bad, -1.0)
+        return score, kd, b, before, ina, inv
+
+    reached, highest = np.full(stride * m, -1.0), bound.max(axis=0)
+    with np.errstate(all="ignore"):
+        for share in (1.0, SHARE, 0.0):
+            starts = np.flatnonzero(bound >= np.maximum(np.maximum(reached.reshape(stride, m).max(axis=0), 0) * (1 - 1e-9), share * highest))
+            starts = starts[starts >= m]
+            longer = many.take(starts)
+            for which, k in ((starts[~longer], near), (starts[longer], most)):
+                for i in range(0, len(which), AT_ONCE):
+                    part = which[i : i + AT_ONCE]
+                    reached[part] = scores(part, k)[0].max(axis=0)
+            left[starts] = -1.0
+        top = reached.reshape(stride, m).max(axis=0)
+        out = np.zeros(m), np.full(m, -1), np.zeros(m, dtype=np.int64), np.zeros(m), np.zeros(m)
+        starts = np.flatnonzero(reached.reshape(stride, m) >= np.where(top > 0, top * (1 - TIE), np.inf))
+        score, kd, b, before, ina, inv = scores(starts, most)
+    k, i = np.nonzero(score >= top[starts % m] * (1 - TIE))
+    row, kd = starts[i] % m, kd[k, i]
+    found = score[k, i], np.maximum(before[i], b[k, i] - kd), kd, ina[k, i], inv[k, i]
+    order = np.lexsort((found[1], kd, row))
+    order = order[np.diff(row[order], prepend=-1) > 0]
+    none = np.flatnonzero(~(top > 0))
+    plain = _all_runs(bin_of[none], a, v, slots[none], wrapped, lengths, floor, likelihood) if len(none) else ()
+    for x, y in zip(out, found, strict=True):
+        x[row[order]] = y[order]
+    for x, y in zip(out, plain, strict=False):
+        x[none] = y
+    return out
+
+
+def _all_runs(bin_of: np.ndarray, a: np.ndarray, v: np.ndarray, slots: np.ndarray, wrapped: int, lengths: np.ndarray, floor: float, likelihood: bool) -> tuple[np.ndarray, ...]:
+    """``box_runs`` without bounds: all runs of all starts, for weights next to nothing, bins without number, and trials without a dip."""
+    m, n = bin_of.shape
     total = v.sum()
     bits = max(1, (n - 1).bit_length())
     packed = bin_of << bits | np.arange(n)

@@ -240,7 +240,7 @@ def bls(tau, y, dy, frequencies, n_durations: int = 8, oversample: int = 10):
         who = np.flatnonzero(octave == o)
         most = int(math.ceil(periods[who].max() / width)) + oversample + 1
         few = folds.sparse(len(tau), width * boxes[-1] / periods[who].min(), most, len(boxes))
-        step = max(1, CACHED // (2 * len(tau) if few else most))
+        step = max(1, 2 * CACHED // len(tau) if few else CACHED // most)
         for a in range(0, len(who), step):
             rows = who[a : a + step]
             p = periods[rows]

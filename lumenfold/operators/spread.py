@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ OBJECTS = 100
 #: Fixed value: an automatic grid has about this many trials for each point of its object (5 samples a peak up to 2.5 N/T).
 TRIALS_PER_POINT = 12.5
 
+# The C library gives freed memory back beyond twice the largest piece that it has seen freed, and that is little in a
+# new worker: a kernel's arrays were mapped and cleared anew for each chunk of trials. After 24 MB it keeps up to 48.
+np.empty(3 << 20)
+
 
 def tasks(total: float, parallelism: int, work: float = WORK) -> int:
     """Tasks for a total of points times trials: every core has some, and none has much more than ``work``."""
