@@ -131,10 +131,11 @@ def pieces(segments: DataFrame, counts: DataFrame, work: float = spread.WORK / 4
     return s.withColumn("k1", F.least(F.col("k0") + F.col("size"), F.col("nf"))).select("object_id", "segment", "p_lo", "f0", "df", "k0", "k1", "n").where("k1 > k0")
 
 
-def spread_trials(obs: DataFrame, segments: DataFrame, kernel: Callable, fields: tuple[str, ...], min_points: int, whole: bool, work: float, digits: int = 9) -> DataFrame:
+def spread_trials(obs: DataFrame, segments: DataFrame, kernel: Callable, fields: tuple[str, ...], min_points: int, whole: bool, work: float, digits: int = 9, powers: Callable | None = None) -> DataFrame:
     """Runs ``kernel(tau, y, dy, periods, p_lo)`` -> {field: values} on all pieces of all segments: a row a trial (``whole``), or the best trial of each piece with the number, mean and squares of its powers.
 
     ``power`` is -inf and other fields null where a trial has nothing; ``t0`` counts from an object's first time.
+    With ``powers``, which gives powers alone, other fields are found for the best trial only.
     """
     counts = obs.groupBy("object_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
     cut = pieces(segments, counts, work)
@@ -151,6 +152,13 @@ def spread_trials(obs: DataFrame, segments: DataFrame, kernel: Callable, fields:
                 k = np.arange(r.k1 - 1, r.k0 - 1, -1)  # ascending periods
                 periods = 1.0 / (r.f0 + r.df * k)
                 k, periods = k[periods > r.p_lo], periods[periods > r.p_lo]
+                if powers is not None and not whole and len(periods):
+                    power = powers(t - t[0], y, dy, periods, r.p_lo)
+                    i = int(np.argmax(np.round(power, digits)))  # of equal ones the shortest period
+                    got = {c: v[0] for c, v in kernel(t - t[0], y, dy, periods[i : i + 1], r.p_lo).items()}
+                    got["t0"] += t[0]
+                    best.append([r.object_id, r.segment, int(k[i]), periods[i], *(got[c] for c in fields), len(power), power.mean(), float(np.sum((power - power.mean()) ** 2))])
+                    continue
                 got = kernel(t - t[0], y, dy, periods, r.p_lo)
                 real = np.isfinite(got["power"])
                 got["t0"] = np.where(real, got["t0"] + t[0], 0.0)

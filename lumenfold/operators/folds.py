@@ -20,6 +20,8 @@ RUN = 2.0
 NEAR = 12
 AT_ONCE = 4096
 SHARE = 0.5
+#: Shapes: bins folded at once, bins whose starts share their bound and sums, blocks of starts at once, share as above, and the least weight of a point and outside a window, of all.
+FOLDED, BLOCK, BLOCKS, SHAPES_SHARE, LEAST = 1 << 15, 4, 2048, 0.7, 1e-8
 
 
 def sparse(n: int, share: float, bins: float, lengths: int) -> bool:
@@ -240,3 +242,78 @@ def residues(data: np.ndarray, weight: np.ndarray, bins: int, total: float, shap
     good &= den > 1e-12 * total
     fall *= good
     return fall, num, cw
+
+
+@lru_cache(maxsize=16)
+def _bank(shapes: tuple[tuple[float, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all shapes at the starts of a block, over the bins that they reach; and these above their squares."""
+    g = np.zeros((len(shapes) * BLOCK, max(map(len, shapes)) + BLOCK - 1))
+    for i, shape in enumerate(shapes):
+        for j in range(BLOCK):
+            g[i * BLOCK + j, j : j + len(shape)] = shape
+    return g, np.concatenate([g, g * g])
+
+
+def few_points(v: np.ndarray, bins: int, shapes: tuple[tuple[float, ...], ...]) -> bool:
+    """Whether ``shape_powers`` is for points of these weights: few for their bins, and none next to nothing."""
+    return 2 * len(v) <= bins and bins % BLOCK == 0 and max(map(len, shapes)) + BLOCK <= bins and v.min() > LEAST * v.sum()
+
+
+def shape_powers(tau: np.ndarray, periods: np.ndarray, a: np.ndarray, v: np.ndarray, bins: int, shapes: tuple[tuple[float, ...], ...]) -> np.ndarray:
+    """The most that a level and a shape lower chi2 by at each period, for weighted values ``a`` about their mean and weights ``v``.
+
+    The dips in a window bound what any shape in it can take away, over the weight outside (Cauchy-Schwarz twice). So only
+    blocks of starts whose bound reaches the best so far are summed up, directly; ``residues`` sums up all.
+    """
+    (g, both), total, n = _bank(shapes), v.sum(), len(tau)
+    reach, r = g.shape[1], len(g)
+    blocks, over = bins // BLOCK, -(-reach // BLOCK)
+    out, ahead = np.zeros(len(periods)), np.minimum(a, 0) ** 2 / v
+    step = max(1, FOLDED // (bins + reach))
+    for begin in range(0, len(periods), step):
+        p = periods[begin : begin + step]
+        m = len(p)
+        x = tau[:, None] / p
+        x -= np.floor(x)
+        b = np.minimum((x * bins).astype(np.int64), bins - 1)
+        trial = np.arange(m)
+        of_bin, of_block = (b * m + trial).ravel(), (b // BLOCK * m + trial).ravel()
+        ra, rv, rq = (np.repeat(c, m) for c in (a, v, ahead))
+        ha, hv = (np.bincount(of_bin, c, (bins + reach) * m) for c in (ra, rv))
+        outside, bound = np.empty((2, blocks, m))
+        for c, size, h in ((of_block, rv, outside), (of_block, rq, bound)):
+            around = np.bincount(c, size, (blocks + over) * m).reshape(-1, m)
+            around[blocks:] = around[:over]
+            h[:] = around[:blocks]
+            for j in range(1, over):
+                h += around[j : j + blocks]
+        for h in (ha, hv):
+            h[bins * m :] = h[: reach * m]
+        np.subtract(total, outside, out=outside)
+        whole = np.flatnonzero(outside.min(axis=0) <= LEAST * total)
+        np.maximum(outside, LEAST * total, out=outside)
+        bound /= outside
+        bound *= total
+        highest, reached, steps = bound.max(axis=0), np.zeros((blocks, m)), np.arange(0, reach * m, m)[:, None]
+        for share in (1.0, SHAPES_SHARE, 0.0):
+            which = np.flatnonzero(bound >= np.maximum(np.maximum(reached.max(axis=0) * (1 - 1e-9), share * highest), np.finfo(float).tiny))
+            for i in range(0, len(which), BLOCKS):
+                part = which[i : i + BLOCKS]
+                at = steps + (part + part // m * ((BLOCK - 1) * m))
+                fall, sums = g @ ha.take(at), both @ hv.take(at)
+                np.minimum(fall, 0, out=fall)
+                fall *= fall
+                d = sums[:r]
+                d *= d
+                d *= -1 / total
+                d += sums[r:]
+                np.maximum(d, np.finfo(float).tiny, out=d)
+                fall /= d
+                reached.ravel()[part] = fall.max(axis=0)
+            bound.ravel()[which] = -1.0
+        out[begin : begin + m] = reached.max(axis=0)
+        if len(whole):  # all points in a window: no bound
+            at = (b[:, whole] + np.arange(len(whole)) * bins).ravel()
+            data, weight = (np.fft.rfft(np.bincount(at, np.repeat(c, len(whole)), len(whole) * bins).reshape(-1, bins), axis=1) for c in (a, v))
+            out[begin + whole] = np.max([residues(data, weight, bins, total, shape)[0].max(axis=1) for shape in shapes], axis=0)
+    return out

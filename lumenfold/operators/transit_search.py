@@ -65,13 +65,25 @@ def transits(tau: np.ndarray, y: np.ndarray, dy: np.ndarray | None, periods: np.
     return out
 
 
+def powers(tau: np.ndarray, y: np.ndarray, dy: np.ndarray | None, periods: np.ndarray, n_bins: int = N_BINS, lengths: list[int] | None = None) -> np.ndarray:
+    """The power of ``transits`` alone."""
+    w = 1.0 / dy**2 if dy is not None and np.isfinite(dy).all() else np.ones(len(y))
+    shapes = tuple(tuple(limb_darkened(int(k))) for k in (widths(n_bins) if lengths is None else lengths))
+    if np.ptp(y) <= 64 * np.finfo(float).eps * np.max(np.abs(y), initial=0) or not folds.few_points(w, n_bins, shapes):
+        return transits(tau, y, dy, periods, n_bins, lengths)["power"]
+    return folds.shape_powers(tau, periods, w * (y - np.sum(w * y) / w.sum()), w, n_bins, shapes)
+
+
 def _run(obs: DataFrame, grid: DataFrame | None, n_bins: int, lengths: list[int] | None, min_points: int, whole: bool, work: float) -> DataFrame:
     segments = (grids.transit_grid(obs) if grid is None else grid).select("object_id", F.lit(0).cast("long").alias("segment"), F.lit(0.0).alias("p_lo"), "f0", "df", "nf")
 
     def kernel(tau: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray, p_lo: float) -> dict[str, np.ndarray]:
         return transits(tau, y, dy, periods, n_bins, lengths)
 
-    out = box_search.spread_trials(obs, segments, kernel, FIELDS, min_points, whole, work, DIGITS)
+    def powers_of(tau: np.ndarray, y: np.ndarray, dy: np.ndarray, periods: np.ndarray, p_lo: float) -> np.ndarray:
+        return powers(tau, y, dy, periods, n_bins, lengths)
+
+    out = box_search.spread_trials(obs, segments, kernel, FIELDS, min_points, whole, work, DIGITS, powers_of)
     return out.withColumns({c: F.when(F.col("power") > 0, F.col(c)) for c in FIELDS[1:]})
 
 
