@@ -285,6 +285,9 @@ def tls(tau, y, dy, frequencies, n_bins: int = 256, shapes: int = 5):
     yc = y - np.sum(w * y) / np.sum(w)
     widths = np.unique(np.clip(np.rint(np.geomspace(0.01, 0.1, shapes) * n_bins).astype(int), 1, n_bins))
     shapes_ = [tuple(limb_darkened(int(k))) for k in widths]
+    if folds.few_points(w, n_bins, tuple(shapes_)):
+        out = folds.shape_powers(tau, 1.0 / frequencies, w * yc, w, n_bins, tuple(shapes_))
+        return (out - out.mean()) / sd if (sd := out.std()) > 0 else np.zeros_like(out)
     out = np.zeros(len(frequencies))
     step = max(1, CACHED // max(len(y), n_bins))
     for at in range(0, len(frequencies), step):
