@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ MOST_TASKS = 200_000
 ROWS = 1_000_000
 #: Objects in a task of grouped calls.
 OBJECTS = 100
+#: Objects that a call takes together in ``in_blocks``.
+BLOCK = 64
 #: Fixed value: an automatic grid has about this many trials for each point of its object (5 samples a peak up to 2.5 N/T).
 TRIALS_PER_POINT = 12.5
 
@@ -54,3 +58,40 @@ def deal_objects(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     if counted is not None:
         n = min(max(n, math.ceil(counted.agg(F.approx_count_distinct("object_id")).first()[0] / OBJECTS)), MOST_TASKS)
     return df.repartition(n, "object_id")
+
+
+def in_blocks(dealt: DataFrame, run: Callable[[list[pd.DataFrame]], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+    """``run`` on the frames of up to ``block`` objects at once, for points dealt by object: small steps of many objects cost little more than those of one.
+
+    A task's points are sorted by object and streamed, so it holds the points of a block and not those of its objects.
+    """
+
+    def whole(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the points so far of the last object
+        for pdf in frames:
+            key = pdf["object_id"].to_numpy(object)
+            ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if held and len(key) and held[-1]["object_id"].iloc[-1] != key[0]:
+                ends = np.r_[0, ends]
+            if len(ends):
+                cuts = np.r_[0, ends]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield pd.concat([*held, pdf.iloc[a:b]]) if held else pdf.iloc[a:b]
+                    held = []
+                pdf = pdf.iloc[ends[-1] :]
+            if len(pdf):
+                held.append(pdf)
+        if held:
+            yield pd.concat(held) if len(held) > 1 else held[0]
+
+    def stream(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        objects: list[pd.DataFrame] = []
+        for one in whole(frames):
+            objects.append(one)
+            if len(objects) == block:
+                yield run(objects)
+                objects = []
+        if objects:
+            yield run(objects)
+
+    return dealt.sortWithinPartitions("object_id").mapInPandas(stream, schema)

@@ -199,12 +199,13 @@ def wald(values: np.ndarray, covariance: np.ndarray, circular: bool = False) ->
 def _grouped(obs: DataFrame, schema: str, rows) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, y, _ = _points(pdf)
-        out = pd.DataFrame([(pdf["object_id"].iloc[0], *r) for r in rows(t, y)], columns=columns)
-        return out.astype({c.split()[0]: {"long": "int64", "double": "float64"}.get(c.split()[1], object) for c in schema.split(", ")})
+    kinds = {c.split()[0]: {"long": "int64", "double": "float64"}.get(c.split()[1], object) for c in schema.split(", ")}
 
-    return spread.deal_objects(obs).groupBy("object_id").applyInPandas(run, schema)
+    def run(objects: list[pd.DataFrame]) -> pd.DataFrame:
+        points = [(o["object_id"].iloc[0], *_points(o)) for o in objects]
+        return pd.DataFrame([(key, *r) for key, t, y, _ in points for r in rows(t, y)], columns=columns).astype(kinds)
+
+    return spread.in_blocks(spread.deal_objects(obs), run, schema)
 
 
 def track(obs: DataFrame, period: float, segments: int | None = None) -> DataFrame:
