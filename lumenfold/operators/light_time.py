@@ -200,7 +200,7 @@ def _left(dt: np.ndarray, sigma: np.ndarray, q: np.ndarray, rest: np.ndarray, p:
     return left - (size(left, v) / vv)[:, None] * v
 
 
-def _solved(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+def solved(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Shortest least-squares solutions of small symmetric systems (rows), as ``lstsq`` gives them."""
     u, size, v = np.linalg.svd(h)
     x = np.einsum("iba,ib->ia", u, g)
@@ -237,7 +237,7 @@ def polish_tables(joints: list[_Joint], p: np.ndarray, of: np.ndarray, bounds: n
         h, g = np.einsum("iaj,ibj->iab", j, j), np.einsum("iaj,ij->ia", j, rest[live])
         h[:, at, at] += damping[live, None] * np.maximum(h[:, at, at], 1e-300)
         trial = p[live].copy()
-        trial[:, free] -= _solved(h, g)
+        trial[:, free] -= solved(h, g)
         trial = np.clip(trial, lo[live], hi[live])
         new = left(live, trial)
         value = np.einsum("ij,ij->i", new, new)

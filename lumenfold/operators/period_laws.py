@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spread
+from .light_time import solved
 
 #: law -> number of parameters, from plain to rich; the last one is fitted only when asked for.
 LAWS = {"constant": 1, "linear": 2, "exponential": 2, "singular": 3, "power": 4}
@@ -48,14 +49,15 @@ def change(s: np.ndarray, u: float, exponent: float) -> np.ndarray:
 
 
 def change_rows(s: np.ndarray, u: np.ndarray, exponent: np.ndarray) -> np.ndarray:
-    """``change`` for rows of (u, exponent)."""
-    out = np.tile(np.asarray(s, dtype=float), (len(u), 1))
-    bent = np.abs(u) * max(float(np.max(np.abs(s), initial=0)), 1e-300) >= 1e-9
+    """``change`` for rows of (u, exponent), with points of all or of each row."""
+    out = np.array(np.broadcast_to(np.asarray(s, dtype=float), (len(u), np.shape(s)[-1])))
+    bent = np.abs(u) * np.maximum(np.max(np.abs(s), axis=-1, initial=0), 1e-300) >= 1e-9
     for rows, square in ((bent & (exponent == 2.0), True), (bent & (exponent != 2.0), False)):
         if rows.any():
             v, d = u[rows, None], exponent[rows, None]
-            gap = 1 - v * s
-            out[rows] = s / gap if square else -np.expm1((1 - d) * np.log(np.abs(gap))) / ((1 - d) * v)
+            at = np.broadcast_to(s, out.shape)[rows]
+            gap = 1 - v * at
+            out[rows] = at / gap if square else -np.expm1((1 - d) * np.log(np.abs(gap))) / ((1 - d) * v)
     return out
 
 
@@ -95,121 +97,183 @@ class _Track:
 
     def model_rows(self, law: str, q: np.ndarray) -> np.ndarray:
         """``model`` at the track's points for each row of parameters."""
+        return _Tracks([self]).model(law, q, np.zeros(len(q), dtype=int))
+
+    def fit(self, law: str) -> tuple[np.ndarray, float, np.ndarray]:
+        """(parameters, chi2, covariance) of a law."""
+        q, chi, cov = _Tracks([self]).fit(law)
+        return q[0], float(chi[0]), cov[0]
+
+
+class _Tracks:
+    """Tracks side by side, so that a law's steps are those of all. Rows are filled up with points of infinite error."""
+
+    def __init__(self, tracks: list[_Track]) -> None:
+        size = max(t.n for t in tracks)
+        self.p, self.s, self.sigma = np.ones((len(tracks), size)), np.zeros((len(tracks), size)), np.full((len(tracks), size), np.inf)
+        for i, t in enumerate(tracks):
+            self.p[i, : t.n], self.s[i, : t.n], self.sigma[i, : t.n] = t.p, t.s, t.sigma
+        self.n, self.span, self.u_most, self.lo, self.hi, self.floor, self.mid = (np.array([getattr(t, c) for t in tracks]) for c in ("n", "span", "u_most", "lo", "hi", "floor", "mid"))
+        ends = [t.t[[0, 1, -2, -1]] if t.n > 1 else t.t[[0, 0, 0, 0]] for t in tracks]
+        near = np.column_stack([self.lo, self.lo + self.floor, self.hi - self.floor, self.hi])
+        self.ends = np.where((self.span > 2 * self.floor)[:, None], near, np.array(ends)) - self.mid[:, None]
+
+    def model(self, law: str, q: np.ndarray, of: np.ndarray, s: np.ndarray | None = None) -> np.ndarray:
+        """Periods at the points of tracks ``of`` for rows of (P_c, slope * span[, u / bound[, exponent]])."""
+        s = (self.s if s is None else s)[of]
         if law == "constant":
-            return np.repeat(q, self.n, axis=1)
+            return np.broadcast_to(q[:, :1], s.shape)
         if law == "linear":
-            return q[:, :1] + q[:, 1:2] / self.span * self.s
-        u = q[:, 2] * self.u_most if q.shape[1] > 2 else np.zeros(len(q))
+            return q[:, :1] + q[:, 1:2] / self.span[of, None] * s
+        u = q[:, 2] * self.u_most[of] if q.shape[1] > 2 else np.zeros(len(q))
         d = q[:, 3] if q.shape[1] > 3 else np.full(len(q), 2.0)
-        with np.errstate(over="ignore", invalid="ignore"):
-            return q[:, :1] * np.exp(np.clip(q[:, 1:2] / self.span * change_rows(self.s, u, d), -60, 60))
-
-    def _log_linear(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(P_c, slope, chi2) of the log-linear fit for each row g."""
-        w, y = (self.p / self.sigma) ** 2, np.log(self.p)
-        mean, my = g @ w / w.sum(), y @ w / w.sum()
-        gc = g - mean[:, None]
-        slope = np.where((v := (gc * gc) @ w) > 0, (gc * (y - my)) @ w / np.maximum(v, 1e-300), 0.0)
-        base = np.exp(my - slope * mean)
-        fit = base[:, None] * np.exp(np.clip(slope[:, None] * g, -60, 60))
-        return base, slope, (((self.p - fit) / self.sigma) ** 2).sum(1)
+        with np.errstate(all="ignore"):
+            return q[:, :1] * np.exp(np.clip(q[:, 1:2] / self.span[of, None] * change_rows(s, u, d), -60, 60))
 
-    def starts(self, law: str) -> list[np.ndarray]:
+    def starts(self, law: str) -> np.ndarray:
+        """(track, start, parameter): where the steps of each track begin."""
         w = 1 / self.sigma**2
         if law == "constant":
-            return [np.array([self.p @ w / w.sum()])]
+            return ((self.p * w).sum(axis=1) / w.sum(axis=1))[:, None, None]
         if law == "linear":
-            c = np.polyfit(self.s / self.span, self.p, 1, w=1 / self.sigma)
-            return [c[::-1]]
-        grid = [(0.0, 2.0)] if law == "exponential" else [(v, d) for v in _PLACES for d in (_GRID if law == "power" else (2.0,))]
-        base, slope, chi = self._log_linear(np.stack([change(self.s, v * self.u_most, d) for v, d in grid]))
+            x = self.s / self.span[:, None]
+            xm, pm = ((v * w).sum(axis=1) / w.sum(axis=1) for v in (x, self.p))
+            xc = x - xm[:, None]
+            slope = (xc * w * (self.p - pm[:, None])).sum(axis=1) / np.maximum((xc * xc * w).sum(axis=1), 1e-300)
+            return np.column_stack([pm - slope * xm, slope])[:, None, :]
+        grid = np.array([(0.0, 2.0)] if law == "exponential" else [(v, d) for v in _PLACES for d in (_GRID if law == "power" else (2.0,))])
+        of = np.repeat(np.arange(len(self.p)), len(grid))
+        u, d = np.tile(grid, (len(self.p), 1)).T
+        base, slope, chi = (x.reshape(len(self.p), len(grid)) for x in self._log_linear(change_rows(self.s[of], u * self.u_most[of], d), of))
+        slope = slope * self.span[:, None]
         if law == "exponential":
-            return [np.array([base[0], slope[0] * self.span])]
-        best = [i for side in (-1, 1) for i in np.argsort(np.where(np.sign([v for v, _ in grid]) == side, chi, np.inf))[:1]]
-        return [np.array([base[i], slope[i] * self.span, *grid[i]][: 4 if law == "power" else 3]) for i in best]
+            return np.stack([base, slope], axis=2)
+        best = np.stack([np.argmin(np.where(np.sign(grid[:, 0]) == side, chi, np.inf), axis=1) for side in (-1, 1)], axis=1)
+        found = np.concatenate([np.stack([np.take_along_axis(x, best, axis=1) for x in (base, slope)], axis=2), grid[best]], axis=2)
+        return found[:, :, : LAWS[law]]
 
-    def fit(self, law: str) -> tuple[np.ndarray, float, np.ndarray]:
-        """(parameters, chi2, covariance) of a law."""
+    def _log_linear(self, g: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(P_c, slope, chi2) of the log-linear fit for each row g."""
+        w, y = ((self.p / self.sigma) ** 2)[of], np.log(self.p)[of]
+        total = w.sum(axis=1)
+        mean, my = (g * w).sum(axis=1) / total, (y * w).sum(axis=1) / total
+        gc = g - mean[:, None]
+        slope = np.where((v := (gc * gc * w).sum(axis=1)) > 0, (gc * (y - my[:, None]) * w).sum(axis=1) / np.maximum(v, 1e-300), 0.0)
+        base = np.exp(my - slope * mean)
+        fit = base[:, None] * np.exp(np.clip(slope[:, None] * g, -60, 60))
+        return base, slope, (((self.p[of] - fit) / self.sigma[of]) ** 2).sum(axis=1)
+
+    def fit(self, law: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parameters, chi2 and covariances of a law, a row a track."""
         m = LAWS[law]
         lo, hi = np.array([-np.inf, -np.inf, -1.0, EXPONENTS[0]])[:m], np.array([np.inf, np.inf, 1.0, EXPONENTS[1]])[:m]
-        rest = lambda q: (self.p - self.model(law, q)) / self.sigma
-
-        def slopes(q: np.ndarray) -> np.ndarray:
-            d = np.full(m, 1e-6 * abs(q[0])) if law == "linear" else np.r_[1e-6 * abs(q[0]), np.full(m - 1, 1e-6)]
-            up, down = np.minimum(q + np.diag(d), hi), np.maximum(q - np.diag(d), lo)
-            found = self.model_rows(law, np.concatenate([up, down]))
-            return ((found[m:] - found[:m]) / self.sigma / np.diagonal(up - down)[:, None]).T
-
-        best = None
-        for q in self.starts(law):
-            q = np.clip(np.asarray(q, dtype=float), lo, hi)
-            r, damping = rest(q), 1e-3
-            chi = float(r @ r)
-            moved = True
-            for _ in range(120):
-                if moved:
-                    j = slopes(q)
-                    h, moved = j.T @ j, False
-                trial = np.clip(q - np.linalg.lstsq(h + damping * np.diag(np.maximum(np.diag(h), 1e-300)), j.T @ r, rcond=None)[0], lo, hi)
-                new = rest(trial)
-                value = float(new @ new)
-                if value < chi:
-                    done = chi - value <= 1e-10 * chi
-                    q, r, chi, damping, moved = trial, new, value, damping / 5, True
-                    if done:
-                        break
-                else:
-                    damping *= 8
-                    if damping > 1e12:
-                        break
-            if best is None or chi < best[1]:
-                best = q, chi
-        j = slopes(best[0])
-        unit = np.sqrt(np.maximum((j * j).sum(0), 1e-300))
-        return *best, np.linalg.pinv((j / unit).T @ (j / unit)) / np.outer(unit, unit)
-
-    def pinned(self, law: str, q: np.ndarray, error: np.ndarray) -> bool:
+        rest = lambda q, of: (self.p[of] - self.model(law, q, of)) / self.sigma[of]
+
+        def slopes(q: np.ndarray, of: np.ndarray) -> np.ndarray:
+            d = np.full((len(q), m), 1e-6)
+            d[:, : m if law == "linear" else 1] = 1e-6 * np.abs(q[:, :1])
+            each = d[:, :, None] * np.eye(m)
+            up, down = np.minimum(q[:, None, :] + each, hi), np.maximum(q[:, None, :] - each, lo)
+            found = self.model(law, np.concatenate([up, down]).reshape(-1, m), np.tile(np.repeat(of, m), 2)).reshape(2, len(q), m, -1)
+            width = np.einsum("ijj->ij", up - down)[:, :, None]
+            return (found[1] - found[0]) / self.sigma[of][:, None, :] / width
+
+        begun = self.starts(law)
+        each = begun.shape[1]
+        q, of = np.clip(begun.reshape(-1, m), lo, hi), np.repeat(np.arange(len(self.p)), each)
+        r, damping, live, at = rest(q, of), np.full(len(q), 1e-3), np.arange(len(q)), np.arange(m)
+        chi, j, moved = np.einsum("ij,ij->i", r, r), np.zeros((len(q), m, self.p.shape[1])), np.ones(len(q), dtype=bool)
+        for _ in range(120):
+            if not len(live):
+                break
+            fresh = live[moved[live]]
+            if len(fresh):
+                j[fresh], moved[fresh] = slopes(q[fresh], of[fresh]), False
+            h, g = np.einsum("iaj,ibj->iab", j[live], j[live]), np.einsum("iaj,ij->ia", j[live], r[live])
+            h[:, at, at] += damping[live, None] * np.maximum(h[:, at, at], 1e-300)
+            trial = np.clip(q[live] - solved(h, g), lo, hi)
+            new = rest(trial, of[live])
+            value = np.einsum("ij,ij->i", new, new)
+            better = value < chi[live]
+            won, lost = live[better], live[~better]
+            done = chi[won] - value[better] <= 1e-10 * chi[won]
+            q[won], r[won], chi[won], moved[won] = trial[better], new[better], value[better], True
+            damping[won] /= 5
+            damping[lost] *= 8
+            go = np.ones(len(live), dtype=bool)
+            go[better] = ~done
+            go[~better] = damping[lost] <= 1e12
+            live = live[go]
+        best = np.argmin(np.where(np.isnan(chi), np.inf, chi).reshape(-1, each), axis=1) + np.arange(len(self.p)) * each
+        q, chi = q[best], chi[best]
+        j = slopes(q, np.arange(len(q)))
+        unit = np.sqrt(np.maximum((j * j).sum(axis=2), 1e-300))
+        j = j / unit[:, :, None]
+        return q, chi, np.linalg.pinv(np.einsum("iaj,ibj->iab", j, j)) / (unit[:, :, None] * unit[:, None, :])
+
+    def pinned(self, law: str, q: np.ndarray, error: np.ndarray) -> np.ndarray:
         """Whether a singular law has become a step at an end of the track, or its exponent stands at a bound."""
         if LAWS[law] < 3:
-            return False
-        at = np.array([self.lo, self.lo + self.floor, self.hi - self.floor, self.hi]) if self.span > 2 * self.floor else self.t[[0, 1, -2, -1]]
-        m = np.log(self.model(law, q, at - self.mid))
-        if abs(m[3] - m[0]) > 0 and max(abs(m[1] - m[0]), abs(m[3] - m[2])) > 0.5 * abs(m[3] - m[0]):
-            return True
-        margin = max(float(error[3]), 0.01 * (EXPONENTS[1] - EXPONENTS[0])) if law == "power" else 0.0
-        return law == "power" and not EXPONENTS[0] + margin < q[3] < EXPONENTS[1] - margin
+            return np.zeros(len(q), dtype=bool)
+        m = np.log(self.model(law, q, np.arange(len(q)), self.ends))
+        all_ = np.abs(m[:, 3] - m[:, 0])
+        found = (all_ > 0) & (np.maximum(np.abs(m[:, 1] - m[:, 0]), np.abs(m[:, 3] - m[:, 2])) > 0.5 * all_)
+        if law == "power":
+            margin = np.maximum(error[:, 3], 0.01 * (EXPONENTS[1] - EXPONENTS[0]))
+            found |= ~((EXPONENTS[0] + margin < q[:, 3]) & (q[:, 3] < EXPONENTS[1] - margin))
+        return found
 
     def published(self, law: str, q: np.ndarray) -> np.ndarray:
-        """(period, slope, epoch, exponent, strength): P0, dP/dt or d ln P/dt or none, t0, d, and b or the amplitude."""
+        """(period, slope, epoch, exponent, strength) of each row: P0, dP/dt or d ln P/dt or none, t0, d, and b or the amplitude."""
+        a = q[:, 1] / self.span if q.shape[1] > 1 else np.zeros(len(q))
         if LAWS[law] < 3:
-            return np.array([q[0], q[1] / self.span if len(q) > 1 else 0.0, np.nan, np.nan, np.nan])
-        a, u, d = q[1] / self.span, q[2] * self.u_most, q[3] if len(q) > 3 else 2.0
+            none = np.full(len(q), np.nan)
+            return np.column_stack([q[:, 0], a, none, none, none])
+        u, d = q[:, 2] * self.u_most, q[:, 3] if q.shape[1] > 3 else np.full(len(q), 2.0)
         with np.errstate(all="ignore"):
-            return np.array([q[0] * np.exp(np.clip(a / u / (1 - d), -700, 700)), a, self.mid + 1 / np.float64(u), d, -a * (np.sign(u) if law == "power" else 1.0) * abs(1 / np.float64(u)) ** d])
+            return np.column_stack([q[:, 0] * np.exp(np.clip(a / u / (1 - d), -700, 700)), a, self.mid + 1 / u, d, -a * (np.sign(u) if law == "power" else 1.0) * np.abs(1 / u) ** d])
 
 
 def compare(t: np.ndarray, p: np.ndarray, error: np.ndarray | None = None, laws: tuple[str, ...] = AUTO) -> list[dict]:
     """Fits of the laws that the points can constrain, best first, as dicts of the columns of FIT."""
+    return compare_tables([(t, p, error)], laws)[0]
+
+
+def compare_tables(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]], laws: tuple[str, ...] = AUTO) -> list[list[dict]]:
+    """``compare`` of several tracks, whose steps are taken together."""
     if wrong := set(laws) - set(LAWS):
         raise ValueError(f"unknown law {', '.join(sorted(wrong))}; there are {', '.join(LAWS)}")
-    track, out = _Track(np.asarray(t, float), np.asarray(p, float), None if error is None else np.asarray(error, float)), []
+    tracks = [_Track(np.asarray(t, float), np.asarray(p, float), None if error is None else np.asarray(error, float)) for t, p, error in tables]
+    distinct, out = [len(np.unique(x.t)) for x in tracks], [[] for _ in tracks]
     for law in laws:
         m = LAWS[law]
-        if track.n < m + 1 or (m > 1 and len(np.unique(track.t)) < m):
+        those = [i for i, x in enumerate(tracks) if x.n >= m + 1 and (m == 1 or distinct[i] >= m)]
+        if not those:
             continue
-        q, chi, cov = track.fit(law)
-        dof = max(1, track.n - m)
-        raw = chi if track.given else float(np.sum((track.p - track.model(law, q)) ** 2))
-        scale = max(1.0, chi / dof) if track.given else chi / dof
-        cov = cov * scale
-        value = track.published(law, q)
-        steps = np.column_stack([(track.published(law, q + d) - track.published(law, q - d)) / (2 * d[i]) for i, d in enumerate(np.diag(1e-5 * np.maximum(np.abs(q), 1e-3)))])
+        group = _Tracks([tracks[i] for i in those])
+        q, chi, cov = group.fit(law)
+        given, rows = np.array([tracks[i].given for i in those]), np.arange(len(those))
+        rest = np.where(np.isfinite(group.sigma), group.p - group.model(law, q, rows), 0.0)
+        square, dof = (rest * rest).sum(axis=1), np.maximum(1, group.n - m)
+        raw = np.where(given, chi, square)
+        cov = cov * np.where(given, np.maximum(1.0, chi / dof), chi / dof)[:, None, None]
+        value, steps = group.published(law, q), []
+        for i in range(m):
+            d = np.zeros_like(q)
+            d[:, i] = 1e-5 * np.maximum(np.abs(q[:, i]), 1e-3)
+            steps.append((group.published(law, q + d) - group.published(law, q - d)) / (2 * d[:, i : i + 1]))
         with np.errstate(invalid="ignore"):
-            sd = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", steps, cov, steps), 0))
-        rms = math.sqrt(float(np.mean((track.p - track.model(law, q)) ** 2)))
-        bic = (raw if track.given else track.n * math.log(max(raw, 1e-300) / track.n)) + m * math.log(track.n)
-        out.append({"law": law, "n": track.n, "parameters": m, "pinned": track.pinned(law, q, np.sqrt(np.maximum(np.diag(cov), 0))), "mid": track.mid, "period": value[0], "slope": value[1], "u": q[2] * track.u_most if m > 2 else 0.0, "exponent": value[3], "epoch": value[2], "strength": value[4],
-                    "period_error": sd[0], "slope_error": sd[1] if m > 1 else math.nan, "epoch_error": sd[2], "exponent_error": sd[3] if m > 3 else math.nan, "chi2": raw, "rms": rms, "bic": bic, "_center": q[0]})
+            sd = np.sqrt(np.maximum(np.einsum("jri,rjk,kri->ri", np.array(steps), cov, np.array(steps)), 0))
+        bic = np.where(given, raw, group.n * np.log(np.maximum(raw, 1e-300) / group.n)) + m * np.log(group.n)
+        pinned = group.pinned(law, q, np.sqrt(np.maximum(np.einsum("ijj->ij", cov), 0)))
+        for k, i in enumerate(those):
+            out[i].append({"law": law, "n": tracks[i].n, "parameters": m, "pinned": bool(pinned[k]), "mid": tracks[i].mid, "period": value[k, 0], "slope": value[k, 1], "u": q[k, 2] * tracks[i].u_most if m > 2 else 0.0, "exponent": value[k, 3], "epoch": value[k, 2], "strength": value[k, 4],
+                           "period_error": sd[k, 0], "slope_error": sd[k, 1] if m > 1 else math.nan, "epoch_error": sd[k, 2], "exponent_error": sd[k, 3] if m > 3 else math.nan, "chi2": float(raw[k]), "rms": math.sqrt(square[k] / tracks[i].n), "bic": float(bic[k]), "_center": q[k, 0]})
+    return [_ranked(x, found) for x, found in zip(tracks, out, strict=True)]
+
+
+def _ranked(track: _Track, out: list[dict]) -> list[dict]:
+    """Fits on one scale of chi2, from the best on."""
     if not out:
         return []
     free = [r for r in out if not r["pinned"]] or out
@@ -235,11 +299,12 @@ def ladder(periods: DataFrame, laws: tuple[str, ...] = AUTO) -> DataFrame:
     """Ranked laws of each track (object_id, t, y the period, dy its error or null). Objects with too few points have no row."""
     columns = [c.split()[0] for c in FIT.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = compare(*(pdf[c].to_numpy(float) for c in ("t", "y", "dy")), laws)
-        return pd.DataFrame([[pdf["object_id"].iloc[0] if c == "object_id" else r[c] for c in columns] for r in found], columns=columns).astype({"rank": "int64", "n": "int64", "parameters": "int64", "pinned": bool})
+    def run(objects: list[pd.DataFrame]) -> pd.DataFrame:
+        found = compare_tables([tuple(o[c].to_numpy(float) for c in ("t", "y", "dy")) for o in objects], laws)
+        rows = [[o["object_id"].iloc[0] if c == "object_id" else r[c] for c in columns] for o, each in zip(objects, found, strict=True) for r in each]
+        return pd.DataFrame(rows, columns=columns).astype({"object_id": object, "law": object, "rank": "int64", "n": "int64", "parameters": "int64", "pinned": bool} | dict.fromkeys(NUMBERS, float))
 
-    out = spread.deal_objects(periods.select("object_id", "t", "y", "dy")).groupBy("object_id").applyInPandas(run, FIT)
+    out = spread.in_blocks(spread.deal_objects(periods.select("object_id", "t", "y", "dy")), run, FIT)
     return out.select([F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if c in NUMBERS else F.col(c) for c in columns])
 
 

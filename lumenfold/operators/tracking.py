@@ -17,6 +17,10 @@ from . import spread
 from .kernels import _points
 
 
+#: Values of an intervals x trials x points array.
+CHUNK = 1 << 16
+
+
 def _basis(phase: np.ndarray, h: int) -> np.ndarray:
     return np.column_stack([np.ones(len(phase)), *(fn(2 * np.pi * k * phase) for k in range(1, h + 1) for fn in (np.cos, np.sin))])
 
@@ -70,30 +74,53 @@ def phase_track(t: np.ndarray, y: np.ndarray, period: float, segments: int | Non
     return out
 
 
+def _left_by_sinusoids(tau: np.ndarray, v: np.ndarray, grid: np.ndarray, harmonics: int) -> np.ndarray:
+    """Sums of squares that a level and sinusoids leave of each row of values, at each of the row's frequencies: columns are made orthogonal one after the other, twice."""
+    phase = 2 * np.pi * grid[:, :, None] * tau[:, None, :]
+    along = lambda x, y: np.einsum("ijk,ijk->ij", x, y)[:, :, None]
+    rest = np.broadcast_to((v - v.mean(axis=1, keepdims=True))[:, None, :], phase.shape)
+    before: list[tuple[np.ndarray, np.ndarray]] = []
+    for h in range(1, harmonics + 1):
+        for fn in (np.cos, np.sin):
+            x = fn(h * phase)
+            least = (4 * np.finfo(float).eps) ** 2 * along(x, x)
+            for _ in range(2):
+                x -= x.mean(axis=2, keepdims=True)
+                for u, uu in before:
+                    x -= along(x, u) / uu * u
+            size = along(x, x)
+            size = np.where(size > least, size, np.inf)
+            rest = rest - along(rest, x) / size * x
+            before.append((x, size))
+    return np.einsum("ijk,ijk->ij", rest, rest)
+
+
 def period_profile(t: np.ndarray, y: np.ndarray, period: float, per_interval: int = 50, harmonics: int = 1) -> list[tuple]:
     """(interval, n, mid time, period, error): an independent period per interval of equal counts."""
     n = len(t)
     k = max(1, n // per_interval)
-    edges, out = np.linspace(0, n, k + 1).astype(int), []
-    for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        tau, v = t[a:b] - t[a], y[a:b]
-        span = tau[-1] if b - a else 0.0
-        if b - a < 2 * harmonics + 4 or span < 2 * period:
+    edges, found = np.linspace(0, n, k + 1).astype(int), {}
+    begin, size = edges[:-1], np.diff(edges)
+    for many in np.unique(size[size >= 2 * harmonics + 4]).tolist():
+        those = np.flatnonzero(size == many)
+        at = begin[those, None] + np.arange(many)
+        tau, v = t[at] - t[at[:, :1]], y[at]
+        long = tau[:, -1] >= 2 * period
+        those, at, tau, v, span = those[long], at[long], tau[long], v[long], tau[long, -1:]
+        if not len(those):
             continue
         grid = 1 / period + np.linspace(-1, 1, 201) / span
-
-        phase = 2 * np.pi * grid[:, None] * tau[None, :]
-        basis = np.stack([np.ones_like(phase), *(fn(h * phase) for h in range(1, harmonics + 1) for fn in (np.cos, np.sin))], axis=2)
-        q, _ = np.linalg.qr(basis)
-        rest = v - (q @ (q.transpose(0, 2, 1) @ v)[:, :, None])[:, :, 0]
-        chi = (rest * rest).sum(axis=1)
-        i = int(np.clip(np.argmin(chi), 1, len(grid) - 2))
-        bend, df = chi[i - 1] - 2 * chi[i] + chi[i + 1], grid[1] - grid[0]
-        f = grid[i] + (0.5 * (chi[i - 1] - chi[i + 1]) / bend * df if bend > 0 else 0.0)
-        scale = chi[i] / max(b - a - 2 * harmonics - 2, 1)
-        ef = math.sqrt(2 * scale * df * df / bend) if bend > 0 else math.nan
-        out.append((s, int(b - a), float(t[a:b].mean()), 1 / f, ef / f**2))
-    return out
+        chi = np.concatenate([_left_by_sinusoids(tau[i : i + step], v[i : i + step], grid[i : i + step], harmonics) for step in (max(1, CHUNK // (201 * many)),) for i in range(0, len(those), step)])
+        i = np.clip(np.argmin(chi, axis=1), 1, 199)
+        rows = np.arange(len(those))
+        lo, mid, hi = (chi[rows, i + d] for d in (-1, 0, 1))
+        bend, df = lo - 2 * mid + hi, grid[:, 1] - grid[:, 0]
+        safe = np.where(bend > 0, bend, 1.0)
+        f = grid[rows, i] + np.where(bend > 0, 0.5 * (lo - hi) / safe * df, 0.0)
+        ef = np.where(bend > 0, np.sqrt(2 * mid / max(many - 2 * harmonics - 2, 1) * df * df / safe), np.nan)
+        for s, middle, x, e in zip(those.tolist(), t[at].mean(axis=1).tolist(), (1 / f).tolist(), (ef / f**2).tolist(), strict=True):
+            found[s] = (s, many, middle, x, e)
+    return [found[s] for s in sorted(found)]
 
 
 LAWS = {
