@@ -1,6 +1,6 @@
 """A catalogue of period changes: one grouped pass over the objects, three tables out, resumable.
 
-Each object goes through the chain in one call: running-median detrend, joint search
+Blocks of objects go through the chain in one call: running-median detrend, joint search
 for period and rate about its seed, phase track with polynomial ephemerides, orbit of
 the O-C, period profile and its laws. The call emits rows of one tagged table; a chunk
 of objects is one Spark job whose commit writes the summary, the O-C segments and the
@@ -72,41 +72,87 @@ def _ephemeris(mid: np.ndarray, delay: np.ndarray, error: np.ndarray, period: fl
     return found
 
 
-def analyse(t: np.ndarray, y: np.ndarray, dy: np.ndarray | None, seed: float | None, settings: dict) -> list[dict]:
-    """The tagged rows of one object: a summary, its O-C segments and its profile intervals."""
-    s = DEFAULTS | settings
+def _measured(t: np.ndarray, y: np.ndarray, dy: np.ndarray | None, seed: float | None, s: dict) -> dict:
+    """What one object's points give by themselves: ``head``, the summary so far, and where there are some, ``track`` (columns and residuals) and ``profile`` (columns)."""
     head = {"kind": "summary", "n": len(t), "baseline": float(t[-1] - t[0]) if len(t) else 0.0, "n_segments": 0, "n_intervals": 0}
     if len(t) < 8 or head["baseline"] <= 0:
-        return [head | {"status": "under 8 points" if len(t) < 8 else "no time baseline"}]
+        return {"head": head | {"status": "under 8 points" if len(t) < 8 else "no time baseline"}}
     if s["detrend_width"]:
         y = detrended(t, y, s["detrend_width"])
     given = seed is not None and math.isfinite(seed) and seed > 0
     r = drift.search(t, y, dy, 1 / seed if given else drift.best_seed(t, y, dy), s["method"], s["n_rates"], s["model"])
     head |= {"status": "ok", "seed_source": "given" if given else "search", "search_period": r["period"], "search_pdot": r["pdot"], "search_power": r["power"], "search_steady_power": r["steady_power"], "search_at_edge": r["at_edge"]}
-    period, oc, intervals = float(r["period"]), [], []
+    out, period = {"head": head, "period": float(r["period"])}, float(r["period"])
     track = tracking.phase_track(t, y, period, s["segments"])
     if track:
         k, n, mid, delay, error = (np.array(x) for x in zip(*track, strict=True))
         fit = _ephemeris(mid, delay, error, period)
         residual = fit.pop("residual", np.full(len(k), np.nan))
         head |= fit
-        oc = [{"kind": "oc", "segment": int(a), "n": int(b), "mid": c, "delay": d, "delay_error": e, "residual": z} for a, b, c, d, e, z in zip(k, n, mid, delay, error, residual, strict=True)]
-        if s["orbit"]:
-            o = light_time.search(mid, delay, error, period)
-            if o["reason"] is None:
-                head |= {"orbit_period": o["outer_period"], "orbit_amplitude": o["amplitude"], "orbit_delta_bic": o["delta_bic"], "orbit_f_tail": o["f_tail"], "orbit_pdot": o["pdot"], "orbit_mass_function": o["mass_function"]}
-    if s["profile"]:
-        rows = tracking.period_profile(t, y, period, s["per_interval"])
-        if rows:
-            k, n, mid, p, error = (np.array(x) for x in zip(*rows, strict=True))
-            head |= {"profile_first": p[0], "profile_last": p[-1], "profile_change": p[-1] / p[0] - 1}
-            best = laws_of.compare(mid, p, error, tuple(s["laws"])) if s["laws"] else []
-            at = np.full(len(p), np.nan)
-            if best:
+        out["track"] = k, n, mid, delay, error, residual
+    rows = tracking.period_profile(t, y, period, s["per_interval"]) if s["profile"] else []
+    if rows:
+        k, n, mid, p, error = out["profile"] = tuple(np.array(x) for x in zip(*rows, strict=True))
+        head |= {"profile_first": p[0], "profile_last": p[-1], "profile_change": p[-1] / p[0] - 1}
+    return out
+
+
+def _fitted(measured: list[dict], s: dict) -> list[list[dict]]:
+    """The tagged rows of objects, whose orbits and laws take their steps together."""
+    tracked = [x for x in measured if "track" in x] if s["orbit"] else []
+    orbits = light_time.search_tables([(*x["track"][2:5], x["period"]) for x in tracked])
+    orbit_of = {id(x): o for x, o in zip(tracked, orbits, strict=True) if o["reason"] is None}
+    profiled = [x for x in measured if "profile" in x] if s["laws"] else []
+    laws = laws_of.compare_tables([x["profile"][2:] for x in profiled], tuple(s["laws"]))
+    laws_by = {id(x): found for x, found in zip(profiled, laws, strict=True)}
+    out = []
+    for x in measured:
+        head, oc, intervals = dict(x["head"]), [], []
+        if "track" in x:
+            oc = [{"kind": "oc", "segment": int(a), "n": int(b), "mid": c, "delay": d, "delay_error": e, "residual": z} for a, b, c, d, e, z in zip(*x["track"], strict=True)]
+        if o := orbit_of.get(id(x)):
+            head |= {"orbit_period": o["outer_period"], "orbit_amplitude": o["amplitude"], "orbit_delta_bic": o["delta_bic"], "orbit_f_tail": o["f_tail"], "orbit_pdot": o["pdot"], "orbit_mass_function": o["mass_function"]}
+        if "profile" in x:
+            at, mid = np.full(len(x["profile"][0]), np.nan), x["profile"][2]
+            if best := laws_by.get(id(x)):
                 head |= {"law": best[0]["law"], "law_pinned": best[0]["pinned"], "law_margin": best[1]["bic_scaled"] - best[0]["bic_scaled"] if len(best) > 1 else math.nan}
                 at = laws_of.values(best[0], mid)
-            intervals = [{"kind": "profile", "interval": int(a), "n": int(b), "mid": c, "period": d, "period_error": e, "law_period": z} for a, b, c, d, e, z in zip(k, n, mid, p, error, at, strict=True)]
-    return [head | {"n_segments": len(oc), "n_intervals": len(intervals)}, *oc, *intervals]
+            intervals = [{"kind": "profile", "interval": int(a), "n": int(b), "mid": c, "period": d, "period_error": e, "law_period": z} for a, b, c, d, e, z in zip(*x["profile"], at, strict=True)]
+        out.append([head | {"n_segments": len(oc), "n_intervals": len(intervals)}, *oc, *intervals])
+    return out
+
+
+def analyse(t: np.ndarray, y: np.ndarray, dy: np.ndarray | None, seed: float | None, settings: dict) -> list[dict]:
+    """The tagged rows of one object: a summary, its O-C segments and its profile intervals."""
+    s = DEFAULTS | settings
+    return _fitted([_measured(t, y, dy, seed, s)], s)[0]
+
+
+#: Numbers of one object that do not end the catalogue.
+FAILURES = (ArithmeticError, np.linalg.LinAlgError, ValueError)
+
+
+def _failed(n: int, e: Exception) -> list[dict]:
+    return [{"kind": "summary", "status": f"failed: {e}"[:200], "n": n, "n_segments": 0, "n_intervals": 0}]
+
+
+def analyse_many(objects: list[tuple[np.ndarray, np.ndarray, np.ndarray | None, float | None]], settings: dict) -> list[list[dict]]:
+    """``analyse`` of several objects; one that fails has a summary with the reason."""
+    s, out, begun = DEFAULTS | settings, {}, {}
+    for i, x in enumerate(objects):
+        try:
+            begun[i] = _measured(*x, s)
+        except FAILURES as e:
+            out[i] = _failed(len(x[0]), e)
+    try:
+        out |= dict(zip(begun, _fitted(list(begun.values()), s), strict=True))
+    except FAILURES:  # of some object: each by itself
+        for i, x in begun.items():
+            try:
+                out[i] = _fitted([x], s)[0]
+            except FAILURES as e:
+                out[i] = _failed(len(objects[i][0]), e)
+    return [out[i] for i in range(len(objects))]
 
 
 _KINDS = {c.split()[0]: {"long": "Int64", "double": "float64", "boolean": "boolean", "string": object}[c.split()[1]] for c in TAGGED.split(", ")}
@@ -122,15 +168,11 @@ def tagged_rows(obs: DataFrame, seeds: DataFrame | None = None, **settings) -> D
     if seeds is not None:
         joined = obs.join(seeds.select("object_id", F.col("period").cast("double").alias("_p")), "object_id", "left").withColumn("_seed", F.coalesce("_p", F.lit(default).cast("double")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, y, dy = kernels._points(pdf)
-        try:
-            rows = analyse(t, y, dy, float(pdf["_seed"].iloc[0]), settings)
-        except (ArithmeticError, np.linalg.LinAlgError, ValueError) as e:  # numbers of one object do not end the catalogue
-            rows = [{"kind": "summary", "status": f"failed: {e}"[:200], "n": len(t), "n_segments": 0, "n_intervals": 0}]
-        return pd.DataFrame([r | {"object_id": pdf["object_id"].iloc[0]} for r in rows], columns=COLUMNS).astype(_KINDS)
+    def run(objects: list[pd.DataFrame]) -> pd.DataFrame:
+        found = analyse_many([(*kernels._points(o), float(o["_seed"].iloc[0])) for o in objects], settings)
+        return pd.DataFrame([r | {"object_id": o["object_id"].iloc[0]} for o, rows in zip(objects, found, strict=True) for r in rows], columns=COLUMNS).astype(_KINDS)
 
-    out = spread.deal_objects(joined).groupBy("object_id").applyInPandas(run, TAGGED)
+    out = spread.in_blocks(spread.deal_objects(joined), run, TAGGED)
     return out.select([F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in out.schema])
 
 
