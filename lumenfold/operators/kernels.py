@@ -423,10 +423,10 @@ def _grid_of(pdf: pd.DataFrame, nf: int | None, fmax: float | None, span: float)
 
 def _with_grid(obs: DataFrame, grid: DataFrame | None, nf: int | None = None, relative: float = 1.0) -> DataFrame:
     """Points with their object's grid beside them (null where it has none), hashed by object to tasks for the work that they are. ``relative``: cost of a trial and point against a plain fold."""
-    obs = spread.deal(obs, relative * spread.estimated_work(obs, nf), "object_id")
-    if grid is None:
-        return obs
-    return obs.join(grid.select("object_id", F.col("f0").alias("_f0"), F.col("df").alias("_df"), F.col("nf").cast("double").alias("_nf")), "object_id", "left")
+    total = relative * spread.estimated_work(obs, nf)
+    if grid is not None:
+        obs = obs.join(grid.select("object_id", F.col("f0").alias("_f0"), F.col("df").alias("_df"), F.col("nf").cast("double").alias("_nf")), "object_id", "left")
+    return spread.deal(obs, total, "object_id")
 
 
 #: Cost of a point and trial against phase dispersion.
@@ -455,12 +455,14 @@ def best_periods(obs: DataFrame, method: str, nf: int | None = None, n: int = 1,
     """The ``n`` best trials of each object without returning its spectrum: object_id, rank, k, period, f, power, fap."""
     kernel = get_method(method, **settings)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, y, dy = _points(pdf)
+    def run(objects: list[pd.DataFrame]) -> pd.DataFrame:
         cols = {"object_id": [], "rank": [], "k": [], "period": [], "f": [], "power": [], "fap": []}
-        span = t[-1] - t[0] if len(t) else 0.0
-        f = _grid_of(pdf, nf, None, span) if span > 0 else ()
-        if len(f):
+        for pdf in objects:
+            t, y, dy = _points(pdf)
+            span = t[-1] - t[0] if len(t) else 0.0
+            f = _grid_of(pdf, nf, None, span) if span > 0 else ()
+            if not len(f):
+                continue
             p = kernel(t - t[0], y, dy, f, **settings)
             score = np.round(np.where(np.isfinite(p), -p if method in MINIMISED else p, -np.inf), 9)
             taken: list[int] = []
@@ -475,7 +477,7 @@ def best_periods(obs: DataFrame, method: str, nf: int | None = None, n: int = 1,
                     cols[c].append(v)
         return pd.DataFrame(cols) if cols["rank"] else _no_rows(["rank", "k"], ["period", "f", "power", "fap"])
 
-    return _with_grid(obs, grid, nf, RELATIVE.get(method, 1.0)).groupBy("object_id").applyInPandas(run, "object_id string, rank long, k long, period double, f double, power double, fap double")
+    return spread.in_blocks(_with_grid(obs, grid, nf, RELATIVE.get(method, 1.0)), run, "object_id string, rank long, k long, period double, f double, power double, fap double")
 
 
 def periodogram(obs: DataFrame, method: str = "gls", n: int = 1, grid_settings: dict | None = None, **settings) -> DataFrame:

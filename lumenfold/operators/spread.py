@@ -17,8 +17,9 @@ MOST_TASKS = 200_000
 ROWS = 1_000_000
 #: Objects in a task of grouped calls.
 OBJECTS = 100
-#: Objects that a call takes together in ``in_blocks``.
+#: Objects that a call takes together in ``in_blocks``, and points from which it takes no more.
 BLOCK = 64
+BLOCK_POINTS = 200_000
 #: Fixed value: an automatic grid has about this many trials for each point of its object (5 samples a peak up to 2.5 N/T).
 TRIALS_PER_POINT = 12.5
 
@@ -88,7 +89,7 @@ def in_blocks(dealt: DataFrame, run: Callable[[list[pd.DataFrame]], pd.DataFrame
         objects: list[pd.DataFrame] = []
         for one in whole(frames):
             objects.append(one)
-            if len(objects) == block:
+            if len(objects) == block or sum(map(len, objects)) >= BLOCK_POINTS:
                 yield run(objects)
                 objects = []
         if objects:
